@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.plans import sales_plans
+from tidemark.plans import market_plans, sales_plans
 
-MODULES = [sales_plans]
+MODULES = [sales_plans, market_plans]
 
 
 def all_queries() -> dict:

@@ -268,9 +268,8 @@ def processing_histogram(df: DataFrame, bins: int = 30) -> DataFrame:
 def histogram(df: DataFrame, value: str, bins: int) -> DataFrame:
     """Equal-width bins of any column: extremes first, then one counting pass."""
     known = df.where(F.col(value).isNotNull())
-    ends = known.agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
-    low, high = ends.select("lo").scalar(), ends.select("hi").scalar()
-    marked = known.select(F.col(value).alias("v"), low.alias("lo"), high.alias("hi"))
+    ends = known.agg(F.struct(F.min(value).alias("lo"), F.max(value).alias("hi")).alias("ends")).scalar()
+    marked = known.select(F.col(value).alias("v"), ends["lo"].alias("lo"), ends["hi"].alias("hi"))
     binned = marked.select(equal_width_bin(F.col("v"), F.col("lo"), F.col("hi"), bins).alias("bin"), F.lit(1).alias("cnt"), "lo", "hi")
     return _bin_edges(binned, bins)
 

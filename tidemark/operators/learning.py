@@ -134,14 +134,13 @@ def featurize(df: DataFrame, prep: Preparation, out: str = "features") -> DataFr
     cells = []
     for c, (median, mean, std) in prep.numeric.items():
         filled = F.coalesce(F.col(c).cast("double"), F.lit(median))
-        cells.append(((filled - mean) / (std if std else 1.0)).alias(f"_f{len(cells)}"))
+        cells.append((filled - mean) / (std if std else 1.0))
     for c, (fill, values) in prep.categorical.items():
         text = F.coalesce(F.col(c).cast("string"), F.lit(fill))
-        cells.extend(
-            F.when(text == v, 1.0).otherwise(0.0).alias(f"_f{len(cells) + i}") for i, v in enumerate(values)
-        )
+        cells.extend(F.when(text == v, 1.0).otherwise(0.0) for v in values)
     names = [f"_f{i}" for i in range(len(cells))]
-    assembled = VectorAssembler(inputCols=names, outputCol=out).transform(df.select("*", *cells))
+    wide = df.select("*", *[cell.alias(name) for cell, name in zip(cells, names)])
+    assembled = VectorAssembler(inputCols=names, outputCol=out).transform(wide)
     return assembled.drop(*names)
 
 
@@ -150,7 +149,7 @@ def classifier(choice: str, label: str, trees: int | None = None, weight: str |
     if choice == "boosted":
         return GBTClassifier(
             labelCol=label, maxIter=trees or 260, maxDepth=4, stepSize=0.055, subsamplingRate=0.88,
-            featureSubsetStrategy="0.88", seed=SEED, cacheNodeIds=True, checkpointInterval=20,
+            featureSubsetStrategy="0.88", seed=SEED, checkpointInterval=20,
         )
     forest = RandomForestClassifier(
         labelCol=label, numTrees=trees or 340, maxDepth=12, minInstancesPerNode=3, seed=SEED, maxMemoryInMB=512,

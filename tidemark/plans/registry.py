@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.plans import churn_plans, market_plans, model_plans, quality_plans, sales_plans
+from tidemark.plans import churn_plans, market_plans, model_plans, quality_plans, sales_plans, stream_plans
 
-MODULES = [sales_plans, quality_plans, market_plans, churn_plans, model_plans]
+MODULES = [sales_plans, quality_plans, market_plans, churn_plans, model_plans, stream_plans]
 
 
 def all_queries() -> dict:

@@ -88,9 +88,12 @@ def bar_direction(df: DataFrame) -> DataFrame:
 def ticker_24h(ticks: DataFrame) -> DataFrame:
     """Last price, percent change and quote volume over each symbol's last 24 hours, as ticker JSON."""
     # One row per symbol, staged so that Spark knows its size: small, it is
-    # broadcast and the ticks are not shuffled.
+    # broadcast and the ticks are not shuffled. The earliest start over all
+    # symbols reaches the scan as a filter.
     ends = stage(ticks.groupBy("symbol").agg(F.max("ts").alias("end")), "ends")
-    recent = ticks.join(ends, "symbol").where(F.col("ts") > F.col("end") - F.expr("INTERVAL 24 HOURS"))
+    start = F.col("end") - F.expr("INTERVAL 24 HOURS")
+    earliest = ends.agg(F.min(start)).scalar()
+    recent = ticks.where(F.col("ts") > earliest).join(ends, "symbol").where(F.col("ts") > start)
     order = tick_order()
     sums = recent.groupBy("symbol").agg(
         F.min_by("price", order).alias("first"),

@@ -40,22 +40,28 @@ def _with_offsets(rows: DataFrame, offsets: DataFrame, keys: list[str]) -> DataF
     return rows.join(stage(offsets, "offsets"), [*keys, "_range"])
 
 
-def positions(df: DataFrame, keys: list[str], order: list[Column], pos: str = "pos", total: str = "n") -> DataFrame:
+def positions(
+    df: DataFrame, keys: list[str], order: list[Column], pos: str = "pos", total: str = "n", counted: Column | None = None
+) -> DataFrame:
     """Add the 0-based position of each row in its series and the series length.
 
     ``order`` must be unique within a series. Rows with a NULL key are dropped.
+    ``counted`` limits the length to the rows that meet it.
     """
     if keys:
         df = df.dropna(subset=keys)
     rows = _sorted_by_range(df, keys, order)
-    per_range = rows.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_cnt"), F.min("_row").alias("_first"))
+    size = F.count(F.lit(1)) if counted is None else F.count_if(counted)
+    per_range = rows.groupBy(*keys, "_range").agg(
+        F.count(F.lit(1)).alias("_cnt"), F.min("_row").alias("_first"), size.alias("_size")
+    )
     series = Window.partitionBy(*keys)
     before = series.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_range.select(
         *keys,
         "_range",
         (F.coalesce(F.sum("_cnt").over(before), F.lit(0)) - F.col("_first")).alias("_shift"),
-        F.sum("_cnt").over(series).alias(total),
+        F.sum("_size").over(series).alias(total),
     )
     out = _with_offsets(rows, offsets, keys)
     return out.withColumn(pos, F.col("_row") + F.col("_shift")).drop("_range", "_row", "_shift")

@@ -46,17 +46,26 @@ def column_info(df: DataFrame) -> DataFrame:
     return long.select("column_name", "non_null", kinds[F.col("column_name")].alias("data_type"))
 
 
-def describe(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Count, mean, sample deviation, extremes and exact quartiles per numeric column."""
+def describe(df: DataFrame, columns: list[str] | None = None, approximate: bool = False) -> DataFrame:
+    """Count, mean, sample deviation, extremes and quartiles per numeric column.
+
+    Quartiles are exact; ``approximate`` takes them from a sketch in the same pass.
+    """
     columns = columns or _numeric(df)
     long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], columns, "column_name", "value")
-    moments = long.groupBy("column_name").agg(
+    figures = [
         F.count("value").alias("count"),
         F.avg("value").alias("mean"),
         F.stddev_samp("value").alias("std"),
         F.min("value").alias("min"),
         F.max("value").alias("max"),
-    )
+    ]
+    if approximate:
+        sketch = F.approx_percentile("value", [0.25, 0.5, 0.75], 10_000)
+        rough = long.groupBy("column_name").agg(*figures, sketch.alias("q"))
+        picks = [F.col("q")[i].alias(n) for i, n in enumerate(("q25", "q50", "q75"))]
+        return rough.select("column_name", "count", "mean", "std", "min", *picks, "max")
+    moments = long.groupBy("column_name").agg(*figures)
     quarts = quantiles(long, ["column_name"], "value", [0.25, 0.5, 0.75], ["q25", "q50", "q75"])
     return moments.join(quarts, "column_name", "left").select(
         "column_name", "count", "mean", "std", "min", "q25", "q50", "q75", "max"

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark import constants as C
 from tidemark.functions.bands import risk_level
 from tidemark.functions.numbers import as_column, ratio
+from tidemark.staging import literal_table
 
 SCORE_COLUMNS = ["Churn_Probability", "Predicted_Churn", "Risk_Level"]
 
@@ -62,10 +63,8 @@ def risk_queue(scored: DataFrame, levels: list[str] | None = None, floor: float
 def risk_distribution(scored: DataFrame) -> DataFrame:
     """Customers per risk band, in band order, with zero for a band nobody is in."""
     counts = scored.groupBy("Risk_Level").agg(F.count(F.lit(1)).alias("customers"))
-    domain = scored.sparkSession.createDataFrame(
-        [(level, i) for i, level in enumerate(C.RISK_LEVELS)], "Risk_Level string, ord int"
-    )
-    full = F.broadcast(domain).join(counts, "Risk_Level", "left")
+    domain = literal_table(scored.sparkSession, list(zip(C.RISK_LEVELS, range(3))), ["Risk_Level", "ord"])
+    full = domain.join(counts, "Risk_Level", "left")  # three rows by four at most
     return full.select("ord", "Risk_Level", F.coalesce("customers", F.lit(0)).alias("customers"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,11 +33,11 @@ def with_rank_band(df: DataFrame, column: str, labels: list[str], id_column: str
     The exact global rank comes from range partitions, not from one window.
     """
     valued = df.withColumn("_v", as_number(df, column))
-    known = valued.where("_v IS NOT NULL")
-    ranked = positions(known, [], [F.col("_v"), F.col(id_column)], pos="_pos", total="_n")
-    banded = ranked.withColumn(out, rank_band(F.col("_pos") + 1, F.col("_n"), labels)).drop("_pos", "_n", "_v")
-    rest = valued.where("_v IS NULL").withColumn(out, F.lit("nan")).drop("_v")
-    return banded.unionByName(rest)
+    known = F.col("_v").isNotNull()
+    order = [F.col("_v").asc_nulls_last(), F.col(id_column)]
+    ranked = positions(valued, [], order, pos="_pos", total="_n", counted=known)
+    rank = F.when(known, F.col("_pos") + 1)
+    return ranked.withColumn(out, rank_band(rank, F.col("_n"), labels)).drop("_pos", "_n", "_v")
 
 
 def contract_segment(df: DataFrame) -> Column:
@@ -71,8 +71,7 @@ def with_segments(df: DataFrame, id_column: str = "customerID") -> DataFrame:
 def mean_risk(segmented: DataFrame, segment: str) -> DataFrame:
     """Mean churn probability per segment and its share of the sum of means."""
     means = segmented.groupBy(segment).agg(F.avg("Churn_Probability").alias("mean_probability"))
-    # The window runs over one row per segment.
-    total = F.sum("mean_probability").over(Window.partitionBy())
+    total = means.agg(F.sum("mean_probability")).scalar()
     return means.select(
         F.col(segment).alias("segment"), "mean_probability", ratio(F.col("mean_probability"), total).alias("share")
     )

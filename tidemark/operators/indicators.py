@@ -11,9 +11,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.constants import VOL_ELEVATED, VOL_MODERATE
 from tidemark.functions.numbers import as_column
 from tidemark.operators.bars import KEYS
-from tidemark.operators.ordered import chunked, ema_chunk, ema_columns, ema_reach, positions, without_halo
+from tidemark.operators.ordered import (
+    chunked,
+    ema_after,
+    ema_chunk,
+    ema_columns,
+    ema_reach,
+    positions,
+    previous_value_row,
+    without_halo,
+)
 
 ROLLING_CHUNK = 4096
 TRADING_DAYS = 252
@@ -35,94 +45,115 @@ def rolling(value: Column | str, size: int, pieces, function=F.avg) -> Column:
     return F.when(F.count(value).over(frame) == size, function(value).over(frame))
 
 
-def _change(pieces, value: str = "close") -> Column:
-    return F.col(value) - F.lag(value).over(pieces)
+# Window columns are made in steps: all columns of one step need only those of
+# earlier steps, share one select and so one window operator. The helpers below
+# give the columns of a step; the public functions put the steps together.
 
 
-def _return(pieces, value: str = "close") -> Column:
-    return F.try_divide(F.col(value), F.lag(value).over(pieces)) - 1
+def _averages(pieces, sizes=(20, 50)) -> list[Column]:
+    return [rolling("close", s, pieces).alias(f"ma{s}") for s in sizes]
 
 
-def _rsi(df: DataFrame, period: int, pieces) -> DataFrame:
-    out = df.withColumn("_d", _change(pieces))
-    gain = rolling(F.greatest("_d", F.lit(0.0)) + F.col("_d") * 0, period, pieces)
-    loss = rolling(F.greatest(-F.col("_d"), F.lit(0.0)) + F.col("_d") * 0, period, pieces)
-    out = out.withColumn("_gain", gain).withColumn("_loss", loss)
+def _previous_close(pieces) -> Column:
+    return F.lag("close").over(pieces).alias("_before")
+
+
+def _with_moves(df: DataFrame) -> DataFrame:
+    """Change, its two sides, and return against the close before."""
+    change = F.col("close") - F.col("_before")
+    return df.select(
+        "*",
+        (F.try_divide("close", "_before") - 1).alias("returns"),
+        F.when(change.isNotNull(), F.greatest(change, F.lit(0.0))).alias("_up"),
+        F.when(change.isNotNull(), F.greatest(-change, F.lit(0.0))).alias("_down"),
+    ).drop("_before")
+
+
+def _gain_and_loss(period: int, pieces) -> list[Column]:
+    return [rolling("_up", period, pieces).alias("_gain"), rolling("_down", period, pieces).alias("_loss")]
+
+
+def _with_rsi(df: DataFrame) -> DataFrame:
     value = 100 - 100 / (1 + F.try_divide("_gain", "_loss"))
     whole = F.when((F.col("_loss") == 0) & (F.col("_gain") > 0), 100.0).otherwise(value)
-    return out.withColumn("rsi", whole).drop("_d", "_gain", "_loss")
+    return df.withColumn("rsi", whole).drop("_up", "_down", "_gain", "_loss")
 
 
-def _moving(df: DataFrame, pieces, sizes=(20, 50)) -> DataFrame:
-    return df.select("*", *[rolling("close", s, pieces).alias(f"ma{s}") for s in sizes])
+def _spread(period: int, pieces, value: str = "close", name: str = "_sd") -> Column:
+    return rolling(value, period, pieces, F.stddev_samp).alias(name)
 
 
-def _bollinger(df: DataFrame, period: int, width: float, pieces) -> DataFrame:
-    out = df.withColumn("bb_mid", rolling("close", period, pieces))
-    out = out.withColumn("_sd", rolling("close", period, pieces, F.stddev_samp))
+def _with_bands(df: DataFrame, width: float) -> DataFrame:
     band = F.lit(float(width)) * F.col("_sd")
-    return out.withColumn("bb_upper", F.col("bb_mid") + band).withColumn("bb_lower", F.col("bb_mid") - band).drop("_sd")
+    return df.select("*", (F.col("bb_mid") + band).alias("bb_upper"), (F.col("bb_mid") - band).alias("bb_lower")).drop("_sd")
 
 
-def _volatility(df: DataFrame, size: int, periods_per_year: int, pieces) -> DataFrame:
-    out = df.withColumn("returns", _return(pieces))
-    out = out.withColumn("rolling_vol", rolling("returns", size, pieces, F.stddev_samp))
-    return out.withColumn("annualized_vol", F.col("rolling_vol") * F.sqrt(F.lit(float(periods_per_year))))
+def _with_yearly(df: DataFrame, periods_per_year: int) -> DataFrame:
+    return df.withColumn("annualized_vol", F.col("rolling_vol") * F.sqrt(F.lit(float(periods_per_year))))
 
 
-def _macd(df: DataFrame, fast: int, slow: int, signal: int, pieces, more: dict[str, int] | None = None) -> DataFrame:
-    out = ema_columns(df, "close", {"_fast": fast, "_slow": slow, **(more or {})}, pieces)
-    out = out.withColumn("macd", F.col("_fast") - F.col("_slow"))
-    out = ema_columns(out, "macd", {"macd_signal": signal}, pieces)
-    return out.withColumn("macd_hist", F.col("macd") - F.col("macd_signal")).drop("_fast", "_slow")
+def _with_signal(df: DataFrame, signal: int, pieces) -> DataFrame:
+    out = df.withColumn("macd", F.col("_fast") - F.col("_slow")).drop("_fast", "_slow")
+    out = ema_after(out, "macd", "macd_signal", signal, pieces)
+    return out.withColumn("macd_hist", F.col("macd") - F.col("macd_signal"))
 
 
 def moving_averages(series: DataFrame, sizes=(20, 50)) -> DataFrame:
-    return without_halo(_moving(chunked(series, KEYS, ROLLING_CHUNK, max(sizes) - 1), _pieces(), sizes))
+    cut = chunked(series, KEYS, ROLLING_CHUNK, max(sizes) - 1)
+    return without_halo(cut.select("*", *_averages(_pieces(), sizes)))
 
 
 def ema(series: DataFrame, value: str, spans: dict[str, int], chunk: int | None = None) -> DataFrame:
     """Exponential averages of ``value``, one column per span."""
     halo = max(ema_reach(s) for s in spans.values())
     chunk = chunk or ema_chunk(list(spans.values()), halo)
-    return without_halo(ema_columns(chunked(series, KEYS, chunk, halo), value, spans, _pieces()))
+    return without_halo(ema_columns(chunked(series, KEYS, chunk, halo), value, spans, _pieces()).drop("_age"))
 
 
 def rsi(series: DataFrame, period: int = 14) -> DataFrame:
-    return without_halo(_rsi(chunked(series, KEYS, ROLLING_CHUNK, period), period, _pieces()))
+    pieces = _pieces()
+    out = _with_moves(chunked(series, KEYS, ROLLING_CHUNK, period).select("*", _previous_close(pieces)))
+    return without_halo(_with_rsi(out.select("*", *_gain_and_loss(period, pieces))).drop("returns"))
 
 
 def macd(series: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
+    pieces = _pieces()
     halo = ema_reach(max(fast, slow)) + ema_reach(signal)
-    chunk = ema_chunk([fast, slow, signal], halo)
-    return without_halo(_macd(chunked(series, KEYS, chunk, halo), fast, slow, signal, _pieces()))
+    cut = chunked(series, KEYS, ema_chunk([fast, slow, signal], halo), halo)
+    return without_halo(_with_signal(ema_columns(cut, "close", {"_fast": fast, "_slow": slow}, pieces), signal, pieces).drop("_age"))
 
 
 def bollinger(series: DataFrame, period: int = 20, width: float = 2.0) -> DataFrame:
-    return without_halo(_bollinger(chunked(series, KEYS, ROLLING_CHUNK, period - 1), period, width, _pieces()))
+    pieces = _pieces()
+    cut = chunked(series, KEYS, ROLLING_CHUNK, period - 1)
+    return without_halo(_with_bands(cut.select("*", rolling("close", period, pieces).alias("bb_mid"), _spread(period, pieces)), width))
 
 
 def volatility(series: DataFrame, size: int = 20, periods_per_year: int = TRADING_DAYS) -> DataFrame:
-    return without_halo(_volatility(chunked(series, KEYS, ROLLING_CHUNK, size), size, periods_per_year, _pieces()))
+    pieces = _pieces()
+    out = _with_moves(chunked(series, KEYS, ROLLING_CHUNK, size).select("*", _previous_close(pieces)))
+    out = out.select("*", _spread(size, pieces, "returns", "rolling_vol")).drop("_up", "_down")
+    return without_halo(_with_yearly(out, periods_per_year))
 
 
 def all_indicators(series: DataFrame, vol_window: int = 20, periods_per_year: int = TRADING_DAYS) -> DataFrame:
-    """Every indicator in one pass: one shuffle by (series, chunk) and one sort."""
+    """Every indicator in one pass: one shuffle by (series, chunk), one sort, four window steps."""
     halo = max(ema_reach(26) + ema_reach(9), 50, vol_window + 1)
-    chunk = ema_chunk([9, 12, 20, 26], halo)
     pieces = _pieces()
-    out = chunked(series, KEYS, chunk, halo)
-    out = _moving(out, pieces)
-    out = _rsi(out, 14, pieces)
-    out = _macd(out, 12, 26, 9, pieces, {"ema20": 20})
-    out = _bollinger(out, 20, 2.0, pieces)
-    return without_halo(_volatility(out, vol_window, periods_per_year, pieces))
+    out = chunked(series, KEYS, ema_chunk([9, 12, 20, 26], halo), halo)
+    before = previous_value_row("close", pieces).alias("_prev")
+    out = out.select("*", *_averages(pieces), _spread(20, pieces), _previous_close(pieces), before)
+    out = _with_moves(_with_bands(out.withColumn("bb_mid", F.col("ma20")), 2.0))
+    second = [*_gain_and_loss(14, pieces), _spread(vol_window, pieces, "returns", "rolling_vol")]
+    out = ema_columns(out, "close", {"ema20": 20, "_fast": 12, "_slow": 26}, pieces, more=second)
+    out = _with_yearly(_with_rsi(out), periods_per_year)
+    return without_halo(_with_signal(out, 9, pieces).drop("_age"))
 
 
 def returns(series: DataFrame, value: str = "close", keys: list[str] = KEYS) -> DataFrame:
     """Simple returns against the row before."""
-    pieces = _pieces(keys)
-    return without_halo(chunked(series, keys, ROLLING_CHUNK, 1).withColumn("returns", _return(pieces, value)))
+    before = F.lag(value).over(_pieces(keys))
+    return without_halo(chunked(series, keys, ROLLING_CHUNK, 1).withColumn("returns", F.try_divide(F.col(value), before) - 1))
 
 
 def normalized_returns(series: DataFrame) -> DataFrame:
@@ -153,8 +184,6 @@ def volatility_change(indicators: DataFrame, lag: int = 7) -> DataFrame:
     )
     before = F.when(F.col("_seen") > lag + 1, F.col("_old")).otherwise(F.col("latest_vol"))
     out = picked.withColumn("vol_change_pp", F.col("latest_vol") - before)
-    from tidemark.constants import VOL_ELEVATED, VOL_MODERATE
-
     return out.select(
         *KEYS,
         "latest_vol",

@@ -155,7 +155,7 @@ def ema_chunk(spans: list[int], halo: int) -> int:
     return min(room, 8192)
 
 
-def ema_columns(df: DataFrame, value: str, spans: dict[str, int], window, pos: str = "pos") -> DataFrame:
+def ema_columns(df: DataFrame, value: str, spans: dict[str, int], window, pos: str = "pos", more: list[Column] = ()) -> DataFrame:
     """Add exponential averages of ``value``, started at its first value.
 
     ``window`` partitions by (keys, ``_chunk``). The recurrence is solved in
@@ -163,26 +163,55 @@ def ema_columns(df: DataFrame, value: str, spans: dict[str, int], window, pos: s
     the weight of its value, the average is A * sum(b_j x_j / A_j), where A_j
     is the running product of the a_j. At a missing value the old average is
     kept, and its weight shrinks with the length of the gap.
+
+    ``more`` holds other window columns to compute in the second of the three
+    steps. The column ``_age`` (rows since the first value) stays in the
+    result for :func:`ema_after`.
     """
+    if "_prev" not in df.columns:
+        df = df.withColumn("_prev", previous_value_row(value, window, pos))
     upto = window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    earlier = window.rowsBetween(Window.unboundedPreceding, -1)
     x = F.col(value)
-    out = df.withColumn("_prev", F.last(F.when(x.isNotNull(), F.col(pos)), ignorenulls=True).over(earlier))
     gap = F.col(pos) - F.col("_prev")
+    started = F.col("_prev").isNotNull()
+    shares, weights = {}, {}
     for name, span in spans.items():
         alpha = 2.0 / (span + 1)
         step = math.log1p(-alpha)
         kept = F.exp(gap * F.lit(step))
-        share = (
-            F.when(x.isNull() | F.col("_prev").isNull(), 0.0)
-            .when(gap == 1, F.lit(step))
-            .otherwise(gap * F.lit(step) - F.log(kept + alpha))
+        shares[name] = (
+            F.when(x.isNull() | ~started, 0.0).when(gap == 1, F.lit(step)).otherwise(gap * F.lit(step) - F.log(kept + alpha))
         )
-        weight = F.when(F.col("_prev").isNull(), 1.0).when(gap == 1, F.lit(alpha)).otherwise(F.lit(alpha) / (kept + alpha))
-        out = out.withColumn(f"_w_{name}", weight).withColumn(f"_a_{name}", share)
-    out = out.select("*", *[F.sum(f"_a_{n}").over(upto).alias(f"_L_{n}") for n in spans])
+        weights[name] = F.when(~started, 1.0).when(gap == 1, F.lit(alpha)).otherwise(F.lit(alpha) / (kept + alpha))
+    out = df.select("*", *[share.alias(f"_a_{n}") for n, share in shares.items()])
     out = out.select(
-        "*", *[F.sum(F.col(f"_w_{n}") * x * F.exp(-F.col(f"_L_{n}"))).over(upto).alias(f"_S_{n}") for n in spans]
+        "*",
+        F.count(F.when(started, 1)).over(upto).alias("_age"),
+        *[F.sum(f"_a_{n}").over(upto).alias(f"_L_{n}") for n in spans],
+        *more,
     )
+    out = out.select("*", *[(weights[n] * x * F.exp(-F.col(f"_L_{n}"))).alias(f"_x_{n}") for n in spans])
+    out = out.select("*", *[F.sum(f"_x_{n}").over(upto).alias(f"_S_{n}") for n in spans])
     out = out.select("*", *[(F.exp(F.col(f"_L_{n}")) * F.col(f"_S_{n}")).alias(n) for n in spans])
-    return out.drop("_prev", *[f"_{k}_{n}" for n in spans for k in "waLS"])
+    return out.drop("_prev", *[f"_{k}_{n}" for n in spans for k in "axLS"])
+
+
+def previous_value_row(value: str, window, pos: str = "pos") -> Column:
+    """Position of the last earlier row that has a value."""
+    earlier = window.rowsBetween(Window.unboundedPreceding, -1)
+    return F.last(F.when(F.col(value).isNotNull(), F.col(pos)), ignorenulls=True).over(earlier)
+
+
+def ema_after(df: DataFrame, value: str, name: str, span: int, window) -> DataFrame:
+    """Exponential average of a column that was made from other averages.
+
+    Such a column has no missing values after its first, so the running
+    product is a power of the row's ``_age`` and one window is enough.
+    """
+    alpha = 2.0 / (span + 1)
+    fade = F.col("_age") * F.lit(math.log1p(-alpha))
+    weight = F.when(F.col("_age") == 0, 1.0).otherwise(alpha)
+    upto = window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = df.withColumn("_x", weight * F.col(value) * F.exp(-fade))
+    out = out.withColumn("_S", F.sum("_x").over(upto))
+    return out.withColumn(name, F.exp(fade) * F.col("_S")).drop("_x", "_S")

@@ -17,12 +17,19 @@ def tick_order(ts: str = "ts", tick_id: str = "tick_id") -> Column:
     """Time and then id as one decimal number.
 
     First and last price by a struct of the two would force a sort-based
-    aggregation; a decimal keeps it hash-based and still breaks ties.
+    aggregation; a decimal keeps it hash-based and still breaks ties. It is
+    projected once (:func:`with_tick_order`) for all aggregates that use it.
     """
     micros = f"cast(unix_micros(cast({ts} as timestamp)) as decimal(18,0))"
     return F.expr(f"cast({micros} * {_TEN_POW_19} + {tick_id} as decimal(38,0))")
 
 
+def with_tick_order(ticks: DataFrame) -> DataFrame:
+    """Ticks that count for bars, with their order number in ``_ord``."""
+    priced = ticks.where("price IS NOT NULL AND symbol IS NOT NULL")
+    return priced.withColumn("_ord", tick_order())
+
+
 def bar_start(ts: Column | str, bar: str) -> Column:
     """Start of the bar that holds ``ts``; weeks start on Monday."""
     shift = "4 days" if bar == "1w" else "0 seconds"
@@ -30,12 +37,11 @@ def bar_start(ts: Column | str, bar: str) -> Column:
 
 
 def bar_aggregates() -> list[Column]:
-    order = tick_order()
     return [
-        F.min_by("price", order).alias("open"),
+        F.min_by("price", "_ord").alias("open"),
         F.max("price").alias("high"),
         F.min("price").alias("low"),
-        F.max_by("price", order).alias("close"),
+        F.max_by("price", "_ord").alias("close"),
         F.count("price").cast("double").alias("volume"),
         F.coalesce(F.sum(F.col("quote").cast("decimal(18,4)")).cast("double"), F.lit(0.0)).alias("quote_volume"),
         F.count(F.lit(1)).alias("trades"),
@@ -44,8 +50,7 @@ def bar_aggregates() -> list[Column]:
 
 def resample(ticks: DataFrame, bar: str) -> DataFrame:
     """Ticks to bars: one shuffle of partial sums, spread by symbol and bar start."""
-    priced = ticks.where("price IS NOT NULL AND symbol IS NOT NULL")
-    out = priced.groupBy("symbol", bar_start("ts", bar).alias("open_time")).agg(*bar_aggregates())
+    out = with_tick_order(ticks).groupBy("symbol", bar_start("ts", bar).alias("open_time")).agg(*bar_aggregates())
     return out.select(
         "symbol", F.lit(bar).alias("bar"), "open_time", "open", "high", "low", "close", "volume",
         "quote_volume", "trades",
@@ -94,10 +99,9 @@ def ticker_24h(ticks: DataFrame) -> DataFrame:
     start = F.col("end") - F.expr("INTERVAL 24 HOURS")
     earliest = ends.agg(F.min(start)).scalar()
     recent = ticks.where(F.col("ts") > earliest).join(ends, "symbol").where(F.col("ts") > start)
-    order = tick_order()
-    sums = recent.groupBy("symbol").agg(
-        F.min_by("price", order).alias("first"),
-        F.max_by("price", order).alias("last"),
+    sums = with_tick_order(recent).groupBy("symbol").agg(
+        F.min_by("price", "_ord").alias("first"),
+        F.max_by("price", "_ord").alias("last"),
         F.sum(F.col("quote").cast("decimal(18,4)")).cast("double").alias("quote"),
     )
     change = (ratio(F.col("last"), F.col("first")) - 1) * 100

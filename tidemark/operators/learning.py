@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -130,18 +130,32 @@ def prepare(train: DataFrame, columns: list[str], max_values: int = 10_000) -> P
 
 
 def featurize(df: DataFrame, prep: Preparation, out: str = "features") -> DataFrame:
-    """Add the feature vector; unknown category values give zeros only."""
-    cells = []
-    for c, (median, mean, std) in prep.numeric.items():
+    """Add the feature vector; unknown category values give zeros only.
+
+    Category values go through an indexer and a sparse encoder, so a column
+    with many values is still one expression. Index and encoder keep a slot
+    for unknown values, which the encoder drops.
+    """
+    scaled, inputs, scratch = [], [], []
+    for i, (c, (median, mean, std)) in enumerate(prep.numeric.items()):
         filled = F.coalesce(F.col(c).cast("double"), F.lit(median))
-        cells.append((filled - mean) / (std if std else 1.0))
-    for c, (fill, values) in prep.categorical.items():
-        text = F.coalesce(F.col(c).cast("string"), F.lit(fill))
-        cells.extend(F.when(text == v, 1.0).otherwise(0.0) for v in values)
-    names = [f"_f{i}" for i in range(len(cells))]
-    wide = df.select("*", *[cell.alias(name) for cell, name in zip(cells, names)])
-    assembled = VectorAssembler(inputCols=names, outputCol=out).transform(wide)
-    return assembled.drop(*names)
+        scaled.append(((filled - mean) / (std if std else 1.0)).alias(f"_n{i}"))
+        inputs.append(f"_n{i}")
+    texts = [F.coalesce(F.col(c).cast("string"), F.lit(fill)).alias(f"_t{i}") for i, (c, (fill, _)) in enumerate(prep.categorical.items())]
+    wide = df.select("*", *scaled, *texts)
+    for i, (_, values) in enumerate(prep.categorical.values()):
+        indexer = StringIndexerModel.from_labels(values, f"_t{i}", f"_i{i}", handleInvalid="keep")
+        wide = indexer.transform(wide)
+        scratch += [f"_t{i}", f"_i{i}"]
+    if prep.categorical:
+        count = len(prep.categorical)
+        encoder = OneHotEncoder(inputCols=[f"_i{i}" for i in range(count)], outputCols=[f"_h{i}" for i in range(count)])
+        wide = encoder.fit(wide).transform(wide)
+        inputs += encoder.getOutputCols()
+    assembled = VectorAssembler(inputCols=inputs, outputCol=out).transform(wide).drop(*inputs, *scratch)
+    # Without the column attributes every feature is a plain number to the trees.
+    others = [c for c in assembled.columns if c != out]
+    return assembled.select(*others, F.col(out).alias(out, metadata={}))
 
 
 def classifier(choice: str, label: str, trees: int | None = None, weight: str | None = None):

@@ -14,7 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.constants import BAR_SECONDS
 from tidemark.operators import indicators
-from tidemark.operators.bars import KEYS, bar_aggregates
+from tidemark.operators.bars import KEYS, bar_aggregates, with_tick_order
 from tidemark.operators.ordered import ema_reach
 from tidemark.sources.tables import as_ticks
 from tidemark.staging import new_path
@@ -38,7 +38,7 @@ def tick_stream(spark: SparkSession, folder: str, glob: str | None = None, files
 
 def live_bars(ticks: DataFrame, bar: str, delay: str) -> DataFrame:
     """Bars over a tick stream; ticks later than ``delay`` behind the newest are dropped."""
-    priced = ticks.where("price IS NOT NULL AND symbol IS NOT NULL").withWatermark("ts", delay)
+    priced = with_tick_order(ticks.withWatermark("ts", delay))
     width = f"{BAR_SECONDS[bar]} seconds"
     shift = "4 days" if bar == "1w" else "0 seconds"
     windowed = priced.groupBy("symbol", F.window("ts", width, width, shift).alias("_w")).agg(*bar_aggregates())

@@ -138,3 +138,43 @@ def test_shared_folder_needs_a_setting_on_a_cluster():
 
 def test_staged_tables_are_separate(spark):
     assert new_path(spark, "x") != new_path(spark, "x")
+
+
+def test_indicators_from_the_tail_equal_a_full_run(spark, tmp_path):
+    """A long series arrives in five files; each batch sees only its bars and the tail."""
+    import numpy as np
+
+    from tidemark.operators import indicators
+
+    folder, path, out, tail = (str(tmp_path / n) for n in ("in", "bars", "ind", "tail"))
+    os.makedirs(folder)
+    rng = np.random.default_rng(4)
+    hours = np.cumsum(rng.integers(1, 4, 2500))
+    values = ["ma50", "ema20", "rsi", "macd_signal", "annualized_vol"]
+    step = live.refresh_indicators(out, tail, values, late_bars=24)
+    price = 50 + 10 * rng.random(2500)
+    every = [(i, dt.datetime(2024, 1, 1) + dt.timedelta(hours=int(h)), 1, "s", float(price[i]), "{}") for i, h in enumerate(hours)]
+    for part in range(5):
+        rows = spark.createDataFrame(every[part * 500 : part * 500 + 500], live.EVENT_SCHEMA)
+        rows.coalesce(1).write.parquet(f"{folder}/f{part}")
+        live.run_bars(live.tick_stream(spark, f"{folder}/*"), "1h", path, str(tmp_path / "cp"), "1 day", after=step).awaitTermination()
+    assert len(live.batch_ids(spark, tail)) <= 2
+    assert spark.read.parquet(tail).groupBy("batch").count().agg(F.max("count")).first()[0] < 1000
+    got = live.latest_versions(spark, out, values).orderBy("open_time").toPandas()
+    events = spark.createDataFrame(every, live.EVENT_SCHEMA)
+    whole = indicators.all_indicators(indicators.numbered(bars.resample(as_ticks(events), "1h"))).orderBy("open_time").toPandas()
+    assert len(got) == len(whole) == 2500
+    for v in values:
+        np.testing.assert_allclose(got[v].astype(float), whole[v].astype(float), rtol=1e-9, atol=1e-9, err_msg=v)
+
+
+def test_compacted_log_reads_the_same(spark, tmp_path):
+    rows = [("s", "1h", dt.datetime(2024, 1, 1), 1.0), ("s", "1h", dt.datetime(2024, 1, 2), 2.0)]
+    df = spark.createDataFrame(rows, "symbol string, bar string, open_time timestamp_ntz, close double")
+    live.write_versions(df, str(tmp_path / "log"), 0)
+    live.write_versions(df.where("close = 2").withColumn("close", F.lit(3.0)), str(tmp_path / "log"), 7)
+    live.compact(spark, str(tmp_path / "log"), str(tmp_path / "short"), ["close"])
+    for name in ("log", "short"):
+        got = live.latest_versions(spark, str(tmp_path / name), ["close"]).orderBy("open_time").collect()
+        assert [r["close"] for r in got] == [1.0, 3.0]
+    assert live.latest_versions(spark, str(tmp_path / "log"), ["close"], "2024-01-02").count() == 1

@@ -9,6 +9,7 @@ from tidemark.staging import new_path
 from tidemark.streaming import bars as live
 
 WIDE = "40 days"  # wider than the replayed data, so that files in mixed order lose no tick
+WIDE_BARS = 40 * 24
 
 
 def _landed(spark, d):
@@ -28,7 +29,7 @@ def stream_indicators(spark, d):
     """All indicators after all micro-batches, refreshed batch by batch."""
     path, out = new_path(spark, "live-bars"), new_path(spark, "live-indicators")
     values = ["close", *market_plans.INDICATORS]
-    step = live.refresh_indicators(path, out, values)
+    step = live.refresh_indicators(out, new_path(spark, "tail"), values, late_bars=WIDE_BARS)
     ticks = live.tick_stream(spark, _landed(spark, d))
     live.run_bars(ticks, "1h", path, new_path(spark, "offsets"), WIDE, after=step).awaitTermination()
     return rounded(live.latest_versions(spark, out, values))

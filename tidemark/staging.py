@@ -44,11 +44,29 @@ def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _folder(spark: SparkSession, folder: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def complete_folders(spark: SparkSession, folder: str) -> list[str]:
+    """Names of the sub-folders whose write was committed."""
+    path, files = _folder(spark, folder)
+    if not files.exists(path):
+        return []
+    found = [status.getPath() for status in files.listStatus(path) if status.isDirectory()]
+    marker = spark._jvm.org.apache.hadoop.fs.Path
+    return [p.getName() for p in found if files.exists(marker(p, "_SUCCESS"))]
+
+
+def delete_folder(spark: SparkSession, folder: str) -> None:
+    path, files = _folder(spark, folder)
+    files.delete(path, True)
+
+
 def drop_staged(spark: SparkSession) -> None:
     """Delete the tables staged by this application; no result may be read from them after this."""
-    folder = f"{shared_dir(spark)}/tidemark/{spark.sparkContext.applicationId}"
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    delete_folder(spark, f"{shared_dir(spark)}/tidemark/{spark.sparkContext.applicationId}")
 
 
 def literal_table(spark: SparkSession, rows: list[tuple], names: list[str]) -> DataFrame:

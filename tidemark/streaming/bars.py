@@ -17,7 +17,7 @@ from tidemark.operators import indicators
 from tidemark.operators.bars import KEYS, bar_aggregates, with_tick_order
 from tidemark.operators.ordered import ema_reach
 from tidemark.sources.tables import as_ticks
-from tidemark.staging import new_path
+from tidemark.staging import complete_folders, delete_folder, new_path, stage
 
 EVENT_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 BAR_VALUES = ["open", "high", "low", "close", "volume", "quote_volume", "trades"]
@@ -91,27 +91,53 @@ def run_closed_bars(ticks: DataFrame, bar: str, path: str, checkpoint: str, dela
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
-def refresh_indicators(bar_path: str, indicator_path: str, columns: list[str], vol_window: int = 20):
+def compact(spark: SparkSession, path: str, target: str, values: list[str]) -> None:
+    """Write the latest versions of a log as a new log with one version per row."""
+    newest = spark.read.parquet(path).agg(F.max("batch")).first()[0]
+    write_versions(latest_versions(spark, path, values), target, newest)
+
+
+def refresh_indicators(
+    indicator_path: str, tail_path: str, columns: list[str], late_bars: int = 48, vol_window: int = 20
+):
     """A per-batch step: recompute the indicators from the first changed bar of each changed series on.
 
-    Bars before it are read as far back as the longest memory of an indicator,
-    and no further: what lies before has no weight in double precision.
+    The step carries the last bars of every series from batch to batch (the
+    tail): as many as an indicator remembers in double precision, and
+    ``late_bars`` more, which must cover the watermark delay. So a batch reads
+    the tail and its own bars, however long the bar log has become.
     """
     reach = max(ema_reach(26) + ema_reach(9), 50, vol_window + 1)
 
     def step(changed: DataFrame, batch_id: int) -> None:
         spark = changed.sparkSession
-        first = changed.groupBy(*KEYS).agg(F.min("open_time").alias("_first"))
-        bars = latest_versions(spark, bar_path, BAR_VALUES).join(first, KEYS)
-        series = indicators.numbered(bars)
-        start = series.where("open_time = _first").select(*KEYS, F.col("pos").alias("_start"))
-        tail = series.join(start, KEYS).where(F.col("pos") >= F.col("_start") - reach)
-        fresh = indicators.all_indicators(tail, vol_window).where("open_time >= _first")
-        write_versions(fresh.select(*KEYS, "open_time", *columns), indicator_path, batch_id)
+        fresh = changed.select(*KEYS, "open_time", *BAR_VALUES).withColumn("_new", F.lit(1))
+        earlier = [b for b in batch_ids(spark, tail_path) if b < batch_id]
+        if earlier:
+            tail = spark.read.parquet(f"{tail_path}/batch={earlier[-1]}").withColumn("_new", F.lit(0))
+            both = fresh.unionByName(tail.select(*fresh.columns))
+            fresh = both.groupBy(*KEYS, "open_time").agg(
+                *[F.max_by(v, "_new").alias(v) for v in BAR_VALUES], F.max("_new").alias("_new")
+            )
+        series = indicators.numbered(fresh)
+        # Staged, so that Spark knows its size: one row per changed series.
+        first = series.where("_new = 1").groupBy(*KEYS).agg(F.min("open_time").alias("_first"), F.min("pos").alias("_start"))
+        touched = series.join(stage(first, "touched"), KEYS).where(F.col("pos") >= F.col("_start") - reach)
+        updated = indicators.all_indicators(touched, vol_window).where("open_time >= _first")
+        write_versions(updated.select(*KEYS, "open_time", *columns), indicator_path, batch_id)
+        kept = series.where(F.col("pos") >= F.col("n") - (reach + late_bars))
+        kept.select(*KEYS, "open_time", *BAR_VALUES).write.mode("overwrite").parquet(f"{tail_path}/batch={batch_id}")
+        for old in earlier[:-1]:  # the one before this batch stays, for running this batch again
+            delete_folder(spark, f"{tail_path}/batch={old}")
 
     return step
 
 
+def batch_ids(spark: SparkSession, path: str) -> list[int]:
+    """Batches of a log that were written whole, oldest first."""
+    return sorted(int(name.removeprefix("batch=")) for name in complete_folders(spark, path) if name.startswith("batch="))
+
+
 def replay(spark: SparkSession, events: DataFrame, files: int = 4) -> str:
     """Write events as several files in mixed order, to stream them one file per batch."""
     path = new_path(spark, "landing")

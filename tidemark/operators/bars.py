@@ -86,8 +86,9 @@ def latest_bars(bars: DataFrame, limits: dict[str, int] | None = None) -> DataFr
 
 
 def bar_direction(df: DataFrame) -> DataFrame:
-    """Whether each bar closed at or above its open."""
-    return df.withColumn("is_up", F.col("close") >= F.col("open"))
+    """Whether each bar closed at or above its open, and whether its MACD histogram is not negative."""
+    out = df.withColumn("is_up", F.col("close") >= F.col("open"))
+    return out.withColumn("hist_up", F.col("macd_hist") >= 0) if "macd_hist" in df.columns else out
 
 
 def ticker_24h(ticks: DataFrame) -> DataFrame:

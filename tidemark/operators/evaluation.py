@@ -20,6 +20,13 @@ def _cells(df: DataFrame, label: str, predicted: str) -> DataFrame:
     )
 
 
+def class_balance(df: DataFrame, label: str) -> DataFrame:
+    """Number of classes and size of the smallest: a split is stratified for two classes of two rows or more."""
+    sizes = df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("cnt"))
+    sums = sizes.agg(F.count(F.lit(1)).alias("classes"), F.min("cnt").alias("smallest"))
+    return sums.select("*", ((F.col("classes") == 2) & (F.col("smallest") >= 2)).alias("stratify"))
+
+
 def _or_zero(value: Column) -> Column:
     return F.coalesce(value, F.lit(0.0))
 

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from tidemark.functions.numbers import ratio
 from tidemark.operators.bars import KEYS
+from tidemark.operators.sales import monthly_total
 
 BAND = 1.96
 
@@ -158,6 +159,15 @@ def holt_forecast(dense: DataFrame, keys: list[str], periods: int = 30, value: s
     return _forecast_rows(levels, keys, periods, F.col("level") + F.col("trend") * F.col("step"))
 
 
+def sales_forecast(lines: DataFrame, periods: int = 30, measure: str = "sales", keys: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Monthly history and Holt forecast of a measure, overall or per key; horizons are in months."""
+    keys = list(keys or [])
+    if not keys:
+        lines, keys = lines.withColumn("series", F.lit("all")), ["series"]
+    dense = dense_months(monthly_total(lines, measure, keys).withColumnRenamed(measure, "y"), keys)
+    return dense, holt_forecast(dense, keys, periods)
+
+
 def forecast_summary(forecast: DataFrame, dense: DataFrame, keys: list[str], value: str = "y", month: str = "month") -> DataFrame:
     """Mean, highest and lowest forecast, and growth of the last one over the last month seen."""
     last = dense.groupBy(*keys).agg(F.max_by(value, month).alias("last_value"))

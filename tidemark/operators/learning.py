@@ -29,9 +29,7 @@ def stratified_split(df: DataFrame, label: str, id_column: str, test_share: floa
     """
     draw = F.xxhash64(F.lit(seed), F.col(id_column)).cast("double")
     drawn = df.withColumn("_draw", draw)
-    sizes = drawn.groupBy(F.col(label).alias("_y")).agg(F.count(F.lit(1)).alias("_n"))
-    facts = sizes.agg(F.count(F.lit(1)).alias("classes"), F.min("_n").alias("least"))
-    stratify = facts.select((F.col("classes") == 2) & (F.col("least") >= 2)).first()[0]
+    stratify = evaluation.class_balance(df, label).first()["stratify"]
     drawn = drawn.withColumn("_stratum", F.col(label).cast("int") if stratify else F.lit(0))
     cuts = quantiles(drawn, ["_stratum"], "_draw", [test_share], ["_cut"])
     marked = drawn.join(F.broadcast(cuts), "_stratum")  # two rows at most

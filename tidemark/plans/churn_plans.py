@@ -8,7 +8,9 @@ from tidemark import constants as C
 from tidemark.functions.bands import risk_level, tenure_band
 from tidemark.operators import evaluation, insights, scoring, segments
 from tidemark.plans.common import CHURN, CHURN_SEGMENTS, r, rounded, with_ctes
+from tidemark.sources import files
 from tidemark.sources.tables import customers
+from tidemark.staging import new_path
 
 
 def _scored(spark, d):
@@ -128,6 +130,26 @@ def report(spark, d):
     return rounded(evaluation.report(_scored(spark, d), "Churn", "Predicted_Churn"))
 
 
+def class_balance(spark, d):
+    return evaluation.class_balance(customers(spark, d), "Churn")
+
+
+def predictions_csv(spark, d):
+    """The filtered predictions written as CSV, one folder per risk band, and read back."""
+    queue = scoring.risk_queue(_scored(spark, d), C.RISK_LEVELS[1:])
+    path = new_path(spark, "predictions-csv")
+    files.write_csv(queue.select(*scoring.display_columns(queue, "Churn")), path, partition_by=["Risk_Level"])
+    back = files.read_csv_text(spark, path)
+    return rounded(
+        back.select(
+            F.col("customerID").cast("bigint").alias("customerID"), F.col("Churn").cast("int").alias("Churn"),
+            F.col("Churn_Probability").cast("double").alias("Churn_Probability"),
+            F.col("Predicted_Churn").cast("int").alias("Predicted_Churn"), "Risk_Level",
+        ),
+        6,
+    )
+
+
 def _short_score(spark, d):
     """Scores rounded to eight decimals, so that equal scores are equal in any engine."""
     return _scored(spark, d).withColumn("Churn_Probability", F.round("Churn_Probability", 8))
@@ -348,6 +370,22 @@ QUERIES = {
               COALESCE(CAST(SUM(CAST(MonthlyCharges AS DECIMAL(18,4))) FILTER (Risk_Level = 'High Risk') AS DOUBLE), 0) AS revenue FROM scored""",
         ),
     ),
+    "class_balance": (
+        class_balance,
+        with_ctes(
+            """SELECT COUNT(*) AS classes, MIN(n) AS smallest, COUNT(*) = 2 AND MIN(n) >= 2 AS stratify
+            FROM (SELECT COUNT(*) AS n FROM customers GROUP BY Churn)""",
+            **CHURN,
+        ),
+    ),
+    "predictions_csv": (
+        predictions_csv,
+        with_ctes(
+            f"""SELECT customerID, Churn, {r('Churn_Probability', 6)} AS Churn_Probability, Predicted_Churn, Risk_Level FROM scored
+            WHERE Risk_Level IN ('Medium Risk', 'High Risk')""",
+            **CHURN,
+        ),
+    ),
     "confusion": (
         confusion,
         with_ctes(

@@ -8,7 +8,9 @@ from tidemark.functions.text import letter_prefix
 from tidemark.operators import cleaning, forecast, sales
 from tidemark.plans.common import SALES, money, quoted, r, rounded, with_ctes
 from tidemark.constants import STATE_CODES
+from tidemark.sources import files
 from tidemark.sources.tables import sales_lines
+from tidemark.staging import new_path
 
 REGIONS = ["AMERICA", "ASIA", "EUROPE"]
 CATEGORIES = ["ECONOMY", "LARGE", "PROMO"]
@@ -243,6 +245,26 @@ def history_plus_forecast(spark, d):
     return rounded(forecast.history_plus_forecast(dense, forecast.moving_average_forecast(dense, ["region"], 30), ["region"]))
 
 
+def stored_sales_kpis(spark, d):
+    """The dashboard filter and figures on the stored sales table, which needs no join."""
+    path = new_path(spark, "sales-table")
+    columns = ["order_id", "order_date", "region", "category", "sales", "profit"]
+    files.write_sales_table(sales_lines(spark, d, *columns), path)
+    chosen = sales.filter_sales(files.read_sales_table(spark, path, (1996, 1999)), START, END, REGIONS, CATEGORIES)
+    return rounded(sales.executive_kpis(chosen))
+
+
+def sales_forecast(spark, d):
+    """Total monthly sales and their forecast for 120 months as one table."""
+    dense, ahead = forecast.sales_forecast(sales_lines(spark, d, "order_date", "sales"), 120)
+    return rounded(forecast.history_plus_forecast(dense, ahead, ["series"]))
+
+
+def sales_forecast_summary(spark, d):
+    dense, ahead = forecast.sales_forecast(sales_lines(spark, d, "order_date", "region", "sales"), 30, keys=["region"])
+    return rounded(forecast.forecast_summary(ahead, dense, ["region"]))
+
+
 def holt_forecast(spark, d):
     """Holt forecasts of every region and category for 30 months."""
     lines = sales_lines(spark, d, "order_date", "region", "category", "sales")
@@ -489,6 +511,12 @@ QUERIES = {
             **_dense_sql(),
         ),
     ),
+    "stored_sales_kpis": (
+        stored_sales_kpis,
+        with_ctes(_KPI_OUT.format(key=""), sales=SALES, k=_KPIS.format(key="", group=f"WHERE {FOCUS}")),
+    ),
+    "sales_forecast": (sales_forecast, None),
+    "sales_forecast_summary": (sales_forecast_summary, None),
     "holt_forecast": (holt_forecast, None),
     "holt_fits": (holt_fits, None),
 }

@@ -88,3 +88,19 @@ def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = Non
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
+
+
+def write_sales_table(lines: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Sales lines as the dashboards read them: joined once, one folder per order year.
+
+    Later queries need no join and read only the years they ask for. Rebalancing
+    keeps files even when one year or month holds most lines.
+    """
+    dated = lines.withColumn("order_year", F.year("order_date"))
+    dated.hint("rebalance", "order_year").write.mode(mode).partitionBy("order_year").parquet(path)
+
+
+def read_sales_table(spark: SparkSession, path: str, years: tuple[int, int] | None = None) -> DataFrame:
+    """The stored sales lines, of the given first to last year only if asked."""
+    lines = spark.read.parquet(path)
+    return lines.where(F.col("order_year").between(*years)) if years else lines

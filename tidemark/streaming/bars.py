@@ -69,13 +69,13 @@ def run_bars(ticks: DataFrame, bar: str, path: str, checkpoint: str, delay: str
     """Start the upsert of bars into the log at ``path``; ``after(rows, batch_id)`` runs per batch."""
 
     def upsert(rows: DataFrame, batch_id: int) -> None:
-        if after is None:
-            write_versions(rows, path, batch_id)
-            return
         rows.persist()
         try:
+            if rows.isEmpty():  # a batch that only moves the watermark
+                return
             write_versions(rows, path, batch_id)
-            after(rows, batch_id)
+            if after is not None:
+                after(rows, batch_id)
         finally:
             rows.unpersist()
 

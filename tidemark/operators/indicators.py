@@ -29,8 +29,13 @@ ROLLING_CHUNK = 4096
 TRADING_DAYS = 252
 
 
-def numbered(bars: DataFrame, keys: list[str] = KEYS) -> DataFrame:
-    """Bars with their 0-based position (``pos``) and the series length (``n``)."""
+def numbered(bars: DataFrame, keys: list[str] = KEYS, columns: list[str] | None = None) -> DataFrame:
+    """Bars with their 0-based position (``pos``) and the series length (``n``).
+
+    The sorted bars are staged; ``columns`` names the values worth keeping.
+    """
+    if columns is not None:
+        bars = bars.select(*keys, "open_time", *columns)
     return positions(bars, keys, [F.col("open_time")])
 
 

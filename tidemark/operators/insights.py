@@ -17,8 +17,9 @@ def latest_state(indicators: DataFrame) -> DataFrame:
     """The last row of each series with the MACD values of the row before it."""
     ends = indicators.where(F.col("pos") >= F.col("n") - 2)
     last, before = F.col("pos") == F.col("n") - 1, F.col("pos") == F.col("n") - 2
+    read = [c for c in [*_STATE, "quote_volume"] if c in indicators.columns]
     return ends.groupBy(*KEYS, "n").agg(
-        *[F.max(F.when(last, F.col(c))).alias(c) for c in [*_STATE, "quote_volume"]],
+        *[F.max(F.when(last, F.col(c))).alias(c) for c in read],
         F.max(F.when(before, F.col("macd"))).alias("prev_macd"),
         F.max(F.when(before, F.col("macd_signal"))).alias("prev_signal"),
     )

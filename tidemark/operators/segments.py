@@ -50,22 +50,39 @@ def contract_segment(df: DataFrame) -> Column:
     return F.lit("Standard Plan")
 
 
-def with_segments(df: DataFrame, id_column: str = "customerID") -> DataFrame:
-    """Add tenure, charge, contract and payment segments, by the columns the table has."""
+SEGMENTS = ["Tenure_Segment", "Charge_Segment", "Contract_Segment", "Payment_Segment"]
+
+
+def with_segments(df: DataFrame, id_column: str = "customerID", only: list[str] | None = None) -> DataFrame:
+    """Add tenure, charge, contract and payment segments, by the columns the table has.
+
+    ``only`` names the segments to add. The charge segment (and the payment
+    segment of a table with overage fees only) ranks the whole table; leave it
+    out where it is not read.
+    """
+    asked = only or SEGMENTS
     tenure = find_column(df.columns, C.TENURE_KEYWORDS)
     charge = find_column(df.columns, C.CHARGE_KEYWORDS)
     payment = find_column(df.columns, C.PAYMENT_KEYWORDS)
-    out = df.withColumn("Tenure_Segment", tenure_band(as_number(df, tenure)) if tenure else F.lit("Unknown"))
-    if charge:
-        out = with_rank_band(out, charge, C.CHARGE_LABELS, id_column, "Charge_Segment")
-    else:
-        out = out.withColumn("Charge_Segment", F.lit("Unknown"))
-    out = out.withColumn("Contract_Segment", contract_segment(df))
-    if payment:
-        return out.withColumn("Payment_Segment", F.coalesce(F.col(payment).cast("string"), F.lit("nan")))
-    if "OverageFee" in df.columns:
-        return with_rank_band(out, "OverageFee", C.OVERAGE_LABELS, id_column, "Payment_Segment")
-    return out.withColumn("Payment_Segment", F.lit("Digital payment"))
+    contract = contract_segment(df)
+    out = df
+    if "Tenure_Segment" in asked:
+        out = out.withColumn("Tenure_Segment", tenure_band(as_number(df, tenure)) if tenure else F.lit("Unknown"))
+    if "Contract_Segment" in asked:
+        out = out.withColumn("Contract_Segment", contract)
+    if "Payment_Segment" in asked:
+        if payment:
+            out = out.withColumn("Payment_Segment", F.coalesce(F.col(payment).cast("string"), F.lit("nan")))
+        elif "OverageFee" in df.columns:
+            out = with_rank_band(out, "OverageFee", C.OVERAGE_LABELS, id_column, "Payment_Segment")
+        else:
+            out = out.withColumn("Payment_Segment", F.lit("Digital payment"))
+    if "Charge_Segment" in asked:
+        if charge:
+            out = with_rank_band(out, charge, C.CHARGE_LABELS, id_column, "Charge_Segment")
+        else:
+            out = out.withColumn("Charge_Segment", F.lit("Unknown"))
+    return out.select(*df.columns, *[s for s in SEGMENTS if s in asked])
 
 
 def mean_risk(segmented: DataFrame, segment: str) -> DataFrame:

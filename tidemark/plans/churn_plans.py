@@ -17,8 +17,12 @@ def _scored(spark, d):
     return scoring.with_scores(customers(spark, d), scoring.churn_score(), "Churn")
 
 
-def _segmented(spark, d):
-    return segments.with_segments(_scored(spark, d))
+def _segmented(spark, d, *only):
+    """Scores with the named segments (all by default); the rank of the charge is staged, so only needed columns go in."""
+    scored = _scored(spark, d)
+    if only:
+        scored = scored.select("customerID", "tenure", "Contract", "PaymentMethod", "MonthlyCharges", "Churn_Probability", "Risk_Level")
+    return segments.with_segments(scored, only=list(only) or None)
 
 
 def churn_logit_score(spark, d):
@@ -53,16 +57,16 @@ def payment_segment(spark, d):
     c = customers(spark, d)
     plain = c.select("customerID", F.col("PaymentMethod").alias("payment_segment"))
     fees = c.select("customerID", F.col("TotalCharges").alias("OverageFee"))
-    bands = segments.with_segments(fees).select("customerID", F.col("Payment_Segment").alias("overage_segment"))
+    bands = segments.with_segments(fees, only=["Payment_Segment"]).select("customerID", F.col("Payment_Segment").alias("overage_segment"))
     return plain.join(bands, "customerID")
 
 
 def charge_quartile(spark, d):
-    return _segmented(spark, d).select("customerID", "MonthlyCharges", "Charge_Segment")
+    return _segmented(spark, d, "Charge_Segment").select("customerID", "MonthlyCharges", "Charge_Segment")
 
 
 def enrich_segments(spark, d):
-    return _segmented(spark, d).select("customerID", "Tenure_Segment", "Charge_Segment", "Contract_Segment", "Payment_Segment")
+    return _segmented(spark, d, *segments.SEGMENTS).select("customerID", *segments.SEGMENTS)
 
 
 def risk_queue(spark, d):
@@ -90,7 +94,7 @@ def revenue_at_risk(spark, d):
 
 def _risk_by(segment: str):
     def run(spark, d):
-        return rounded(segments.mean_risk(_segmented(spark, d), segment))
+        return rounded(segments.mean_risk(_segmented(spark, d, segment), segment))
 
     return run, with_ctes(
         f"SELECT segment, {r('m')} AS mean_probability, {r('m / SUM(m) OVER ()')} AS share FROM (SELECT {segment} AS segment, AVG(Churn_Probability) AS m FROM seg GROUP BY 1)",
@@ -99,11 +103,11 @@ def _risk_by(segment: str):
 
 
 def contract_risk_mix(spark, d):
-    return segments.contract_risk_mix(_segmented(spark, d))
+    return segments.contract_risk_mix(_segmented(spark, d, "Contract_Segment"))
 
 
 def tenure_charge_pivot(spark, d):
-    return rounded(segments.tenure_charge_pivot(_segmented(spark, d)))
+    return rounded(segments.tenure_charge_pivot(_segmented(spark, d, "Tenure_Segment", "Charge_Segment")))
 
 
 def charge_quartiles_by_risk(spark, d):
@@ -111,7 +115,7 @@ def charge_quartiles_by_risk(spark, d):
 
 
 def business_insights(spark, d):
-    return insights.business_insights(_segmented(spark, d))
+    return insights.business_insights(_segmented(spark, d, "Tenure_Segment", "Contract_Segment", "Payment_Segment"))
 
 
 def exec_summary(spark, d):

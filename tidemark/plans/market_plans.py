@@ -20,13 +20,13 @@ def _bars(spark, d, bar="1h"):
     return bars.resample(ticks(spark, d), bar)
 
 
-def _series(spark, d):
-    """Hourly bars of every symbol, numbered (and so staged once for all readers)."""
-    return indicators.numbered(_bars(spark, d))
+def _series(spark, d, *columns):
+    """Hourly closes of every symbol (and other named values), numbered and so staged once for all readers."""
+    return indicators.numbered(_bars(spark, d), columns=["close", *columns])
 
 
-def _all(spark, d):
-    return indicators.all_indicators(_series(spark, d))
+def _all(spark, d, *columns):
+    return indicators.all_indicators(_series(spark, d, *columns))
 
 
 def ohlcv_resample(spark, d):
@@ -158,7 +158,7 @@ def market_insights(spark, d):
 
 
 def market_kpis(spark, d):
-    return rounded(insights.market_kpis(_all(spark, d), _ticker(spark, d)))
+    return rounded(insights.market_kpis(_all(spark, d, "quote_volume"), _ticker(spark, d)))
 
 
 def volume_label(spark, d):

@@ -82,16 +82,44 @@ def test_running_sums_match_cumsum(spark, many_ranges):
     assert (merged["w_before"] == merged["before"]).all() and (merged["w_total"] == merged["all"]).all()
 
 
-def test_quantiles_match_pandas(spark, many_ranges):
+@pytest.mark.parametrize("direct_rows", [0, 10**9])
+def test_quantiles_match_pandas(spark, many_ranges, direct_rows):
     rng = np.random.default_rng(7)
     pdf = pd.DataFrame({"k": rng.choice(["x", "y", "z"], 701, p=[0.8, 0.15, 0.05]), "v": rng.integers(0, 50, 701) / 3})
     probabilities = [0, 0.1, 0.25, 0.5, 0.77, 1]
     names = [f"q{i}" for i in range(len(probabilities))]
-    got = ordered.quantiles(spark.createDataFrame(pdf), ["k"], "v", probabilities, names).toPandas().set_index("k").sort_index()
+    df = spark.createDataFrame(pdf)
+    got = ordered.quantiles(df, ["k"], "v", probabilities, names, direct_rows).toPandas().set_index("k").sort_index()
+    whole = ordered.quantiles(df, [], "v", probabilities, names, direct_rows).toPandas()
+    np.testing.assert_allclose(whole[names].to_numpy()[0], pdf["v"].quantile(probabilities).to_numpy(), rtol=1e-12)
     want = pdf.groupby("k")["v"].quantile(probabilities).unstack()
     np.testing.assert_allclose(got[names].to_numpy(), want.to_numpy(), rtol=1e-12)
 
 
+def test_brackets_hold_little_and_misses_fall_back(spark, many_ranges, monkeypatch):
+    rng = np.random.default_rng(9)
+    pdf = pd.DataFrame({"k": rng.choice(["x", "y"], 120_000, p=[0.7, 0.3]), "v": rng.lognormal(0, 2, 120_000)})
+    df = spark.createDataFrame(pdf).repartition(8)
+    names, probabilities = ["a", "b", "c"], [0.25, 0.5, 0.999]
+    want = pdf.groupby("k")["v"].quantile(probabilities).unstack().to_numpy()
+
+    ranked_rows = []
+    whole_rank = ordered._rank
+    monkeypatch.setattr(ordered, "_rank", lambda counts, *a: (ranked_rows.append(counts.count()), whole_rank(counts, *a))[1])
+
+    def run():
+        ranked_rows.clear()
+        out = ordered.quantiles(df, ["k"], "v", probabilities, names, direct_rows=0).toPandas().set_index("k").sort_index()
+        np.testing.assert_allclose(out[names].to_numpy(), want, rtol=1e-12)
+
+    run()
+    assert len(ranked_rows) == 1 and ranked_rows[0] < 1500
+    # A bracket that misses its rank: the sketch is asked for the wrong places.
+    monkeypatch.setattr(ordered.F, "approx_percentile", lambda v, points, accuracy: ordered.F.array(*[ordered.F.max(v)] * len(points)))
+    run()
+    assert len(ranked_rows) == 2 and ranked_rows[1] > 100_000
+
+
 @pytest.mark.parametrize("span", [2, 9, 20, 26])
 @pytest.mark.parametrize("chunk", [64, 150])
 def test_ema_matches_pandas_for_any_chunk(spark, pdf, span, chunk, many_ranges):

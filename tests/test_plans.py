@@ -58,3 +58,35 @@ def test_totals_reuse_the_shuffle_of_the_counts(spark, small):
     df = QUERIES["ship_mode_share"](spark, small)
     df.collect()
     assert "ReusedExchange" in plan(df)
+
+
+def test_a_hot_order_is_split_in_the_join(spark, small, tmp_path):
+    """A third of the lines in one order: adaptive execution splits that join partition, and sums stay whole."""
+    from pyspark.sql import functions as F
+
+    from tidemark.operators import sales
+    from tidemark.sources.tables import sales_lines
+
+    folder = str(tmp_path)
+    for name in ("orders", "customer", "nation", "region", "part"):
+        spark.read.parquet(f"{small}/{name}.parquet").write.parquet(f"{folder}/{name}.parquet")
+    lines = spark.read.parquet(f"{small}/lineitem.parquet")
+    hot = F.when(F.pmod(F.xxhash64("l_partkey", "l_shipdate"), F.lit(3)) == 0, 3).otherwise(F.col("l_orderkey"))
+    lines.withColumn("l_orderkey", hot.cast("long")).repartition(8).write.parquet(f"{folder}/lineitem.parquet")
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+    }
+    old = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        rollup = sales.customer_rollup(sales_lines(spark, folder, "customer_id", "order_id", "sales"))
+        total = sum(r["revenue"] for r in rollup.collect())
+        assert "skew=true" in plan(rollup)
+        assert abs(total - lines.agg(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount")))).first()[0]) < 0.01
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)

@@ -1,5 +1,5 @@
 """Tidemark: sales, market and churn analytics as Spark DataFrame jobs."""
 
-from tidemark.session import get_session
+from tidemark.session import apply_settings, get_session
 
-__all__ = ["get_session"]
+__all__ = ["apply_settings", "get_session"]

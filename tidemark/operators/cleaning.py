@@ -8,6 +8,8 @@ from pyspark.sql import types as T
 
 from tidemark import constants as C
 from tidemark.functions.numbers import as_column, no_nan, to_double
+from tidemark.operators.ordered import positions
+from tidemark.staging import stage
 
 MONTH_FIRST = ["yyyy-MM-dd", "MM/dd/yyyy", "M/d/yyyy"]
 DAY_FIRST = ["yyyy-MM-dd", "dd/MM/yyyy", "d/M/yyyy"]
@@ -180,14 +182,14 @@ def normalize_target(df: DataFrame, column: str, row_key: str, out: str = "targe
     classes = classes.select(
         "_plain", "_seen", F.when(F.col("_plain").isin(C.POSITIVE_WORDS), 1).otherwise(0).alias("_word")
     )
+    classes = stage(classes, "classes")  # read three times below; the table itself only once
     facts = classes.agg(F.count(F.lit(1)).alias("n"), F.sum("_word").alias("words"))
     by_word = facts.select((F.col("n") == 2) & (F.col("words") == 1)).scalar()
     # Numbering by first appearance; positions() keeps this whole for any number of classes.
-    from tidemark.operators.ordered import positions
-
     numbered = positions(classes, [], [F.col("_seen")], pos="_code", total="_n")
     codes = numbered.select("_plain", F.when(by_word, F.col("_word")).otherwise(F.col("_code")).cast("int").alias(out))
-    return marked.join(codes, "_plain").drop("_plain")
+    # Staged, so that Spark knows its size: few classes are broadcast, and the table is not shuffled by class.
+    return marked.join(stage(codes, "codes"), "_plain").drop("_plain")
 
 
 def validate_dataset(df: DataFrame, target: str, row_key: str | None = None) -> DataFrame:

@@ -24,6 +24,7 @@ from tidemark.operators.ordered import (
     previous_value_row,
     without_halo,
 )
+from tidemark.staging import stage
 
 ROLLING_CHUNK = 4096
 TRADING_DAYS = 252
@@ -162,9 +163,13 @@ def returns(series: DataFrame, value: str = "close", keys: list[str] = KEYS) ->
 
 
 def normalized_returns(series: DataFrame) -> DataFrame:
-    """Percent change of each close since the first bar of its series."""
+    """Percent change of each close since the first bar of its series.
+
+    One row per series holds the first closes; staged, it is broadcast if it is
+    small, and the bars are not shuffled by series.
+    """
     first = series.where("pos = 0").select(*KEYS, F.col("close").alias("first_close"))
-    joined = series.join(first, KEYS)
+    joined = series.join(stage(first, "first"), KEYS)
     change = (F.try_divide("close", "first_close") - 1) * 100
     return joined.withColumn("normalized_return", change).drop("first_close")
 

@@ -7,19 +7,33 @@ import os
 from pyspark.sql import SparkSession
 
 
+# Settings of a running session that the operators rely on. Without the last
+# one Spark leaves a skewed join whole where splitting it costs one more shuffle.
+RUNTIME_SETTINGS = {
+    "spark.sql.session.timeZone": "UTC",
+    "spark.sql.ansi.enabled": "true",
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+}
+
+
+def apply_settings(spark: SparkSession) -> SparkSession:
+    """Put the settings on a session that was built elsewhere."""
+    for name, value in RUNTIME_SETTINGS.items():
+        spark.conf.set(name, value)
+    return spark
+
+
 def get_session(app_name: str = "tidemark", master: str | None = None, **conf) -> SparkSession:
     """Build (or fetch) a session with ANSI on, UTC time and adaptive execution.
 
     On a cluster pass no master: it comes from spark-submit, like memory and
     the number of shuffle partitions.
     """
-    builder = (
-        SparkSession.builder.appName(app_name)
-        .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.ansi.enabled", "true")
-        .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.adaptive.skewJoin.enabled", "true")
-    )
+    builder = SparkSession.builder.appName(app_name)
+    for name, value in RUNTIME_SETTINGS.items():
+        builder = builder.config(name, value)
     if master:
         builder = builder.master(master)
         if master.startswith("local"):

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import OneHotEncoder, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,6 +15,7 @@ from tidemark.operators import evaluation
 from tidemark.operators.cleaning import feature_columns
 from tidemark.operators.ordered import quantiles
 from tidemark.operators.scoring import with_scores
+from tidemark.staging import stage
 
 SEED = 42
 
@@ -192,7 +193,8 @@ class ChurnModel:
 
     def metrics(self) -> DataFrame:
         """Hold-out metrics with the size of both parts."""
-        test = self.test_scores()
+        test = self.test_scores().select(self.target, "Churn_Probability", "Predicted_Churn")
+        test = stage(test, "test-scores")  # the trees are walked once for all metrics
         base = evaluation.classification_metrics(test, self.target, "Predicted_Churn")
         auc = evaluation.roc_auc(test, self.target, "Churn_Probability").select("roc_auc").scalar()
         sizes = self.data.agg(
@@ -216,7 +218,8 @@ def train_churn_model(
 
     ``balance`` weighs the classes equally in the forest; boosted trees are unweighted.
     """
-    data = stratified_split(df, target, id_column, test_share)
+    # Staged: training, scoring and evaluation read the same rows, and the source only once.
+    data = stage(stratified_split(df, target, id_column, test_share), "training")
     train = data.where("split = 'train'")
     prep = prepare(train, feature_columns(df, target))
     ready = featurize(train, prep).select("features", F.col(target).cast("double").alias(target))

@@ -6,7 +6,7 @@ from functools import lru_cache
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import attribution, insights, learning, synthetic
+from tidemark.operators import attribution, evaluation, insights, learning, synthetic
 from tidemark.plans.common import rounded
 from tidemark.sources.tables import customers, table
 
@@ -56,8 +56,6 @@ def driver_text(spark, d):
 
 
 def model_report(spark, d):
-    from tidemark.operators import evaluation
-
     return rounded(evaluation.report(trained(spark, d, "forest").test_scores(), "Churn", "Predicted_Churn"))
 
 

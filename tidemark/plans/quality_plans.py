@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark import constants as C
-from tidemark.functions.numbers import to_double
 from tidemark.operators import cleaning, learning, quality
 from tidemark.plans.common import CUSTOMERS, quoted, r, rounded, with_ctes
 from tidemark.sources.tables import dirty_customers, table
@@ -152,7 +151,6 @@ _LINE_COLUMNS = [
     "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
     "l_returnflag", "l_linestatus", "l_shipdate",
 ]
-_LOW = "CAST(arg_max(c, o) AS VARCHAR)"
 
 QUERIES = {
     "churn_clean": (

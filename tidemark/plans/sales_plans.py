@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import letter_prefix
-from tidemark.operators import cleaning, forecast, sales
+from tidemark.operators import cleaning, forecast, quality, sales
 from tidemark.plans.common import SALES, money, quoted, r, rounded, with_ctes
 from tidemark.constants import STATE_CODES
 from tidemark.sources import files
@@ -215,9 +215,7 @@ def preview_head(spark, d):
 
 
 def preview_sample(spark, d):
-    from tidemark.operators.quality import random_rows
-
-    return random_rows(sales_lines(spark, d, "order_id", "order_date", "region", "category", "sales"), 500)
+    return quality.random_rows(sales_lines(spark, d, "order_id", "order_date", "region", "category", "sales"), 500)
 
 
 def _monthly(spark, d, key="region"):

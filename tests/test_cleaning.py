@@ -126,3 +126,11 @@ def test_random_rows_have_exact_size(spark):
     df = spark.range(1000)
     assert quality.random_rows(df, 500).distinct().count() == 500
     assert quality.random_rows(df.limit(20), 500).count() == 20
+
+
+def test_nan_counts_as_missing(spark):
+    nan = float("nan")
+    df = spark.createDataFrame([(1.0, 5), (nan, 6), (nan, 7), (1.0, 8)], "v double, w int")
+    assert [tuple(r) for r in quality.missing_percent(df).collect()] == [("v", 50.0)]
+    assert cleaning.feature_columns(df, "none") == ["w"]
+    assert quality.describe(df).where("column_name = 'v'").first()["count"] == 2

@@ -49,3 +49,30 @@ def test_folders_are_deleted_on_request(spark):
     with pytest.raises(Exception):
         spark.read.parquet(path)
     assert callable(drop_staged) and stage(spark.range(2)).count() == 2
+
+
+def test_from_csv_files_to_pages(spark, tmp_path):
+    """The whole way from text files: a sales table, and a customer table without ids and with a yes/no target."""
+    from tidemark.operators import cleaning
+    from tidemark.sources import files
+
+    sales_csv = tmp_path / "sales.csv"
+    sales_csv.write_text(
+        "Row ID,Order ID,Order Date,Ship Date,Ship Mode,Customer ID,Customer Name,Segment,State,Region,Category,Sub-Category,Product Name,Sales\n"
+        "1,CA-1,08/11/2017,11/11/2017,Second Class,C1,Ann,Consumer,Texas,South,Paper,Books,Pad,10.5\n"
+        "2,CA-2,09/12/2018,12/12/2018,First Class,C1,Ann,Consumer,Ohio,East,Paper,Books,Pen,20\n"
+    )
+    lines = files.load_sales(spark, str(sales_csv), ["dd/MM/yyyy"])
+    page = pages.sales_overview(lines)
+    assert tuple(page["kpis"].first())[:2] == (30.5, 2) and page["growth"].first()["year"] == 2018
+    assert {r["state_code"] for r in pages.sales_places(lines)["states"].collect()} == {"TX", "OH"}
+
+    demo = synthetic.demo_customers(spark, 300).drop("customerID")
+    named = demo.withColumn("Churn", F.when(F.col("Churn") == 1, "Yes").otherwise("No")).withColumnRenamed("tenure", "Tenure Months")
+    files.write_csv(named, str(tmp_path / "customers"))
+    table = files.read_customers_csv(spark, str(tmp_path / "customers"))
+    target = cleaning.infer_target_column(table)
+    assert target == "Churn" and cleaning.validate_dataset(table, target).count() == 0
+    model = learning.train_churn_model(table, target, choice="forest", trees=4)
+    assert "row_id" not in model.prep.names and {"Tenure_Months", "Contract_One year"} <= set(model.prep.names)
+    assert pages.churn_page(model)["kpis"].first()["customers"] == 300

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # What counts as a number in text. Spark alone would also take '1d' or '1f'.
 NUMBER_TEXT = r"^[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|[iI][nN][fF]([iI][nN][iI][tT][yY])?)$"
@@ -19,6 +20,13 @@ def no_nan(value: Column | str) -> Column:
     return F.when(~F.isnan(value), value)
 
 
+def present(df: DataFrame, column: str) -> Column:
+    """A column of ``df`` with NaN as NULL, whatever its type."""
+    if isinstance(df.schema[column].dataType, (T.DoubleType, T.FloatType)):
+        return no_nan(F.col(f"`{column}`"))
+    return F.col(f"`{column}`")
+
+
 def to_double(text: Column | str) -> Column:
     """Text to double; anything that is not a number becomes NULL."""
     trimmed = F.trim(as_column(text))

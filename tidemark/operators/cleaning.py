@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark import constants as C
-from tidemark.functions.numbers import as_column, no_nan, to_double
+from tidemark.functions.numbers import as_column, no_nan, present, to_double
 from tidemark.operators.ordered import positions
 from tidemark.staging import stage
 
@@ -115,7 +115,9 @@ def two_value_flags(df: DataFrame, columns: list[str] | None = None) -> DataFram
     between, in place of a distinct count that would shuffle every value.
     """
     columns = columns or df.columns
-    bounds = df.agg(*[f(c).alias(f"{side}_{i}") for i, c in enumerate(columns) for side, f in (("lo", F.min), ("hi", F.max))]).first()
+    df = df.select(*[present(df, c).alias(c) for c in columns])
+    ends = [f(c).alias(f"{side}_{i}") for i, c in enumerate(columns) for side, f in (("lo", F.min), ("hi", F.max))]
+    bounds = df.agg(*ends).first()
     between = []
     for i, c in enumerate(columns):
         low, high = bounds[f"lo_{i}"], bounds[f"hi_{i}"]
@@ -153,7 +155,9 @@ def detect_features(df: DataFrame, target: str) -> DataFrame:
     if not candidates:
         return df.sparkSession.createDataFrame([], "ordinal int, column_name string")
     # The lowest and highest value differ exactly if there are two values or more.
-    varies = df.agg(*[F.coalesce(F.min(c) < F.max(c), F.lit(False)).alias(c) for c in candidates])
+    varies = df.agg(
+        *[F.coalesce(F.min(present(df, c)) < F.max(present(df, c)), F.lit(False)).alias(c) for c in candidates]
+    )
     order = F.create_map(*[x for i, c in enumerate(df.columns) for x in (F.lit(c), F.lit(i))])
     long = varies.unpivot([], candidates, "column_name", "varies").where("varies")
     return long.select(order[F.col("column_name")].alias("ordinal"), "column_name")

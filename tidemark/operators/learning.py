@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.operators import evaluation
-from tidemark.operators.cleaning import feature_columns
+from tidemark.operators.cleaning import feature_columns, normalize_target
 from tidemark.operators.ordered import quantiles
 from tidemark.operators.scoring import with_scores
 from tidemark.staging import stage
@@ -211,17 +211,24 @@ class ChurnModel:
 
 
 def train_churn_model(
-    df: DataFrame, target: str, id_column: str, choice: str = "boosted", test_share: float = 0.25,
+    df: DataFrame, target: str, id_column: str | None = None, choice: str = "boosted", test_share: float = 0.25,
     balance: bool = True, trees: int | None = None,
 ) -> ChurnModel:
-    """Split, learn the preparation on the training rows, and fit.
+    """Number the target's classes, split, learn the preparation on the training rows, and fit.
 
-    ``balance`` weighs the classes equally in the forest; boosted trees are unweighted.
+    A table without an id column gets a staged ``row_id``. ``balance`` weighs
+    the classes equally in the forest; boosted trees are unweighted.
     """
+    if id_column is None:
+        id_column = "row_id"
+        df = stage(df.withColumn(id_column, F.monotonically_increasing_id()), "rows")
+    df = normalize_target(df, target, id_column, "_target")
+    df = df.select(*[F.col("_target").alias(c) if c == target else F.col(c) for c in df.columns if c != "_target"])
+    features = [c for c in feature_columns(df, target) if c != id_column]
     # Staged: training, scoring and evaluation read the same rows, and the source only once.
     data = stage(stratified_split(df, target, id_column, test_share), "training")
     train = data.where("split = 'train'")
-    prep = prepare(train, feature_columns(df, target))
+    prep = prepare(train, features)
     ready = featurize(train, prep).select("features", F.col(target).cast("double").alias(target))
     weight = None
     if choice == "forest" and balance:

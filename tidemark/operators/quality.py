@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.functions.numbers import present
 from tidemark.operators.ordered import quantiles
 
 
@@ -15,7 +16,7 @@ def _numeric(df: DataFrame) -> list[str]:
 
 def missing_percent(df: DataFrame) -> DataFrame:
     """Percent of missing cells per column, columns without any left out, worst first."""
-    shares = df.agg(*[F.avg(F.col(c).isNull().cast("int")).alias(c) for c in df.columns])
+    shares = df.agg(*[F.avg(present(df, c).isNull().cast("int")).alias(c) for c in df.columns])
     long = shares.unpivot([], df.columns, "column_name", "share").where("share > 0")
     out = long.select("column_name", F.round(F.col("share") * 100, 2).alias("missing_pct"))
     return out.orderBy(F.desc("missing_pct"), "column_name")
@@ -40,7 +41,7 @@ def profile_counts(df: DataFrame) -> DataFrame:
 
 def column_info(df: DataFrame) -> DataFrame:
     """Non-null count and type of every column."""
-    counts = df.agg(*[F.count(c).alias(c) for c in df.columns])
+    counts = df.agg(*[F.count(present(df, c)).alias(c) for c in df.columns])
     kinds = F.create_map(*[F.lit(x) for f in df.schema.fields for x in (f.name, f.dataType.simpleString())])
     long = counts.unpivot([], df.columns, "column_name", "non_null")
     return long.select("column_name", "non_null", kinds[F.col("column_name")].alias("data_type"))
@@ -52,7 +53,7 @@ def describe(df: DataFrame, columns: list[str] | None = None, approximate: bool
     Quartiles are exact; ``approximate`` takes them from a sketch in the same pass.
     """
     columns = columns or _numeric(df)
-    long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], columns, "column_name", "value")
+    long = df.select(*[present(df, c).cast("double").alias(c) for c in columns]).unpivot([], columns, "column_name", "value")
     figures = [
         F.count("value").alias("count"),
         F.avg("value").alias("mean"),

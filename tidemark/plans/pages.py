@@ -1,4 +1,8 @@
-"""All tables of one report page by name. Each is lazy: only what is read is computed."""
+"""All tables of one report page by name.
+
+Sorted bars, ranks and model scores are staged when a page is made; the rest
+is lazy, so only what is read is computed.
+"""
 
 from __future__ import annotations
 

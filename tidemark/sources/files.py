@@ -20,6 +20,16 @@ def read_sales_csv(spark: SparkSession, path: str, date_formats: list[str] | Non
     return clean_sales(trim_headers(read_csv_text(spark, path)), date_formats=date_formats, with_year=with_year)
 
 
+def standard_names(df: DataFrame) -> DataFrame:
+    """Column names as the sales operators expect them: 'Sub-Category' becomes sub_category."""
+    return df.toDF(*[c.strip().lower().replace(" ", "_").replace("-", "_") for c in df.columns])
+
+
+def load_sales(spark: SparkSession, path: str, date_formats: list[str] | None = None) -> DataFrame:
+    """A sales CSV, cleaned and ready for the sales operators."""
+    return standard_names(read_sales_csv(spark, path, date_formats))
+
+
 def read_customers_csv(spark: SparkSession, path: str) -> DataFrame:
     return clean_customers(read_csv_text(spark, path))
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.llm import exact_dedup
+from tidemark.llm import decontaminate, exact_dedup, ngram_join, packing
 
-MODULES = [exact_dedup]
+MODULES = [ngram_join, decontaminate, exact_dedup, packing]
 
 
 def all_queries() -> dict:

@@ -234,15 +234,19 @@ def contamination(
 def remove_spans(docs: DataFrame, report: DataFrame) -> DataFrame:
     """``docs`` with the hit words of ``report`` cut from the texts, up to the next word; all columns stay.
 
-    Rows are matched by doc_id and text. ``n_chars``, if there is one, is counted anew.
+    Rows are matched by doc_id and text. A row that had hits and has no other
+    word is dropped. ``n_chars``, if there is one, is counted anew.
     """
     columns = docs.columns
     cuts = stage(
-        report.filter("n_hit > 0").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("spans").alias("_spans"))
+        report.filter("n_hit > 0").select(
+            F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("spans").alias("_spans"),
+            (F.col("n_hit") == F.col("n_words")).alias("_all"),
+        )
         .dropDuplicates(["_id", "_key"]), "cuts",
     )
     same = [F.col("_id").eqNullSafe(F.col("doc_id").cast("long")), F.col("_key") == F.xxhash64("text")]
-    joined = docs.join(cuts, same, "left").drop("_id", "_key")
+    joined = docs.join(cuts, same, "left").filter("_all IS NULL OR NOT _all")
 
     @F.pandas_udf("string")
     def cut(text, spans):

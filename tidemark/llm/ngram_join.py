@@ -299,6 +299,16 @@ def _near_links(docs: DataFrame, sets: DataFrame, boundary: int, words: int, per
     return first.unionByName(second)
 
 
+def keep_first(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """``docs`` with the row of the smallest doc_id of each component; all columns stay.
+
+    Rows without doc_id stay, and so do all rows that repeat a kept doc_id.
+    """
+    found = similar_sets(docs, words, percent).filter("doc_id <> component_id")
+    dropped = stage(found.select(F.col("doc_id").alias("_id")).distinct(), "near-copies")
+    return docs.join(dropped, F.col("doc_id").cast("long") == F.col("_id"), "left_anti")
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, linked by five-word shingles."""
     return similar_sets(spark.read.parquet(f"{sf_dir}/documents.parquet"))

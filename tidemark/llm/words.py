@@ -103,7 +103,15 @@ def hash_words(column: pa.Array, table: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 def hash_spans(folded: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Hash of each span of bytes; spans are in order and do not overlap."""
-    out = np.empty(len(starts), np.uint64)
+    return hash_prefixes(folded, starts, ends, ())[0]
+
+
+def hash_prefixes(folded: np.ndarray, starts: np.ndarray, ends: np.ndarray, sizes: tuple[int, ...]) -> np.ndarray:
+    """Hashes of each span, and below them of its first characters for each of ``sizes``; spans as above."""
+    letters = np.append(np.flatnonzero((folded & 0xC0) != 0x80), len(folded)) if sizes else starts
+    first = np.searchsorted(letters, starts) if sizes else starts
+    cuts = [ends, *[np.minimum(ends, letters[np.minimum(first + size, len(letters) - 1)]) for size in sizes]]
+    out = np.empty((len(cuts), len(starts)), np.uint64)
     i = 0
     while i < len(starts):
         j = max(i + 1, int(np.searchsorted(ends, starts[i] + _RUN, "right")))
@@ -111,10 +119,12 @@ def hash_spans(folded: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
         up, down = _tables(high - low)
         total = np.zeros(high - low + 1, np.uint64)
         np.cumsum(_BYTE[folded[low:high]] * up, out=total[1:])
-        first, after = starts[i:j] - low, ends[i:j] - low
-        out[i:j] = (total[after] - total[first]) * down[first]
+        first = starts[i:j] - low
+        for k, cut in enumerate(cuts):
+            out[k, i:j] = (total[cut[i:j] - low] - total[first]) * down[first]
         i = j
-    out += (ends - starts).astype(np.uint64) * _STEP
+    for k, cut in enumerate(cuts):
+        out[k] += (cut - starts).astype(np.uint64) * _STEP
     return mix(out)
 
 

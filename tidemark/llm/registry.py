@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.llm import decontaminate, exact_dedup, ngram_join, packing, toxicity
+from tidemark.llm import decontaminate, exact_dedup, ngram_join, packing, toxicity, url_filter
 
-MODULES = [toxicity, ngram_join, decontaminate, exact_dedup, packing]
+MODULES = [toxicity, ngram_join, url_filter, decontaminate, exact_dedup, packing]
 
 
 def all_queries() -> dict:

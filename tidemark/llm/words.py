@@ -128,6 +128,11 @@ def hash_prefixes(folded: np.ndarray, starts: np.ndarray, ends: np.ndarray, size
     return mix(out)
 
 
+def byte_values(data: np.ndarray) -> np.ndarray:
+    """A fixed random 64-bit value per byte."""
+    return _BYTE[data]
+
+
 def windows(hashes: np.ndarray, size: int) -> np.ndarray:
     """Hash of each run of ``size`` values of a flat array, in order."""
     count = len(hashes) - size + 1

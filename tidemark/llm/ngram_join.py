@@ -49,8 +49,8 @@ STRETCH_WORDS = 4_000_000
 
 # A list's key: bit 62 for subsets, bit 61 for common n-grams, 56 bits of hash,
 # and five bits for the part of a common n-gram's list.
-_PART_BITS = 5
-_COMMON_BIT, _SUBSET_BIT = 1 << 61, 1 << 62
+PART_BITS = 5
+COMMON_BIT, _SUBSET_BIT = 1 << 61, 1 << 62
 
 
 def _need(percent: int, size: int) -> int:
@@ -58,7 +58,7 @@ def _need(percent: int, size: int) -> int:
     return -(-percent * size // 100)
 
 
-def _slot(hashes: np.ndarray) -> np.ndarray:
+def slot_of(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
 
 
@@ -76,7 +76,7 @@ def _statistics(docs: DataFrame, words: int) -> tuple[np.ndarray, dict[int, tupl
     def flush(sets: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         flat = np.concatenate(sets)
         found, counts = np.unique(flat, return_counts=True)
-        slots = _slot(found[counts >= COMMON])
+        slots = slot_of(found[counts >= COMMON])
         yield batches({"kind": pa.array(np.zeros(len(slots), np.int32)), "key": pa.array(slots), "n": pa.array(np.ones(len(slots), np.int64)), "m": pa.array(np.ones(len(slots), np.int64))})
         small = [s for s in sets if 0 < len(s) <= SMALL_SIZES]
         if small:
@@ -110,6 +110,11 @@ def _statistics(docs: DataFrame, words: int) -> tuple[np.ndarray, dict[int, tupl
     return np.packbits(marks), sizes
 
 
+def common_ngrams(docs: DataFrame, words: int = WORDS) -> np.ndarray:
+    """Packed bits: the slots of common n-grams."""
+    return _statistics(docs, words)[0]
+
+
 def small_boundary(sizes: dict[int, tuple[int, int]], percent: int = PERCENT) -> int:
     """Sets below the returned size enumerate subsets; the others scan lists.
 
@@ -148,8 +153,8 @@ def _heads(docs: DataFrame, marks: np.ndarray, words: int, percent: int) -> Data
                 for own in sets:
                     marks_a.append(np.add.reduce(mix(own ^ np.uint64(0x5851F42D4C957F2D))).view(np.int64))
                     marks_b.append(np.add.reduce(mix(own * np.uint64(0x2545F4914F6CDD1D) + np.uint64(1))).view(np.int64))
-                    place = own >> np.uint64(3 + _PART_BITS) << np.uint64(_PART_BITS)
-                    place[common[_slot(own)]] |= np.uint64(_COMMON_BIT)
+                    place = own >> np.uint64(3 + PART_BITS) << np.uint64(PART_BITS)
+                    place[common[slot_of(own)]] |= np.uint64(COMMON_BIT)
                     size = len(own)
                     head = size - _need(percent, size) + 2 if size else 0
                     heads.append(np.sort(np.partition(place, head - 1)[:head]) if 0 < head < size else np.sort(place))
@@ -174,7 +179,7 @@ def _entries(sets: DataFrame, boundary: int, percent: int) -> DataFrame:
                     head, before = unpacked(raw), len(keys)
                     if size >= near:
                         single = head[: size - _need(percent, size) + 1].copy()
-                        single[single >= _COMMON_BIT] |= np.uint64(hash(name) * 0x9E3779B1 >> 7 & (1 << _PART_BITS) - 1)
+                        single[single >= COMMON_BIT] |= np.uint64(hash(name) * 0x9E3779B1 >> 7 & (1 << PART_BITS) - 1)
                         keys.append(single)
                     if size < boundary and len(head) > 1:
                         pair = np.array(list(combinations(range(len(head)), 2)))
@@ -261,8 +266,8 @@ def similar_sets(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
 def _near_links(docs: DataFrame, sets: DataFrame, boundary: int, words: int, percent: int) -> DataFrame:
     """Links (a, b) between different sets that connect all that links connect."""
     sizes = _sizes(sets, percent)
-    common = F.col("key").bitwiseAND(_COMMON_BIT | _SUBSET_BIT) == _COMMON_BIT
-    whole = F.when(common, F.shiftleft(F.shiftright("key", _PART_BITS), _PART_BITS)).otherwise(F.col("key"))
+    common = F.col("key").bitwiseAND(COMMON_BIT | _SUBSET_BIT) == COMMON_BIT
+    whole = F.when(common, F.shiftleft(F.shiftright("key", PART_BITS), PART_BITS)).otherwise(F.col("key"))
     in_list = Window.partitionBy("key").orderBy("id")
     entries = _entries(sets, boundary, percent).select(
         "key", "id", F.first("id").over(in_list).alias("hub"), F.lead("id").over(in_list).alias("next")

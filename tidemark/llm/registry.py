@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.llm import decontaminate, exact_dedup, ngram_join, packing, preference, surrogates, toxicity, url_filter
+from tidemark.llm import decontaminate, exact_dedup, line_dedup, ngram_join, packing, preference, substring_dedup, surrogates, toxicity, url_filter
 
-MODULES = [toxicity, ngram_join, surrogates, preference, url_filter, decontaminate, exact_dedup, packing]
+MODULES = [substring_dedup, toxicity, ngram_join, surrogates, line_dedup, preference, url_filter, decontaminate, exact_dedup, packing]
 
 
 def all_queries() -> dict:

@@ -1,4 +1,4 @@
-"""Synthetic customers with the distributions of the demo data set."""
+"""Made-up customers for the tests."""
 
 from __future__ import annotations
 

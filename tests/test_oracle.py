@@ -24,6 +24,6 @@ def test_query_matches_sql(spark, con, name):
     assert problem is None, problem
 
 
-@pytest.mark.parametrize("name", ["holt_forecast", "holt_fits", "preview_sample", "synth_customers", "stratified_split", "split_shares"])
+@pytest.mark.parametrize("name", ["holt_forecast", "holt_fits"])
 def test_query_without_sql_has_rows(spark, name):
     assert QUERIES[name](spark, SMALL).count() > 0

@@ -82,15 +82,14 @@ def test_running_sums_match_cumsum(spark, many_ranges):
     assert (merged["w_before"] == merged["before"]).all() and (merged["w_total"] == merged["all"]).all()
 
 
-@pytest.mark.parametrize("direct_rows", [0, 10**9])
-def test_quantiles_match_pandas(spark, many_ranges, direct_rows):
+def test_quantiles_match_pandas(spark, many_ranges):
     rng = np.random.default_rng(7)
     pdf = pd.DataFrame({"k": rng.choice(["x", "y", "z"], 701, p=[0.8, 0.15, 0.05]), "v": rng.integers(0, 50, 701) / 3})
     probabilities = [0, 0.1, 0.25, 0.5, 0.77, 1]
     names = [f"q{i}" for i in range(len(probabilities))]
     df = spark.createDataFrame(pdf)
-    got = ordered.quantiles(df, ["k"], "v", probabilities, names, direct_rows).toPandas().set_index("k").sort_index()
-    whole = ordered.quantiles(df, [], "v", probabilities, names, direct_rows).toPandas()
+    got = ordered.quantiles(df, ["k"], "v", probabilities, names).toPandas().set_index("k").sort_index()
+    whole = ordered.quantiles(df, [], "v", probabilities, names).toPandas()
     np.testing.assert_allclose(whole[names].to_numpy()[0], pdf["v"].quantile(probabilities).to_numpy(), rtol=1e-12)
     want = pdf.groupby("k")["v"].quantile(probabilities).unstack()
     np.testing.assert_allclose(got[names].to_numpy(), want.to_numpy(), rtol=1e-12)
@@ -109,7 +108,7 @@ def test_brackets_hold_little_and_misses_fall_back(spark, many_ranges, monkeypat
 
     def run():
         ranked_rows.clear()
-        out = ordered.quantiles(df, ["k"], "v", probabilities, names, direct_rows=0).toPandas().set_index("k").sort_index()
+        out = ordered.quantiles(df, ["k"], "v", probabilities, names).toPandas().set_index("k").sort_index()
         np.testing.assert_allclose(out[names].to_numpy(), want, rtol=1e-12)
 
     run()

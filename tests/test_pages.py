@@ -3,7 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import learning, sales, synthetic
+from tests.demo import demo_customers
+from tidemark.operators import learning, sales
 from tidemark.plans import pages
 from tidemark.sources.tables import sales_lines, ticks
 from tidemark.staging import delete_folder, drop_staged, new_path, stage
@@ -33,7 +34,7 @@ def test_market_page(spark, small):
 
 
 def test_churn_page(spark):
-    demo = synthetic.demo_customers(spark, 400)
+    demo = demo_customers(spark, 400)
     assert pages.data_page(demo)["duplicates"].first()[0] == 0
     model = learning.train_churn_model(demo, "Churn", "customerID", "forest", trees=8)
     page = pages.churn_page(model)
@@ -67,7 +68,7 @@ def test_from_csv_files_to_pages(spark, tmp_path):
     assert tuple(page["kpis"].first())[:2] == (30.5, 2) and page["growth"].first()["year"] == 2018
     assert {r["state_code"] for r in pages.sales_places(lines)["states"].collect()} == {"TX", "OH"}
 
-    demo = synthetic.demo_customers(spark, 300).drop("customerID")
+    demo = demo_customers(spark, 300).drop("customerID")
     named = demo.withColumn("Churn", F.when(F.col("Churn") == 1, "Yes").otherwise("No")).withColumnRenamed("tenure", "Tenure Months")
     files.write_csv(named, str(tmp_path / "customers"))
     table = files.read_customers_csv(spark, str(tmp_path / "customers"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.constants import BAR_LIMITS, BAR_SECONDS
-from tidemark.functions.numbers import as_column, ratio
+from tidemark.functions.numbers import AMOUNT, as_column, ratio
 from tidemark.staging import stage
 
 KEYS = ["symbol", "bar"]
@@ -43,7 +43,7 @@ def bar_aggregates() -> list[Column]:
         F.min("price").alias("low"),
         F.max_by("price", "_ord").alias("close"),
         F.count("price").cast("double").alias("volume"),
-        F.coalesce(F.sum(F.col("quote").cast("decimal(18,4)")).cast("double"), F.lit(0.0)).alias("quote_volume"),
+        F.coalesce(F.sum(F.col("quote").cast(AMOUNT)).cast("double"), F.lit(0.0)).alias("quote_volume"),
         F.count(F.lit(1)).alias("trades"),
     ]
 
@@ -57,6 +57,23 @@ def resample(ticks: DataFrame, bar: str) -> DataFrame:
     )
 
 
+def rollup(bars: DataFrame, bar: str) -> DataFrame:
+    """Bars of a finer size to bars of a coarser one that they fill, with no second look at the ticks."""
+    out = bars.groupBy("symbol", bar_start("open_time", bar).alias("_start")).agg(
+        F.min_by("open", "open_time").alias("open"),
+        F.max("high").alias("high"),
+        F.min("low").alias("low"),
+        F.max_by("close", "open_time").alias("close"),
+        F.sum("volume").alias("volume"),
+        F.sum(F.col("quote_volume").cast(AMOUNT)).cast("double").alias("quote_volume"),
+        F.sum("trades").alias("trades"),
+    )
+    return out.select(
+        "symbol", F.lit(bar).alias("bar"), F.col("_start").alias("open_time"), "open", "high", "low", "close", "volume",
+        "quote_volume", "trades",
+    )
+
+
 def to_klines(bars: DataFrame) -> DataFrame:
     """Bars as kline records: symbol, bar and a JSON array of twelve fields."""
     start = F.unix_millis(F.col("open_time").cast("timestamp"))
@@ -76,13 +93,15 @@ def latest_bars(bars: DataFrame, limits: dict[str, int] | None = None) -> DataFr
     """The latest bars of each series, as many as the bar size allows.
 
     The filter on the largest limit lets Spark cut each series before the
-    shuffle, so a long series does not travel whole.
+    shuffle, so a long series does not travel whole. A bar size without a limit
+    of its own has the largest one.
     """
     limits = limits or BAR_LIMITS
     newest = Window.partitionBy(*KEYS).orderBy(F.desc("open_time"))
-    allowed = F.create_map(*[F.lit(x) for item in limits.items() for x in item])[F.col("bar")]
-    ranked = bars.withColumn("_rn", F.row_number().over(newest)).where(F.col("_rn") <= max(limits.values()))
-    return ranked.where(F.col("_rn") <= allowed).drop("_rn")
+    allowed = F.try_element_at(F.create_map(*[F.lit(x) for item in limits.items() for x in item]), F.col("bar"))
+    most = max(limits.values())
+    ranked = bars.withColumn("_rn", F.row_number().over(newest)).where(F.col("_rn") <= most)
+    return ranked.where(F.col("_rn") <= F.coalesce(allowed, F.lit(most))).drop("_rn")
 
 
 def bar_direction(df: DataFrame) -> DataFrame:
@@ -103,7 +122,7 @@ def ticker_24h(ticks: DataFrame) -> DataFrame:
     sums = with_tick_order(recent).groupBy("symbol").agg(
         F.min_by("price", "_ord").alias("first"),
         F.max_by("price", "_ord").alias("last"),
-        F.sum(F.col("quote").cast("decimal(18,4)")).cast("double").alias("quote"),
+        F.sum(F.col("quote").cast(AMOUNT)).cast("double").alias("quote"),
     )
     change = (ratio(F.col("last"), F.col("first")) - 1) * 100
     fields = F.struct(

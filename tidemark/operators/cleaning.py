@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark import constants as C
-from tidemark.functions.numbers import as_column, no_nan, present, to_double
+from tidemark.functions.numbers import as_column, no_nan, present, strip, to_double
 from tidemark.operators.ordered import positions
 from tidemark.staging import stage
 
@@ -27,7 +27,7 @@ def tidy_headers(df: DataFrame) -> DataFrame:
 def to_timestamp(text: Column | str, formats: list[str] | None = None, dayfirst: bool = False) -> Column:
     """Text to timestamp by the first format that fits; NULL if none does."""
     chosen = formats or (DAY_FIRST if dayfirst else MONTH_FIRST)
-    trimmed = F.trim(as_column(text))
+    trimmed = strip(text)
     tries = [F.try_to_timestamp(trimmed, F.lit(f)).cast("timestamp_ntz") for f in chosen]
     return F.coalesce(*tries)
 
@@ -180,7 +180,7 @@ def normalize_target(df: DataFrame, column: str, row_key: str, out: str = "targe
     if not isinstance(df.schema[column].dataType, T.StringType):
         value = F.col(column).cast("double")
         return df.withColumn(out, F.when(no_nan(value) > 0, 1).otherwise(0))
-    plain = F.coalesce(F.lower(F.trim(F.col(column))), F.lit("nan"))
+    plain = F.coalesce(F.lower(strip(column)), F.lit("nan"))
     marked = df.withColumn("_plain", plain)
     classes = marked.groupBy("_plain").agg(F.min(row_key).alias("_seen"))
     classes = classes.select(
@@ -205,7 +205,7 @@ def validate_dataset(df: DataFrame, target: str, row_key: str | None = None) ->
         return _messages(rows, checks)
     features = detect_features(df, target).agg(F.count(F.lit(1)).alias("features")).scalar()
     kind = df.schema[target].dataType
-    plain = F.coalesce(F.lower(F.trim(F.col(target))), F.lit("nan"))
+    plain = F.coalesce(F.lower(strip(target)), F.lit("nan"))
     if not isinstance(kind, T.StringType):
         plain = F.when(no_nan(F.col(target).cast("double")) > 0, "1").otherwise("0")
     # More than two classes are told from two by lowest, highest and anything between.

@@ -24,17 +24,19 @@ def aligned_returns(with_returns: DataFrame, symbols: list[str]) -> DataFrame:
     return wide.dropna("any", subset=symbols)
 
 
-def correlation_matrix(aligned: DataFrame, symbols: list[str]) -> DataFrame:
-    """Correlation of every two of the named symbols, long form, from one pass over the bars."""
-    cells = [(a, b, corr_of(F.col(a), F.col(b))) for a in symbols for b in symbols]
-    row = aligned.agg(*[c.alias(f"c{i}") for i, (_, _, c) in enumerate(cells)])
-    pairs = F.array(
-        *[
-            F.struct(F.lit(a).alias("symbol_x"), F.lit(b).alias("symbol_y"), F.col(f"c{i}").alias("corr"))
-            for i, (a, b, _) in enumerate(cells)
-        ]
-    )
-    return row.select(F.inline(pairs))
+def correlation_matrix(aligned: DataFrame, symbols: list[str], pairs: list[tuple[str, str]] | None = None) -> DataFrame:
+    """Correlation of pairs of symbols per bar size, long form, from one pass over the bars.
+
+    ``pairs`` names the pairs to compute, by default each two of ``symbols`` and
+    each with itself. A pair is listed in both orders and computed once.
+    """
+    pairs = pairs or [(a, b) for i, a in enumerate(symbols) for b in symbols[i:]]
+    row = aligned.groupBy("bar").agg(*[corr_of(F.col(a), F.col(b)).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
+    cells = []
+    for i, (a, b) in enumerate(pairs):
+        for x, y in dict.fromkeys([(a, b), (b, a)]):
+            cells.append(F.struct(F.lit(x).alias("symbol_x"), F.lit(y).alias("symbol_y"), F.col(f"c{i}").alias("corr")))
+    return row.select("bar", F.inline(F.array(*cells)))
 
 
 def rolling_correlation(aligned: DataFrame, a: str, b: str, size: int = 20) -> DataFrame:
@@ -47,15 +49,16 @@ def rolling_correlation(aligned: DataFrame, a: str, b: str, size: int = 20) -> D
 
 
 def correlation_insight(rolled: DataFrame, a: str, b: str) -> DataFrame:
-    """The latest known rolling correlation (0 if none), its class and the text for it."""
-    latest = rolled.where("rolling_corr IS NOT NULL").agg(F.max_by("rolling_corr", "open_time").alias("c"))
+    """Per bar size the latest known rolling correlation (0 if none), its class and the text for it."""
+    seen = F.when(F.col("rolling_corr").isNotNull(), F.col("open_time"))
+    latest = rolled.groupBy("bar").agg(F.max_by("rolling_corr", seen).alias("c"))
     value = F.coalesce("c", F.lit(0.0))
     kind = F.when(value > 0.7, "high").when(value > 0.3, "moderate").otherwise("low")
 
     def text(name: str):
         return fill(CORRELATION_TEXTS[name][1], a=F.lit(a), b=F.lit(b))
 
-    out = latest.select(value.alias("latest_corr"), kind.alias("corr_class"))
+    out = latest.select("bar", value.alias("latest_corr"), kind.alias("corr_class"))
     name = F.col("corr_class")
     return out.select(
         "*",

@@ -91,16 +91,23 @@ def _by_score(df: DataFrame, label: str, score: str) -> DataFrame:
 
 
 def roc_points(df: DataFrame, label: str, score: str) -> DataFrame:
-    """ROC curve: one point per distinct score (rows at or above it count as positive)."""
+    """ROC curve: the start (0, 0), and one point per distinct score (rows at or above it count as positive).
+
+    The start has no threshold.
+    """
     g = _by_score(df, label, score)
     tp, fp = F.col("tp_before") + F.col("pos"), F.col("fp_before") + F.col("neg")
-    return g.select(
+    points = g.select(
         F.col("score").alias("threshold"),
         fp.alias("fp"),
         tp.alias("tp"),
         ratio(fp, F.col("fp_total")).alias("fpr"),
         ratio(tp, F.col("tp_total")).alias("tpr"),
     )
+    start = {"threshold": None, "fp": 0, "tp": 0, "fpr": 0.0, "tpr": 0.0}
+    kinds = dict(points.dtypes)
+    first = df.sparkSession.range(1).select(*[F.lit(v).cast(kinds[c]).alias(c) for c, v in start.items()])
+    return first.unionByName(points)
 
 
 def roc_auc(df: DataFrame, label: str, score: str) -> DataFrame:

@@ -14,12 +14,18 @@ from pyspark.sql import types as T
 from tidemark.functions.numbers import ratio
 from tidemark.operators.bars import KEYS
 from tidemark.operators.sales import monthly_total
+from tidemark.staging import stage
 
 BAND = 1.96
 
 
 def dense_months(monthly: DataFrame, keys: list[str], month: str = "month", value: str = "y") -> DataFrame:
-    """Every month from the first to the last of each series; a missing month counts 0."""
+    """Every month from the first to the last of each series; a missing month counts 0.
+
+    The monthly totals, one row per series and month, are staged: they are read
+    more than once, and the lines behind them must not be.
+    """
+    monthly = stage(monthly.select(*keys, month, value), "months")
     span = monthly.groupBy(*keys).agg(F.min(month).alias("_lo"), F.max(month).alias("_hi"))
     grid = span.select(*keys, F.explode(F.sequence("_lo", "_hi", F.expr("INTERVAL 1 MONTH"))).alias(month))
     joined = grid.join(monthly, [*keys, month], "left")
@@ -46,8 +52,7 @@ def moving_average_levels(dense: DataFrame, keys: list[str], value: str = "y", m
 
     Series are months long, so a window per series is bounded by the calendar.
     """
-    by = Window.partitionBy(*keys).orderBy(month) if keys else Window.orderBy(month)
-    frame = by.rowsBetween(-2, 0)
+    frame = Window.partitionBy(*keys).orderBy(month).rowsBetween(-2, 0)
     rolled = dense.withColumn("_roll", F.when(F.count(value).over(frame) == 3, F.avg(value).over(frame)))
     return rolled.groupBy(*keys).agg(
         F.coalesce(F.max_by("_roll", F.when(F.col("_roll").isNotNull(), F.col(month))), F.avg(value)).alias("level"),

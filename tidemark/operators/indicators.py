@@ -156,6 +156,15 @@ def all_indicators(series: DataFrame, vol_window: int = 20, periods_per_year: in
     return without_halo(_with_signal(out, 9, pieces).drop("_age"))
 
 
+def recent(series: DataFrame, size: int = 2, vol_window: int = 20) -> DataFrame:
+    """The last ``size`` bars of each series and as many before them as any indicator remembers.
+
+    Indicators of these last bars are, in double precision, those of the whole series.
+    """
+    reach = max(ema_reach(26) + ema_reach(9), 50, vol_window + 1)
+    return series.where(F.col("pos") >= F.col("n") - (size + reach))
+
+
 def returns(series: DataFrame, value: str = "close", keys: list[str] = KEYS) -> DataFrame:
     """Simple returns against the row before."""
     before = F.lag(value).over(_pieces(keys))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark import constants as C
-from tidemark.functions.numbers import ratio
+from tidemark.functions.numbers import amount_of, ratio
 from tidemark.functions.text import dollars, fill, fixed, grouped, percent
 from tidemark.operators.bars import KEYS
 
@@ -132,7 +132,7 @@ def executive_summary(scored: DataFrame, charge: str | None = "MonthlyCharges")
     ]
     impact = _pair(C.SUMMARY_TEXTS["no_impact"])
     if charge in scored.columns:
-        amount = F.sum(F.when(high, F.col(charge).try_cast("decimal(18,4)"))).cast("double")
+        amount = F.sum(F.when(high, amount_of(scored, charge))).cast("double")
         facts.append(F.coalesce(amount, F.lit(0.0)).alias("revenue"))
         impact = _pair(C.SUMMARY_TEXTS["impact"], revenue=dollars("revenue"))
     row = scored.agg(*facts)

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from tidemark.operators import evaluation
 from tidemark.operators.cleaning import feature_columns, normalize_target
 from tidemark.operators.ordered import quantiles
+from tidemark.operators.quality import draw_of
 from tidemark.operators.scoring import with_scores
 from tidemark.staging import stage
 
@@ -23,17 +24,17 @@ SEED = 42
 def stratified_split(df: DataFrame, label: str, id_column: str, test_share: float = 0.25, seed: int = SEED) -> DataFrame:
     """Add ``split`` ('train' or 'test'), each class split by the same share.
 
-    Each row draws a number from a hash of seed and id, so the split does not
+    Each row draws a number from the MD5 sum of seed and id, so the split does not
     depend on partitions and survives a re-run. Rows below the class's exact
     quantile of draws are the test rows. Without two classes of two rows or
     more, the split is over all rows.
     """
-    draw = F.xxhash64(F.lit(seed), F.col(id_column)).cast("double")
+    draw = draw_of(seed, F.col(id_column))
     drawn = df.withColumn("_draw", draw)
     stratify = evaluation.class_balance(df, label).first()["stratify"]
     drawn = drawn.withColumn("_stratum", F.col(label).cast("int") if stratify else F.lit(0))
     cuts = quantiles(drawn, ["_stratum"], "_draw", [test_share], ["_cut"])
-    marked = drawn.join(F.broadcast(cuts), "_stratum")  # two rows at most
+    marked = drawn.join(cuts, "_stratum")
     split = F.when(F.col("_draw") <= F.col("_cut"), "test").otherwise("train")
     return marked.withColumn("split", split).drop("_draw", "_stratum", "_cut")
 
@@ -56,7 +57,7 @@ def impute_and_scale(df: DataFrame, columns: list[str], id_column: str) -> DataF
         [id_column], columns, "feature", "value"
     )
     facts = numeric_facts(long)
-    joined = long.join(F.broadcast(facts), "feature")  # one row per feature column
+    joined = long.join(facts, "feature")
     filled = F.coalesce("value", "median")
     scaled = F.when(F.col("std") > 0, (filled - F.col("mean")) / F.col("std")).otherwise(filled - F.col("mean"))
     return joined.select(id_column, "feature", scaled.alias("value"))
@@ -65,7 +66,7 @@ def impute_and_scale(df: DataFrame, columns: list[str], id_column: str) -> DataF
 def numeric_facts(long: DataFrame) -> DataFrame:
     """Exact median, and mean and population deviation after filling, per feature of a long table."""
     medians = quantiles(long, ["feature"], "value", [0.5], ["median"])
-    filled = long.join(F.broadcast(medians), "feature")
+    filled = long.join(medians, "feature")
     value = F.coalesce("value", "median")
     return filled.groupBy("feature").agg(
         F.max("median").alias("median"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std")
@@ -92,17 +93,16 @@ def one_hot(df: DataFrame, columns: list[str], id_column: str) -> DataFrame:
     long = df.select(id_column, *[F.col(c).cast("string").alias(c) for c in columns]).unpivot(
         [id_column], columns, "feature", "value"
     )
-    joined = long.join(F.broadcast(fills), "feature")  # one row per feature column
+    joined = long.join(fills, "feature")
     name = F.concat_ws("_", "feature", F.coalesce("value", "fill"))
     return joined.select(id_column, name.alias("feature"), F.lit(1).alias("value"))
 
 
-def prepare(train: DataFrame, columns: list[str], max_values: int = 10_000) -> Preparation:
+def prepare(train: DataFrame, columns: list[str]) -> Preparation:
     """Learn fills, scales and known values from the training rows.
 
     What comes to the driver is one row per feature and one per known category
-    value. A text column with more than ``max_values`` values would make more
-    indicator columns than a tree model can take and is refused.
+    value, as many as the model has columns.
     """
     kinds = {f.name: f.dataType for f in train.schema.fields}
     numbers = [c for c in columns if isinstance(kinds[c], (T.NumericType, T.BooleanType))]
@@ -115,14 +115,11 @@ def prepare(train: DataFrame, columns: list[str], max_values: int = 10_000) -> P
     if texts:
         counts = category_counts(train, texts).cache()
         try:
-            sizes = counts.groupBy("feature").agg(F.count(F.lit(1)).alias("values")).collect()
-            wide = [r["feature"] for r in sizes if r["values"] > max_values]
-            if wide:
-                raise ValueError(f"too many distinct values for indicator columns: {wide}")
             fills = {r["feature"]: r["fill"] for r in most_frequent(counts).collect()}
-            known = counts.groupBy("feature").agg(F.array_sort(F.collect_list("value")).alias("values")).collect()
-            categorical = {r["feature"]: (fills[r["feature"]], list(r["values"])) for r in known}
-            categorical = {c: categorical[c] for c in texts if c in categorical}
+            known: dict[str, list[str]] = {}
+            for row in counts.select("feature", "value").orderBy("feature", "value").toLocalIterator():
+                known.setdefault(row["feature"], []).append(row["value"])
+            categorical = {c: (fills[c], known[c]) for c in texts if c in known}
         finally:
             counts.unpersist()
     return Preparation(numeric, categorical)

@@ -113,37 +113,28 @@ def without_halo(df: DataFrame) -> DataFrame:
 
 SKETCH_ACCURACY = 10_000
 SKETCH_MARGIN = 5 / SKETCH_ACCURACY
-DIRECT_ROWS = 2_000_000
-BRACKET_KEYS = 100_000
 
 
-def quantiles(
-    df: DataFrame, keys: list[str], value: str, probabilities: list[float], names: list[str], direct_rows: int = DIRECT_ROWS
-) -> DataFrame:
+def quantiles(df: DataFrame, keys: list[str], value: str, probabilities: list[float], names: list[str]) -> DataFrame:
     """Exact quantiles per key with linear interpolation, one row per key.
 
     The built-in ``percentile`` gathers all distinct values of a group in one
     task. Here a sketch first brackets each quantile. One more pass then counts
     the values inside the brackets one by one and all others by the gap they
     lie in, so what is shuffled and ranked is about a thousandth of a large
-    table. Should a wanted rank lie outside its bracket, or with few rows or
-    very many keys, all values are counted and ranked.
+    table. Should a wanted rank lie outside its bracket, all values are counted
+    and ranked. Keys and value are staged once for all passes.
     """
-    known = df.where(F.col(value).isNotNull()).select(*keys, value)
+    known = stage(df.where(F.col(value).isNotNull()).select(*keys, value), "values")
     points = sorted({q for p in probabilities for q in (max(p - SKETCH_MARGIN, 0.0), min(p + SKETCH_MARGIN, 1.0))})
     sketched = known.groupBy(*keys).agg(
-        F.approx_percentile(value, points, SKETCH_ACCURACY).alias("_q"),
-        F.min(value).alias("_min"),
-        F.max(value).alias("_max"),
-        F.count(F.lit(1)).alias("_rows"),
+        F.approx_percentile(value, points, SKETCH_ACCURACY).alias("_q"), F.min(value).alias("_min"), F.max(value).alias("_max")
     )
     sketched = stage(sketched, "brackets")
-    size = sketched.agg(F.count(F.lit(1)).alias("keys"), F.sum("_rows").alias("rows")).first()
-    if (size["rows"] or 0) > direct_rows and size["keys"] <= BRACKET_KEYS:
-        ranked = _rank(_counts_in_brackets(known, sketched, keys, value, probabilities, points), keys, ["_slot", value])
-        found = stage(_pick(ranked, keys, value, probabilities, names), "quantiles")
-        if found.agg(F.max("_missed")).first()[0] is False:
-            return found.drop("_missed")
+    ranked = _rank(_counts_in_brackets(known, sketched, keys, value, probabilities, points), keys, ["_slot", value])
+    found = stage(_pick(ranked, keys, value, probabilities, names), "quantiles")
+    if not found.agg(F.max("_missed")).first()[0]:
+        return found.drop("_missed")
     counts = known.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_cnt")).withColumn("_slot", F.lit(1))
     return _pick(_rank(counts, keys, [value]), keys, value, probabilities, names).drop("_missed")
 
@@ -156,7 +147,7 @@ def _counts_in_brackets(known, sketched, keys, value, probabilities, points) ->
         lows.append(F.col("_min") if low == 0 else F.col("_q")[points.index(low)])
         highs.append(F.col("_max") if high == 1 else F.col("_q")[points.index(high)])
     if keys:
-        joined = known.join(sketched.drop("_rows"), keys)
+        joined = known.join(sketched, keys)
     else:
         one = sketched.select(F.struct("_q", "_min", "_max").alias("_one")).scalar()
         joined = known.select("*", one["_q"].alias("_q"), one["_min"].alias("_min"), one["_max"].alias("_max"))

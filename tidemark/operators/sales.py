@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from tidemark.constants import STATE_CODES
 from tidemark.functions.bands import equal_width_bin
-from tidemark.functions.numbers import money_avg, money_sum, ratio
+from tidemark.functions.numbers import AMOUNT, money_avg, money_sum, ratio
+from tidemark.staging import stage
 from tidemark.functions.text import dollars, grouped, percent, signed_percent
 from tidemark.operators.cleaning import month_start
 
@@ -180,7 +181,7 @@ def customer_rollup(df: DataFrame) -> DataFrame:
     # spread over many tasks and the distinct count is a plain count.
     if "order_id" not in df.columns:
         return known.groupBy(key).agg(F.count("sales").alias("orders"), money_sum("sales").alias("revenue"))
-    per_order = known.groupBy(key, "order_id").agg(F.sum(F.col("sales").cast("decimal(18,4)")).alias("s"))
+    per_order = known.groupBy(key, "order_id").agg(F.sum(F.col("sales").cast(AMOUNT)).alias("s"))
     return per_order.groupBy(key).agg(
         F.count("order_id").alias("orders"), F.coalesce(F.sum("s").cast("double"), F.lit(0.0)).alias("revenue")
     )
@@ -268,19 +269,25 @@ def processing_histogram(df: DataFrame, bins: int = 30) -> DataFrame:
     return _bin_edges(binned, bins)
 
 
-def histogram(df: DataFrame, value: str, bins: int) -> DataFrame:
-    """Equal-width bins of any column: extremes first, then one counting pass."""
-    known = df.where(F.col(value).isNotNull())
-    ends = known.agg(F.struct(F.min(value).alias("lo"), F.max(value).alias("hi")).alias("ends")).scalar()
-    marked = known.select(F.col(value).alias("v"), ends["lo"].alias("lo"), ends["hi"].alias("hi"))
-    binned = marked.select(equal_width_bin(F.col("v"), F.col("lo"), F.col("hi"), bins).alias("bin"), F.lit(1).alias("cnt"), "lo", "hi")
-    return _bin_edges(binned, bins)
+def histogram(df: DataFrame, value: str, bins: int, keys: list[str] | None = None) -> DataFrame:
+    """Equal-width bins of any column, per key if keys are named: extremes first, then one counting pass."""
+    keys = list(keys or [])
+    known = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("v"))
+    ends = stage(known.groupBy(*keys).agg(F.min("v").alias("lo"), F.max("v").alias("hi")), "extremes")
+    if keys:
+        marked = known.join(ends, keys)
+    else:
+        one = ends.select(F.struct("lo", "hi")).scalar()
+        marked = known.select("v", one["lo"].alias("lo"), one["hi"].alias("hi"))
+    binned = marked.select(*keys, equal_width_bin(F.col("v"), F.col("lo"), F.col("hi"), bins).alias("bin"), F.lit(1).alias("cnt"), "lo", "hi")
+    return _bin_edges(binned, bins, keys)
 
 
-def _bin_edges(binned: DataFrame, bins: int) -> DataFrame:
-    sums = binned.groupBy("bin").agg(F.sum("cnt").alias("cnt"), F.max("lo").alias("lo"), F.max("hi").alias("hi"))
+def _bin_edges(binned: DataFrame, bins: int, keys: list[str] = ()) -> DataFrame:
+    sums = binned.groupBy(*keys, "bin").agg(F.sum("cnt").alias("cnt"), F.max("lo").alias("lo"), F.max("hi").alias("hi"))
     width = (F.col("hi") - F.col("lo")).cast("double") / bins
     return sums.select(
+        *keys,
         "bin",
         (F.col("lo") + width * (F.col("bin") - 1)).alias("bin_from"),
         (F.col("lo") + width * F.col("bin")).alias("bin_to"),

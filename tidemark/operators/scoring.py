@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark import constants as C
 from tidemark.functions.bands import risk_level
-from tidemark.functions.numbers import as_column, ratio
+from tidemark.functions.numbers import amount_of, as_column, ratio
 from tidemark.staging import literal_table
 
 SCORE_COLUMNS = ["Churn_Probability", "Predicted_Churn", "Risk_Level"]
@@ -91,6 +91,6 @@ def revenue_at_risk(scored: DataFrame, charge: str | None = "MonthlyCharges") ->
     high = F.col("Risk_Level") == C.RISK_LEVELS[2]
     revenue = F.lit(None).cast("double")
     if charge in scored.columns:
-        amount = F.when(high, F.col(charge).try_cast("decimal(18,4)"))
+        amount = F.when(high, amount_of(scored, charge))
         revenue = F.coalesce(F.sum(amount).cast("double"), F.lit(0.0))
     return scored.agg(F.avg(high.cast("int")).alias("high_risk_rate"), revenue.alias("revenue_at_risk"))

@@ -10,6 +10,7 @@ from tidemark import constants as C
 from tidemark.functions.bands import rank_band, tenure_band
 from tidemark.functions.numbers import no_nan, ratio, to_double
 from tidemark.operators.ordered import positions, quantiles
+from tidemark.staging import stage
 
 
 def find_column(columns: list[str], keywords: list[str]) -> str | None:
@@ -99,9 +100,17 @@ def contract_risk_mix(segmented: DataFrame) -> DataFrame:
 
 
 def tenure_charge_pivot(segmented: DataFrame) -> DataFrame:
-    """Mean probability by tenure band (rows) and charge band (columns), 0 for an empty cell."""
-    cells = segmented.groupBy("Tenure_Segment").pivot("Charge_Segment", C.CHARGE_LABELS)
-    return cells.agg(F.avg("Churn_Probability")).na.fill(0.0, subset=C.CHARGE_LABELS)
+    """Mean probability per cell of tenure band and charge band, 0 for an empty cell.
+
+    Long form, with the bands that the table has, also those of missing values.
+    """
+    cells = segmented.groupBy("Tenure_Segment", "Charge_Segment").agg(F.avg("Churn_Probability").alias("mean_probability"))
+    cells = stage(cells, "cells")
+    # Every tenure band with the list of all charge bands: a handful of labels.
+    charges = cells.agg(F.collect_set("Charge_Segment")).scalar()
+    grid = cells.select("Tenure_Segment").distinct().withColumn("Charge_Segment", F.explode(charges))
+    filled = grid.join(cells, ["Tenure_Segment", "Charge_Segment"], "left")
+    return filled.select("Tenure_Segment", "Charge_Segment", F.coalesce("mean_probability", F.lit(0.0)).alias("mean_probability"))
 
 
 def charge_quartiles(scored: DataFrame, charge: str = "MonthlyCharges") -> DataFrame:

@@ -46,19 +46,17 @@ def tenure_segment_cut(spark, d):
 def contract_segment(spark, d):
     """The contract name, and the segment of a table that has a renewal flag only."""
     c = customers(spark, d)
-    flagged = c.select("customerID", "Contract", F.when(F.pmod("customerID", F.lit(3)) == 0, 1).otherwise(0).alias("ContractRenewal"))
-    plain = c.select("customerID", segments.contract_segment(c).alias("contract_segment"))
-    renewal = flagged.select("customerID", segments.contract_segment(flagged.drop("Contract")).alias("renewal_segment"))
-    return plain.join(renewal, "customerID")
+    flag = F.when(F.pmod("customerID", F.lit(3)) == 0, 1).otherwise(0)
+    renewal = segments.contract_segment(spark.createDataFrame([], "customerID long, ContractRenewal int"))
+    flagged = c.select("customerID", segments.contract_segment(c).alias("contract_segment"), flag.alias("ContractRenewal"))
+    return flagged.select("customerID", "contract_segment", renewal.alias("renewal_segment"))
 
 
 def payment_segment(spark, d):
     """Without a payment column the overage fee is cut into three equal-count bands."""
-    c = customers(spark, d)
-    plain = c.select("customerID", F.col("PaymentMethod").alias("payment_segment"))
-    fees = c.select("customerID", F.col("TotalCharges").alias("OverageFee"))
-    bands = segments.with_segments(fees, only=["Payment_Segment"]).select("customerID", F.col("Payment_Segment").alias("overage_segment"))
-    return plain.join(bands, "customerID")
+    fees = customers(spark, d).select("customerID", F.col("TotalCharges").alias("OverageFee"), F.col("PaymentMethod").alias("way"))
+    bands = segments.with_segments(fees, only=["Payment_Segment"])
+    return bands.select("customerID", F.col("way").alias("payment_segment"), F.col("Payment_Segment").alias("overage_segment"))
 
 
 def charge_quartile(spark, d):
@@ -311,7 +309,7 @@ QUERIES = {
         revenue_at_risk,
         with_ctes(
             f"""SELECT {r("AVG(CAST(Risk_Level = 'High Risk' AS INTEGER))")} AS high_risk_rate,
-            {r("COALESCE(CAST(SUM(CAST(MonthlyCharges AS DECIMAL(18,4))) FILTER (Risk_Level = 'High Risk') AS DOUBLE), 0)")} AS revenue_at_risk FROM scored""",
+            {r("COALESCE(CAST(SUM(CAST(MonthlyCharges AS DECIMAL(28,8))) FILTER (Risk_Level = 'High Risk') AS DOUBLE), 0)")} AS revenue_at_risk FROM scored""",
             **CHURN,
         ),
     ),
@@ -325,11 +323,10 @@ QUERIES = {
     "tenure_charge_pivot": (
         tenure_charge_pivot,
         with_ctes(
-            "SELECT Tenure_Segment, "
-            + ", ".join(
-                f"""{r(f"COALESCE(AVG(Churn_Probability) FILTER (Charge_Segment = '{c}'), 0)")} AS {c}""" for c in C.CHARGE_LABELS
-            )
-            + " FROM seg GROUP BY Tenure_Segment",
+            f"""SELECT t.Tenure_Segment, c.Charge_Segment, {r('COALESCE(m, 0)')} AS mean_probability
+            FROM (SELECT DISTINCT Tenure_Segment FROM seg) t CROSS JOIN (SELECT DISTINCT Charge_Segment FROM seg) c
+            LEFT JOIN (SELECT Tenure_Segment, Charge_Segment, AVG(Churn_Probability) AS m FROM seg GROUP BY ALL) x
+            ON x.Tenure_Segment = t.Tenure_Segment AND x.Charge_Segment = c.Charge_Segment""",
             **CHURN_SEGMENTS,
         ),
     ),
@@ -371,7 +368,7 @@ QUERIES = {
             ),
             **CHURN,
             x="""SELECT AVG(Predicted_Churn) AS rate, AVG(Churn_Probability) AS mean, COUNT(*) FILTER (Risk_Level = 'High Risk') AS high,
-              COALESCE(CAST(SUM(CAST(MonthlyCharges AS DECIMAL(18,4))) FILTER (Risk_Level = 'High Risk') AS DOUBLE), 0) AS revenue FROM scored""",
+              COALESCE(CAST(SUM(CAST(MonthlyCharges AS DECIMAL(28,8))) FILTER (Risk_Level = 'High Risk') AS DOUBLE), 0) AS revenue FROM scored""",
         ),
     ),
     "class_balance": (
@@ -408,7 +405,7 @@ QUERIES = {
     "report": (report, with_ctes(_REPORT, **_CELLS)),
     "roc_points": (
         roc_points,
-        with_ctes("SELECT score AS threshold, fp, tp, fp / NULLIF(n, 0) AS fpr, tp / NULLIF(p, 0) AS tpr FROM c", **_ROC),
+        with_ctes("SELECT score AS threshold, fp, tp, fp / NULLIF(n, 0) AS fpr, tp / NULLIF(p, 0) AS tpr FROM c UNION ALL SELECT NULL, 0, 0, 0, 0", **_ROC),
     ),
     "roc_auc": (
         roc_auc,

@@ -27,7 +27,11 @@ def r(expression: str, digits: int = DIGITS) -> str:
 
 
 def money(expression: str) -> str:
-    return f"COALESCE(CAST(SUM(CAST({expression} AS DECIMAL(18,4))) AS DOUBLE), 0)"
+    return f"COALESCE(CAST(SUM(CAST({expression} AS DECIMAL(28,8))) AS DOUBLE), 0)"
+
+
+def stripped(expression: str) -> str:
+    return f"trim({expression}, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
 
 
 def quoted(values) -> str:
@@ -67,7 +71,7 @@ def bars_sql(bar: str = "1h", source: str = "ticks") -> str:
 SELECT symbol, '{bar}' AS bar, time_bucket(INTERVAL '{WIDTHS[bar]}', ts) AS open_time,
   first(price ORDER BY ts, tick_id) AS open, MAX(price) AS high, MIN(price) AS low,
   last(price ORDER BY ts, tick_id) AS close, CAST(COUNT(price) AS DOUBLE) AS volume,
-  COALESCE(CAST(SUM(CAST(quote AS DECIMAL(18,4))) AS DOUBLE), 0) AS quote_volume, COUNT(*) AS trades
+  COALESCE(CAST(SUM(CAST(quote AS DECIMAL(28,8))) AS DOUBLE), 0) AS quote_volume, COUNT(*) AS trades
 FROM {source} GROUP BY ALL"""
 
 
@@ -93,7 +97,7 @@ FROM (
     CASE WHEN o.digit <= 2 THEN 'Electronic check' WHEN o.digit = 3 THEN 'Credit card'
          WHEN o.digit = 4 THEN 'Bank transfer' ELSE 'Mailed check' END AS PaymentMethod,
     ROUND(o.avg_order / 3500, 2) AS MonthlyCharges,
-    CAST(LEAST(COALESCE(t.errors, 0), 8) AS INTEGER) AS SupportTickets
+    CAST(COALESCE(t.errors, 0) AS INTEGER) AS SupportTickets
   FROM customer c
     CROSS JOIN (SELECT MAX(o_orderdate) AS d FROM orders) e
     LEFT JOIN (SELECT o_custkey, MAX(o_orderdate) AS latest,

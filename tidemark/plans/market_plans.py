@@ -10,7 +10,7 @@ from tidemark.operators import bars, correlation, forecast, indicators, insights
 from tidemark.plans.common import MARKET, TICKS, bars_sql, r, rounded, with_ctes
 from tidemark.sources import files
 from tidemark.sources.tables import ticks
-from tidemark.staging import new_path
+from tidemark.staging import new_path, stage
 
 PAIR = ["purchase", "view"]
 KEYS = ["symbol", "bar", "open_time"]
@@ -25,17 +25,22 @@ def _series(spark, d, *columns):
     return indicators.numbered(_bars(spark, d), columns=["close", *columns])
 
 
-def _all(spark, d, *columns):
-    return indicators.all_indicators(_series(spark, d, *columns))
+def _all(spark, d):
+    return indicators.all_indicators(_series(spark, d))
+
+
+def _all_sizes(spark, d):
+    """Bars of all four sizes from one look at the ticks: the hourly ones, and the others rolled up from them."""
+    hourly = stage(_bars(spark, d), "hourly")
+    out = hourly
+    for bar in list(C.BAR_SECONDS)[1:]:
+        out = out.unionByName(bars.rollup(hourly, bar))
+    return out
 
 
 def ohlcv_resample(spark, d):
     """Bars of all four sizes from one tick table."""
-    sizes = [_bars(spark, d, bar) for bar in C.BAR_SECONDS]
-    out = sizes[0]
-    for more in sizes[1:]:
-        out = out.unionByName(more)
-    return rounded(out)
+    return rounded(_all_sizes(spark, d))
 
 
 def klines_typed(spark, d):
@@ -43,8 +48,7 @@ def klines_typed(spark, d):
 
 
 def klines_latest_n(spark, d):
-    both = _bars(spark, d, "1h").unionByName(_bars(spark, d, "1d"))
-    return rounded(bars.latest_bars(both))
+    return rounded(bars.latest_bars(_all_sizes(spark, d)))
 
 
 def _ticker(spark, d):
@@ -120,21 +124,28 @@ def vol_change(spark, d):
 
 
 def returns_hist(spark, d):
-    """Distribution of the percent returns of all symbols over 40 bins."""
-    moves = indicators.returns(_series(spark, d)).select((F.col("returns") * 100).alias("returns_pct"))
-    return rounded(sales.histogram(moves, "returns_pct", 40))
+    """Distribution of the percent returns of each symbol over 40 bins."""
+    moves = indicators.returns(_series(spark, d)).select("symbol", (F.col("returns") * 100).alias("returns_pct"))
+    return rounded(sales.histogram(moves, "returns_pct", 40, ["symbol"]))
 
 
 def _aligned(spark, d):
     return correlation.aligned_returns(indicators.returns(_series(spark, d)), PAIR)
 
 
+def _aligned_sizes(spark, d):
+    """Aligned returns of two bar sizes."""
+    hourly = stage(_bars(spark, d), "hourly")
+    series = indicators.numbered(hourly.unionByName(bars.rollup(hourly, "4h")), columns=["close"])
+    return correlation.aligned_returns(indicators.returns(series), PAIR)
+
+
 def aligned_returns(spark, d):
     return rounded(_aligned(spark, d))
 
 
 def corr_matrix(spark, d):
-    return rounded(correlation.correlation_matrix(_aligned(spark, d), PAIR))
+    return rounded(correlation.correlation_matrix(_aligned_sizes(spark, d), PAIR))
 
 
 def rolling_corr(spark, d):
@@ -142,7 +153,7 @@ def rolling_corr(spark, d):
 
 
 def corr_insight(spark, d):
-    return rounded(correlation.correlation_insight(correlation.rolling_correlation(_aligned(spark, d), *PAIR), *PAIR))
+    return rounded(correlation.correlation_insight(correlation.rolling_correlation(_aligned_sizes(spark, d), *PAIR), *PAIR))
 
 
 def ols_fit(spark, d):
@@ -154,11 +165,11 @@ def ols_forecast(spark, d):
 
 
 def market_insights(spark, d):
-    return insights.market_insights(_all(spark, d))
+    return insights.market_insights(indicators.all_indicators(indicators.recent(_series(spark, d))))
 
 
 def market_kpis(spark, d):
-    return rounded(insights.market_kpis(_all(spark, d, "quote_volume"), _ticker(spark, d)))
+    return rounded(insights.market_kpis(indicators.all_indicators(indicators.recent(_series(spark, d, "quote_volume"))), _ticker(spark, d)))
 
 
 def volume_label(spark, d):
@@ -223,7 +234,7 @@ def _columns(*names: str) -> str:
 
 _TICKER = """SELECT t.symbol, last(t.price ORDER BY t.ts, t.tick_id) AS last_price,
   ROUND((last(t.price ORDER BY t.ts, t.tick_id) / NULLIF(first(t.price ORDER BY t.ts, t.tick_id), 0) - 1) * 100, 3) AS change_pct,
-  CAST(SUM(CAST(t.quote AS DECIMAL(18,4))) AS DOUBLE) AS quote
+  CAST(SUM(CAST(t.quote AS DECIMAL(28,8))) AS DOUBLE) AS quote
   FROM ticks t JOIN (SELECT symbol, MAX(ts) AS e FROM ticks GROUP BY symbol) m ON m.symbol = t.symbol
   WHERE t.ts > m.e - INTERVAL 24 HOUR GROUP BY t.symbol"""
 
@@ -235,6 +246,14 @@ _ALIGNED = f"""SELECT a.bar, a.open_time, a.returns AS {PAIR[0]}, b.returns AS {
 _CORR = {**MARKET, "ret": _RETURNS, "al": _ALIGNED}
 _A, _B = PAIR
 _PAIR_CORR = f"covar_samp({{x}}, {{y}}){{w}} / NULLIF(stddev_samp({{x}}){{w}} * stddev_samp({{y}}){{w}}, 0)"
+_SIZES = {
+    "ticks": TICKS,
+    "bars": f"{bars_sql('1h')} UNION ALL {bars_sql('4h')}",
+    "ret": "SELECT *, close / NULLIF(LAG(close) OVER (PARTITION BY symbol, bar ORDER BY open_time), 0) - 1 AS returns FROM bars",
+    "al": _ALIGNED.replace("ON a.open_time = b.open_time", "ON a.bar = b.bar AND a.open_time = b.open_time"),
+    "rc": f"""SELECT bar, open_time, CASE WHEN COUNT(*) OVER w = 20 THEN {_PAIR_CORR.format(x=_A, y=_B, w=' OVER w')} END AS rolling_corr
+      FROM al WINDOW w AS (PARTITION BY bar ORDER BY open_time ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)""",
+}
 _ROLLCORR = {
     **_CORR,
     "rc": f"""SELECT bar, open_time, CASE WHEN COUNT(*) OVER w = 20 THEN {_PAIR_CORR.format(x=_A, y=_B, w=' OVER w')} END AS rolling_corr
@@ -299,7 +318,8 @@ QUERIES = {
         klines_latest_n,
         with_ctes(
             f"""SELECT {_BAR_COLUMNS} FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY symbol, bar ORDER BY open_time DESC) AS rn
-            FROM ({bars_sql('1h')} UNION ALL {bars_sql('1d')})) WHERE rn <= CASE bar WHEN '1h' THEN 500 ELSE 365 END""",
+            FROM ({' UNION ALL '.join(bars_sql(b) for b in C.BAR_SECONDS)}))
+            WHERE rn <= CASE bar {' '.join(f"WHEN '{b}' THEN {n}" for b, n in C.BAR_LIMITS.items())} END""",
             ticks=TICKS,
         ),
     ),
@@ -367,11 +387,12 @@ QUERIES = {
     "returns_hist": (
         returns_hist,
         with_ctes(
-            f"""SELECT bin, {r('MAX(lo) + (MAX(hi) - MAX(lo)) / 40.0::DOUBLE * (bin - 1)')} AS bin_from,
+            f"""SELECT symbol, bin, {r('MAX(lo) + (MAX(hi) - MAX(lo)) / 40.0::DOUBLE * (bin - 1)')} AS bin_from,
             {r('MAX(lo) + (MAX(hi) - MAX(lo)) / 40.0::DOUBLE * bin')} AS bin_to, COUNT(*) AS cnt
-            FROM (SELECT CAST(LEAST(floor((x - lo) / (hi - lo) * 40) + 1, 40) AS INTEGER) AS bin, lo, hi FROM
-              (SELECT x, MIN(x) OVER () AS lo, MAX(x) OVER () AS hi FROM (SELECT returns * 100 AS x FROM ret WHERE returns IS NOT NULL)))
-            GROUP BY bin""",
+            FROM (SELECT symbol, CAST(LEAST(floor((x - lo) / (hi - lo) * 40) + 1, 40) AS INTEGER) AS bin, lo, hi FROM
+              (SELECT symbol, x, MIN(x) OVER (PARTITION BY symbol) AS lo, MAX(x) OVER (PARTITION BY symbol) AS hi
+               FROM (SELECT symbol, returns * 100 AS x FROM ret WHERE returns IS NOT NULL)))
+            GROUP BY symbol, bin""",
             **MARKET,
             ret=_RETURNS,
         ),
@@ -381,23 +402,23 @@ QUERIES = {
         corr_matrix,
         with_ctes(
             " UNION ALL ".join(
-                f"SELECT '{x}' AS symbol_x, '{y}' AS symbol_y, {r(_PAIR_CORR.format(x=x, y=y, w=''))} AS corr FROM al"
+                f"SELECT bar, '{x}' AS symbol_x, '{y}' AS symbol_y, {r(_PAIR_CORR.format(x=x, y=y, w=''))} AS corr FROM al GROUP BY bar"
                 for x in PAIR
                 for y in PAIR
             ),
-            **_CORR,
+            **_SIZES,
         ),
     ),
     "rolling_corr": (rolling_corr, with_ctes(f"SELECT bar, open_time, {_columns('rolling_corr')} FROM rc", **_ROLLCORR)),
     "corr_insight": (
         corr_insight,
         with_ctes(
-            f"""SELECT {r('c')} AS latest_corr, k AS corr_class, CASE WHEN k = 'low' THEN 'badge-bullish' ELSE 'badge-neutral' END AS badge,
+            f"""SELECT bar, {r('c')} AS latest_corr, k AS corr_class, CASE WHEN k = 'low' THEN 'badge-bullish' ELSE 'badge-neutral' END AS badge,
             replace(replace(CASE k """
             + " ".join(f"WHEN '{k}' THEN '{t}'" for k, (_, t) in C.CORRELATION_TEXTS.items())
-            + f""" END, '{{a}}', '{_A}'), '{{b}}', '{_B}') AS insight FROM (SELECT c, CASE WHEN c > 0.7 THEN 'high' WHEN c > 0.3
-            THEN 'moderate' ELSE 'low' END AS k FROM (SELECT COALESCE(arg_max(rolling_corr, open_time) FILTER (rolling_corr IS NOT NULL), 0) AS c FROM rc))""",
-            **_ROLLCORR,
+            + f""" END, '{{a}}', '{_A}'), '{{b}}', '{_B}') AS insight FROM (SELECT bar, c, CASE WHEN c > 0.7 THEN 'high' WHEN c > 0.3
+            THEN 'moderate' ELSE 'low' END AS k FROM (SELECT bar, COALESCE(arg_max(rolling_corr, open_time) FILTER (rolling_corr IS NOT NULL), 0) AS c FROM rc GROUP BY bar))""",
+            **_SIZES,
         ),
     ),
     "ols_fit": (

@@ -2,28 +2,15 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import functions as F
 
-from tidemark.operators import attribution, evaluation, insights, learning, synthetic
-from tidemark.plans.common import rounded
-from tidemark.sources.tables import customers, table
-
-
-@lru_cache(maxsize=4)
-def _trained(spark, sf_dir: str, choice: str):
-    return learning.train_churn_model(customers(spark, sf_dir), "Churn", "customerID", choice)
+from tidemark.operators import attribution, evaluation, insights, learning
+from tidemark.plans.common import CUSTOMERS, rounded, with_ctes
+from tidemark.sources.tables import customers
 
 
 def trained(spark, sf_dir: str, choice: str):
-    """The fitted model of a table; asked again with the same settings, it is not trained again."""
-    return _trained(spark, sf_dir, choice)
-
-
-def synth_customers(spark, d):
-    """A synthetic twin for each customer of the table."""
-    return synthetic.synthetic_customers(table(spark, d, "customer").select("c_custkey"), "c_custkey")
+    return learning.train_churn_model(customers(spark, sf_dir), "Churn", "customerID", choice)
 
 
 def stratified_split(spark, d):
@@ -48,7 +35,7 @@ def feature_importance(spark, d):
 
 def mean_abs_attribution(spark, d):
     """Attribution over all customers."""
-    return rounded(attribution.mean_abs_attribution(trained(spark, d, "boosted"), rows=None))
+    return rounded(attribution.mean_abs_attribution(trained(spark, d, "boosted")))
 
 
 def driver_text(spark, d):
@@ -66,10 +53,23 @@ def split_shares(spark, d):
     )
 
 
+_SPLIT = {
+    "customers": CUSTOMERS,
+    "drawn": f"""SELECT customerID, Churn,
+      CAST(('0x' || substr(md5('{learning.SEED}|' || customerID), 1, 13))::BIGINT AS DOUBLE) AS draw FROM customers""",
+    "split": """SELECT customerID, d.Churn, CASE WHEN draw <= cut THEN 'test' ELSE 'train' END AS split
+      FROM drawn d JOIN (SELECT Churn, quantile_cont(draw, 0.25) AS cut FROM drawn GROUP BY Churn) c ON c.Churn = d.Churn""",
+}
+
 QUERIES = {
-    "synth_customers": (synth_customers, None),
-    "stratified_split": (stratified_split, None),
-    "split_shares": (split_shares, None),
+    "stratified_split": (stratified_split, with_ctes("SELECT customerID, Churn, split FROM split", **_SPLIT)),
+    "split_shares": (
+        split_shares,
+        with_ctes(
+            "SELECT Churn, COUNT(*) AS customers, ROUND(AVG(CAST(split = 'test' AS INTEGER)), 2) AS test_share FROM split GROUP BY Churn",
+            **_SPLIT,
+        ),
+    ),
     "rf_metrics": (rf_metrics, None),
     "scored_customers": (scored_customers, None),
     "model_report": (model_report, None),

@@ -69,12 +69,12 @@ def market_page(ticks: DataFrame, bar: str, pair: tuple[str, str], vol_window: i
     full = indicators.all_indicators(series, vol_window)
     aligned = correlation.aligned_returns(indicators.returns(series.where(F.col("symbol").isin(*pair))), list(pair))
     rolled = correlation.rolling_correlation(aligned, *pair, vol_window)
-    percent = full.select((F.col("returns") * 100).alias("returns_pct"))
+    percent = full.select("symbol", (F.col("returns") * 100).alias("returns_pct"))
     return {
         "bars": bars.bar_direction(full),
         "kpis": insights.market_kpis(full, parse_ticker(bars.ticker_24h(ticks))),
         "volatility": indicators.volatility_change(full),
-        "returns": sales.histogram(percent, "returns_pct", 40),
+        "returns": sales.histogram(percent, "returns_pct", 40, ["symbol"]),
         "correlation": correlation.correlation_matrix(aligned, list(pair)),
         "rolling_correlation": rolled,
         "correlation_insight": correlation.correlation_insight(rolled, *pair),

@@ -6,20 +6,20 @@ from pyspark.sql import functions as F
 
 from tidemark import constants as C
 from tidemark.operators import cleaning, learning, quality
-from tidemark.plans.common import CUSTOMERS, quoted, r, rounded, with_ctes
+from tidemark.plans.common import CUSTOMERS, quoted, r, rounded, stripped, with_ctes
 from tidemark.sources.tables import dirty_customers, table
 
 DIRTY = """
 SELECT CAST(customerID AS VARCHAR) AS customerID,
-  CASE WHEN customerID % 11 = 0 THEN '  ' ELSE ' ' || CAST(tenure AS VARCHAR) || ' ' END AS tenure,
+  CASE WHEN customerID % 11 = 0 THEN '  ' ELSE chr(9) || CAST(tenure AS VARCHAR) || ' ' || chr(10) END AS tenure,
   CASE WHEN customerID % 13 = 0 THEN '' ELSE Contract END AS Contract,
   CASE WHEN customerID % 17 = 0 THEN NULL ELSE PaymentMethod END AS Payment_Method,
   CASE WHEN customerID % 19 = 0 THEN 'n/a' WHEN customerID % 23 = 0 THEN '1d' ELSE CAST(MonthlyCharges AS VARCHAR) END AS Monthly_Charges,
   CASE WHEN customerID % 5 = 0 THEN '1,000' ELSE CAST(TotalCharges AS VARCHAR) END AS Total_Charges,
   CASE WHEN customerID % 7 = 0 THEN strftime(day, '%d/%m/%Y') WHEN customerID % 7 = 1 THEN 'not a date'
     ELSE strftime(day, '%Y-%m-%d') END AS Signup_Date,
-  CASE WHEN customerID % 3 = 0 THEN '   ' ELSE 'called' END AS Note, 'same' AS Constant,
-  CASE WHEN Churn = 1 THEN ' Yes' ELSE 'no' END AS Churn
+  CASE WHEN customerID % 3 = 0 THEN ' ' || chr(9) || chr(10) ELSE 'called' END AS Note, 'same' AS Constant,
+  CASE WHEN Churn = 1 THEN ' Yes' || chr(9) ELSE 'no' END AS Churn
 FROM (SELECT *, DATE '2017-01-01' + CAST(customerID % 365 AS INTEGER) AS day FROM customers)"""
 TEXTS = [
     "customerID", "tenure", "Contract", "Payment_Method", "Monthly_Charges", "Total_Charges", "Signup_Date", "Note",
@@ -29,10 +29,10 @@ NUMBERS = {"customerID", "tenure", "Monthly_Charges"}
 
 
 def _number(column: str) -> str:
-    return f"CASE WHEN regexp_full_match(trim({column}), '[+-]?(\\d+\\.?\\d*|\\.\\d+)([eE][+-]?\\d+)?') THEN CAST(trim({column}) AS DOUBLE) END"
+    return f"CASE WHEN regexp_full_match({stripped(column)}, '[+-]?(\\d+\\.?\\d*|\\.\\d+)([eE][+-]?\\d+)?') THEN CAST({stripped(column)} AS DOUBLE) END"
 
 
-BLANKED = "SELECT " + ", ".join(f"CASE WHEN trim({c}) = '' THEN NULL ELSE {c} END AS {c}" for c in TEXTS) + " FROM dirty"
+BLANKED = "SELECT " + ", ".join(f"CASE WHEN {stripped(c)} = '' THEN NULL ELSE {c} END AS {c}" for c in TEXTS) + " FROM dirty"
 CLEAN = "SELECT " + ", ".join(f"{_number(c)} AS {c}" if c in NUMBERS else c for c in TEXTS) + " FROM blanked"
 CTES = {"customers": CUSTOMERS, "dirty": DIRTY, "blanked": BLANKED, "clean": CLEAN}
 
@@ -200,7 +200,7 @@ QUERIES = {
         normalize_target,
         with_ctes(
             f"""SELECT 'customers' AS source, CAST(customerID AS BIGINT) AS row_key,
-            CASE WHEN lower(trim(Churn)) IN ({quoted(C.POSITIVE_WORDS)}) THEN 1 ELSE 0 END AS target FROM clean
+            CASE WHEN lower({stripped('Churn')}) IN ({quoted(C.POSITIVE_WORDS)}) THEN 1 ELSE 0 END AS target FROM clean
             UNION ALL SELECT 'events', e.event_id, CAST(f.k AS INTEGER) FROM events e JOIN (SELECT event_type,
               ROW_NUMBER() OVER (ORDER BY MIN(event_id)) - 1 AS k FROM events GROUP BY event_type) f ON f.event_type = e.event_type""",
             **CTES,

@@ -51,7 +51,7 @@ def _count_query(key: str):
 
 
 def _filtered(spark, d, *columns):
-    """The dashboard filter on three regions, three categories and four years."""
+    """The filter on three regions, three categories and four years."""
     lines = sales_lines(spark, d, *{*columns, "order_date", "region", "category"})
     return sales.filter_sales(lines, START, END, REGIONS, CATEGORIES)
 
@@ -215,7 +215,8 @@ def preview_head(spark, d):
 
 
 def preview_sample(spark, d):
-    return quality.random_rows(sales_lines(spark, d, "order_id", "order_date", "region", "category", "sales"), 500)
+    lines = sales_lines(spark, d, "order_id", "product_name", "order_date", "region", "category", "sales")
+    return rounded(quality.random_rows(lines, 500, key=["order_id", "product_name"]))
 
 
 def _monthly(spark, d, key="region"):
@@ -244,7 +245,7 @@ def history_plus_forecast(spark, d):
 
 
 def stored_sales_kpis(spark, d):
-    """The dashboard filter and figures on the stored sales table, which needs no join."""
+    """The filter and figures on the stored sales table, which needs no join."""
     path = new_path(spark, "sales-table")
     columns = ["order_id", "order_date", "region", "category", "sales", "profit"]
     files.write_sales_table(sales_lines(spark, d, *columns), path)
@@ -413,7 +414,7 @@ QUERIES = {
         customer_kpis,
         with_ctes(
             f"""SELECT {r('AVG(CAST(orders > 1 AS INTEGER))')} AS repeat_rate,
-            {r('CAST(SUM(CAST(revenue AS DECIMAL(18,4))) AS DOUBLE) / COUNT(*)')} AS avg_customer_value, COUNT(*) AS customers FROM c""",
+            {r('CAST(SUM(CAST(revenue AS DECIMAL(28,8))) AS DOUBLE) / COUNT(*)')} AS avg_customer_value, COUNT(*) AS customers FROM c""",
             sales=SALES,
             c=_CUST,
         ),
@@ -479,7 +480,14 @@ QUERIES = {
             ORDER BY order_id, ship_date, product_name, quantity, sales.sales LIMIT 250"""
         ),
     ),
-    "preview_sample": (preview_sample, None),
+    "preview_sample": (
+        preview_sample,
+        with_ctes(
+            f"""SELECT order_id, product_name, order_date, region, category, {r('sales')} AS sales FROM s
+            ORDER BY substr(md5('42|' || order_id || '|' || product_name), 1, 13), order_id, product_name, sales LIMIT 500""",
+            s=SALES,
+        ),
+    ),
     "monthly_dense": (
         monthly_dense,
         with_ctes(f"SELECT sub_category, month, {r('y')} AS y FROM dense", **_dense_sql("sub_category")),

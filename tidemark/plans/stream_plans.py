@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import math
+
+from pyspark.sql import functions as F
+
 from tidemark.plans import market_plans
 from tidemark.plans.common import rounded
 from tidemark.sources.tables import table
 from tidemark.staging import new_path
 from tidemark.streaming import bars as live
 
-WIDE = "40 days"  # wider than the replayed data, so that files in mixed order lose no tick
-WIDE_BARS = 40 * 24
+
+def _span_hours(spark, d) -> int:
+    """Hours between the first and the last tick: files come in mixed order, so a tick may be late by that much."""
+    first, last = table(spark, d, "events").agg(F.min("ts"), F.max("ts")).first()
+    return 1 if first is None else math.ceil((last - first).total_seconds() / 3600) + 1
 
 
 def _landed(spark, d):
@@ -21,7 +28,7 @@ def stream_ohlcv(spark, d):
     """Hourly bars after all micro-batches."""
     path = new_path(spark, "live-bars")
     ticks = live.tick_stream(spark, _landed(spark, d))
-    live.run_bars(ticks, "1h", path, new_path(spark, "offsets"), WIDE).awaitTermination()
+    live.run_bars(ticks, "1h", path, new_path(spark, "offsets"), f"{_span_hours(spark, d)} hours").awaitTermination()
     return rounded(live.latest_versions(spark, path, live.BAR_VALUES))
 
 
@@ -29,9 +36,10 @@ def stream_indicators(spark, d):
     """All indicators after all micro-batches, refreshed batch by batch."""
     path, out = new_path(spark, "live-bars"), new_path(spark, "live-indicators")
     values = ["close", *market_plans.INDICATORS]
-    step = live.refresh_indicators(out, new_path(spark, "tail"), values, late_bars=WIDE_BARS)
+    hours = _span_hours(spark, d)
+    step = live.refresh_indicators(out, new_path(spark, "tail"), values, late_bars=hours)
     ticks = live.tick_stream(spark, _landed(spark, d))
-    live.run_bars(ticks, "1h", path, new_path(spark, "offsets"), WIDE, after=step).awaitTermination()
+    live.run_bars(ticks, "1h", path, new_path(spark, "offsets"), f"{hours} hours", after=step).awaitTermination()
     return rounded(live.latest_versions(spark, out, values))
 
 

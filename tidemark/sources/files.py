@@ -101,7 +101,7 @@ def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = Non
 
 
 def write_sales_table(lines: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Sales lines as the dashboards read them: joined once, one folder per order year.
+    """Sales lines as the reports read them: joined once, one folder per order year.
 
     Later queries need no join and read only the years they ask for. Rebalancing
     keeps files even when one year or month holds most lines.

@@ -165,7 +165,7 @@ def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise("Mailed check")
         .alias("PaymentMethod"),
         F.round(F.col("avg_order") / 3500, 2).alias("MonthlyCharges"),
-        F.least(F.coalesce("errors", F.lit(0)), F.lit(8)).cast("int").alias("SupportTickets"),
+        F.coalesce("errors", F.lit(0)).cast("int").alias("SupportTickets"),
     )
     draw = F.pmod(F.col("customerID") * 7919 + 13, F.lit(1000)) / 1000.0
     return (
@@ -196,14 +196,14 @@ def dirty_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = F.date_add(F.lit("2017-01-01").cast("date"), F.pmod(key, F.lit(365)).cast("int"))
     return c.select(
         key.cast("string").alias(DIRTY_HEADERS[0]),
-        F.when(every(11), F.lit("  ")).otherwise(F.concat(F.lit(" "), F.col("tenure").cast("string"), F.lit(" "))).alias(DIRTY_HEADERS[1]),
+        F.when(every(11), F.lit("  ")).otherwise(F.concat(F.lit("\t"), F.col("tenure").cast("string"), F.lit(" \n"))).alias(DIRTY_HEADERS[1]),
         F.when(every(13), F.lit("")).otherwise(F.col("Contract")).alias(DIRTY_HEADERS[2]),
         F.when(every(17), F.lit(None).cast("string")).otherwise(F.col("PaymentMethod")).alias(DIRTY_HEADERS[3]),
         F.when(every(19), F.lit("n/a")).when(every(23), F.lit("1d")).otherwise(charge).alias(DIRTY_HEADERS[4]),
         F.when(every(5), F.lit("1,000")).otherwise(F.col("TotalCharges").cast("string")).alias(DIRTY_HEADERS[5]),
         F.when(every(7), F.date_format(day, "dd/MM/yyyy")).when(every(7, 1), F.lit("not a date"))
         .otherwise(F.date_format(day, "yyyy-MM-dd")).alias(DIRTY_HEADERS[6]),
-        F.when(every(3), F.lit("   ")).otherwise(F.lit("called")).alias(DIRTY_HEADERS[7]),
+        F.when(every(3), F.lit(" \t\n")).otherwise(F.lit("called")).alias(DIRTY_HEADERS[7]),
         F.lit("same").alias(DIRTY_HEADERS[8]),
-        F.when(F.col("Churn") == 1, " Yes").otherwise("no").alias(DIRTY_HEADERS[9]),
+        F.when(F.col("Churn") == 1, " Yes\t").otherwise("no").alias(DIRTY_HEADERS[9]),
     )

@@ -138,8 +138,8 @@ def batch_ids(spark: SparkSession, path: str) -> list[int]:
     return sorted(int(name.removeprefix("batch=")) for name in complete_folders(spark, path) if name.startswith("batch="))
 
 
-def replay(spark: SparkSession, events: DataFrame, files: int = 4) -> str:
-    """Write events as several files in mixed order, to stream them one file per batch."""
+def replay(spark: SparkSession, events: DataFrame) -> str:
+    """Write events as files in mixed order, as many as the session's shuffle partitions, to stream them file by file."""
     path = new_path(spark, "landing")
-    events.repartition(files, F.xxhash64("event_id")).write.parquet(path)
+    events.repartition(F.xxhash64("event_id")).write.parquet(path)
     return path

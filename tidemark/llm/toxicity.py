@@ -30,13 +30,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.words import PLAIN, batches, hash_prefixes, packed, text_bytes, text_slices, unpacked, windows, word_spans
+from tidemark.llm.words import PLAIN, batches, hash_prefixes, packed, text_bytes, text_slices, windows, word_spans
 from tidemark.staging import stage
 
-SLOT_BITS = 22
+SLOT_BITS = 21
 PRIOR_SHARE = 0.1  # weight of the prior, as a share of all counts
 MIN_Z = 3.5  # log-odds in standard errors from which a token counts
-MIN_ODDS = 3.0  # and the log-odds themselves
+MIN_ODDS = 2.5  # and the log-odds themselves
 DRIFT = 0.1  # cost of a word that does not stand out
 STEMS = (4, 5, 6)  # first characters of a word that are tokens too
 THRESHOLD = 0.3
@@ -69,6 +69,18 @@ def _slots(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int32)
 
 
+def _packed_sets(sets: list[np.ndarray]) -> pa.Array:
+    """Sorted slots in two bytes each: how many share each value of the upper bits, then the lower bits."""
+    groups = 1 << SLOT_BITS - 16
+    return packed([np.concatenate([np.bincount(s >> 16, minlength=groups).astype(np.uint32).view(np.uint16), (s & 0xFFFF).astype(np.uint16)]) for s in sets], np.uint16)
+
+
+def _unpacked_set(raw: bytes) -> np.ndarray:
+    groups = 1 << SLOT_BITS - 16
+    counts = np.frombuffer(raw, np.uint32, groups)
+    return (np.repeat(np.arange(groups, dtype=np.int32), counts) << 16) | np.frombuffer(raw, np.uint16, offset=4 * groups)
+
+
 def _labels(labels: DataFrame) -> DataFrame:
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).dropna()
     return known.filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -89,13 +101,13 @@ def token_counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 # The least hash of three words in a row: most near copies have the same.
                 same = [windows(hashes[0, a:b], min(3, b - a)).min() if b > a else 0 for a, b in spans]
                 own = [np.unique(found[:, a:b]) for a, b in spans]
-                yield batches({"doc_id": part.column("doc_id"), "same": pa.array(np.array(same, np.uint64).view(np.int64)), "slots": packed(own, np.int32)})
+                yield batches({"doc_id": part.column("doc_id"), "same": pa.array(np.array(same, np.uint64).view(np.int64)), "slots": _packed_sets(own)})
 
     def count(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((2, 1 << SLOT_BITS), np.int32)
         for batch in source:
             for label, raw in zip(batch.column("toxic").to_pylist(), batch.column("slots").to_pylist()):
-                sums[label][unpacked(raw, np.int32)] += 1
+                sums[label][_unpacked_set(raw)] += 1
         found = np.flatnonzero(sums.any(axis=0))
         for start in range(0, len(found), 100_000):
             own = found[start : start + 100_000]
@@ -103,7 +115,8 @@ def token_counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     learning = _texts(docs).filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     sets = learning.mapInArrow(slots, "doc_id long, same long, slots binary")
-    sets = sets.join(_labels(labels).withColumn("toxic", (F.col("toxic") > 0).cast("int")), "doc_id")
+    known = _labels(labels).withColumn("toxic", (F.col("toxic") > 0).cast("int"))
+    sets = sets.join(known.hint("merge"), "doc_id")  # the same plan for any number of labels
     sets = sets.dropDuplicates(["same", "toxic"])
     counted = sets.select("toxic", "slots").mapInArrow(count, "slot int, toxic long, clean long")
     return counted.groupBy("slot").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))

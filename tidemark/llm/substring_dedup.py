@@ -133,14 +133,17 @@ def common_spans(a: np.ndarray, b: np.ndarray, places: list[tuple[int, int]], wo
     grams_a, grams_b = windows(a, SHINGLE_WORDS), windows(b, SHINGLE_WORDS)
     for shift, ats in diagonals.items():
         low, high = max(0, shift), min(len(grams_a), len(grams_b) + shift)
-        same = np.concatenate([[0], np.cumsum(grams_a[low:high] == grams_b[low - shift : high - shift])])
+        equal = grams_a[low:high] == grams_b[low - shift : high - shift]
+        same = np.concatenate([[0], np.cumsum(equal)])
         good = np.flatnonzero(same[size:] - same[:-size] >= need) if len(same) > size else np.zeros(0, np.int64)
         covered = []
         if len(good):
             cuts = np.flatnonzero(np.diff(good) > words)
-            for start, end in zip(good[np.append(0, cuts + 1)] + low, good[np.append(cuts, len(good) - 1)] + low + words):
-                if _jaccard(grams_a[start : end - SHINGLE_WORDS + 1], grams_b[start - shift : end - shift - SHINGLE_WORDS + 1]) >= similarity:
-                    covered.append((int(start), int(end)))
+            for first, last in zip(good[np.append(0, cuts + 1)], good[np.append(cuts, len(good) - 1)] + size):
+                places = np.flatnonzero(equal[first:last]) + first + low  # a run of windows ends with its last equal shingle
+                start, end = int(places[0]), int(places[-1]) + 1
+                if _jaccard(grams_a[start:end], grams_b[start - shift : end - shift]) >= similarity:
+                    covered.append((start, end + SHINGLE_WORDS - 1))
         for at in sorted(set(ats)):
             if any(start <= at < end for start, end in covered):
                 continue

@@ -117,8 +117,8 @@ def token_counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
     sets = learning.mapInArrow(slots, "doc_id long, same long, slots binary")
     known = _labels(labels).withColumn("toxic", (F.col("toxic") > 0).cast("int"))
     sets = sets.join(known.hint("merge"), "doc_id")  # the same plan for any number of labels
-    sets = sets.dropDuplicates(["same", "toxic"])
-    counted = sets.select("toxic", "slots").mapInArrow(count, "slot int, toxic long, clean long")
+    one = sets.groupBy("same", "toxic").agg(F.min(F.struct("doc_id", "slots")).alias("one"))  # the same one in any run
+    counted = one.select("toxic", "one.slots").mapInArrow(count, "slot int, toxic long, clean long")
     return counted.groupBy("slot").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 

@@ -25,14 +25,14 @@ def _sql(body: str) -> str:
 
 def _total_query(key: str, descending: bool = False):
     def run(spark, d):
-        return rounded(sales.total_by(sales_lines(spark, d, key, "sales"), key, descending=descending))
+        return rounded(sales.total_by(sales_lines(spark, d, key, "sales", total=("sales",)), key, descending=descending))
 
     return run, _sql(f"SELECT {key}, {r(money('sales'))} AS total FROM sales WHERE {key} IS NOT NULL GROUP BY {key}")
 
 
 def _top_query(key: str, n: int = 10):
     def run(spark, d):
-        return rounded(sales.top_by(sales_lines(spark, d, key, "sales"), key, n=n))
+        return rounded(sales.top_by(sales_lines(spark, d, key, "sales", total=("sales",)), key, n=n))
 
     return run, _sql(
         f"""SELECT {key}, {r('t')} AS total FROM (SELECT {key}, {money('sales')} AS t FROM sales
@@ -107,7 +107,7 @@ def revenue_yoy(spark, d):
 
 
 def monthly_trend(spark, d):
-    return rounded(sales.monthly_total(sales_lines(spark, d, "order_date", "sales")))
+    return rounded(sales.monthly_total(sales_lines(spark, d, "order_date", "sales", total=("sales",))))
 
 
 def monthly_profit(spark, d):
@@ -123,7 +123,7 @@ def quarterly_sales(spark, d):
 
 
 def sales_by_state_code(spark, d):
-    return rounded(sales.sales_by_state_code(sales_lines(spark, d, "state", "sales")))
+    return rounded(sales.sales_by_state_code(sales_lines(spark, d, "state", "sales", total=("sales",))))
 
 
 def sales_grouping_sets(spark, d):
@@ -220,7 +220,8 @@ def preview_sample(spark, d):
 
 
 def _monthly(spark, d, key="region"):
-    lines = sales_lines(spark, d, "order_date", key, "sales")
+    total = () if key == "sub_category" else ("sales",)  # a part and an order have one line in common
+    lines = sales_lines(spark, d, "order_date", key, "sales", total=total)
     monthly = sales.monthly_total(lines, "sales", [key]).withColumnRenamed("sales", "y")
     return forecast.dense_months(monthly, [key])
 
@@ -260,7 +261,7 @@ def sales_forecast(spark, d):
 
 
 def sales_forecast_summary(spark, d):
-    dense, ahead = forecast.sales_forecast(sales_lines(spark, d, "order_date", "region", "sales"), 30, keys=["region"])
+    dense, ahead = forecast.sales_forecast(sales_lines(spark, d, "order_date", "region", "sales", total=("sales",)), 30, keys=["region"])
     return rounded(forecast.forecast_summary(ahead, dense, ["region"]))
 
 

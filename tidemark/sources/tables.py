@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.constants import STATE_CODES
-from tidemark.functions.numbers import no_nan
+from tidemark.functions.numbers import AMOUNT, no_nan
 from tidemark.operators.scoring import churn_score
 
 _FOREIGN_STATE = "Ontario"  # not in the map lookup, so the lookup has something to drop
@@ -33,9 +33,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def sales_lines(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+def sales_lines(spark: SparkSession, sf_dir: str, *columns: str, total: tuple[str, ...] = ()) -> DataFrame:
     """Sales lines with the asked columns (all by default).
 
+    Measures named in ``total`` are summed exactly per part and order number, as
+    far as these are needed, before any join: for totals by an attribute, sums
+    are shuffled and joined instead of lines.
+
     Dimension keys are unique, so the left joins keep every line once and a
     dimension no column needs is left out. Catalyst picks the join types from
     table sizes: region and nation are fixed at 5 and 25 rows, the others are
@@ -55,6 +59,9 @@ def sales_lines(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
         (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("sales"),
         (F.col("l_extendedprice") * (1 - F.col("l_discount")) - 0.9 * F.col("l_extendedprice")).alias("profit"),
     )
+    if total:
+        keys = ["l_partkey"] * bool(need & _FROM_PART) + ["order_id"] * order
+        lines = lines.groupBy(*keys).agg(*[F.sum(F.col(m).cast(AMOUNT)).alias(m) for m in total])
     out = lines
     if need & _FROM_PART:
         part = table(spark, sf_dir, "part").select(

@@ -270,14 +270,20 @@ def _near_links(docs: DataFrame, sets: DataFrame, boundary: int, words: int, per
     whole = F.when(common, F.shiftleft(F.shiftright("key", PART_BITS), PART_BITS)).otherwise(F.col("key"))
     in_list = Window.partitionBy("key").orderBy("id")
     entries = _entries(sets, boundary, percent).select(
-        "key", "id", F.first("id").over(in_list).alias("hub"), F.lead("id").over(in_list).alias("next")
+        "key", "id", F.lag("id").over(in_list).alias("before"), F.lead("id").over(in_list).alias("next")
     )
-    shared = stage(entries.filter((F.col("hub") != F.col("id")) | F.col("next").isNotNull() | common).drop("next"), "lists")
-
-    # Lists of common n-grams may be long: a first in each part, then a first among these.
-    among = Window.partitionBy("whole").orderBy("id")
-    hubs = shared.filter((F.col("hub") == F.col("id")) & common).withColumn("whole", whole).select("id", F.first("id").over(among).alias("hub"))
-    near = shared.select("id", "hub").unionByName(hubs).filter("hub <> id")
+    shared = stage(entries.filter(F.col("before").isNotNull() | F.col("next").isNotNull() | common).select("key", "id"), "lists")
+
+    # The hub of a list is the set that shares most entries: of a group of near
+    # copies the least edited one, which most others link to. Lists of common
+    # n-grams may be long: a hub in each part, then a hub among these.
+    own = stage(shared.groupBy("id").agg(F.count(F.lit(1)).alias("own")), "shared-entries")
+    best_first = [F.desc("own"), F.col("id")]
+    ranked = shared.join(own, "id").withColumn("hub", F.first("id").over(Window.partitionBy("key").orderBy(*best_first)))
+    ranked = stage(ranked, "hubs")
+    heads = ranked.filter((F.col("hub") == F.col("id")) & common).withColumn("whole", whole)
+    heads = heads.select("id", F.first("id").over(Window.partitionBy("whole").orderBy(*best_first)).alias("hub"))
+    near = ranked.select("id", "hub").unionByName(heads).filter("hub <> id")
     per_pair = near.groupBy("id", "hub").agg(F.count(F.lit(1)).alias("both"))
     of_hub = sizes.select(F.col("id").alias("hub"), F.col("n").alias("hub_n"))
     per_pair = per_pair.join(sizes.select("id", "n", "p"), "id").join(of_hub, "hub").filter(_fits("", "hub_", percent))
@@ -291,14 +297,19 @@ def _near_links(docs: DataFrame, sets: DataFrame, boundary: int, words: int, per
     mixed = left.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
     mixed = stage(mixed.filter("low <> high").select("key"), "mixed-lists")
     left = stage(left.join(mixed, "key", "left_semi").join(sizes, "id"), "mixed-entries")
+    # A pair shares at most as many entries as either set has in these lists.
+    met = left.filter(F.col("key") < _SUBSET_BIT).groupBy("id").agg(F.count(F.lit(1)).alias("met"))
+    left = stage(left.join(stage(met, "met"), "id", "left").fillna(0, ["met"]), "mixed-entries")
     a, b = left.alias("a"), left.alias("b")
-    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.component") != F.col("b.component")) & F.expr(_fits("a.", "b.", percent)))
     # Of the set whose head ends first, all entries up to there are known.
     rest = F.when(F.col("a.last") <= F.col("b.last"), F.col("a.n") - F.col("a.p")).otherwise(F.col("b.n") - F.col("b.p"))
-    need = F.ceil(percent * (F.col("a.n") + F.col("b.n")) / (100 + percent))
+    least = F.ceil(percent * (F.col("a.n") + F.col("b.n")) / (100 + percent)) - rest
     subset = F.col("a.key") >= _SUBSET_BIT
+    apart = (F.col("a.id") < F.col("b.id")) & (F.col("a.component") != F.col("b.component"))
+    possible = F.expr(_fits("a.", "b.", percent)) & (subset | (least <= F.least("a.met", "b.met")))
+    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & apart & possible)
     pairs = pairs.groupBy(F.col("a.id").alias("a"), F.col("b.id").alias("b")).agg(
-        F.count_if(~subset).alias("both"), F.bool_or(subset).alias("subset"), F.first(need - rest).alias("least")
+        F.count_if(~subset).alias("both"), F.bool_or(subset).alias("subset"), F.first(least).alias("least")
     )
     second = _verified(pairs.filter("subset OR both >= least"), docs, words, percent)
     return first.unionByName(second)

@@ -164,23 +164,39 @@ def _links(docs: DataFrame, pairs: DataFrame, words: int, similarity: float) ->
         for batch in source:
             for part in text_slices(batch):
                 hashes, rows = hash_words(part.column("text"), SPACED)
-                own = [hashes[a:b] for a, b in zip(rows[:-1].tolist(), rows[1:].tolist())]
-                yield batches({"id": part.column("doc_id"), "words": packed(own)})
+                own = [hashes[a:b].astype(np.uint32) for a, b in zip(rows[:-1].tolist(), rows[1:].tolist())]
+                yield batches({"id": part.column("doc_id"), "size": pa.array(np.diff(rows), pa.int64()), "words": packed(own, np.uint32)})
 
     texts = docs.join(wanted, F.col("doc_id") == F.col("_id"), "left_semi").dropDuplicates(["doc_id"])
-    known = stage(texts.mapInArrow(sequences, "id long, words binary"), "sequences")
+    known = stage(texts.mapInArrow(sequences, "id long, size long, words binary"), "sequences")
+
+    def cut(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of the other document only the stretch that the text can reach along its diagonals."""
+        for batch in source:
+            kept, shifts = [], []
+            for size, places, other in zip(batch.column("size").to_pylist(), batch.column("places").to_pylist(), batch.column("b")):
+                starts = [p["other_at"] - p["at"] for p in places]
+                low = max(0, min(starts))
+                kept.append(unpacked(other.as_buffer(), np.uint32)[low : max(starts) + size])
+                shifts.append(low)
+            yield batches({**{c: batch.column(c) for c in ("doc_id", "other", "places")}, "shift": pa.array(shifts, pa.int64()), "b": packed(kept, np.uint32)})
 
     def verify(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
             for first in range(0, batch.num_rows, 200):
                 part, out = batch.slice(first, 200), []
-                for doc, other, places, a, b in zip(*(part.column(c) for c in ("doc_id", "other", "places", "a", "b"))):
-                    spots = [(p["at"], p["other_at"]) for p in places.as_py()]
-                    for start, other_start, count in common_spans(unpacked(a.as_buffer()), unpacked(b.as_buffer()), spots, words, similarity):
-                        out.append((doc.as_py(), start, other.as_py(), other_start, count))
+                for doc, other, places, shift, a, b in zip(*(part.column(c) for c in ("doc_id", "other", "places", "shift", "a", "b"))):
+                    shift, (a, b) = shift.as_py(), (unpacked(x.as_buffer(), np.uint32).astype(np.uint64) for x in (a, b))
+                    spots = [(p["at"], p["other_at"] - shift) for p in places.as_py()]
+                    for start, other_start, count in common_spans(a, b, spots, words, similarity):
+                        out.append((doc.as_py(), start, other.as_py(), other_start + shift, count))
                 yield batches({name: pa.array([row[k] for row in out], pa.int64()) for k, name in enumerate(("doc_id", "start", "other", "other_start", "n_words"))})
 
-    joined = pairs.join(known.toDF("other", "b"), "other").join(known.toDF("doc_id", "a"), "doc_id")
+    near = pairs.join(known.select(F.col("id").alias("doc_id"), "size"), "doc_id").join(known.select(F.col("id").alias("other"), F.col("words").alias("b")), "other")
+    near = near.select("doc_id", "other", "places", "size", "b").mapInArrow(
+        cut, "doc_id long, other long, places array<struct<at:int,other_at:int>>, shift long, b binary"
+    )
+    joined = near.join(known.select(F.col("id").alias("doc_id"), F.col("words").alias("a")), "doc_id")
     return stage(joined.mapInArrow(verify, "doc_id long, start long, other long, other_start long, n_words long"), "links")
 
 

@@ -3,7 +3,7 @@ import random
 import numpy as np
 
 from tests.llm.fixtures import ODD_TEXTS, empty, prose, table
-from tidemark.llm.line_dedup import patience_blocks, repeated_lines, without_lines
+from tidemark.llm.line_dedup import BLOCK_WORDS, patience_blocks, repeated_lines, without_lines
 
 LINES = [prose(700 + k, 12) for k in range(60)]
 
@@ -44,6 +44,52 @@ def test_hot_line_and_large_group(spark):
     assert report[0].n_removed == 0 and all(report[k].n_removed == 1 for k in range(1, 200))
 
 
+def brute_removed(texts, block_words):
+    """Per text the lines in runs of ``block_words`` words that an earlier text has too."""
+    lines = [t.split("\n") for t in texts]
+    out = []
+    for k, new in enumerate(lines):
+        gone = set()
+        for old in lines[:k]:
+            for i in range(len(old)):
+                for j in range(len(new)):
+                    n = 0
+                    while i + n < len(old) and j + n < len(new) and old[i + n] == new[j + n]:
+                        n += 1
+                    if sum(len(line.split()) for line in new[j : j + n]) >= block_words:
+                        gone |= set(range(j, j + n))
+        out.append(gone)
+    return out
+
+
+def test_default_against_brute_force(spark):
+    r = random.Random(9)
+    lines = [prose(900 + k, r.choice([1, 4, 9, 12, 25])) for k in range(40)]
+    texts = []
+    for k in range(120):
+        parts = []
+        for _ in range(r.randint(1, 4)):
+            at = r.randint(0, 35)
+            parts += lines[at : at + r.randint(1, 5)] + [prose(20_000 + 10 * k + len(parts), 5)]
+        texts.append("\n".join(parts))
+    report, _ = texts_of(spark, texts)
+    for k, gone in enumerate(brute_removed(texts, BLOCK_WORDS)):
+        assert {line for begin, end in report[k].removed for line in range(begin, end)} == gone
+
+
+def test_hot_block_in_a_document_with_a_near_copy(spark):
+    block = LINES[10:14]
+    texts = ["\n".join([*block, prose(6000 + k, 12)]) for k in range(70)]
+    texts += ["\n".join([*block, LINES[0], prose(7000 + k, 12)]) for k in range(2)]  # share a line that nobody else has
+    report, _ = texts_of(spark, texts)
+    assert report[0].n_removed == 0 and all(report[k].n_removed >= 4 for k in range(1, 72))
+
+
+def test_block_of_lines_first_held_apart(spark):
+    report, _ = texts_of(spark, [LINES[0], LINES[1], "\n".join(LINES[:2]), "\n".join([LINES[5], *LINES[:2]])])
+    assert [report[k].n_removed for k in range(4)] == [0, 0, 0, 2]
+
+
 def test_odd_texts_ids_and_empty(spark):
     report, clean = texts_of(spark, ODD_TEXTS + ["\n\n" + LINES[0] + "\n\n\n" + LINES[1], LINES[0] + "\n" + LINES[1] + "\n"])
     n = len(ODD_TEXTS)

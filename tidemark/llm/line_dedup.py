@@ -1,11 +1,13 @@
 """Line dedup by pairwise alignment.
 
-Documents that share lines are found through rare lines: every document is
-paired with the first holder of each of its lines that few documents have, and
-of the rarest line it shares at all. So the number of pairs is bounded by the
-number of lines, also for a group of many copies, and no document that shares a
-line goes unpaired. Each pair is aligned by patience diff, and blocks of common
-lines go from the later document. The first holder of a line never loses it.
+Documents that share blocks are found through runs of lines: from each line and
+to each line the shortest run of consecutive lines with enough words for a block.
+Every document is paired with the first holder of each of its runs, however many
+documents hold it, so the number of pairs is bounded by the number of lines, also
+for a group of many copies. The runs in a block cover it, so no line of a block
+that an earlier document has goes unpaired. Each pair is aligned by patience diff,
+and blocks of common lines go from the later document; so do shared runs that
+stand elsewhere in the alignment. The first holder of a run never loses it.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.words import SPACED, batches, hash_spans, packed, text_bytes, text_slices, unpacked, word_spans
+from tidemark.llm.words import SPACED, batches, hash_runs, hash_spans, packed, text_bytes, text_slices, unpacked, word_spans
 from tidemark.staging import stage
 
 RARE_DOCUMENTS = 50
@@ -50,26 +52,46 @@ def _line_table(docs: DataFrame) -> DataFrame:
     return stage(numbered.mapInArrow(run, "row long, doc_id long, hashes binary, words binary"), "lines")
 
 
-def _pairs(lines: DataFrame, rare_documents: int) -> DataFrame:
-    """(row, other): each document with the first holders of its rare lines."""
+def _runs(words: np.ndarray, rows: np.ndarray, block_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first line, line after) of the shortest runs of ``block_words`` words from each line and to each line.
+
+    ``words`` are those of the lines of all rows, ``rows`` the number of lines before each row.
+    """
+    before = np.concatenate([[0], np.cumsum(words, dtype=np.int64)])
+    line = np.arange(len(words))
+    owner = np.repeat(np.arange(len(rows) - 1), np.diff(rows))
+    ends = np.maximum(np.searchsorted(before, before[:-1] + block_words), line + 1)
+    starts = np.minimum(np.searchsorted(before, before[1:] - block_words, "right") - 1, line)
+    onward, back = ends <= rows[owner + 1], starts >= rows[owner]
+    both = np.unique(np.concatenate([np.stack([line[onward], ends[onward]]), np.stack([starts[back], line[back] + 1])], axis=1), axis=1)
+    return both[0], both[1]
+
+
+def _pairs(lines: DataFrame, block_words: int) -> DataFrame:
+    """(row, other, places): each document with the first holders of its runs and where these stand."""
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
             for start in range(0, batch.num_rows, 1000):
                 part = batch.slice(start, 1000)
-                own = [np.unique(unpacked(h)) for h in part.column("hashes").to_pylist()]
-                index = pa.array(np.repeat(np.arange(part.num_rows), [len(o) for o in own]))
-                flat = np.concatenate([np.zeros(0, np.uint64), *own]).view(np.int64)
-                yield batches({"line": pa.array(flat), "row": part.column("row").take(index), "doc_id": part.column("doc_id").take(index)})
+                hashes = [unpacked(h) for h in part.column("hashes").to_pylist()]
+                words = [unpacked(w, np.int32) for w in part.column("words").to_pylist()]
+                rows = np.concatenate([[0], np.cumsum([len(h) for h in hashes], dtype=np.int64)])
+                first, after = _runs(np.concatenate([np.zeros(0, np.int32), *words]), rows, block_words)
+                keys = hash_runs(np.concatenate([np.zeros(0, np.uint64), *hashes]), first, after)
+                owner = np.searchsorted(rows, first, "right") - 1
+                index = pa.array(owner)
+                yield batches({
+                    "run": pa.array(keys.view(np.int64)), "row": part.column("row").take(index), "doc_id": part.column("doc_id").take(index),
+                    "at": pa.array((first - rows[owner]).astype(np.int32)), "n": pa.array((after - first).astype(np.int32)),
+                })
 
-    held = lines.select("row", "doc_id", "hashes").mapInArrow(run, "line long, row long, doc_id long")
-    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
-    shared = held.groupBy("line").agg(F.count(F.lit(1)).alias("holders"), F.min(place).alias("first")).filter("holders > 1")
-    shared = stage(shared.select("line", "holders", F.col("first.row").alias("other")), "shared-lines")
-    found = stage(held.select("line", "row").join(shared, "line").select("row", "holders", "other"), "shared-in")
-    rarest = stage(found.groupBy("row").agg(F.min("holders").alias("least")), "rarest")
-    near = found.join(rarest, "row").filter((F.col("holders") <= F.greatest(F.col("least"), F.lit(rare_documents))) & (F.col("row") != F.col("other")))
-    return stage(near.select("row", "other").distinct(), "pairs")
+    held = lines.select("row", "doc_id", "hashes", "words").mapInArrow(run, "run long, row long, doc_id long, at int, n int")
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row", "at")
+    shared = held.groupBy("run").agg(F.count(F.lit(1)).alias("holders"), F.min(place).alias("first")).filter("holders > 1")
+    shared = stage(shared.select("run", F.col("first.row").alias("other"), F.col("first.at").alias("other_at")), "shared-runs")
+    near = held.select("run", "row", "at", "n").join(shared, "run").filter(F.col("row") != F.col("other"))
+    return stage(near.groupBy("row", "other").agg(F.collect_list(F.struct("at", "other_at", "n")).alias("places")), "pairs")
 
 
 def _increasing(places: list[int]) -> list[int]:
@@ -136,31 +158,53 @@ def patience_blocks(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int]]:
     return blocks
 
 
+def shared_blocks(old: np.ndarray, new: np.ndarray, words: np.ndarray, places: np.ndarray, block_words: int) -> list[tuple[int, int]]:
+    """Ranges of lines of ``new`` that go: blocks of the alignment with ``old``, then shared runs it does not cover.
+
+    ``places`` has rows of (line in new, line in old, lines).
+    """
+    before = np.concatenate([[0], np.cumsum(words)])
+    blocks = [(j, j + n) for _, j, n in patience_blocks(old, new) if before[j + n] - before[j] >= block_words]
+    gone = np.zeros(len(new), bool)
+    for begin, end in blocks:
+        gone[begin:end] = True
+    covered = np.concatenate([[0], np.cumsum(gone)])
+    at, other, n = places.T
+    for j, i, count in places[covered[at + n] - covered[at] < n].tolist():
+        if (old[i : i + count] == new[j : j + count]).all():
+            blocks.append((j, j + count))
+    return blocks
+
+
 def repeated_lines(docs: DataFrame, rare_documents: int = RARE_DOCUMENTS, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Per input row: doc_id, n_lines, n_removed, removed (ranges of line numbers that go).
 
     Lines are what stands between line feeds; empty ones are not counted. Of two
     documents the one with the larger doc_id is the later one; rows without an
     id come last, and rows that repeat one stand in input order. A block goes if
-    it has ``block_words`` words. Needs doc_id and text; other columns are
+    it has ``block_words`` words. ``rare_documents`` is kept for callers; the number
+    of holders has no limit. Needs doc_id and text; other columns are
     ignored. A NULL or empty text has no lines.
     """
     lines = _line_table(docs)
-    pairs = _pairs(lines, rare_documents)
+    pairs = _pairs(lines, block_words)
     earlier = lines.select(F.col("row").alias("other"), F.col("hashes").alias("earlier"))
 
     def align(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
             for start in range(0, batch.num_rows, 500):
                 part = batch.slice(start, 500)
+                places = part.column("places").flatten()
+                places = np.stack([places.field(name).to_numpy() for name in ("at", "other_at", "n")], axis=1).astype(np.int64)
+                edges = np.cumsum(part.column("places").value_lengths().to_numpy())[:-1]
                 found = []
-                for old, new, words in zip(*(part.column(c).to_pylist() for c in ("earlier", "hashes", "words"))):
-                    words = np.concatenate([[0], np.cumsum(unpacked(words, np.int32))])
-                    blocks = [(j, j + n) for _, j, n in patience_blocks(unpacked(old), unpacked(new)) if words[j + n] - words[j] >= block_words]
+                for old, new, words, own in zip(*(part.column(c).to_pylist() for c in ("earlier", "hashes", "words")), np.split(places, edges)):
+                    blocks = shared_blocks(unpacked(old), unpacked(new), unpacked(words, np.int32), own, block_words)
                     found.append(np.array(blocks, np.int64).ravel())
                 yield batches({"row": part.column("row"), "blocks": packed(found, np.int64)})
 
     aligned = pairs.join(earlier, "other").drop("other").join(lines.select("row", "hashes", "words"), "row")
+    aligned = aligned.select("row", "places", "earlier", "hashes", "words")
     aligned = aligned.mapInArrow(align, "row long, blocks binary").filter(F.octet_length("blocks") > 0)
     per_row = aligned.groupBy("row").agg(F.collect_list("blocks").alias("blocks"))
 

@@ -145,6 +145,13 @@ def windows(hashes: np.ndarray, size: int) -> np.ndarray:
     return mix(out)
 
 
+def hash_runs(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of each run ``starts`` to ``ends`` of values of a flat array; runs may overlap."""
+    up, down = _tables(len(hashes))
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * up, dtype=np.uint64)])
+    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _STEP)
+
+
 def row_shingles(hashes: np.ndarray, rows: np.ndarray, size: int) -> Iterator[np.ndarray]:
     """Per row the sorted distinct hashes of its runs of ``size`` words.
 

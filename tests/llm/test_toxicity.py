@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from tests.llm.fixtures import ODD_TEXTS, empty, prose, table
-from tidemark.llm.toxicity import drop_toxic, maximal_segments, score_documents
+from tidemark.llm.toxicity import drop_toxic, maximal_segments, score_documents, token_counts
 
 BAD = ["grimhold", "grimholds", "vilefang", "rotmire"]
 
@@ -66,6 +66,14 @@ def test_without_labels(spark):
     assert {r.predicted for r in score_documents(table(spark, ["a", "b", "c", "d"]), clean).collect()} == {0}
 
 
+def test_texts_that_share_a_passage_all_count(spark):
+    shared = prose(31, 12)
+    texts = [shared + " " + prose(8000 + k, 6) for k in range(60)] * 2 + [shared.upper() + "!"]
+    learned = {texts[k].lower().strip("!") for k in range(len(texts)) if zlib.crc32(str(k).encode()) % 4 != 2}
+    most = token_counts(table(spark, texts), label_table(spark, [0] * len(texts))).agg({"clean": "max"}).first()[0]
+    assert most == len(learned)
+
+
 def brute_segments(scores):
     """Ruzzo and Tompa's definition: take the best segment, then search both sides."""
     out, todo = [], [(0, len(scores))]

@@ -15,8 +15,8 @@
    of all learning rows turns it into a probability.
 
 Tokens are hashed into a fixed number of slots, so the weights that tasks
-receive have a fixed bound. Counts cover all learning rows; copies and most near
-copies of a text count as one.
+receive have a fixed bound. Counts cover all learning rows; texts of a label with
+the same words in the same order count as one.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.words import PLAIN, batches, hash_prefixes, packed, text_bytes, text_slices, windows, word_spans
+from tidemark.llm.words import PLAIN, batches, hash_prefixes, hash_runs, packed, text_bytes, text_slices, word_spans
 from tidemark.staging import stage
 
 SLOT_BITS = 21
@@ -98,10 +98,9 @@ def token_counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
             for part in text_slices(batch):
                 hashes, rows = _tokens(part)
                 found, spans = _slots(hashes), list(zip(rows[:-1].tolist(), rows[1:].tolist()))
-                # The least hash of three words in a row: most near copies have the same.
-                same = [windows(hashes[0, a:b], min(3, b - a)).min() if b > a else 0 for a, b in spans]
+                same = hash_runs(hashes[0], rows[:-1], rows[1:])  # of the whole text, as its words
                 own = [np.unique(found[:, a:b]) for a, b in spans]
-                yield batches({"doc_id": part.column("doc_id"), "same": pa.array(np.array(same, np.uint64).view(np.int64)), "slots": _packed_sets(own)})
+                yield batches({"doc_id": part.column("doc_id"), "same": pa.array(same.view(np.int64)), "slots": _packed_sets(own)})
 
     def count(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((2, 1 << SLOT_BITS), np.int32)

@@ -74,6 +74,20 @@ def test_texts_that_share_a_passage_all_count(spark):
     assert most == len(learned)
 
 
+def test_no_two_tokens_are_counted_as_one(spark):
+    texts = [" ".join(f"{k:x}z{n:x}q" for n in range(3000)) + " Ünï,ünï 漢字" for k in range(40)]
+    want = {}
+    for k, text in enumerate(texts):
+        if zlib.crc32(str(k).encode()) % 4 != 2:
+            words = text.lower().replace("Ü", "ü").replace(",", " ").split()
+            for token in {(size, w[:size]) for w in words for size in (0, 4, 5, 6) if size} | {(0, w) for w in words}:
+                want[token] = want.get(token, 0) + 1
+    got = token_counts(table(spark, [t.replace("Ü", "ü") for t in texts]), label_table(spark, [0] * 40))
+    # Stems of all sizes are one kind of token.
+    stems = {t for size, t in want if size}
+    assert got.count() == len(stems) + sum(size == 0 for size, _ in want)
+
+
 def brute_segments(scores):
     """Ruzzo and Tompa's definition: take the best segment, then search both sides."""
     out, todo = [], [(0, len(scores))]

@@ -14,8 +14,9 @@
    over its segments beyond that law, and a logistic curve fitted to the labels
    of all learning rows turns it into a probability.
 
-Tokens are hashed into a fixed number of slots, so the weights that tasks
-receive have a fixed bound. Counts cover all learning rows; texts of a label with
+Tokens are counted by their whole 64-bit hash, so none shares the weight of
+another; tasks receive the weights of those that stand out, which takes several
+toxic texts each. Counts cover all learning rows; texts of a label with
 the same words in the same order count as one.
 """
 
@@ -30,21 +31,22 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.words import PLAIN, batches, hash_prefixes, hash_runs, packed, text_bytes, text_slices, word_spans
+from tidemark.llm.words import PLAIN, batches, hash_prefixes, hash_runs, hash_spans, text_bytes, text_slices, word_spans
 from tidemark.staging import stage
 
-SLOT_BITS = 21
 PRIOR_SHARE = 0.1  # weight of the prior, as a share of all counts
 MIN_Z = 3.5  # log-odds in standard errors from which a token counts
-MIN_ODDS = 2.5  # and the log-odds themselves
+MIN_ODDS = 3.0  # and the log-odds themselves
 DRIFT = 0.1  # cost of a word that does not stand out
 STEMS = (4, 5, 6)  # first characters of a word that are tokens too
 THRESHOLD = 0.3
+MARK_BITS = 22  # first bits of a hash by which most words without a weight are told at once
+COUNTED = 4_000_000  # tokens that a task counts at a time
 
 
 @dataclass
 class Model:
-    slots: np.ndarray  # slots with a weight
+    tokens: np.ndarray  # sorted hashes of the tokens with a weight
     weights: np.ndarray
     rate: float = 1.0  # lambda
     constant: float = 1.0  # K
@@ -65,20 +67,31 @@ def _tokens(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return hashes, rows
 
 
-def _slots(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int32)
-
-
-def _packed_sets(sets: list[np.ndarray]) -> pa.Array:
-    """Sorted slots in two bytes each: how many share each value of the upper bits, then the lower bits."""
-    groups = 1 << SLOT_BITS - 16
-    return packed([np.concatenate([np.bincount(s >> 16, minlength=groups).astype(np.uint32).view(np.uint16), (s & 0xFFFF).astype(np.uint16)]) for s in sets], np.uint16)
-
-
-def _unpacked_set(raw: bytes) -> np.ndarray:
-    groups = 1 << SLOT_BITS - 16
-    counts = np.frombuffer(raw, np.uint32, groups)
-    return (np.repeat(np.arange(groups, dtype=np.int32), counts) << 16) | np.frombuffer(raw, np.uint16, offset=4 * groups)
+def _distinct_words(part: pa.RecordBatch) -> tuple[pa.Array, np.ndarray]:
+    """(distinct words of each text with a space after each, hash of all its words in order)."""
+    folded, starts, ends, rows = word_spans(*text_bytes(part.column("text")), PLAIN)
+    hashes = hash_spans(folded, starts, ends)
+    kept = [a + np.sort(np.unique(hashes[a:b], return_index=True)[1]) for a, b in zip(rows[:-1].tolist(), rows[1:].tolist())]
+    flat = np.concatenate([np.zeros(0, np.int64), *kept])
+    sizes = (ends - starts)[flat]
+    after = np.cumsum(sizes + 1)
+    out = np.full(int(sizes.sum()) + len(flat), 0x20, np.uint8)
+    within = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    out[np.repeat(after - sizes - 1, sizes) + within] = folded[np.repeat(starts[flat], sizes) + within]
+    offsets = np.concatenate([[0], after])[np.concatenate([[0], np.cumsum([len(k) for k in kept])])].astype(np.int32)
+    words = pa.StringArray.from_buffers(part.num_rows, pa.py_buffer(offsets), pa.py_buffer(out))
+    return words, hash_runs(hashes, rows[:-1], rows[1:])
+
+
+def _weights_of(model_tokens: np.ndarray, weights: np.ndarray, hashes: np.ndarray, marked: np.ndarray) -> np.ndarray:
+    """Weight of each token, 0 for those without one; ``marked`` tells which first bits the model's tokens have."""
+    out = np.zeros(hashes.shape, np.float32)
+    if len(model_tokens):
+        some = np.nonzero(marked[hashes >> np.uint64(64 - MARK_BITS)])
+        own = hashes[some]
+        place = np.minimum(np.searchsorted(model_tokens, own), len(model_tokens) - 1)
+        out[some] = np.where(model_tokens[place] == own, weights[place], 0)
+    return out
 
 
 def _labels(labels: DataFrame) -> DataFrame:
@@ -91,34 +104,43 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def token_counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(slot, toxic, clean): number of toxic and clean learning texts, copies aside, with a token of the slot."""
+    """(token, toxic, clean): number of toxic and clean learning texts, copies aside, with a token."""
 
-    def slots(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def distinct(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
             for part in text_slices(batch):
-                hashes, rows = _tokens(part)
-                found, spans = _slots(hashes), list(zip(rows[:-1].tolist(), rows[1:].tolist()))
-                same = hash_runs(hashes[0], rows[:-1], rows[1:])  # of the whole text, as its words
-                own = [np.unique(found[:, a:b]) for a, b in spans]
-                yield batches({"doc_id": part.column("doc_id"), "same": pa.array(same.view(np.int64)), "slots": _packed_sets(own)})
+                words, same = _distinct_words(part)
+                yield batches({"doc_id": part.column("doc_id"), "same": pa.array(same.view(np.int64)), "text": words})
+
+    def flush(waiting: list[tuple[int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        tokens, place = np.unique(np.concatenate([own for _, own in waiting]), return_inverse=True)
+        toxic = np.bincount(place, np.repeat([label for label, _ in waiting], [len(own) for _, own in waiting]), len(tokens)).astype(np.int64)
+        clean = np.bincount(place, minlength=len(tokens)) - toxic
+        for start in range(0, len(tokens), 100_000):
+            end = start + 100_000
+            yield batches({"token": pa.array(tokens[start:end].view(np.int64)), "toxic": pa.array(toxic[start:end]), "clean": pa.array(clean[start:end], pa.int64())})
 
     def count(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((2, 1 << SLOT_BITS), np.int32)
+        waiting, size = [], 0
         for batch in source:
-            for label, raw in zip(batch.column("toxic").to_pylist(), batch.column("slots").to_pylist()):
-                sums[label][_unpacked_set(raw)] += 1
-        found = np.flatnonzero(sums.any(axis=0))
-        for start in range(0, len(found), 100_000):
-            own = found[start : start + 100_000]
-            yield batches({"slot": pa.array(own, pa.int32()), "toxic": pa.array(sums[1][own], pa.int64()), "clean": pa.array(sums[0][own], pa.int64())})
+            for part in text_slices(batch):
+                hashes, rows = _tokens(part)
+                for label, a, b in zip(part.column("toxic").to_pylist(), rows[:-1].tolist(), rows[1:].tolist()):
+                    waiting.append((label, np.unique(hashes[:, a:b])))
+                    size += len(waiting[-1][1])
+                if size >= COUNTED:
+                    yield from flush(waiting)
+                    waiting, size = [], 0
+        if waiting:
+            yield from flush(waiting)
 
     learning = _texts(docs).filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    sets = learning.mapInArrow(slots, "doc_id long, same long, slots binary")
+    sets = learning.mapInArrow(distinct, "doc_id long, same long, text string")
     known = _labels(labels).withColumn("toxic", (F.col("toxic") > 0).cast("int"))
     sets = sets.join(known.hint("merge"), "doc_id")  # the same plan for any number of labels
-    one = sets.groupBy("same", "toxic").agg(F.min(F.struct("doc_id", "slots")).alias("one"))  # the same one in any run
-    counted = one.select("toxic", "one.slots").mapInArrow(count, "slot int, toxic long, clean long")
-    return counted.groupBy("slot").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    one = sets.groupBy("same", "toxic").agg(F.min(F.struct("doc_id", "text")).alias("one"))  # the same one in any run
+    counted = one.select("toxic", "one.text").mapInArrow(count, "token long, toxic long, clean long")
+    return counted.groupBy("token").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
 def learn_weights(docs: DataFrame, labels: DataFrame) -> Model:
@@ -126,7 +148,7 @@ def learn_weights(docs: DataFrame, labels: DataFrame) -> Model:
     counts = stage(token_counts(docs, labels), "token-counts")
     total = counts.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.coalesce(F.sum("clean"), F.lit(0))).first()
     if not total[0] or not total[1]:
-        return Model(np.zeros(0, np.int32), np.zeros(0))
+        return Model(np.zeros(0, np.uint64), np.zeros(0))
     mass = PRIOR_SHARE * (total[0] + total[1])
     prior = (F.col("toxic") + F.col("clean")) * PRIOR_SHARE
 
@@ -135,11 +157,13 @@ def learn_weights(docs: DataFrame, labels: DataFrame) -> Model:
         return F.log(own / (F.lit(float(sum_)) + mass - own))
 
     weighted = counts.select(
-        "slot", (odds("toxic", total[0]) - odds("clean", total[1])).alias("weight"),
+        "token", (odds("toxic", total[0]) - odds("clean", total[1])).alias("weight"),
         F.sqrt(1 / (F.col("toxic") + prior) + 1 / (F.col("clean") + prior)).alias("error"),
     )
-    kept = weighted.filter((F.col("weight") >= MIN_ODDS) & (F.col("weight") >= MIN_Z * F.col("error"))).orderBy("slot").toArrow()  # at most one row per slot
-    return Model(kept.column("slot").to_numpy(), kept.column("weight").to_numpy())
+    kept = weighted.filter((F.col("weight") >= MIN_ODDS) & (F.col("weight") >= MIN_Z * F.col("error"))).toArrow()  # the model
+    tokens, weights = kept.column("token").to_numpy().view(np.uint64), kept.column("weight").to_numpy()
+    order = np.argsort(tokens)
+    return Model(tokens[order], weights[order])
 
 
 def maximal_segments(sums: np.ndarray, gains: np.ndarray) -> list[tuple[int, int, float]]:
@@ -164,15 +188,15 @@ def maximal_segments(sums: np.ndarray, gains: np.ndarray) -> list[tuple[int, int
 
 def find_segments(docs: DataFrame, model: Model) -> DataFrame:
     """Per input row: doc_id, text_key, n_words, starts, ends, scores of its maximal segments."""
-    slots, weights = model.slots, model.weights
+    tokens, weights = model.tokens, model.weights
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(1 << SLOT_BITS, np.float32)
-        table[slots] = weights
+        marked = np.zeros(1 << MARK_BITS, bool)
+        marked[tokens >> np.uint64(64 - MARK_BITS)] = True
         for batch in source:
             for part in text_slices(batch):
                 hashes, rows = _tokens(part)
-                scores = table[_slots(hashes)].max(axis=0, initial=-np.inf).astype(np.float64) - DRIFT
+                scores = _weights_of(tokens, weights, hashes, marked).max(axis=0, initial=-np.inf).astype(np.float64) - DRIFT
                 gains = np.flatnonzero(scores > 0)
                 edges = np.searchsorted(gains, rows)
                 found = []

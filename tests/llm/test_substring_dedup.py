@@ -39,6 +39,19 @@ def test_recall_of_near_passages(spark):
     assert len(got) >= 0.95 * 60 and all(k % 2 for k in got)
 
 
+def test_first_holders_without_the_passage(spark):
+    passages = [prose(6000 + k, 51) for k in range(12)]
+    hosts = []
+    for passage in passages:
+        words = passage.split(" ")
+        for k in range(47):  # each shingle first stands in an unrelated text that has few others
+            filler = [f"zz{len(hosts)}"] * 25
+            hosts.append(" ".join(filler + words[k : k + 5] + filler))
+    got = removed(spark, hosts + passages + passages)
+    assert set(got) == set(range(len(hosts) + 12, len(hosts) + 24))
+    assert all(got[k][0][2] == k - 12 for k in got)
+
+
 def test_short_repeats_stay(spark):
     boiler = prose(77, 30)
     assert removed(spark, [inside(k, boiler)[0] for k in range(60)]) == {}

@@ -10,8 +10,10 @@ fill the bands.
 Paragraphs that collide in a band are compared with the first holder of the
 value, which takes one row per paragraph however many copies there are. Each
 pair of documents is verified once: along the diagonals of its collisions, and
-by the exact Jaccard similarity of the spans found. Spans that repeat an earlier
-document's go; linked spans form clusters, the components of all links.
+by the exact Jaccard similarity of the spans found. The first holder need not
+share the passage, so collisions that no verified span covers are then compared
+with all earlier holders of the value, at all their places. Spans that repeat an
+earlier document's go; linked spans form clusters, the components of all links.
 """
 
 from __future__ import annotations
@@ -96,21 +98,36 @@ def _band_rows(docs: DataFrame, marks: np.ndarray, words: int, bands: int) -> Da
     return docs.mapInArrow(run, "key long, doc_id long, at int")
 
 
-def _colliding(rows: DataFrame) -> DataFrame:
-    """(doc_id, other, ats, other_ats): pairs of documents with the places of their collisions."""
+def _paired(pairs: DataFrame) -> DataFrame:
+    """(doc_id, other, places): pairs of documents with the places of their collisions."""
+    place = F.collect_set(F.struct("at", "other_at"))
+    return stage(pairs.groupBy("doc_id", "other").agg(place.alias("places")), "pairs")
+
+
+def _colliding(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows that collide, but for a value's first; pairs of documents with first holders)."""
     common = F.col("key") >= COMMON_BIT
     value = Window.partitionBy("key").orderBy("doc_id", "at")
     hubs = rows.select("*", F.first("doc_id").over(value).alias("other"), F.first("at").over(value).alias("other_at"))
     apart = F.col("doc_id") != F.col("other")
     first = (F.col("at") == F.col("other_at")) & ~apart
-    kept = stage(hubs.filter(apart | (first & common)), "collisions")
+    kept = stage(hubs.filter(~first | common), "collisions")
     # The value of a common shingle is dealt out in parts: their first holders meet here.
     whole = Window.partitionBy("whole").orderBy("doc_id", "at")
-    heads = kept.filter(~apart).select("doc_id", "at", F.shiftright("key", PART_BITS).alias("whole"))
+    heads = kept.filter(first).select("doc_id", "at", F.shiftright("key", PART_BITS).alias("whole"))
     heads = heads.select("doc_id", "at", F.first("doc_id").over(whole).alias("other"), F.first("at").over(whole).alias("other_at"))
     pairs = kept.select("doc_id", "at", "other", "other_at").unionByName(heads).filter("doc_id <> other")
-    place = F.collect_list(F.struct("at", "other_at"))
-    return stage(pairs.groupBy("doc_id", "other").agg(place.alias("places")), "pairs")
+    return kept, _paired(pairs)
+
+
+def _uncovered(kept: DataFrame, links: DataFrame) -> DataFrame:
+    """Pairs of documents as above: collisions outside the verified spans with all earlier holders of the value."""
+    held = kept.select(F.shiftright("key", PART_BITS).alias("whole"), "doc_id", "at")
+    span = links.select(F.col("doc_id").alias("_id"), "start", (F.col("start") + F.col("n_words")).alias("end")).distinct()
+    inside = (F.col("doc_id") == F.col("_id")) & (F.col("at") >= F.col("start")) & (F.col("at") + SHINGLE_WORDS <= F.col("end"))
+    left = held.join(span, inside, "left_anti")
+    earlier = held.select("whole", F.col("doc_id").alias("other"), F.col("at").alias("other_at"))
+    return _paired(left.join(earlier, "whole").filter("other < doc_id").select("doc_id", "at", "other", "other_at"))
 
 
 def _jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -212,7 +229,9 @@ def repeated_passages(docs: DataFrame, words: int = PARAGRAPH_WORDS, similarity:
     """
     texts = _texts(docs)
     rows = _band_rows(texts, common_ngrams(texts, SHINGLE_WORDS), words, tuned_bands(similarity, recall))
-    links = _links(texts, _colliding(rows), words, similarity)
+    kept, pairs = _colliding(rows)
+    links = _links(texts, pairs, words, similarity)
+    links = links.union(_links(texts, _uncovered(kept, links), words, similarity))
 
     # Clusters link stretches of the length of a paragraph.
     def node(doc: str, start: str, k: Column) -> Column:

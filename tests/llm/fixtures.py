@@ -18,13 +18,14 @@ def edited(text, places, seed=0):
 
 
 ODD_TEXTS = [None, "", " ", "\n\t ", "one", "Two  words", "two words", "ünïcödé 漢字 😀 text", prose(1, 30000), "x" * 50000]
-DDL = "doc_id long, text string, hash string, name string, row long, n long, id long, block string, key string, component long"
+ODD_NAMES = "hash name row n id block key component _id _key _sha _spans _n _all key0 key1 key_id cut_id cut_spans segments same toxic words".split()
+DDL = "doc_id long, text string, " + ", ".join(f"{name} string" for name in ODD_NAMES)
 
 
 def table(spark, texts, ids=None):
     """Documents with columns whose names the operators use inside."""
     ids = range(len(texts)) if ids is None else ids
-    return spark.createDataFrame([(i, t, "h", "n", 1, 2, 3, "b", "k", 4) for i, t in zip(ids, texts)], DDL)
+    return spark.createDataFrame([(i, t, *ODD_NAMES) for i, t in zip(ids, texts)], DDL)
 
 
 def empty(spark):

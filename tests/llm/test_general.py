@@ -6,7 +6,7 @@ import pytest
 
 from tests.llm.fixtures import ODD_TEXTS, prose
 from tidemark.llm.graph import components
-from tidemark.llm.words import PLAIN, SPACED, hash_words, row_shingles, text_slices
+from tidemark.llm.words import PLAIN, SPACED, hash_runs, hash_words, row_shingles, text_slices
 
 
 def brute(links):
@@ -45,6 +45,25 @@ def test_equal_words_have_equal_hashes():
     assert len(hash_words(pa.array(["a-b c_d é1"]), PLAIN)[0]) == 5
 
 
+def test_rows_without_words_anywhere():
+    for empty in (None, "", " ", "..."):
+        for place in range(4):
+            texts = ["a b", "c", "a b"]
+            texts.insert(place, empty)
+            hashes, rows = hash_words(pa.array(texts, pa.string()), PLAIN)
+            runs = hash_runs(hashes, rows[:-1], rows[1:]).tolist()
+            own = runs.pop(place)
+            assert runs[0] == runs[2] != runs[1] and own not in runs
+    hashes, rows = hash_words(pa.array(["", None]), PLAIN)
+    assert len(hash_runs(hashes, rows[:-1], rows[1:])) == 2
+
+
+def test_nul_belongs_to_a_word():
+    hashes, rows = hash_words(pa.array(["a\0b c", "a b c", "\0"]), SPACED)
+    assert rows.tolist() == [0, 2, 5, 6] and len(set(hashes.tolist())) == 5
+    assert len(hash_words(pa.array(["a\0b"]), PLAIN)[0]) == 2
+
+
 def test_long_words_and_slices():
     texts = ["y" * 1_200_000 + " z", "y" * 1_200_000, "z"] * 2
     hashes, rows = hash_words(pa.array(texts), SPACED)

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from tests.llm import fixtures
 from tests.llm.fixtures import edited, prose
 from tests.llm.test_decontaminate import brute as brute_hits
 from tests.llm.test_ngram_join import brute as brute_groups
@@ -65,3 +66,23 @@ def test_run_is_all_stages(spark, folder):
 
 def test_stage_names():
     assert len(corpus_pipeline.STAGES) == 5 and decontaminate.WINDOW_WORDS == 10
+
+
+def test_odd_texts_and_clashing_names(spark, folder, tmp_path):
+    """Texts without words at any place of a slice, NULLs, and columns named like the operators' own."""
+    path = folder[0]
+    texts = [None, "", " ", "...", prose(1, 80), "", prose(2, 80), prose(2, 80), None, "\n", edited(prose(3, 80), 1), prose(3, 80), ""]
+    docs = fixtures.table(spark, texts, [None, *range(len(texts) - 2), 3])
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{path}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in rows} >= {3, 5} and len({r.sequence_id for r in rows}) == 1
+    out = docs
+    for _, step in corpus_pipeline.STAGES[:-1]:
+        out = step(spark, out, str(tmp_path))
+        assert out.columns == docs.columns and out.filter("_id <> '_id' OR n <> 'n' OR key0 <> 'key0'").count() == 0
+    nothing = fixtures.empty(spark)
+    for _, step in corpus_pipeline.STAGES[:-1]:
+        nothing = step(spark, nothing, path)
+        assert nothing.columns == docs.columns and nothing.count() == 0

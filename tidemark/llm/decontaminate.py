@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import fm_index
+from tidemark.llm.drops import unused
 from tidemark.llm.words import PLAIN, batches, hash_words, packed, text_bytes, text_slices, unpacked, word_spans
 from tidemark.staging import stage
 
@@ -238,23 +239,20 @@ def remove_spans(docs: DataFrame, report: DataFrame) -> DataFrame:
     word is dropped. ``n_chars``, if there is one, is counted anew.
     """
     columns = docs.columns
-    cuts = stage(
-        report.filter("n_hit > 0").select(
-            F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("spans").alias("_spans"),
-            (F.col("n_hit") == F.col("n_words")).alias("_all"),
-        )
-        .dropDuplicates(["_id", "_key"]), "cuts",
-    )
-    same = [F.col("_id").eqNullSafe(F.col("doc_id").cast("long")), F.col("_key") == F.xxhash64("text")]
-    joined = docs.join(cuts, same, "left").filter("_all IS NULL OR NOT _all")
+    own = unused(columns, "cut_id", "cut_key", "cut_spans", "cut_all")
+    cut_id, cut_key, cut_spans, cut_all = map(F.col, own)
+    found = report.filter("n_hit > 0").select("doc_id", "text_key", "spans", F.col("n_hit") == F.col("n_words"))
+    cuts = stage(found.toDF(*own).dropDuplicates(own[:2]), "cuts")
+    same = [cut_id.eqNullSafe(F.col("doc_id").cast("long")), cut_key == F.xxhash64("text")]
+    joined = docs.join(cuts, same, "left").filter(cut_all.isNull() | ~cut_all)
 
     @F.pandas_udf("string")
     def cut(text, spans):
         return text.combine(spans, _cut)
 
-    clean = joined.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(cut("text", "_spans")))
+    clean = joined.withColumn("text", F.when(cut_spans.isNull(), F.col("text")).otherwise(cut("text", cut_spans)))
     if "n_chars" in columns:
-        clean = clean.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.char_length("text")))
+        clean = clean.withColumn("n_chars", F.when(cut_spans.isNull(), F.col("n_chars")).otherwise(F.char_length("text")))
     return clean.select(*columns)
 
 

@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.drops import unused, without_rows
 from tidemark.staging import stage
 
 WHITE = r"[\x20\x09-\x0D]+"
@@ -128,19 +129,20 @@ def keep_first(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
 
     Rows are told apart by doc_id and text, so of rows that repeat both one stays.
     """
-    same = [F.col("_id").eqNullSafe(F.col("doc_id")), F.col("_sha") == F.sha2(normalised(F.col("text")).cast("binary"), 256)]
+    values = [F.col("doc_id"), F.sha2(normalised(F.col("text")).cast("binary"), 256)]
     groups = exact_groups(docs, block_bytes).filter("group_size > 1")
     keys = stage(
-        groups.groupBy(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-        .agg(F.max("kept").alias("_kept"), F.count(F.lit(1)).alias("_copies"))
-        .filter("NOT _kept OR _copies > 1"), "dropped",
+        groups.groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("copies"))
+        .filter("NOT kept OR copies > 1"), "dropped",
     )
-    single = docs.join(keys, same, "left_anti")
-    repeated = keys.filter("_kept")
+    single = without_rows(docs, keys.select("doc_id", "text_sha256"), values)
+    repeated = keys.filter("kept").select("doc_id", "text_sha256")
     if repeated.isEmpty():
         return single
-    first = Window.partitionBy("_id", "_sha").orderBy(*[c for c, kind in docs.dtypes if "map" not in kind])
-    again = docs.join(repeated, same).withColumn("_n", F.row_number().over(first)).filter("_n = 1")
+    key_id, key_sha, number = unused(docs.columns, "key_id", "key_sha", "number")
+    same = [F.col(key_id).eqNullSafe(values[0]), F.col(key_sha) == values[1]]
+    first = Window.partitionBy(key_id, key_sha).orderBy(*[c for c, kind in docs.dtypes if "map" not in kind])
+    again = docs.join(repeated.toDF(key_id, key_sha), same).withColumn(number, F.row_number().over(first)).filter(F.col(number) == 1)
     return single.unionByName(again.select(*docs.columns))
 
 

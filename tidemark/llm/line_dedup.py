@@ -20,15 +20,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.words import SPACED, batches, hash_runs, hash_spans, packed, text_bytes, text_slices, unpacked, word_spans
+from tidemark.llm.drops import unused
+from tidemark.llm.words import BREAK, SPACED, batches, hash_runs, hash_spans, packed, text_bytes, text_slices, unpacked, word_spans
 from tidemark.staging import stage
 
 RARE_DOCUMENTS = 50
 BLOCK_WORDS = 20
 
 _LINES = np.arange(256, dtype=np.uint8)
-_LINES[0] = 1
-_LINES[ord("\n")] = 0
+_LINES[ord("\n")] = BREAK
 
 
 def _line_table(docs: DataFrame) -> DataFrame:
@@ -235,9 +235,11 @@ def without_lines(docs: DataFrame, report: DataFrame) -> DataFrame:
     def cut(text, removed):
         return text.combine(removed, _cut)
 
-    cuts = stage(report.filter("n_removed > 0").select(F.col("doc_id").alias("_id"), F.col("removed").alias("_removed")), "cuts")
-    joined = docs.join(cuts, F.col("_id") == F.col("doc_id").cast("long"), "left")
-    text = F.when(F.col("_removed").isNull(), F.col("text")).otherwise(cut("text", "_removed"))
+    own = unused(docs.columns, "cut_id", "cut_lines")
+    cut_id, cut_lines = map(F.col, own)
+    cuts = stage(report.filter("n_removed > 0").select("doc_id", "removed").toDF(*own), "cuts")
+    joined = docs.join(cuts, cut_id == F.col("doc_id").cast("long"), "left")
+    text = F.when(cut_lines.isNull(), F.col("text")).otherwise(cut("text", cut_lines))
     return joined.withColumn("text", text).select(*docs.columns)
 
 

@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.drops import without_rows
 from tidemark.llm.graph import components
 from tidemark.llm.words import SPACED, batches, hash_words, mix, packed, row_shingles, text_slices, unpacked
 from tidemark.staging import stage
@@ -321,8 +322,8 @@ def keep_first(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> D
     Rows without doc_id stay, and so do all rows that repeat a kept doc_id.
     """
     found = similar_sets(docs, words, percent).filter("doc_id <> component_id")
-    dropped = stage(found.select(F.col("doc_id").alias("_id")).distinct(), "near-copies")
-    return docs.join(dropped, F.col("doc_id").cast("long") == F.col("_id"), "left_anti")
+    dropped = stage(found.select("doc_id").distinct(), "near-copies")
+    return without_rows(docs, dropped, [F.col("doc_id").cast("long")])
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

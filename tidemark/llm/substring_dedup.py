@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.drops import unused
 from tidemark.llm.graph import components
 from tidemark.llm.ngram_join import COMMON_BIT, PART_BITS, common_ngrams, slot_of
 from tidemark.llm.words import SPACED, batches, hash_words, mix, packed, text_bytes, text_slices, unpacked, windows, word_spans
@@ -260,9 +261,11 @@ def without_passages(docs: DataFrame, removals: DataFrame) -> DataFrame:
         return text.combine(spans, _cut)
 
     span = F.struct("start", (F.col("start") + F.col("n_words")).alias("end"))
-    cuts = stage(removals.groupBy(F.col("doc_id").alias("_id")).agg(F.sort_array(F.collect_list(span)).alias("_spans")), "cuts")
-    joined = docs.join(cuts, F.col("_id") == F.col("doc_id").cast("long"), "left")
-    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(cut("text", F.transform("_spans", lambda s: F.array(s["start"], s["end"]))))
+    own = unused(docs.columns, "cut_id", "cut_spans")
+    cut_id, cut_spans = map(F.col, own)
+    cuts = stage(removals.groupBy("doc_id").agg(F.sort_array(F.collect_list(span))).toDF(*own), "cuts")
+    joined = docs.join(cuts, cut_id == F.col("doc_id").cast("long"), "left")
+    text = F.when(cut_spans.isNull(), F.col("text")).otherwise(cut("text", F.transform(cut_spans, lambda s: F.array(s["start"], s["end"]))))
     return joined.withColumn("text", text).select(*docs.columns)
 
 

@@ -31,7 +31,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.words import PLAIN, batches, hash_prefixes, hash_runs, hash_spans, text_bytes, text_slices, word_spans
+from tidemark.llm.drops import unused
+from tidemark.llm.words import PLAIN, batches, hash_prefixes, hash_runs, hash_spans, hash_words, text_bytes, text_slices, word_spans
 from tidemark.staging import stage
 
 PRIOR_SHARE = 0.1  # weight of the prior, as a share of all counts
@@ -106,6 +107,12 @@ def _texts(docs: DataFrame) -> DataFrame:
 def token_counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(token, toxic, clean): number of toxic and clean learning texts, copies aside, with a token."""
 
+    def marked(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in source:
+            for part in text_slices(batch):
+                hashes, rows = hash_words(part.column("text"), PLAIN)
+                yield batches({"doc_id": part.column("doc_id"), "same": pa.array(hash_runs(hashes, rows[:-1], rows[1:]).view(np.int64))})
+
     def distinct(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
             for part in text_slices(batch):
@@ -135,11 +142,14 @@ def token_counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
             yield from flush(waiting)
 
     learning = _texts(docs).filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    sets = learning.mapInArrow(distinct, "doc_id long, same long, text string")
     known = _labels(labels).withColumn("toxic", (F.col("toxic") > 0).cast("int"))
-    sets = sets.join(known.hint("merge"), "doc_id")  # the same plan for any number of labels
-    one = sets.groupBy("same", "toxic").agg(F.min(F.struct("doc_id", "text")).alias("one"))  # the same one in any run
-    counted = one.select("toxic", "one.text").mapInArrow(count, "token long, toxic long, clean long")
+    # Ids decide which text of a label stands for its copies; words follow for these ids only.
+    # Merge joins: the same plan for any number of labels.
+    ids = learning.mapInArrow(marked, "doc_id long, same long").join(known.hint("merge"), "doc_id")
+    one = stage(ids.groupBy("same", "toxic").agg(F.min("doc_id").alias("doc_id")), "learning-texts")
+    sets = learning.mapInArrow(distinct, "doc_id long, same long, text string").join(one.hint("merge"), ["doc_id", "same"])
+    texts = sets.groupBy("doc_id", "same", "toxic").agg(F.first("text").alias("text"))  # a repeated row counts once
+    counted = texts.select("toxic", "text").mapInArrow(count, "token long, toxic long, clean long")
     return counted.groupBy("token").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
@@ -186,29 +196,41 @@ def maximal_segments(sums: np.ndarray, gains: np.ndarray) -> list[tuple[int, int
     return [(start, end, high - low) for low, high, start, end in open_]
 
 
+def _scanner(model: Model):
+    """A function from texts to (number of words, maximal segments) of each."""
+    tokens, weights, tables = model.tokens, model.weights, {}
+
+    def scan(part: pa.RecordBatch) -> tuple[np.ndarray, list[list[tuple[int, int, float]]]]:
+        if not tables:  # once per task
+            tables["marked"] = np.zeros(1 << MARK_BITS, bool)
+            tables["marked"][tokens >> np.uint64(64 - MARK_BITS)] = True
+        hashes, rows = _tokens(part)
+        scores = _weights_of(tokens, weights, hashes, tables["marked"]).max(axis=0, initial=-np.inf).astype(np.float64) - DRIFT
+        gains = np.flatnonzero(scores > 0)
+        edges = np.searchsorted(gains, rows)
+        found = []
+        for k in range(part.num_rows):
+            own = gains[edges[k] : edges[k + 1]]
+            if not len(own):
+                found.append([])
+                continue
+            sums = np.concatenate([[0.0], np.cumsum(scores[rows[k] : rows[k + 1]])])
+            found.append(maximal_segments(sums, own - rows[k]))
+        return np.diff(rows), found
+
+    return scan
+
+
 def find_segments(docs: DataFrame, model: Model) -> DataFrame:
     """Per input row: doc_id, text_key, n_words, starts, ends, scores of its maximal segments."""
-    tokens, weights = model.tokens, model.weights
+    scan = _scanner(model)
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marked = np.zeros(1 << MARK_BITS, bool)
-        marked[tokens >> np.uint64(64 - MARK_BITS)] = True
         for batch in source:
             for part in text_slices(batch):
-                hashes, rows = _tokens(part)
-                scores = _weights_of(tokens, weights, hashes, marked).max(axis=0, initial=-np.inf).astype(np.float64) - DRIFT
-                gains = np.flatnonzero(scores > 0)
-                edges = np.searchsorted(gains, rows)
-                found = []
-                for k in range(part.num_rows):
-                    own = gains[edges[k] : edges[k + 1]]
-                    if not len(own):
-                        found.append([])
-                        continue
-                    sums = np.concatenate([[0.0], np.cumsum(scores[rows[k] : rows[k + 1]])])
-                    found.append(maximal_segments(sums, own - rows[k]))
+                n_words, found = scan(part)
                 yield batches({
-                    "doc_id": part.column("doc_id"), "text_key": part.column("text_key"), "n_words": pa.array(np.diff(rows), pa.int64()),
+                    "doc_id": part.column("doc_id"), "text_key": part.column("text_key"), "n_words": pa.array(n_words, pa.int64()),
                     **{name: pa.array([[s[c] for s in own] for own in found], pa.list_(kind)) for c, (name, kind) in enumerate(
                         (("starts", pa.int64()), ("ends", pa.int64()), ("scores", pa.float64())))},
                 })
@@ -217,17 +239,17 @@ def find_segments(docs: DataFrame, model: Model) -> DataFrame:
     return _texts(docs).withColumn("text_key", F.xxhash64("text")).mapInArrow(run, ddl)
 
 
-def _excess(model: Model) -> Column:
-    """Per segment: lambda * score - ln(K n)."""
-    level = F.log(F.lit(model.constant) * F.greatest(F.col("n_words"), F.lit(1)))
-    return F.transform("scores", lambda s: s * model.rate - level)
+def _evidence(model: Model, n_words: Column, scores: Column) -> Column:
+    """Sum of lambda * score - ln(K n) over the segments beyond the law, or the best one's distance below it."""
+    level = F.log(F.lit(model.constant) * F.greatest(n_words, F.lit(1)))
+    excess = F.transform(scores, lambda s: s * model.rate - level)
+    beyond = F.aggregate(F.filter(excess, lambda x: x > 0), F.lit(0.0), lambda a, x: a + x)
+    best = F.coalesce(F.array_max(excess), -level)
+    return F.when(best > 0, beyond).otherwise(best)
 
 
-def _evidence(model: Model) -> Column:
-    """Sum over the segments beyond the law, or the best one's distance below it."""
-    beyond = F.aggregate(F.filter(_excess(model), lambda x: x > 0), F.lit(0.0), lambda a, x: a + x)
-    best = F.coalesce(F.array_max(_excess(model)), -F.log(F.lit(model.constant) * F.greatest(F.col("n_words"), F.lit(1))))
-    return F.when(best > 0, beyond).otherwise(best)
+def _score(model: Model, n_words: Column, scores: Column) -> Column:
+    return 1 / (1 + F.exp(-(_evidence(model, n_words, scores) * model.slope + model.intercept)))
 
 
 def _logistic(x: np.ndarray, hits: np.ndarray, totals: np.ndarray) -> tuple[float, float]:
@@ -262,7 +284,7 @@ def calibrate(model: Model, segments: DataFrame, labels: DataFrame) -> Model:
     model.rate = (seen[1] + 2) / (seen[2] + 2)
     model.constant = min(1.0, (seen[1] + 0.5) / (seen[0] + 1))
     # One row per half unit of evidence within fixed limits.
-    step = F.round(F.greatest(F.least(_evidence(model), F.lit(200.0)), F.lit(-50.0)) * 2) / 2
+    step = F.round(F.greatest(F.least(_evidence(model, F.col("n_words"), F.col("scores")), F.lit(200.0)), F.lit(-50.0)) * 2) / 2
     bins = known.groupBy(step.alias("x")).agg(F.sum((F.col("toxic") > 0).cast("long")).alias("hits"), F.count(F.lit(1)).alias("n")).orderBy("x").collect()
     if bins:
         x, hits, totals = (np.array([row[c] for row in bins], float) for c in range(3))
@@ -285,7 +307,8 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = learn_weights(docs, labels)
     segments = stage(find_segments(docs, model), "segments")
     model = calibrate(model, segments, labels)
-    score = 1 / (1 + F.exp(-(_evidence(model) * model.slope + model.intercept)))
+    columns = F.col("n_words"), F.col("scores")
+    score = _score(model, *columns)
     law = F.lit(model.constant) * F.greatest(F.col("n_words"), F.lit(1))
     passages = F.filter(
         F.transform(
@@ -296,15 +319,34 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     )
     return segments.select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "text_key", score.alias("score"),
-        (score >= THRESHOLD).cast("int").alias("predicted"), _evidence(model).alias("evidence"), passages.alias("passages"),
+        (score >= THRESHOLD).cast("int").alias("predicted"), _evidence(model, *columns).alias("evidence"), passages.alias("passages"),
     )
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose text is predicted toxic; all columns stay."""
-    toxic = score_documents(docs, labels).filter("predicted = 1").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
-    toxic = stage(toxic.distinct(), "toxic")
-    return docs.join(toxic, F.col("_id").eqNullSafe(F.col("doc_id").cast("long")) & (F.col("_key") == F.xxhash64("text")), "left_anti")
+    """``docs`` without the rows whose text is predicted toxic; all columns stay.
+
+    With the fitted model each text is judged where it is read, so no text is
+    shuffled to meet its decision.
+    """
+    model = learn_weights(docs, labels)
+    learning = docs.filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id").cast("long")))
+    model = calibrate(model, find_segments(learning, model), labels)
+    scan = _scanner(model)
+
+    @F.arrow_udf("struct<n_words: long, scores: array<double>>")
+    def found(text: pa.Array) -> pa.Array:
+        parts = []
+        for part in text_slices(batches({"text": text})):
+            n_words, segments = scan(part)
+            scores = pa.array([[s[2] for s in own] for own in segments], pa.list_(pa.float64()))
+            parts.append(pa.StructArray.from_arrays([pa.array(n_words, pa.int64()), scores], ["n_words", "scores"]))
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.struct([("n_words", pa.int64()), ("scores", pa.list_(pa.float64()))]))
+
+    segments, = unused(docs.columns, "segments")
+    judged = docs.withColumn(segments, found(F.col("text").cast("string")))
+    toxic = _score(model, F.col(segments)["n_words"], F.col(segments)["scores"]) >= THRESHOLD
+    return judged.filter(~toxic).select(*docs.columns)
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

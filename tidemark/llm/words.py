@@ -16,12 +16,14 @@ import pyarrow.compute as pc
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[ord("A") : ord("Z") + 1] += 32
 
+#: What tables map bytes between words to: no byte of UTF-8 text has this value.
+BREAK = 0xFF
 #: Words are what stands between ASCII white space; A-Z are lower-cased.
 SPACED = _FOLD.copy()
-SPACED[[0x20, *range(0x09, 0x0E)]] = 0
+SPACED[[0x20, *range(0x09, 0x0E)]] = BREAK
 #: Words are ASCII letters, digits and everything beyond ASCII; A-Z are lower-cased.
 PLAIN = _FOLD.copy()
-PLAIN[[*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]] = 0
+PLAIN[[*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]] = BREAK
 
 _RANDOM = np.random.Generator(np.random.PCG64(20240521))
 _BYTE = _RANDOM.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -82,7 +84,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def word_spans(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(folded bytes, first byte of each word, byte after each word, number of words before each row)."""
     folded = table[data]
-    inside = folded != 0
+    inside = folded != BREAK
     starts = inside.copy()
     starts[1:] &= ~inside[:-1]
     ends = inside.copy()
@@ -147,8 +149,8 @@ def windows(hashes: np.ndarray, size: int) -> np.ndarray:
 
 def hash_runs(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Hash of each run ``starts`` to ``ends`` of values of a flat array; runs may overlap."""
-    up, down = _tables(len(hashes))
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * up, dtype=np.uint64)])
+    up, down = _tables(len(hashes) + 1)  # an empty run may start after the last value
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * up[:-1], dtype=np.uint64)])
     return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _STEP)
 
 

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from tidemark.llm import decontaminate, exact_dedup, line_dedup, ngram_join, packing, preference, substring_dedup, surrogates, toxicity, url_filter
+from tidemark.llm import (
+    conversation_repair, decontaminate, exact_dedup, fill_middle, hamming_join, line_dedup, ngram_join, packing, preference,
+    substring_dedup, surrogates, toxicity, url_filter,
+)
 
-MODULES = [substring_dedup, toxicity, ngram_join, surrogates, line_dedup, preference, url_filter, decontaminate, exact_dedup, packing]
+MODULES = [
+    substring_dedup, toxicity, ngram_join, surrogates, line_dedup, preference, url_filter, decontaminate, exact_dedup, packing,
+    conversation_repair, fill_middle, hamming_join,
+]
 
 
 def all_queries() -> dict:

@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import forecast, sales
+from tidemark.operators import forecast, holt, sales
 
 
 def lines(spark, rows):
@@ -138,23 +138,40 @@ def test_holt_beats_the_moving_average_and_its_errors_replay(spark, small):
         assert fit["sse"] <= flat[region]["sigma"] ** 2 * fit["months"] * 2
 
 
-def test_holt_errors_match_a_plain_loop():
+def replayed(y, alpha, share, level, slope):
+    total, errors = 0.0, []
+    for value in y:
+        errors.append(value - level - slope)
+        old = level
+        level = level + slope + alpha * errors[-1]
+        slope = slope + share * (level - old - slope)
+    return errors, level, slope
+
+
+def best_start(y, alpha, share):
+    """Least-squares start by a linear solve; errors are linear in the start."""
+    import numpy as np
+
+    base, by_level, by_slope = (np.array(replayed(v, alpha, share, l, b)[0]) for v, l, b in ((y, 0, 0), ([0] * len(y), 1, 0), ([0] * len(y), 0, 1)))
+    return np.linalg.lstsq(np.column_stack([by_level, by_slope]), -base, rcond=None)[0]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_holt_fit_against_a_plain_loop(spark, seed):
     import numpy as np
 
-    y = np.array([3.0, 5, 4, 8, 9, 7, 12, 11])
-    fit = forecast._fit_holt(y)
-    alpha, share = fit["alpha"], fit["share"]
-
-    def sse(level, trend):
-        total = 0.0
-        for value in y:
-            error = value - level - trend
-            total += error**2
-            old = level
-            level = level + trend + alpha * error
-            trend = trend + share * (level - old - trend)
-        return total, level, trend
-
-    # The start is the least-squares one: no nearby start is better.
-    best = min(sse(l, b)[0] for l in np.linspace(-20, 20, 401) for b in np.linspace(-10, 10, 201))
-    assert fit["sse"] <= best + 1e-9
+    r = np.random.default_rng(seed)
+    series = [3 + 2 * np.arange(n) * (seed % 2) + r.normal(0, 1 + seed, n).cumsum() * 5 for n in (4, 9, 40)] + [np.full(12, 7.0), np.zeros(6)]
+    rows = spark.createDataFrame([(k, [float(v) for v in y]) for k, y in enumerate(series)], "k int, y array<double>")
+    found = {row["k"]: row["f"] for row in rows.select("k", holt.fit(F.col("y")).alias("f")).collect()}
+    for k, y in enumerate(series):
+        fit = found[k]
+        level, slope = best_start(y, fit["alpha"], fit["share"])
+        errors, last, trend = replayed(y, fit["alpha"], fit["share"], level, slope)
+        assert fit["sse"] == pytest.approx(np.square(errors).sum(), rel=1e-6, abs=1e-6)
+        assert (fit["level"] + fit["trend"], fit["sigma"]) == pytest.approx((last + trend, np.std(errors)), rel=1e-4, abs=1e-4)
+        coarse = []
+        for alpha in np.linspace(0.05, 0.95, 10):
+            for share in np.linspace(0, 0.9, 10):
+                coarse.append(np.square(replayed(y, alpha, share, *best_start(y, alpha, share))[0]).sum())
+        assert fit["sse"] <= min(coarse) * (1 + 1e-9) + 1e-9

@@ -2,16 +2,11 @@
 
 from __future__ import annotations
 
-import sys
-
-import numpy as np
-import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidemark.functions.numbers import ratio
+from tidemark.operators import holt
 from tidemark.operators.bars import KEYS
 from tidemark.operators.sales import monthly_total
 from tidemark.staging import stage
@@ -67,88 +62,24 @@ def moving_average_forecast(dense: DataFrame, keys: list[str], periods: int = 30
     return _forecast_rows(moving_average_levels(dense, keys, value), keys, periods, F.col("level"))
 
 
-HOLT_FIELDS = ["alpha", "beta", "level", "trend", "sse", "sigma"]
-HOLT_FIT = T.StructType([T.StructField(name, T.DoubleType()) for name in HOLT_FIELDS])
-# Workers get the fit with the task and need no copy of this package.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
-
-def _holt_errors(y, alpha, share):
-    """One-step errors of Holt's method for arrays of (alpha, share), and their start sensitivities.
-
-    Errors are linear in the start level and slope, so three runs give them
-    all: from (0, 0) and the changes by a unit of start level and of slope.
-    """
-    size = alpha.shape[0]
-    level = np.zeros((3, size))
-    trend = np.zeros((3, size))
-    level[1] = 1.0
-    trend[2] = 1.0
-    errors = np.empty((len(y), 3, size))
-    drive = np.array([1.0, 0.0, 0.0])[:, None]
-    for t, value in enumerate(y):
-        step = value * drive - (level + trend)
-        errors[t] = step
-        old = level
-        level = level + trend + alpha * step
-        trend = trend + share * ((level - old) - trend)
-    return errors, level, trend
-
-
-def _holt_grid(y, alphas, shares):
-    """Best (alpha, share) of a grid with the least-squares start, and its fit."""
-    alpha, share = (g.ravel() for g in np.meshgrid(alphas, shares, indexing="ij"))
-    errors, level, trend = _holt_errors(y, alpha, share)
-    base, by_level, by_slope = errors[:, 0], errors[:, 1], errors[:, 2]
-    a11, a12, a22 = (by_level**2).sum(0), (by_level * by_slope).sum(0), (by_slope**2).sum(0)
-    r1, r2 = -(by_level * base).sum(0), -(by_slope * base).sum(0)
-    det = a11 * a22 - a12**2
-    good = np.abs(det) > 1e-12 * np.maximum(a11 * a22, 1e-300)
-    safe = np.where(good, det, 1.0)
-    l0 = np.where(good, (r1 * a22 - r2 * a12) / safe, y[0])
-    b0 = np.where(good, (r2 * a11 - r1 * a12) / safe, 0.0)
-    resid = base + by_level * l0 + by_slope * b0
-    sse = (resid**2).sum(0)
-    i = int(np.argmin(sse))
-    return {
-        "alpha": alpha[i],
-        "share": share[i],
-        "beta": alpha[i] * share[i],
-        "level": level[0, i] + level[1, i] * l0[i] + level[2, i] * b0[i],
-        "trend": trend[0, i] + trend[1, i] * l0[i] + trend[2, i] * b0[i],
-        "sse": sse[i],
-        "sigma": float(np.std(resid[:, i])),
-    }
-
-
-def _fit_holt(y: np.ndarray) -> dict:
-    """Smoothing weights by a grid and two rounds of finer grids around the best point."""
-    best = _holt_grid(y, np.linspace(0.05, 0.95, 19), np.linspace(0.0, 0.95, 20))
-    for width in (0.05, 0.005):
-        alphas = np.clip(best["alpha"] + np.linspace(-width, width, 21), 1e-4, 1.0)
-        shares = np.clip(best["share"] + np.linspace(-width, width, 21), 0.0, 1.0)
-        best = _holt_grid(y, alphas, shares)
-    return best
-
-
-@F.pandas_udf(HOLT_FIT)
-def holt_fit(series: pd.Series) -> pd.DataFrame:
-    """Fit one monthly series per row (an array of a few hundred months at most)."""
-    fits = [_fit_holt(np.asarray(y, dtype=float)) for y in series]
-    return pd.DataFrame([[f[n] for n in HOLT_FIELDS] for f in fits], columns=HOLT_FIELDS)
-
-
 def holt_levels(dense: DataFrame, keys: list[str], value: str = "y", month: str = "month", least: int = 4) -> DataFrame:
     """Holt fit per series; series shorter than ``least`` months keep the moving-average level."""
     gathered = dense.groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.struct(month, value))).alias("_s"), F.max(month).alias("last_month"),
         F.max_by(value, month).alias("last_value"),
     )
-    long = gathered.where(F.size("_s") >= least)
+    # One row per series costs a fit each: dealt evenly, and not coalesced by size.
+    tasks = int(dense.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    long = gathered.where(F.size("_s") >= least).repartition(tasks)
     fitted = long.select(
-        *keys, "last_month", "last_value", F.size("_s").alias("months"), holt_fit(F.col("_s")[value]).alias("_f")
+        *keys, "last_month", "last_value", F.size("_s").alias("months"), holt.fit(F.col("_s")[value]).alias("_f")
+    )
+    # Staged: the fit is an expression of many folds, and the plan must not copy it per column.
+    fitted = stage(fitted, "holt-fits")
+    model = fitted.select(
+        *keys, "last_month", "last_value", "months", "_f.alpha", (F.col("_f.alpha") * F.col("_f.share")).alias("beta"),
+        "_f.level", "_f.trend", "_f.sse", "_f.sigma", F.lit("holt").alias("method"),
     )
-    model = fitted.select(*keys, "last_month", "last_value", "months", "_f.*", F.lit("holt").alias("method"))
     short = gathered.where(F.size("_s") < least).select(*keys, F.size("_s").alias("months"))
     simple = moving_average_levels(dense, keys, value, month)
     spare = simple.join(short, keys).select(

@@ -8,6 +8,7 @@ from tidemark.functions.text import letter_prefix
 from tidemark.operators import cleaning, forecast, quality, sales
 from tidemark.plans.common import SALES, money, quoted, r, rounded, with_ctes
 from tidemark.constants import STATE_CODES
+from tidemark.plans.holt_sql import holt_ahead, holt_ctes
 from tidemark.sources import files
 from tidemark.sources.tables import sales_lines
 from tidemark.staging import new_path
@@ -274,8 +275,9 @@ def holt_forecast(spark, d):
 
 
 def holt_fits(spark, d):
-    """The Holt fit of every state: weights, last level and slope, error."""
-    return rounded(forecast.holt_levels(_monthly(spark, d, "state"), ["state"]))
+    """The Holt fit of every state: weights, last level and slope, errors."""
+    fits = forecast.holt_levels(_monthly(spark, d, "state"), ["state"])
+    return rounded(fits.withColumn("rmse", F.sqrt(F.col("sse") / F.col("months"))).drop("sse"))
 
 
 def _dense_sql(key: str = "region") -> dict[str, str]:
@@ -295,6 +297,21 @@ def _dense_sql(key: str = "region") -> dict[str, str]:
     }
 
 
+def _holt_sql(key: str, periods: int) -> dict[str, str]:
+    """From the sales to ``dense``, ``fits`` and ``fc``; all series are long enough for a fit."""
+    keys = key.split(", ")
+    same = " AND ".join(f"m.{k} = g.{k}" for k in keys)
+    return {
+        "sales": f"SELECT *, 'all' AS series FROM ({SALES})",
+        "m": f"SELECT {key}, date_trunc('month', order_date) AS month, {money('sales')} AS y FROM sales GROUP BY ALL",
+        "dense": f"""SELECT {", ".join(f"g.{k}" for k in keys)}, CAST(g.month AS TIMESTAMP) AS month, COALESCE(m.y, 0) AS y FROM (SELECT {key},
+          unnest(generate_series(MIN(month), MAX(month), INTERVAL 1 MONTH)) AS month FROM m GROUP BY {key}) g
+          LEFT JOIN m ON {same} AND m.month = g.month""",
+        **holt_ctes(keys),
+        "fc": holt_ahead(keys, periods),
+    }
+
+
 _CUST = f"""SELECT customer_id, COUNT(DISTINCT order_id) AS orders, {money('sales')} AS revenue FROM sales
   WHERE customer_id IS NOT NULL GROUP BY customer_id"""
 _STATE_ROWS = ", ".join(f"('{name}', '{code}')" for name, code in STATE_CODES.items())
@@ -522,8 +539,36 @@ QUERIES = {
         stored_sales_kpis,
         with_ctes(_KPI_OUT.format(key=""), sales=SALES, k=_KPIS.format(key="", group=f"WHERE {FOCUS}")),
     ),
-    "sales_forecast": (sales_forecast, None),
-    "sales_forecast_summary": (sales_forecast_summary, None),
-    "holt_forecast": (holt_forecast, None),
-    "holt_fits": (holt_fits, None),
+    "sales_forecast": (
+        sales_forecast,
+        with_ctes(
+            f"""SELECT series, 'history' AS part, month AS ds, {r('y')} AS yhat, CAST(NULL AS DOUBLE) AS yhat_lower, CAST(NULL AS DOUBLE) AS yhat_upper FROM dense
+            UNION ALL SELECT series, 'forecast', ds, {r('yhat')}, {r('yhat_lower')}, {r('yhat_upper')} FROM fc""",
+            **_holt_sql("series", 120),
+        ),
+    ),
+    "sales_forecast_summary": (
+        sales_forecast_summary,
+        with_ctes(
+            f"""SELECT region, {r('AVG(yhat)')} AS avg_forecast, {r('MAX(yhat)')} AS max_forecast, {r('MIN(yhat)')} AS min_forecast,
+              {r('(arg_max(yhat, ds) - any_value(last_value)) / NULLIF(any_value(last_value), 0) * 100')} AS growth_pct
+            FROM fc JOIN (SELECT region, last_value FROM fits) USING (region) GROUP BY region""",
+            **_holt_sql("region", 30),
+        ),
+    ),
+    "holt_forecast": (
+        holt_forecast,
+        with_ctes(
+            f"SELECT region, category, step, ds, {r('yhat')} AS yhat, {r('yhat_lower')} AS yhat_lower, {r('yhat_upper')} AS yhat_upper FROM fc",
+            **_holt_sql("region, category", 30),
+        ),
+    ),
+    "holt_fits": (
+        holt_fits,
+        with_ctes(
+            f"""SELECT state, last_month, {r('last_value')} AS last_value, CAST(months AS INTEGER) AS months, {r('alpha')} AS alpha, {r('beta')} AS beta,
+              {r('level')} AS level, {r('trend')} AS trend, {r('sqrt(sse / months)')} AS rmse, {r('sigma')} AS sigma, 'holt' AS method FROM fits""",
+            **_holt_sql("state", 30),
+        ),
+    ),
 }

@@ -1,5 +1,6 @@
 import re
 
+import numpy as np
 import pytest
 
 from tests.llm.fixtures import ODD_TEXTS, edited, empty, prose, table
@@ -93,3 +94,19 @@ def test_boundary_follows_the_cost():
     rare = {s: (10, 0) for s in range(4, 65)}
     crowded = {s: (10, 10**6) for s in range(4, 65)}
     assert small_boundary(rare) <= small_boundary(crowded)
+
+
+def test_sketches_never_show_more_than_the_difference():
+    r = np.random.default_rng(3)
+    for shared, own in [(0, 0), (1, 1), (50, 5), (300, 60), (2000, 900)]:
+        both = r.integers(0, 2**63, shared, dtype=np.uint64)
+        a, b = (np.unique(np.concatenate([both, r.integers(0, 2**63, own, dtype=np.uint64)])) for _ in range(2))
+        shown = int(np.bitwise_count((ngram_join.parity_sketch(a) ^ ngram_join.parity_sketch(b)).view(np.uint64)).sum())
+        assert shown <= len(np.setxor1d(a, b)) and (own > 5 or shown >= 2 * own - 2)
+
+
+def test_near_copies_that_do_not_link(spark):
+    """Copies of one text, each with so many changes of its own that they link with nothing or with few."""
+    base = prose(21, 90)
+    texts = [base] + [edited(base, 4 + k % 3, k) for k in range(250)] + [edited(edited(base, 5, 900 + k // 2), k % 2, k) for k in range(60)]
+    assert sorted(map(tuple, similar_sets(table(spark, texts)).collect())) == brute(list(enumerate(texts)))

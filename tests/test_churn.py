@@ -137,28 +137,30 @@ def test_preparation_matches_plain_numbers(spark):
     prep = learning.prepare(df, ["v", "c"])
     filled = np.array([1, 3, 4, 7, 2.0])
     assert prep.numeric["v"] == (3.0, pytest.approx(filled.mean()), pytest.approx(filled.std()))
-    assert prep.categorical["c"] == ("a", ["a", "b"]) and prep.names == ["v", "c_a", "c_b"]
+    assert prep.categorical["c"] == ("a", 2) and prep.width == 3
+    assert [r["feature"] for r in prep.names().orderBy("number").collect()] == ["v", "c_a", "c_b"]
     unknown = spark.createDataFrame([(9, 3.0, "z")], "id int, v double, c string")
     assert learning.featurize(unknown, prep).first()["features"].toArray().tolist()[1:] == [0.0, 0.0]
 
 
 @pytest.mark.parametrize("choice", ["boosted", "forest"])
 def test_model_learns_and_attributions_add_up(spark, demo, choice):
-    from pyspark.ml.functions import vector_to_array
-
     model = learning.train_churn_model(demo, "Churn", "customerID", choice, trees=12)
     metrics = model.metrics().first()
     assert metrics["roc_auc"] > 0.65 and metrics["train_rows"] + metrics["test_rows"] == 2500
     scored = model.scored()
     assert scored.count() == 2500 and scored.where("Risk_Level = 'nan'").count() == 0
     assert model.importance(3).count() == 3
-    groups = attribution.leaf_groups(spark, model.model)
-    rows = model.model.transform(learning.featurize(model.data, model.prep)).select(
-        vector_to_array("features").alias("x"), vector_to_array("probability")[1].alias("p")
-    ).limit(60).collect()
-    x, p = np.array([r["x"] for r in rows]), np.array([r["p"] for r in rows])
-    want = np.log(p / (1 - p)) if choice == "boosted" else p
-    np.testing.assert_allclose(attribution.shapley(x, groups).sum(axis=1) + attribution.base_value(groups), want, atol=1e-9)
+    names = {r["feature"]: r["number"] for r in model.prep.names().collect()}
+    got = {names[r["feature"]]: r["importance"] for r in model.importance(1000).collect()}
+    np.testing.assert_allclose([got[k] for k in range(len(got))], model.model.featureImportances.toArray(), atol=1e-12)
+    walked = model.node_scores().toPandas()
+    np.testing.assert_allclose(walked["by_nodes"], walked["probability"], atol=1e-12)
+    base = attribution.base_value(model.leaves()).first()["base"]
+    found = {r["customerID"]: sum(r["attributions"]) + base for r in attribution.model_attributions(model).collect()}
+    assert len(found) == 2500
+    for name, p in zip(walked["customerID"], walked["probability"]):
+        assert found[name] == pytest.approx(np.log(p / (1 - p)) if choice == "boosted" else p, abs=1e-9)
     top = attribution.mean_abs_attribution(model, rows=100, top=5).collect()
     assert len(top) == 5 and top[0]["mean_abs"] >= top[-1]["mean_abs"] > 0
 
@@ -169,23 +171,22 @@ def test_attribution_matches_enumeration(spark, demo):
     from math import factorial
 
     model = learning.train_churn_model(demo, "Churn", "customerID", "boosted", trees=1)
-    groups = attribution.leaf_groups(spark, model.model)
-    x = np.array([r["features"].toArray() for r in learning.featurize(model.data, model.prep).limit(4).collect()])
-    used = sorted({int(f) for g in groups if g["size"] for f in g["feature"].ravel()})
+    leaves = model.leaves().collect()
+    some = model.featured().limit(4).persist()
+    x = np.array([r["features"].toArray() for r in some.collect()])
+    used = sorted({f for leaf in leaves for f in leaf["feature"]})
 
     def worth(row, known):
         total = 0.0
-        for g in groups:
-            for leaf in range(len(g["value"])):
-                term = g["value"][leaf]
-                for i in range(g["size"]):
-                    f = g["feature"][leaf, i]
-                    inside = g["low"][leaf, i] < row[f] <= g["high"][leaf, i]
-                    term *= float(inside) if f in known else g["share"][leaf, i]
-                total += term
+        for leaf in leaves:
+            term = leaf["value"]
+            for f, low, high, share in zip(leaf["feature"], leaf["low"], leaf["high"], leaf["share"]):
+                term *= float(low < row[f] <= high) if f in known else share
+            total += term
         return total
 
-    got = attribution.shapley(x, groups)
+    by_id = {r["customerID"]: r["attributions"] for r in attribution.model_attributions(model, some.drop("features")).collect()}
+    got = np.array([by_id[r["customerID"]] for r in some.collect()])
     n = len(used)
     for r, row in enumerate(x):
         for f in used:

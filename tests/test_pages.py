@@ -75,5 +75,6 @@ def test_from_csv_files_to_pages(spark, tmp_path):
     target = cleaning.infer_target_column(table)
     assert target == "Churn" and cleaning.validate_dataset(table, target).count() == 0
     model = learning.train_churn_model(table, target, choice="forest", trees=4)
-    assert "row_id" not in model.prep.names and {"Tenure_Months", "Contract_One year"} <= set(model.prep.names)
+    names = {r["feature"] for r in model.prep.names().collect()}
+    assert "row_id" not in names and {"Tenure_Months", "Contract_One year"} <= names
     assert pages.churn_page(model)["kpis"].first()["customers"] == 300

@@ -2,21 +2,22 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import functools
+from dataclasses import dataclass, field
 
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
-from pyspark.ml.feature import OneHotEncoder, StringIndexerModel, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.operators import evaluation
+from tidemark.operators import evaluation, trees
 from tidemark.operators.cleaning import feature_columns, normalize_target
-from tidemark.operators.ordered import quantiles
+from tidemark.operators.ordered import positions, quantiles
 from tidemark.operators.quality import draw_of
 from tidemark.operators.scoring import with_scores
-from tidemark.staging import stage
+from tidemark.staging import literal_table, stage
 
 SEED = 42
 
@@ -41,14 +42,36 @@ def stratified_split(df: DataFrame, label: str, id_column: str, test_share: floa
 
 @dataclass
 class Preparation:
-    """Values learned from the training rows for one feature table."""
+    """Values learned from the training rows for one feature table.
+
+    Category values stay in a staged table; the driver holds a few numbers per column.
+    """
 
     numeric: dict[str, tuple[float, float, float]]  # median, mean, deviation
-    categorical: dict[str, tuple[str, list[str]]]  # most frequent value, known values
+    categorical: dict[str, tuple[str, int]]  # most frequent value, number of known values
+    values: DataFrame  # feature, value, place: known category values, numbered per column
 
     @property
-    def names(self) -> list[str]:
-        return [*self.numeric, *[f"{c}_{v}" for c, (_, values) in self.categorical.items() for v in values]]
+    def width(self) -> int:
+        """Number of cells of a feature vector."""
+        return len(self.numeric) + sum(size for _, size in self.categorical.values())
+
+    def starts(self) -> dict[str, int]:
+        """The first cell of each text column."""
+        out, upto = {}, len(self.numeric)
+        for c, (_, size) in self.categorical.items():
+            out[c] = upto
+            upto += size
+        return out
+
+    def names(self) -> DataFrame:
+        """(number, feature): the name of each cell of a feature vector."""
+        spark = self.values.sparkSession
+        out = [literal_table(spark, list(enumerate(self.numeric)), ["number", "feature"])] if self.numeric else []
+        for c, start in self.starts().items():
+            own = self.values.where(F.col("feature") == c)
+            out.append(own.select((F.col("place") + start).cast("int").alias("number"), F.concat_ws("_", "feature", "value").alias("feature")))
+        return functools.reduce(DataFrame.unionByName, out)
 
 
 def impute_and_scale(df: DataFrame, columns: list[str], id_column: str) -> DataFrame:
@@ -101,8 +124,8 @@ def one_hot(df: DataFrame, columns: list[str], id_column: str) -> DataFrame:
 def prepare(train: DataFrame, columns: list[str]) -> Preparation:
     """Learn fills, scales and known values from the training rows.
 
-    What comes to the driver is one row per feature and one per known category
-    value, as many as the model has columns.
+    What comes to the driver is one row per feature. Known category values are
+    numbered in their order by range, and staged.
     """
     kinds = {f.name: f.dataType for f in train.schema.fields}
     numbers = [c for c in columns if isinstance(kinds[c], (T.NumericType, T.BooleanType))]
@@ -112,25 +135,23 @@ def prepare(train: DataFrame, columns: list[str]) -> Preparation:
         long = train.select(*[F.col(c).cast("double").alias(c) for c in numbers]).unpivot([], numbers, "feature", "value")
         found = {r["feature"]: r for r in numeric_facts(long).collect()}
         numeric = {c: (found[c]["median"], found[c]["mean"], found[c]["std"]) for c in numbers if c in found}
+    values = train.sparkSession.createDataFrame([], "feature string, value string, place long")
     if texts:
-        counts = category_counts(train, texts).cache()
-        try:
-            fills = {r["feature"]: r["fill"] for r in most_frequent(counts).collect()}
-            known: dict[str, list[str]] = {}
-            for row in counts.select("feature", "value").orderBy("feature", "value").toLocalIterator():
-                known.setdefault(row["feature"], []).append(row["value"])
-            categorical = {c: (fills[c], known[c]) for c in texts if c in known}
-        finally:
-            counts.unpersist()
-    return Preparation(numeric, categorical)
+        counts = stage(category_counts(train, texts), "categories")
+        numbered = positions(counts.select("feature", "value"), ["feature"], [F.col("value")], pos="place", total="size")
+        values = stage(numbered.select("feature", "value", "place", "size"), "category-places")
+        facts = most_frequent(counts).join(values.groupBy("feature").agg(F.max("size").alias("size")), "feature")
+        found = {r["feature"]: (r["fill"], r["size"]) for r in facts.collect()}
+        categorical = {c: found[c] for c in texts if c in found}
+    return Preparation(numeric, categorical, values.select("feature", "value", "place"))
 
 
 def featurize(df: DataFrame, prep: Preparation, out: str = "features") -> DataFrame:
     """Add the feature vector; unknown category values give zeros only.
 
-    Category values go through an indexer and a sparse encoder, so a column
-    with many values is still one expression. Index and encoder keep a slot
-    for unknown values, which the encoder drops.
+    Category values get their numbers by a join with the staged table, which Spark
+    broadcasts or not by its size, and become sparse cells by an encoder. The
+    encoder has one number more, for unknown values, and drops it.
     """
     scaled, inputs, scratch = [], [], []
     for i, (c, (median, mean, std)) in enumerate(prep.numeric.items()):
@@ -139,10 +160,14 @@ def featurize(df: DataFrame, prep: Preparation, out: str = "features") -> DataFr
         inputs.append(f"_n{i}")
     texts = [F.coalesce(F.col(c).cast("string"), F.lit(fill)).alias(f"_t{i}") for i, (c, (fill, _)) in enumerate(prep.categorical.items())]
     wide = df.select("*", *scaled, *texts)
-    for i, (_, values) in enumerate(prep.categorical.values()):
-        indexer = StringIndexerModel.from_labels(values, f"_t{i}", f"_i{i}", handleInvalid="keep")
-        wide = indexer.transform(wide)
-        scratch += [f"_t{i}", f"_i{i}"]
+    for i, (c, (_, size)) in enumerate(prep.categorical.items()):
+        places = prep.values.where(F.col("feature") == c).select(F.col("value").alias(f"_t{i}"), F.col("place").alias(f"_p{i}"))
+        wide = wide.join(places, f"_t{i}", "left")
+        # The encoder reads the number of values from the column's attributes, not from the rows.
+        nominal = {"ml_attr": {"type": "nominal", "num_vals": size + 1}}
+        index = F.coalesce(f"_p{i}", F.lit(size)).cast("double").alias(f"_i{i}", metadata=nominal)
+        wide = wide.select("*", index)
+        scratch += [f"_t{i}", f"_p{i}", f"_i{i}"]
     if prep.categorical:
         count = len(prep.categorical)
         encoder = OneHotEncoder(inputCols=[f"_i{i}" for i in range(count)], outputCols=[f"_h{i}" for i in range(count)])
@@ -150,7 +175,7 @@ def featurize(df: DataFrame, prep: Preparation, out: str = "features") -> DataFr
         inputs += encoder.getOutputCols()
     assembled = VectorAssembler(inputCols=inputs, outputCol=out).transform(wide).drop(*inputs, *scratch)
     # Without the column attributes every feature is a plain number to the trees.
-    others = [c for c in assembled.columns if c != out]
+    others = [c for c in df.columns if c != out]
     return assembled.select(*others, F.col(out).alias(out, metadata={}))
 
 
@@ -176,11 +201,38 @@ class ChurnModel:
     target: str
     id_column: str
     data: DataFrame  # cleaned rows with ``split``
+    staged: dict = field(default_factory=dict)  # tables read from the model, made once
+
+    @property
+    def boosted(self) -> bool:
+        return trees.is_boosted(self.model)
+
+    def featured(self, data: DataFrame | None = None) -> DataFrame:
+        return featurize(self.data if data is None else data, self.prep)
+
+    def nodes(self) -> DataFrame:
+        """The model as a table of nodes."""
+        if "nodes" not in self.staged:
+            self.staged["nodes"] = trees.node_table(self.data.sparkSession, self.model)
+        return self.staged["nodes"]
+
+    def leaves(self) -> DataFrame:
+        """The model as a table of leaf paths."""
+        if "leaves" not in self.staged:
+            self.staged["leaves"] = trees.leaf_table(self.nodes(), self.boosted)
+        return self.staged["leaves"]
+
+    def node_scores(self) -> DataFrame:
+        """(id, probability, by_nodes): the model's probability, and the one walked through the node table."""
+        raw = self.model.transform(self.featured()).select(
+            self.id_column, vector_to_array("features").alias("x"), vector_to_array(F.col("probability"))[1].alias("probability")
+        )
+        depth = max(tree.depth for tree in self.model.trees)
+        return trees.probabilities(raw, self.nodes(), self.boosted, depth, "x", "by_nodes").select(self.id_column, "probability", "by_nodes")
 
     def scored(self) -> DataFrame:
         """All rows (training rows too, told apart by ``split``) with probability, label and band."""
-        featured = featurize(self.data, self.prep)
-        raw = self.model.transform(featured)
+        raw = self.model.transform(self.featured())
         p = vector_to_array(F.col("probability"))[1]
         kept = raw.withColumn("_p", p).drop("features", "rawPrediction", "probability", "prediction")
         return with_scores(kept, F.col("_p"), self.target).drop("_p")
@@ -200,13 +252,19 @@ class ChurnModel:
         return base.select("*", auc.alias("roc_auc"), *[sizes.select(c).scalar().alias(c) for c in sizes.columns])
 
     def importance(self, top: int = 20) -> DataFrame:
-        """Features by importance; one value per feature column."""
-        values = self.model.featureImportances.toArray().tolist()
-        rows = list(zip(self.prep.names, values))
-        out = self.data.sparkSession.createDataFrame(rows, "feature string, importance double")
+        """Features by importance, from the gains of the node table; features without a split have 0."""
+        found = self.prep.names().join(trees.gains(self.nodes(), self.boosted), "number", "left")
+        out = found.select("feature", F.coalesce("importance", F.lit(0.0)).alias("importance"))
         return out.orderBy(F.desc("importance"), "feature").limit(top)
 
 
+def class_weights(train: DataFrame, target: str) -> DataFrame:
+    """(class, weight): weights that give every class the same sum, one on average."""
+    sizes = train.groupBy(target).agg(F.count(F.lit(1)).alias("n"))
+    mean = sizes.agg((F.sum("n") / F.count(F.lit(1))).alias("mean")).scalar()
+    return sizes.select(target, (mean / F.col("n")).alias("weight"))
+
+
 def train_churn_model(
     df: DataFrame, target: str, id_column: str | None = None, choice: str = "boosted", test_share: float = 0.25,
     balance: bool = True, trees: int | None = None,
@@ -229,12 +287,9 @@ def train_churn_model(
     ready = featurize(train, prep).select("features", F.col(target).cast("double").alias(target))
     weight = None
     if choice == "forest" and balance:
-        sizes = {r["y"]: r["n"] for r in train.groupBy(F.col(target).alias("y")).agg(F.count(F.lit(1)).alias("n")).collect()}
-        total, classes = sum(sizes.values()), len(sizes)
         weight = "_weight"
-        ready = ready.withColumn(
-            weight, F.create_map(*[F.lit(x) for y, n in sizes.items() for x in (float(y), total / (classes * n))])[F.col(target)]
-        )
+        per_class = stage(class_weights(train, target), "class-weights")
+        ready = ready.join(per_class.select(F.col(target).cast("double").alias(target), F.col("weight").alias(weight)), target)
     ready = ready.persist()
     try:
         model = classifier(choice, target, trees, weight).fit(ready)

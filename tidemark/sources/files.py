@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -114,3 +116,13 @@ def read_sales_table(spark: SparkSession, path: str, years: tuple[int, int] | No
     """The stored sales lines, of the given first to last year only if asked."""
     lines = spark.read.parquet(path)
     return lines.where(F.col("order_year").between(*years)) if years else lines
+
+
+def data_version(df: DataFrame) -> str:
+    """A mark that changes when a file behind ``df`` is replaced or added: names, sizes and times of all of them."""
+    spark, found = df.sparkSession, []
+    for name in sorted(df.inputFiles()):
+        path = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(name))
+        status = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path)
+        found.append(f"{name}|{status.getLen()}|{status.getModificationTime()}")
+    return hashlib.sha256("\n".join(found).encode()).hexdigest()

@@ -6,6 +6,7 @@ import pytest
 from tests.llm.fixtures import ODD_TEXTS, edited, empty, prose, table
 from tidemark.llm import ngram_join
 from tidemark.llm.ngram_join import keep_first, similar_sets, small_boundary
+from tidemark.llm.sketches import parity_sketch
 
 
 def grams(text):
@@ -101,7 +102,7 @@ def test_sketches_never_show_more_than_the_difference():
     for shared, own in [(0, 0), (1, 1), (50, 5), (300, 60), (2000, 900)]:
         both = r.integers(0, 2**63, shared, dtype=np.uint64)
         a, b = (np.unique(np.concatenate([both, r.integers(0, 2**63, own, dtype=np.uint64)])) for _ in range(2))
-        shown = int(np.bitwise_count((ngram_join.parity_sketch(a) ^ ngram_join.parity_sketch(b)).view(np.uint64)).sum())
+        shown = int(np.bitwise_count((parity_sketch(a) ^ parity_sketch(b)).view(np.uint64)).sum())
         assert shown <= len(np.setxor1d(a, b)) and (own > 5 or shown >= 2 * own - 2)
 
 

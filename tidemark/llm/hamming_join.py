@@ -12,7 +12,8 @@ probability ``1 - s``: in 16 of 80 at 0.8, with a deviation of 3.6.
 * Documents that meet form a list per key. Each document is first compared with one of the
   first documents of its lists, the one it meets most often. Only lists that
   hold several components after that are joined with themselves; a pair comes out of this
-  join if it is of two components, within the sizes and within the distance.
+  join if it is of two components, within the sizes and the distance, and if the sets' parity sketches
+  do not show that they differ too much, which they never show of a link.
 * Links are confirmed on the full sets.
 
 The threshold lies 4.3 deviations above the expected distance of the least similar link, which
@@ -33,6 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.graph import components
+from tidemark.llm.sketches import SKETCH, parity_sketches, sketches_allow
 from tidemark.llm.words import SPACED, batches, hash_words, mix, packed, row_shingles, text_slices, unpacked
 from tidemark.staging import stage
 
@@ -71,7 +73,7 @@ def signatures_of(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """Per input row: doc_id, n (size of the set), mark_a, mark_b (128 bits that name the set), signature as 64-bit words."""
+    """Per input row: doc_id, n (size of the set), mark_a, mark_b (128 bits that name the set), signature and parity sketch as 64-bit words."""
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
@@ -79,14 +81,15 @@ def signatures(docs: DataFrame, words: int = WORDS) -> DataFrame:
                 sets = _sets(part, words)
                 marks = [[np.add.reduce(mix(s * np.uint64(a) + np.uint64(b))).view(np.int64) for s in sets]
                          for a, b in ((0x2545F4914F6CDD1D, 1), (0x9E3779B97F4A7C15, 7))]
-                columns = signatures_of(sets).view("<i8")
+                columns, sketches = signatures_of(sets).view("<i8"), parity_sketches(sets)
                 yield batches({
                     "doc_id": part.column("doc_id"), "n": pa.array([len(s) for s in sets], pa.int64()),
                     "mark_a": pa.array(marks[0], pa.int64()), "mark_b": pa.array(marks[1], pa.int64()),
                     **{name: pa.array(columns[:, k]) for k, name in enumerate(_WORDS_OF_SIGNATURE)},
+                    **{name: pa.array(sketches[:, k]) for k, name in enumerate(SKETCH)},
                 })
 
-    ddl = "doc_id long, n long, mark_a long, mark_b long, " + ", ".join(f"{name} long" for name in _WORDS_OF_SIGNATURE)
+    ddl = "doc_id long, n long, mark_a long, mark_b long, " + ", ".join(f"{name} long" for name in [*_WORDS_OF_SIGNATURE, *SKETCH])
     return _texts(docs).mapInArrow(run, ddl)
 
 
@@ -130,9 +133,10 @@ def distance(a: str, b: str) -> Column:
     return F.expr(" + ".join(differing(name) for name in _WORDS_OF_SIGNATURE))
 
 
-def _fit(a: str, b: str, percent: int) -> Column:
-    """Two sizes can belong to one link."""
-    return F.expr(f"100 * {a}n >= {percent} * {b}n AND 100 * {b}n >= {percent} * {a}n")
+def _possible(percent: int) -> Column:
+    """Sets a and b may link: their sizes fit, their signatures are within the distance, their sketches allow it."""
+    fit = F.expr(f"100 * a.n >= {percent} * b.n AND 100 * b.n >= {percent} * a.n")
+    return fit & (distance("a.", "b.") <= DISTANCE) & sketches_allow("a.", "b.", percent)
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -173,7 +177,7 @@ def _near_links(docs: DataFrame, sets: DataFrame, words: int, percent: int) -> D
     best = stage(met.groupBy("id").agg(F.max(F.struct("met", (-F.col("hub")).alias("low"))).alias("best")).select("id", (-F.col("best.low")).alias("hub")), "best")
     a, b = sets.alias("a"), sets.alias("b")
     near = best.join(a, F.col("hub") == F.col("a.id")).join(b, best["id"] == F.col("b.id"))
-    near = near.filter((distance("a.", "b.") <= DISTANCE) & _fit("a.", "b.", percent))
+    near = near.filter(_possible(percent))
     first = confirmed(stage(near.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")), "first-pairs"), docs, words, percent)
 
     names = stage(components(first), "names")
@@ -183,7 +187,7 @@ def _near_links(docs: DataFrame, sets: DataFrame, words: int, percent: int) -> D
     left = stage(named.join(stage(mixed, "mixed"), "key", "left_semi").join(sets.drop("mark_a", "mark_b"), "id"), "mixed-lists")
     a, b = left.alias("a"), left.alias("b")
     apart = (F.col("a.id") < F.col("b.id")) & (F.col("a.component") != F.col("b.component"))
-    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & apart & _fit("a.", "b.", percent) & (distance("a.", "b.") <= DISTANCE))
+    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & apart & _possible(percent))
     pairs = stage(pairs.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct(), "second-pairs")
     return first.unionByName(confirmed(pairs, docs, words, percent))
 

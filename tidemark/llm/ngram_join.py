@@ -29,11 +29,12 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.drops import without_rows
 from tidemark.llm.graph import components
+from tidemark.llm.sketches import SKETCH, parity_sketches, sketches_allow
 from tidemark.llm.words import SPACED, batches, hash_words, mix, packed, row_shingles, text_slices, unpacked
 from tidemark.staging import stage
 
@@ -49,10 +50,6 @@ MARKED = 1 << 18
 COMMON = 4
 STRETCH_WORDS = 4_000_000
 
-#: Bits of a set's parity sketch, as 64-bit columns.
-SKETCH_BITS = 1024
-_SKETCH = [f"o{k}" for k in range(SKETCH_BITS // 64)]
-
 # A list's key: bit 62 for subsets, bit 61 for common n-grams, 56 bits of hash,
 # and five bits for the part of a common n-gram's list.
 PART_BITS = 5
@@ -144,21 +141,6 @@ def small_boundary(sizes: dict[int, tuple[int, int]], percent: int = PERCENT) ->
     return min(range(4, SMALL_SIZES + 1), key=cost)
 
 
-def parity_sketch(own: np.ndarray) -> np.ndarray:
-    """Per bit, whether an odd number of n-grams falls on it.
-
-    n-grams that two sets share cancel out of the sketches' difference, so no more
-    bits differ than n-grams do: a bound that never rules out a link.
-    """
-    return np.packbits(np.bincount((own & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1).view("<i8")
-
-
-def _sketches_allow(a: str, b: str, percent: int) -> Column:
-    """The differing n-grams that the sketches show are no more than a link may have."""
-    differ = " + ".join(f"bit_count({a}{name} ^ {b}{name})" for name in _SKETCH)
-    return F.expr(f"({differ}) * {100 + percent} <= {100 - percent} * ({a}n + {b}n)")
-
-
 def _heads(docs: DataFrame, marks: np.ndarray, words: int, percent: int) -> DataFrame:
     """(doc_id, n, sig_a, sig_b, head, sketch): size, 128-bit mark, first n-grams in global order and parity sketch of each set.
 
@@ -171,7 +153,7 @@ def _heads(docs: DataFrame, marks: np.ndarray, words: int, percent: int) -> Data
             for part in text_slices(batch):
                 sets = _sets(part, words)
                 heads, marks_a, marks_b = [], [], []
-                sketches = np.array([parity_sketch(own) for own in sets], np.int64).reshape(len(sets), -1)
+                sketches = parity_sketches(sets)
                 for own in sets:
                     marks_a.append(np.add.reduce(mix(own ^ np.uint64(0x5851F42D4C957F2D))).view(np.int64))
                     marks_b.append(np.add.reduce(mix(own * np.uint64(0x2545F4914F6CDD1D) + np.uint64(1))).view(np.int64))
@@ -183,10 +165,10 @@ def _heads(docs: DataFrame, marks: np.ndarray, words: int, percent: int) -> Data
                 yield batches({
                     "doc_id": part.column("doc_id"), "n": pa.array([len(s) for s in sets], pa.int64()),
                     "sig_a": pa.array(marks_a, pa.int64()), "sig_b": pa.array(marks_b, pa.int64()), "head": packed(heads),
-                    **{name: pa.array(sketches[:, k]) for k, name in enumerate(_SKETCH)},
+                    **{name: pa.array(sketches[:, k]) for k, name in enumerate(SKETCH)},
                 })
 
-    sketch = ", ".join(f"{name} long" for name in _SKETCH)
+    sketch = ", ".join(f"{name} long" for name in SKETCH)
     return _texts(docs).mapInArrow(run, f"doc_id long, n long, sig_a long, sig_b long, head binary, {sketch}")
 
 
@@ -324,14 +306,14 @@ def _near_links(docs: DataFrame, sets: DataFrame, boundary: int, words: int, per
     # A pair shares at most as many entries as either set has in these lists.
     met = left.filter(F.col("key") < _SUBSET_BIT).groupBy("id").agg(F.count(F.lit(1)).alias("met"))
     left = left.join(stage(met, "met"), "id", "left").fillna(0, ["met"])
-    left = stage(left.join(sets.select("id", *_SKETCH), "id"), "mixed-entries")
+    left = stage(left.join(sets.select("id", *SKETCH), "id"), "mixed-entries")
     a, b = left.alias("a"), left.alias("b")
     # Of the set whose head ends first, all entries up to there are known.
     rest = F.when(F.col("a.last") <= F.col("b.last"), F.col("a.n") - F.col("a.p")).otherwise(F.col("b.n") - F.col("b.p"))
     least = F.ceil(percent * (F.col("a.n") + F.col("b.n")) / (100 + percent)) - rest
     subset = F.col("a.key") >= _SUBSET_BIT
     apart = (F.col("a.id") < F.col("b.id")) & (F.col("a.component") != F.col("b.component"))
-    possible = F.expr(_fits("a.", "b.", percent)) & (subset | (least <= F.least("a.met", "b.met"))) & _sketches_allow("a.", "b.", percent)
+    possible = F.expr(_fits("a.", "b.", percent)) & (subset | (least <= F.least("a.met", "b.met"))) & sketches_allow("a.", "b.", percent)
     pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & apart & possible)
     pairs = pairs.groupBy(F.col("a.id").alias("a"), F.col("b.id").alias("b")).agg(
         F.count_if(~subset).alias("both"), F.bool_or(subset).alias("subset"), F.first(least).alias("least")

@@ -178,3 +178,35 @@ def test_compacted_log_reads_the_same(spark, tmp_path):
         got = live.latest_versions(spark, str(tmp_path / name), ["close"]).orderBy("open_time").collect()
         assert [r["close"] for r in got] == [1.0, 3.0]
     assert live.latest_versions(spark, str(tmp_path / "log"), ["close"], "2024-01-02").count() == 1
+
+
+def test_ledger_accounts_for_every_tick(spark, tmp_path):
+    """Six ticks in three files; two come more than an hour late. A second start and a batch that runs again change nothing."""
+    from tidemark.streaming import ledger
+
+    folder, out, changed = str(tmp_path / "in"), str(tmp_path / "ledger"), {}
+    os.makedirs(folder)
+
+    def after(rows, batch_id):
+        changed[batch_id] = sorted((r["open_time"].hour, r["open"], r["close"], r["trades"]) for r in rows.collect())
+
+    for name, hours in (("f1", [(1, 0.1), (2, 5.5)]), ("f2", [(3, 5.6), (4, 1.0), (7, 5.55)]), ("f3", [(5, 8.0), (6, 2.5)])):
+        land(spark, folder, name, hours)
+        for _ in range(2):
+            ledger.run_ledger(live.tick_stream(spark, f"{folder}/*"), "1h", out, str(tmp_path / "cp"), 3600, after).awaitTermination()
+    assert changed == {0: [(0, 1.0, 1.0, 1), (5, 2.0, 2.0, 1)], 1: [(5, 2.0, 3.0, 3)], 2: [(8, 5.0, 5.0, 1)]}
+    assert sorted((r["tick_id"], r["batch"]) for r in ledger.late_ticks(spark, out).collect()) == [(4, 1), (6, 2)]
+    bars_ = {r["open_time"].hour: (r["open"], r["high"], r["low"], r["close"], r["trades"], r["volume"], r["quote_volume"]) for r in ledger.ledger_bars(spark, out).collect()}
+    assert bars_ == {0: (1, 1, 1, 1, 1, 1, 1), 5: (2, 7, 2, 3, 3, 3, 12), 8: (5, 5, 5, 5, 1, 1, 5)}
+    assert [tuple(r)[2:] for r in ledger.progress(spark, out).orderBy("batch").collect()] == [(2, 0), (3, 1), (2, 1)]
+
+
+def test_ledger_without_ticks_that_count(spark, tmp_path):
+    from tidemark.streaming import ledger
+
+    folder, out = str(tmp_path / "in"), str(tmp_path / "ledger")
+    rows = [(1, dt.datetime(2024, 1, 1), 1, "s", None, "{}"), (2, dt.datetime(2024, 1, 1), 1, None, 1.0, None)]
+    spark.createDataFrame(rows, live.EVENT_SCHEMA).write.parquet(f"{folder}/f1")
+    land(spark, folder, "f2", [(3, 1.0)])
+    ledger.run_ledger(live.tick_stream(spark, f"{folder}/*"), "1h", out, str(tmp_path / "cp")).awaitTermination()
+    assert ledger.ledger_bars(spark, out).count() == 1 and ledger.late_ticks(spark, out).count() == 0

@@ -8,7 +8,9 @@ the loss of a driver or an executor neither loses nor doubles a bar.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -138,6 +140,15 @@ def batch_ids(spark: SparkSession, path: str) -> list[int]:
     return sorted(int(name.removeprefix("batch=")) for name in complete_folders(spark, path) if name.startswith("batch="))
 
 
+def land_in_order(spark: SparkSession, events: DataFrame, part: Column, count: int) -> Iterator[str]:
+    """Write the events part by part, 0 to ``count`` - 1, and yield the folder pattern after each: what a stream finds as time goes on."""
+    path = new_path(spark, "landing")
+    parts = stage(events.withColumn("_part", part), "arrivals")
+    for k in range(count):
+        parts.where(F.col("_part") == k).drop("_part").write.parquet(f"{path}/part={k:05d}")
+        yield f"{path}/*"
+
+
 def replay(spark: SparkSession, events: DataFrame) -> str:
     """Write events as files in mixed order, as many as the session's shuffle partitions, to stream them file by file."""
     path = new_path(spark, "landing")

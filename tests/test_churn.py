@@ -197,3 +197,17 @@ def test_attribution_matches_enumeration(spark, demo):
                 for s in combinations(rest, k)
             )
             assert got[r, f] == pytest.approx(value, abs=1e-9)
+
+
+def test_collinear_points_drop_across_chunks(spark, monkeypatch, many_ranges):
+    import random
+
+    monkeypatch.setattr(evaluation, "TURN_CHUNK", 3)
+    r = random.Random(4)
+    rows = [(int(r.random() < 0.5), k / 50) for k in range(50) for _ in range(1 + (k % 7 == 0))] + [(1, None)]
+    df = spark.createDataFrame(rows, "y int, p double")
+    whole = [tuple(x)[1:3] for x in evaluation.roc_points(df, "y", "p").orderBy("fp", "tp").collect()]
+    steps = [(b[0] - a[0], b[1] - a[1]) for a, b in zip(whole, whole[1:])]
+    want = [whole[0], whole[1], *[p for p, a, b in zip(whole[2:], steps[1:], steps[2:]) if a != b], whole[-1]]
+    got = [tuple(x)[1:3] for x in evaluation.roc_points(df, "y", "p", drop_collinear=True).orderBy("fp", "tp").collect()]
+    assert got == want and len(got) < len(whole)

@@ -134,3 +134,17 @@ def test_nan_counts_as_missing(spark):
     assert [tuple(r) for r in quality.missing_percent(df).collect()] == [("v", 50.0)]
     assert cleaning.feature_columns(df, "none") == ["w"]
     assert quality.describe(df).where("column_name = 'v'").first()["count"] == 2
+
+
+def test_dates_vote_on_their_format(spark):
+    cells = ["31/12/2020", "01/02/2020", " 13/05/2019 ", "02/28/2020", "2020-03-04", "junk", "", None]
+    df = spark.createDataFrame([(c, "2020-01-01") for c in cells], "a string, b string")
+    votes = {(r["column_name"], r["format"]): (r["parsed"], r["cells"], r["elected"]) for r in cleaning.date_votes(df, ["a", "b"]).collect()}
+    assert votes["a", "dd/MM/yyyy"] == (3, 6, True) and votes["a", "MM/dd/yyyy"] == (2, 6, False) and votes["a", "yyyy-MM-dd"] == (1, 6, True)
+    assert votes["b", "yyyy-MM-dd"] == (8, 8, True) and votes["a", "dd.MM.yyyy"][2] is False
+    formats = cleaning.elected_formats(df, ["a", "b"])
+    assert formats["a"][0] == "dd/MM/yyyy" and "MM/dd/yyyy" not in formats["a"]
+    table = df.withColumnsRenamed({"a": "Order Date", "b": "Ship Date"})
+    days = [r["Order Date"] for r in cleaning.clean_sales(table, dayfirst=None).select("Order Date").collect()]
+    assert [d and (d.month, d.day) for d in days] == [(12, 31), (2, 1), (5, 13), None, (3, 4), None, None, None]
+    assert cleaning.elected_formats(df.where("false"), ["a"]) == {"a": []}

@@ -110,3 +110,20 @@ def test_rules_are_silent_below_thirty_bars_and_on_missing_input(spark):
 def test_symbol_suffix_is_dropped_in_texts(spark):
     got = insights.market_insights(indicators.all_indicators(series(spark, [10 + (i * 7 % 5) for i in range(60)], "BTCUSDT"))).first()
     assert got["text"].startswith("BTC RSI at ")
+
+
+def test_listed_pairs_of_many_symbols(spark):
+    """Two hundred symbols, some bars missing, against numpy; the plan has no column per symbol."""
+    import numpy as np
+
+    r = np.random.default_rng(1)
+    moves = {f"s{k:03d}": {t: float(v) for t, v in enumerate(r.normal(size=40)) if r.random() < 0.9} for k in range(200)}
+    rows = [("1h", START + dt.timedelta(hours=t), s, v) for s, own in moves.items() for t, v in own.items()]
+    df = spark.createDataFrame(rows, "bar string, open_time timestamp_ntz, symbol string, returns double")
+    pairs = sorted({(f"s{a:03d}", f"s{b:03d}") for a, b in r.integers(0, 200, (1000, 2)).tolist()})
+    listed = spark.createDataFrame([*pairs, ("s000", "none"), (None, "s001"), ("s005", "s006"), ("s006", "s005")], "symbol_x string, symbol_y string")
+    got = {(row["symbol_x"], row["symbol_y"]): row["corr"] for row in correlation.correlation_matrix(df, listed).collect()}
+    assert set(got) == {*pairs, ("s005", "s006"), ("s006", "s005")}
+    for x, y in [*pairs[::50], ("s005", "s006"), ("s006", "s005")]:
+        both = sorted(set(moves[x]) & set(moves[y]))
+        assert got[x, y] == pytest.approx(np.corrcoef([moves[x][t] for t in both], [moves[y][t] for t in both])[0, 1])

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,6 +15,8 @@ from tidemark.staging import stage
 
 MONTH_FIRST = ["yyyy-MM-dd", "MM/dd/yyyy", "M/d/yyyy"]
 DAY_FIRST = ["yyyy-MM-dd", "dd/MM/yyyy", "d/M/yyyy"]
+#: Formats that a vote decides on.
+VOTED = ["yyyy-MM-dd", "MM/dd/yyyy", "dd/MM/yyyy", "M/d/yyyy", "d/M/yyyy", "yyyy/MM/dd", "dd.MM.yyyy", "dd-MM-yyyy", "MM-dd-yyyy", "yyyyMMdd"]
 
 
 def trim_headers(df: DataFrame) -> DataFrame:
@@ -32,6 +36,42 @@ def to_timestamp(text: Column | str, formats: list[str] | None = None, dayfirst:
     return F.coalesce(*tries)
 
 
+def date_votes(df: DataFrame, columns: list[str], formats: list[str] | None = None) -> DataFrame:
+    """How many cells of each text column each format reads, and which formats win: column_name, format, parsed, cells, elected.
+
+    All formats are tried in one aggregate. Formats that differ in the order of day
+    and month only read the same cells, so of these the one that reads the most is elected,
+    the first listed on a tie; formats of another shape are elected if they read any cell.
+    """
+    formats = formats or VOTED
+    tried = df.agg(*[
+        F.struct(
+            F.count(F.when(strip(c) != "", F.lit(1))).alias("cells"),
+            *[F.count(F.try_to_timestamp(strip(c), F.lit(f))).alias(f"f{i}") for i, f in enumerate(formats)],
+        ).alias(f"c{k}")
+        for k, c in enumerate(columns)
+    ])
+    rows = [
+        F.struct(
+            F.lit(c).alias("column_name"), F.lit(f).alias("format"), F.lit(i).alias("place"), F.lit(re.sub(r"\w", "9", f)).alias("shape"),
+            F.col(f"c{k}.f{i}").alias("parsed"), F.col(f"c{k}.cells").alias("cells"),
+        )
+        for k, c in enumerate(columns) for i, f in enumerate(formats)
+    ]
+    long = tried.select(F.inline(F.array(*rows)))
+    best = Window.partitionBy("column_name", "shape").orderBy(F.desc("parsed"), "place")  # a row per format
+    ranked = long.withColumn("elected", (F.row_number().over(best) == 1) & (F.col("parsed") > 0))
+    return ranked.select("column_name", "format", "parsed", "cells", "elected", "place")
+
+
+def elected_formats(df: DataFrame, columns: list[str], formats: list[str] | None = None) -> dict[str, list[str]]:
+    """The elected formats of each column, the one that reads the most cells first; a row per column and format comes to the driver."""
+    out: dict[str, list[str]] = {c: [] for c in columns}
+    for row in date_votes(df, columns, formats).where("elected").orderBy(F.desc("parsed"), "place").collect():
+        out[row["column_name"]].append(row["format"])
+    return out
+
+
 def coerce_number(df: DataFrame, name: str) -> Column:
     """A measure as double with 0 for missing or bad cells, and 0 for an absent column."""
     if name not in df.columns:
@@ -48,14 +88,18 @@ def clean_sales(
     dates: tuple[str, ...] = ("Order Date", "Ship Date"),
     measures: tuple[str, ...] = ("Sales", "Profit", "Quantity"),
     date_formats: list[str] | None = None,
-    dayfirst: bool = False,
+    dayfirst: bool | None = False,
     with_year: bool = True,
 ) -> DataFrame:
-    """Sales table with parsed dates, order year and month, and three filled measures."""
+    """Sales table with parsed dates, order year and month, and three filled measures.
+
+    Without formats and ``dayfirst`` (None), the cells of each date column vote on its formats.
+    """
     out = df
-    for name in dates:
-        if name in df.columns and isinstance(df.schema[name].dataType, T.StringType):
-            out = out.withColumn(name, to_timestamp(name, date_formats, dayfirst))
+    texts = [name for name in dates if name in df.columns and isinstance(df.schema[name].dataType, T.StringType)]
+    voted = elected_formats(df, texts) if texts and dayfirst is None and not date_formats else {}
+    for name in texts:
+        out = out.withColumn(name, to_timestamp(name, voted.get(name) or date_formats, bool(dayfirst)))
     order_date = dates[0]
     if order_date in df.columns:
         if with_year:

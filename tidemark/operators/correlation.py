@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.constants import CORRELATION_TEXTS
@@ -10,6 +10,7 @@ from tidemark.functions.numbers import corr_of
 from tidemark.functions.text import fill
 from tidemark.operators.indicators import ROLLING_CHUNK
 from tidemark.operators.ordered import chunked, positions, without_halo
+from tidemark.staging import literal_table, stage
 
 
 def aligned_returns(with_returns: DataFrame, symbols: list[str]) -> DataFrame:
@@ -24,19 +25,32 @@ def aligned_returns(with_returns: DataFrame, symbols: list[str]) -> DataFrame:
     return wide.dropna("any", subset=symbols)
 
 
-def correlation_matrix(aligned: DataFrame, symbols: list[str], pairs: list[tuple[str, str]] | None = None) -> DataFrame:
-    """Correlation of pairs of symbols per bar size, long form, from one pass over the bars.
+def pair_table(spark: SparkSession, pairs: list[tuple[str, str]]) -> DataFrame:
+    """A listed handful of pairs as a table (symbol_x, symbol_y)."""
+    return literal_table(spark, pairs, ["symbol_x", "symbol_y"])
 
-    ``pairs`` names the pairs to compute, by default each two of ``symbols`` and
-    each with itself. A pair is listed in both orders and computed once.
+
+def correlation_matrix(with_returns: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Correlation of the listed pairs (symbol_x, symbol_y) per bar size, over the bars at which both have a return.
+
+    The returns of a bar are gathered by symbol once; each listed pair then adds to its
+    co-moments in the task that holds the bar, and only these are shuffled. The plan is the same for any
+    number of symbols and pairs. A pair listed in both orders is computed once; a
+    pair of a symbol that never trades with the other is left out, a NULL pair too.
     """
-    pairs = pairs or [(a, b) for i, a in enumerate(symbols) for b in symbols[i:]]
-    row = aligned.groupBy("bar").agg(*[corr_of(F.col(a), F.col(b)).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
-    cells = []
-    for i, (a, b) in enumerate(pairs):
-        for x, y in dict.fromkeys([(a, b), (b, a)]):
-            cells.append(F.struct(F.lit(x).alias("symbol_x"), F.lit(y).alias("symbol_y"), F.col(f"c{i}").alias("corr")))
-    return row.select("bar", F.inline(F.array(*cells)))
+    pairs = stage(pairs.select("symbol_x", "symbol_y").dropna().distinct(), "wanted-pairs")
+    first, second = F.least("symbol_x", "symbol_y"), F.greatest("symbol_x", "symbol_y")
+    wanted = pairs.select(first.alias("a"), second.alias("b")).distinct()
+    named = wanted.select(F.col("a").alias("symbol")).union(wanted.select("b")).distinct()
+    known = with_returns.where(F.col("returns").isNotNull()).join(named, "symbol", "left_semi")
+    by_time = known.groupBy("bar", "open_time").agg(F.map_from_entries(F.collect_list(F.struct("symbol", "returns"))).alias("_of"))
+    listed = wanted.agg(F.collect_list(F.struct("a", "b"))).scalar()
+    each = by_time.select("bar", "_of", F.explode(listed).alias("_pair")).select(
+        "bar", "_pair.a", "_pair.b", F.try_element_at("_of", F.col("_pair.a")).alias("_x"), F.try_element_at("_of", F.col("_pair.b")).alias("_y")
+    )
+    found = each.where("_x IS NOT NULL AND _y IS NOT NULL").groupBy("bar", "a", "b").agg(corr_of(F.col("_x"), F.col("_y")).alias("corr"))
+    joined = pairs.join(found, (first == F.col("a")) & (second == F.col("b")))
+    return joined.select("bar", "symbol_x", "symbol_y", "corr")
 
 
 def rolling_correlation(aligned: DataFrame, a: str, b: str, size: int = 20) -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.numbers import ratio
-from tidemark.operators.ordered import running_sums
+from tidemark.operators.ordered import chunked, positions, running_sums, without_halo
+
+TURN_CHUNK = 10_000
 
 
 def _cells(df: DataFrame, label: str, predicted: str) -> DataFrame:
@@ -90,12 +92,30 @@ def _by_score(df: DataFrame, label: str, score: str) -> DataFrame:
     return running_sums(groups, [], [F.desc("score")], {"tp": F.col("pos"), "fp": F.col("neg")})
 
 
-def roc_points(df: DataFrame, label: str, score: str) -> DataFrame:
+def _turning_points(groups: DataFrame) -> DataFrame:
+    """Of scores in order, the highest, the lowest, and those after which the curve changes its step.
+
+    A score's neighbour below may lie in another range: scores are numbered by
+    range and windowed in chunks that carry the row before.
+    """
+    ranked = positions(groups, [], [F.col("score")], pos="_pos", total="_scores")
+    cut = chunked(ranked, [], TURN_CHUNK, 1, "_pos", "_scores")
+    below = Window.partitionBy("_chunk").orderBy("_pos")
+    turns = (F.lag("pos").over(below) != F.col("pos")) | (F.lag("neg").over(below) != F.col("neg"))
+    ends = (F.col("_pos") == 0) | (F.col("_pos") == F.col("_scores") - 1)
+    marked = without_halo(cut.withColumn("_kept", ends | F.coalesce(turns, F.lit(False))))
+    return marked.where("_kept").drop("_kept", "_pos", "_scores")
+
+
+def roc_points(df: DataFrame, label: str, score: str, drop_collinear: bool = False) -> DataFrame:
     """ROC curve: the start (0, 0), and one point per distinct score (rows at or above it count as positive).
 
-    The start has no threshold.
+    The start has no threshold. ``drop_collinear`` leaves out the points from which the
+    curve goes on as it came, by the same number of rows of both classes; the curve stays the same.
     """
     g = _by_score(df, label, score)
+    if drop_collinear:
+        g = _turning_points(g)
     tp, fp = F.col("tp_before") + F.col("pos"), F.col("fp_before") + F.col("neg")
     points = g.select(
         F.col("score").alias("threshold"),

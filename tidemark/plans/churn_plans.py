@@ -161,6 +161,12 @@ def roc_points(spark, d):
     return evaluation.roc_points(_short_score(spark, d), "Churn", "Churn_Probability")
 
 
+def roc_turns(spark, d):
+    """The ROC curve of a coarse score without the points on a line."""
+    scored = _short_score(spark, d).withColumn("Churn_Probability", F.round("Churn_Probability", 2))
+    return evaluation.roc_points(scored, "Churn", "Churn_Probability", drop_collinear=True)
+
+
 def roc_auc(spark, d):
     return rounded(evaluation.roc_auc(_short_score(spark, d), "Churn", "Churn_Probability"), 8)
 
@@ -407,6 +413,15 @@ QUERIES = {
         roc_points,
         with_ctes("SELECT score AS threshold, fp, tp, fp / NULLIF(n, 0) AS fpr, tp / NULLIF(p, 0) AS tpr FROM c UNION ALL SELECT NULL, 0, 0, 0, 0", **_ROC),
     ),
+    "roc_turns": (
+        roc_turns,
+        with_ctes(
+            """SELECT score AS threshold, fp, tp, fp / NULLIF(n, 0) AS fpr, tp / NULLIF(p, 0) AS tpr
+            FROM (SELECT *, LAG(score) OVER w AS above, LEAD(pos) OVER w AS pos_below, LEAD(neg) OVER w AS neg_below FROM c WINDOW w AS (ORDER BY score DESC))
+            WHERE above IS NULL OR pos_below IS NULL OR pos_below <> pos OR neg_below <> neg UNION ALL SELECT NULL, 0, 0, 0, 0""",
+            **{**_ROC, "g": _ROC["g"].replace("ROUND(Churn_Probability, 8)", "ROUND(ROUND(Churn_Probability, 8), 2)")},
+        ),
+    ),
     "roc_auc": (
         roc_auc,
         with_ctes(

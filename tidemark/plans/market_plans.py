@@ -9,7 +9,7 @@ from tidemark.functions.text import volume_label as volume_text
 from tidemark.operators import bars, correlation, forecast, indicators, insights, sales
 from tidemark.plans.common import MARKET, TICKS, bars_sql, r, rounded, with_ctes
 from tidemark.sources import files
-from tidemark.sources.tables import ticks
+from tidemark.sources.tables import table, ticks
 from tidemark.staging import new_path, stage
 
 PAIR = ["purchase", "view"]
@@ -120,7 +120,8 @@ def tail_bars(spark, d):
 
 
 def vol_change(spark, d):
-    return rounded(indicators.volatility_change(indicators.volatility(_series(spark, d))))
+    """From the latest volatility values on; older bars are dropped before any window."""
+    return rounded(indicators.volatility_change(indicators.volatility(indicators.recent(_series(spark, d), 9))))
 
 
 def returns_hist(spark, d):
@@ -133,11 +134,15 @@ def _aligned(spark, d):
     return correlation.aligned_returns(indicators.returns(_series(spark, d)), PAIR)
 
 
+def _returns_sizes(spark, d):
+    """Returns of two bar sizes."""
+    hourly = stage(_bars(spark, d), "hourly")
+    return indicators.returns(indicators.numbered(hourly.unionByName(bars.rollup(hourly, "4h")), columns=["close"]))
+
+
 def _aligned_sizes(spark, d):
     """Aligned returns of two bar sizes."""
-    hourly = stage(_bars(spark, d), "hourly")
-    series = indicators.numbered(hourly.unionByName(bars.rollup(hourly, "4h")), columns=["close"])
-    return correlation.aligned_returns(indicators.returns(series), PAIR)
+    return correlation.aligned_returns(_returns_sizes(spark, d), PAIR)
 
 
 def aligned_returns(spark, d):
@@ -145,7 +150,16 @@ def aligned_returns(spark, d):
 
 
 def corr_matrix(spark, d):
-    return rounded(correlation.correlation_matrix(_aligned_sizes(spark, d), PAIR))
+    pairs = correlation.pair_table(spark, [(x, y) for x in PAIR for y in PAIR])
+    return rounded(correlation.correlation_matrix(_returns_sizes(spark, d), pairs))
+
+
+def corr_pairs(spark, d):
+    """Correlation of every two neighbours in the list of symbols, for two bar sizes."""
+    names = F.array_sort(F.collect_set("event_type"))
+    listed = table(spark, d, "events").agg(names.alias("n")).select(F.arrays_zip("n", F.slice("n", 2, F.size("n")).alias("m")).alias("p"))
+    pairs = listed.select(F.explode("p").alias("p")).select(F.col("p.n").alias("symbol_x"), F.col("p.m").alias("symbol_y"))
+    return rounded(correlation.correlation_matrix(_returns_sizes(spark, d), pairs))
 
 
 def rolling_corr(spark, d):
@@ -409,6 +423,16 @@ QUERIES = {
             **_SIZES,
         ),
     ),
+    "corr_pairs": (
+        corr_pairs,
+        with_ctes(
+            f"""SELECT a.bar, x AS symbol_x, y AS symbol_y, {r(_PAIR_CORR.format(x='a.returns', y='b.returns', w=''))} AS corr
+            FROM (SELECT s AS x, LEAD(s) OVER (ORDER BY s) AS y FROM (SELECT DISTINCT event_type AS s FROM events)) p
+            JOIN ret a ON a.symbol = x JOIN ret b ON b.symbol = y AND b.bar = a.bar AND b.open_time = a.open_time
+            WHERE a.returns IS NOT NULL AND b.returns IS NOT NULL GROUP BY a.bar, x, y""",
+            **_SIZES,
+        ),
+    ),
     "rolling_corr": (rolling_corr, with_ctes(f"SELECT bar, open_time, {_columns('rolling_corr')} FROM rc", **_ROLLCORR)),
     "corr_insight": (
         corr_insight,

@@ -67,7 +67,9 @@ def market_page(ticks: DataFrame, bar: str, pair: tuple[str, str], vol_window: i
     latest = bars.latest_bars(bars.resample(ticks, bar))
     series = indicators.numbered(latest)
     full = indicators.all_indicators(series, vol_window)
-    aligned = correlation.aligned_returns(indicators.returns(series.where(F.col("symbol").isin(*pair))), list(pair))
+    moves = indicators.returns(series.where(F.col("symbol").isin(*pair)))
+    aligned = correlation.aligned_returns(moves, list(pair))
+    pairs = correlation.pair_table(ticks.sparkSession, [(x, y) for x in pair for y in pair])
     rolled = correlation.rolling_correlation(aligned, *pair, vol_window)
     percent = full.select("symbol", (F.col("returns") * 100).alias("returns_pct"))
     return {
@@ -75,7 +77,7 @@ def market_page(ticks: DataFrame, bar: str, pair: tuple[str, str], vol_window: i
         "kpis": insights.market_kpis(full, parse_ticker(bars.ticker_24h(ticks))),
         "volatility": indicators.volatility_change(full),
         "returns": sales.histogram(percent, "returns_pct", 40, ["symbol"]),
-        "correlation": correlation.correlation_matrix(aligned, list(pair)),
+        "correlation": correlation.correlation_matrix(moves, pairs),
         "rolling_correlation": rolled,
         "correlation_insight": correlation.correlation_insight(rolled, *pair),
         "normalized": indicators.normalized_returns(series),

@@ -67,6 +67,26 @@ def date_coerce(spark, d):
     )
 
 
+VOTED = {"yyyy-MM-dd": "%Y-%m-%d", "MM/dd/yyyy": "%m/%d/%Y", "dd/MM/yyyy": "%d/%m/%Y", "dd.MM.yyyy": "%d.%m.%Y"}
+_SHAPES = {"yyyy-MM-dd": 1, "MM/dd/yyyy": 2, "dd/MM/yyyy": 2, "dd.MM.yyyy": 3}
+_VOTES = " UNION ALL ".join(
+    f"""SELECT '{f}' AS format, {k} AS place, {_SHAPES[f]} AS shape, COUNT(try_strptime(Signup_Date, '{p}')) AS parsed,
+    COUNT(*) FILTER (trim(Signup_Date) <> '') AS cells FROM dirty""" for k, (f, p) in enumerate(VOTED.items())
+)
+
+
+def date_votes(spark, d):
+    """How many cells each format reads, and which formats win."""
+    return cleaning.date_votes(cleaning.tidy_headers(dirty_customers(spark, d)), ["Signup_Date"], list(VOTED)).drop("place")
+
+
+def date_by_vote(spark, d):
+    """Dates in two layouts, read by the formats that the cells elected."""
+    df = cleaning.tidy_headers(dirty_customers(spark, d))
+    formats = cleaning.elected_formats(df, ["Signup_Date"], list(VOTED))["Signup_Date"]
+    return df.select("customerID", cleaning.to_timestamp("Signup_Date", formats).alias("signed_up"))
+
+
 def numeric_coerce(spark, d):
     c = _tidy(spark, d)
     measures = ["Monthly_Charges", "Total_Charges", "Quantity"]
@@ -176,6 +196,20 @@ QUERIES = {
             **CTES,
         ),
     ),
+    "date_votes": (
+        date_votes,
+        with_ctes(
+            """SELECT 'Signup_Date' AS column_name, format, parsed, cells, parsed > 0 AND ROW_NUMBER() OVER (PARTITION BY shape ORDER BY parsed DESC, place) = 1 AS elected
+            FROM (""" + _VOTES + ")",
+            **CTES,
+        ),
+    ),
+    "date_by_vote": (
+        date_by_vote,
+        with_ctes(
+            """SELECT customerID, COALESCE(try_strptime(Signup_Date, '%Y-%m-%d'), try_strptime(Signup_Date, '%d/%m/%Y')) AS signed_up FROM dirty""", **CTES
+        ),
+    ),
     "numeric_coerce": (
         numeric_coerce,
         with_ctes(

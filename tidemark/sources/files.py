@@ -28,8 +28,8 @@ def standard_names(df: DataFrame) -> DataFrame:
 
 
 def load_sales(spark: SparkSession, path: str, date_formats: list[str] | None = None) -> DataFrame:
-    """A sales CSV, cleaned and ready for the sales operators."""
-    return standard_names(read_sales_csv(spark, path, date_formats))
+    """A sales CSV, cleaned and ready for the sales operators; without formats, the dates vote on theirs."""
+    return standard_names(clean_sales(trim_headers(read_csv_text(spark, path)), date_formats=date_formats, dayfirst=None))
 
 
 def read_customers_csv(spark: SparkSession, path: str) -> DataFrame:

@@ -173,3 +173,39 @@ def test_chunked_window_equals_whole_window(spark, pdf, many_ranges):
         got = collected(cut, ["m"])
         want = by_symbol(pdf, lambda g, h=halo: g.assign(m=g["close"].rolling(h + 1, min_periods=1).max()))
         same(got, want, ["m"])
+
+
+@pytest.mark.parametrize("margin", [None, 0.0])
+def test_quantiles_of_many_columns_match_pandas(spark, many_ranges, monkeypatch, margin):
+    """Ties, NULLs, one value only, no value at all; with bounds that miss the ranks all values are ranked instead."""
+    import numpy as np
+    import pandas as pd
+
+    from tidemark.operators import brackets
+
+    if margin is not None:
+        monkeypatch.setattr(brackets, "SKETCH_MARGIN", margin)
+        monkeypatch.setattr(brackets, "SKETCH_ACCURACY", 20)
+    r = np.random.default_rng(2)
+    n = 6000
+    pdf = pd.DataFrame({
+        "k": r.choice(["a", "b", "c"], n, p=[0.6, 0.39, 0.01]), "plain": r.normal(size=n), "tied": r.choice([1.0, 2.0, 2.5], n, p=[0.05, 0.9, 0.05]),
+        "one": 7.0, "some nulls": np.where(r.random(n) < 0.3, np.nan, r.integers(0, 50, n)), "count": r.integers(0, 10**6, n).astype(float),
+    })
+    rows = [tuple(None if isinstance(v, float) and np.isnan(v) else v for v in row) for row in pdf.itertuples(index=False)]
+    df = spark.createDataFrame([(*row, None) for row in rows], "k string, plain double, tied double, one double, `some nulls` double, count double, none double")
+    df = df.repartition(8)
+    probabilities, names = [0.0, 0.1, 0.5, 0.999, 1.0], ["p0", "p10", "p50", "p999", "p100"]
+    columns = ["plain", "tied", "one", "some nulls", "count"]
+    for keys in (["k"], []):
+        got = brackets.column_quantiles(df, keys, [*columns, "none"], probabilities, names, {"rows": F.count(F.lit(1))}).collect()
+        groups = pdf.groupby("k") if keys else [((), pdf)]
+        want = {(*([k] if keys else []), c): [*g[c].quantile(probabilities).tolist(), len(g)] for k, g in groups for c in columns}
+        for row in got:
+            key = (*[row[k] for k in keys], row["column_name"])
+            values = [row[c] for c in [*names, "rows"]]
+            if row["column_name"] == "none":
+                assert values[:-1] == [None] * 5
+            else:
+                assert values == pytest.approx(want.pop(key), rel=1e-12), key
+        assert not want

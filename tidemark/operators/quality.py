@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.numbers import present
-from tidemark.operators.ordered import quantiles
+from tidemark.operators.brackets import column_quantiles
 
 
 def _numeric(df: DataFrame) -> list[str]:
@@ -50,27 +50,35 @@ def column_info(df: DataFrame) -> DataFrame:
 def describe(df: DataFrame, columns: list[str] | None = None, approximate: bool = False) -> DataFrame:
     """Count, mean, sample deviation, extremes and quartiles per numeric column.
 
-    Quartiles are exact; ``approximate`` takes them from a sketch in the same pass.
+    All columns are aggregated side by side. Quartiles are exact, from one more pass;
+    ``approximate`` takes them from a sketch in the same pass.
     """
     columns = columns or _numeric(df)
-    long = df.select(*[present(df, c).cast("double").alias(c) for c in columns]).unpivot([], columns, "column_name", "value")
-    figures = [
-        F.count("value").alias("count"),
-        F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
+    plain = df.select(*[present(df, c).cast("double").alias(c) for c in columns])
+    figures = {}
+    for j, c in enumerate(columns):
+        x = F.col(f"`{c}`")
+        for name, f in (("count", F.count), ("mean", F.avg), ("std", F.stddev_samp), ("min", F.min), ("max", F.max)):
+            figures[f"{name}{j}"] = f(x)
+    quartiles = ["q25", "q50", "q75"]
+    if approximate:
+        sketch = [F.approx_percentile(f"`{c}`", [0.25, 0.5, 0.75], 10_000).alias(f"q{j}") for j, c in enumerate(columns)]
+        one = plain.agg(*[value.alias(name) for name, value in figures.items()], *sketch)
+        picks = {j: [F.col(f"q{j}")[i].alias(n) for i, n in enumerate(quartiles)] for j in range(len(columns))}
+    else:
+        one = column_quantiles(plain, [], columns, [0.25, 0.5, 0.75], quartiles, figures)
+        picks = {j: [F.col(n) for n in quartiles] for j in range(len(columns))}
+    rows = [
+        F.struct(
+            F.lit(c).alias("column_name"), F.col(f"count{j}").alias("count"), F.col(f"mean{j}").alias("mean"), F.col(f"std{j}").alias("std"),
+            F.col(f"min{j}").alias("min"), *picks[j], F.col(f"max{j}").alias("max"),
+        )
+        for j, c in enumerate(columns)
     ]
     if approximate:
-        sketch = F.approx_percentile("value", [0.25, 0.5, 0.75], 10_000)
-        rough = long.groupBy("column_name").agg(*figures, sketch.alias("q"))
-        picks = [F.col("q")[i].alias(n) for i, n in enumerate(("q25", "q50", "q75"))]
-        return rough.select("column_name", "count", "mean", "std", "min", *picks, "max")
-    moments = long.groupBy("column_name").agg(*figures)
-    quarts = quantiles(long, ["column_name"], "value", [0.25, 0.5, 0.75], ["q25", "q50", "q75"])
-    return moments.join(quarts, "column_name", "left").select(
-        "column_name", "count", "mean", "std", "min", "q25", "q50", "q75", "max"
-    )
+        return one.select(F.inline(F.array(*rows)))
+    own = F.filter(F.array(*rows), lambda r: r["column_name"] == F.col("column_name"))
+    return one.select(F.inline(own))
 
 
 def drop_incomplete(df: DataFrame, drop_columns: list[str] | None = None) -> DataFrame:

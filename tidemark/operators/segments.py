@@ -9,7 +9,8 @@ from pyspark.sql import types as T
 from tidemark import constants as C
 from tidemark.functions.bands import rank_band, tenure_band
 from tidemark.functions.numbers import no_nan, ratio, to_double
-from tidemark.operators.ordered import positions, quantiles
+from tidemark.operators.brackets import column_quantiles
+from tidemark.operators.ordered import positions
 from tidemark.staging import stage
 
 
@@ -115,4 +116,5 @@ def tenure_charge_pivot(segmented: DataFrame) -> DataFrame:
 
 def charge_quartiles(scored: DataFrame, charge: str = "MonthlyCharges") -> DataFrame:
     """Exact box-plot statistics of the charge per risk band."""
-    return quantiles(scored, ["Risk_Level"], charge, [0.0, 0.25, 0.5, 0.75, 1.0], ["lowest", "q25", "q50", "q75", "highest"])
+    found = column_quantiles(scored, ["Risk_Level"], [charge], [0.0, 0.25, 0.5, 0.75, 1.0], ["lowest", "q25", "q50", "q75", "highest"])
+    return found.where("lowest IS NOT NULL").drop("column_name")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.constants import DRIVERS_TEXT
 from tidemark.operators import attribution, evaluation, insights, learning
 from tidemark.plans.common import CUSTOMERS, rounded, with_ctes
 from tidemark.sources.files import data_version
@@ -51,6 +52,14 @@ def driver_text(spark, d):
     return insights.driver_text(trained(spark, d, "boosted").importance())
 
 
+def driver_text_of_rates(spark, d):
+    """The sentence for features weighed by how far churn rates differ between their values."""
+    data = customers(spark, d)
+    rates = data.unpivot([TARGET], _TEXTS, "feature", "value").groupBy("feature", "value").agg(F.avg(TARGET).alias("rate"))
+    gaps = rates.groupBy("feature").agg((F.max("rate") - F.min("rate")).alias("importance"))
+    return insights.driver_text(gaps)
+
+
 def model_report(spark, d):
     return rounded(evaluation.report(trained(spark, d, "forest").test_scores(), TARGET, "Predicted_Churn"))
 
@@ -199,4 +208,13 @@ QUERIES = {
     "feature_importance": (feature_importance, None),
     "driver_text": (driver_text, None),
     "mean_abs_attribution": (mean_abs_attribution, None),
+    "driver_text_of_rates": (
+        driver_text_of_rates,
+        with_ctes(
+            "SELECT replace('" + DRIVERS_TEXT.replace("'", "''") + """', '{features}', list_aggregate(list(replace(feature, '_', ' ') ORDER BY gap DESC, feature), 'string_agg', ', ')) AS interpretation
+            FROM (SELECT feature, MAX(rate) - MIN(rate) AS gap FROM rates GROUP BY feature)""",
+            customers=CUSTOMERS,
+            rates=" UNION ALL ".join(f"SELECT '{c}' AS feature, {c} AS value, AVG(Churn) AS rate FROM customers GROUP BY {c}" for c in _TEXTS),
+        ),
+    ),
 }

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import shutil
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -18,10 +20,25 @@ RUNTIME_SETTINGS = {
 }
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors of a cluster, once per application; on a local master they have it."""
+    context = spark.sparkContext
+    if context.master.startswith("local") or context.applicationId in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="tidemark-"), "tidemark")
+    context.addPyFile(shutil.make_archive(target, "zip", os.path.dirname(root), os.path.basename(root)))
+    _SHIPPED.add(context.applicationId)
+
+
 def apply_settings(spark: SparkSession) -> SparkSession:
-    """Put the settings on a session that was built elsewhere."""
+    """Put the settings on a session that was built elsewhere, and the package on its executors."""
     for name, value in RUNTIME_SETTINGS.items():
         spark.conf.set(name, value)
+    ship_package(spark)
     return spark
 
 
@@ -44,4 +61,6 @@ def get_session(app_name: str = "tidemark", master: str | None = None, **conf) -
             )
     for name, value in conf.items():
         builder = builder.config(name.replace("__", "."), str(value))
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from tests.llm.fixtures import ODD_TEXTS, empty, prose, table
 from tidemark.llm.line_dedup import BLOCK_WORDS, patience_blocks, repeated_lines, without_lines
@@ -111,3 +112,18 @@ def test_patience_blocks_are_common_and_in_order():
             last = (i + n, j + n)
     one = np.arange(50, dtype=np.uint64)
     assert patience_blocks(one, np.delete(one, [10, 30])) == [(0, 0, 10), (11, 10, 19), (31, 29, 19)]
+
+
+@pytest.mark.parametrize("rare", [0, 2, 50])
+def test_rare_lines_and_runs_complete_each_other(spark, rare):
+    """Whatever counts as rare, the same lines go from texts whose common lines stand in one order."""
+    r = random.Random(8)
+    shared = [[prose(7000 + 10 * k + j, 8) for j in range(4)] for k in range(6)]
+    texts = []
+    for k in range(60):
+        own = [prose(8000 + 10 * k + j, 7) for j in range(3)]
+        texts.append("\n".join([own[0], *shared[k % 6], own[1], *(shared[5] if k % 4 == 0 and k % 6 != 5 else []), own[2]]))
+    r.shuffle(texts)
+    whole = {row.doc_id: row.removed for row in repeated_lines(table(spark, texts), rare_documents=10**6).collect()}
+    assert {row.doc_id: row.removed for row in repeated_lines(table(spark, texts), rare_documents=rare).collect()} == whole
+    assert sum(map(len, whole.values())) > 50

@@ -1,13 +1,17 @@
 """Line dedup by pairwise alignment.
 
-Documents that share blocks are found through runs of lines: from each line and
-to each line the shortest run of consecutive lines with enough words for a block.
-Every document is paired with the first holder of each of its runs, however many
-documents hold it, so the number of pairs is bounded by the number of lines, also
-for a group of many copies. The runs in a block cover it, so no line of a block
-that an earlier document has goes unpaired. Each pair is aligned by patience diff,
-and blocks of common lines go from the later document; so do shared runs that
-stand elsewhere in the alignment. The first holder of a run never loses it.
+Documents that share a rare line are paired, each with the line's first holder, and
+aligned by patience diff; blocks of common lines go from the later document.
+
+Blocks without a rare line, and blocks that their documents' first holders do not show, are
+found through runs of lines: from each line and to each line the shortest run of
+consecutive lines with enough words for a block. Every document is paired with the
+first holder of each of its runs that no block covers yet, however many documents
+hold it, so the number of pairs is bounded by the number of lines, also for a
+group of many copies. The runs in a block cover it, so no line of a block that an
+earlier document has goes unpaired. These pairs are aligned in the same way;
+shared runs that stand elsewhere in the alignment go too. The first holder of a
+run never loses it.
 """
 
 from __future__ import annotations
@@ -67,8 +71,26 @@ def _runs(words: np.ndarray, rows: np.ndarray, block_words: int) -> tuple[np.nda
     return both[0], both[1]
 
 
-def _pairs(lines: DataFrame, block_words: int) -> DataFrame:
-    """(row, other, places): each document with the first holders of its runs and where these stand."""
+def _rare_pairs(lines: DataFrame, rare_documents: int) -> DataFrame:
+    """(row, other, places): each document with the first holders of its rare lines; no places."""
+
+    def distinct(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in source:
+            own = [np.unique(unpacked(h)) for h in batch.column("hashes").to_pylist()]
+            index = pa.array(np.repeat(np.arange(len(own)), [len(o) for o in own]))
+            flat = np.concatenate([np.zeros(0, np.uint64), *own])
+            yield batches({"line": pa.array(flat.view(np.int64)), "row": batch.column("row").take(index), "doc_id": batch.column("doc_id").take(index)})
+
+    held = lines.select("row", "doc_id", "hashes").mapInArrow(distinct, "line long, row long, doc_id long")
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
+    rare = held.groupBy("line").agg(F.count(F.lit(1)).alias("holders"), F.min(place).alias("first"))
+    rare = stage(rare.filter(F.col("holders").between(2, rare_documents)).select("line", F.col("first.row").alias("other")), "rare-lines")
+    near = held.select("line", "row").join(rare, "line").filter(F.col("row") != F.col("other")).select("row", "other").distinct()
+    return stage(near.withColumn("places", F.array().cast("array<struct<at:int,other_at:int,n:int>>")), "rare-pairs")
+
+
+def _pairs(lines: DataFrame, found: DataFrame, block_words: int) -> DataFrame:
+    """(row, other, places): each document with the first holders of its runs outside the blocks ``found``, and where these stand."""
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
@@ -80,17 +102,24 @@ def _pairs(lines: DataFrame, block_words: int) -> DataFrame:
                 first, after = _runs(np.concatenate([np.zeros(0, np.int32), *words]), rows, block_words)
                 keys = hash_runs(np.concatenate([np.zeros(0, np.uint64), *hashes]), first, after)
                 owner = np.searchsorted(rows, first, "right") - 1
+                gone = np.zeros(rows[-1] + 1, np.int64)
+                for low, blocks in zip(rows.tolist(), part.column("removed").to_pylist()):
+                    for begin, end in blocks or ():
+                        gone[low + begin + 1 : low + end + 1] = 1
+                gone = np.cumsum(gone)
                 index = pa.array(owner)
                 yield batches({
                     "run": pa.array(keys.view(np.int64)), "row": part.column("row").take(index), "doc_id": part.column("doc_id").take(index),
                     "at": pa.array((first - rows[owner]).astype(np.int32)), "n": pa.array((after - first).astype(np.int32)),
+                    "covered": pa.array(gone[after] - gone[first] == after - first),
                 })
 
-    held = lines.select("row", "doc_id", "hashes", "words").mapInArrow(run, "run long, row long, doc_id long, at int, n int")
+    known = lines.join(found, "row", "left")
+    held = known.select("row", "doc_id", "hashes", "words", "removed").mapInArrow(run, "run long, row long, doc_id long, at int, n int, covered boolean")
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row", "at")
     shared = held.groupBy("run").agg(F.count(F.lit(1)).alias("holders"), F.min(place).alias("first")).filter("holders > 1")
     shared = stage(shared.select("run", F.col("first.row").alias("other"), F.col("first.at").alias("other_at")), "shared-runs")
-    near = held.select("run", "row", "at", "n").join(shared, "run").filter(F.col("row") != F.col("other"))
+    near = held.filter("NOT covered").select("run", "row", "at", "n").join(shared, "run").filter(F.col("row") != F.col("other"))
     return stage(near.groupBy("row", "other").agg(F.collect_list(F.struct("at", "other_at", "n")).alias("places")), "pairs")
 
 
@@ -182,12 +211,23 @@ def repeated_lines(docs: DataFrame, rare_documents: int = RARE_DOCUMENTS, block_
     Lines are what stands between line feeds; empty ones are not counted. Of two
     documents the one with the larger doc_id is the later one; rows without an
     id come last, and rows that repeat one stand in input order. A block goes if
-    it has ``block_words`` words. ``rare_documents`` is kept for callers; the number
-    of holders has no limit. Needs doc_id and text; other columns are
-    ignored. A NULL or empty text has no lines.
+    it has ``block_words`` words. A line is rare if at most ``rare_documents`` documents
+    hold it; what rare lines do not show, runs of lines do, without a limit of holders. Needs
+    doc_id and text; other columns are ignored. A NULL or empty text has no lines.
     """
     lines = _line_table(docs)
-    pairs = _pairs(lines, block_words)
+    found = _merged(_aligned(_rare_pairs(lines, rare_documents), lines, block_words))
+    rest = _aligned(_pairs(lines, found, block_words), lines, block_words)
+    flat = found.select("row", F.explode("removed").alias("block"))
+    removed = _merged(rest.unionByName(flat))
+    whole = lines.select("row", "doc_id", (F.octet_length("hashes") / 8).cast("long").alias("n_lines")).join(removed, "row", "left")
+    none = F.array().cast("array<array<long>>")
+    gone = F.aggregate(F.coalesce("removed", none), F.lit(0).cast("long"), lambda n, r: n + r[1] - r[0])
+    return whole.select("doc_id", "n_lines", gone.alias("n_removed"), F.coalesce("removed", none).alias("removed"))
+
+
+def _aligned(pairs: DataFrame, lines: DataFrame, block_words: int) -> DataFrame:
+    """(row, block): ranges of lines that go from a document, one row each, by its alignment with each of its partners."""
     earlier = lines.select(F.col("row").alias("other"), F.col("hashes").alias("earlier"))
 
     def align(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,19 +241,24 @@ def repeated_lines(docs: DataFrame, rare_documents: int = RARE_DOCUMENTS, block_
                 for old, new, words, own in zip(*(part.column(c).to_pylist() for c in ("earlier", "hashes", "words")), np.split(places, edges)):
                     blocks = shared_blocks(unpacked(old), unpacked(new), unpacked(words, np.int32), own, block_words)
                     found.append(np.array(blocks, np.int64).ravel())
-                yield batches({"row": part.column("row"), "blocks": packed(found, np.int64)})
+                counts = [len(f) // 2 for f in found]
+                flat = np.concatenate([np.zeros(0, np.int64), *found])
+                blocks = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, 2, dtype=np.int32)), pa.array(flat))
+                yield batches({"row": part.column("row").take(pa.array(np.repeat(np.arange(part.num_rows), counts))), "block": blocks})
 
     aligned = pairs.join(earlier, "other").drop("other").join(lines.select("row", "hashes", "words"), "row")
-    aligned = aligned.select("row", "places", "earlier", "hashes", "words")
-    aligned = aligned.mapInArrow(align, "row long, blocks binary").filter(F.octet_length("blocks") > 0)
-    per_row = aligned.groupBy("row").agg(F.collect_list("blocks").alias("blocks"))
+    return stage(aligned.select("row", "places", "earlier", "hashes", "words").mapInArrow(align, "row long, block array<long>"), "blocks")
+
+
+def _merged(blocks: DataFrame) -> DataFrame:
+    """(row, removed): the blocks of each document as ranges in order that do not touch; staged."""
 
     def merge(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
             merged = []
             for parts in batch.column("blocks").to_pylist():
                 out: list[list[int]] = []
-                for begin, end in sorted(np.concatenate([unpacked(p, np.int64) for p in parts]).reshape(-1, 2).tolist()):
+                for begin, end in sorted(parts):
                     if out and begin <= out[-1][1]:
                         out[-1][1] = max(out[-1][1], end)
                     else:
@@ -221,11 +266,8 @@ def repeated_lines(docs: DataFrame, rare_documents: int = RARE_DOCUMENTS, block_
                 merged.append(out)
             yield batches({"row": batch.column("row"), "removed": pa.array(merged, pa.list_(pa.list_(pa.int64())))})
 
-    removed = stage(per_row.mapInArrow(merge, "row long, removed array<array<long>>"), "removed")
-    whole = lines.select("row", "doc_id", (F.octet_length("hashes") / 8).cast("long").alias("n_lines")).join(removed, "row", "left")
-    none = F.array().cast("array<array<long>>")
-    gone = F.aggregate(F.coalesce("removed", none), F.lit(0).cast("long"), lambda n, r: n + r[1] - r[0])
-    return whole.select("doc_id", "n_lines", gone.alias("n_removed"), F.coalesce("removed", none).alias("removed"))
+    per_row = blocks.groupBy("row").agg(F.collect_set("block").alias("blocks"))  # ranges of one text
+    return stage(per_row.mapInArrow(merge, "row long, removed array<array<long>>"), "removed")
 
 
 def without_lines(docs: DataFrame, report: DataFrame) -> DataFrame:

@@ -78,7 +78,31 @@ def test_hot_entity_ids_and_empty(spark):
 
 def test_longer_surrogates_still_end(spark):
     for attempt in (0, 7, 9):
-        rows = spark.createDataFrame([("phone", "12735554135"), ("card", "4586479686998659"), ("name", "m_latin|john smith"), ("email", "a@b.com"), ("iban", "DE89370400440532013000")], "kind string, normal string")
+        rows = spark.createDataFrame([("phone", "12735554135"), ("card", "4586479686998659"), ("family", "latin|smith"), ("given", "m_latin|john"), ("email", "a@b.com"), ("iban", "DE89370400440532013000")], "kind string, normal string")
         new = {r.kind: r.new for r in rows.select("kind", surrogates._surrogate(F.col("kind"), F.col("normal"), "k", attempt).alias("new")).collect()}
         assert luhn(new["card"]) and all(new.values())
         assert len(new["phone"]) == 11 + max(0, attempt - 7)
+
+
+def test_names_keep_family_gender_and_script(spark):
+    texts = ["Mr. John Smith met Mrs. Smith and Mr. SMITH.", "Ms. Jane Smith; Mr. John Doe, Mr. Peter Smith", "Ms. Παππά, Mr. Νίκος Παππά", "Г-н Иван Иванов, г-жа Анна Иванов"]
+    got = run(spark, texts)
+    new = [[e.new for e in got[k].entities] for k in range(4)]
+    family = new[0][0].split(" ")[-1]
+    assert [n.split(" ")[-1] for n in new[0]] == [family, family, family.upper()] and family != "Smith"
+    assert new[1][0].split(" ")[-1] == new[1][2].split(" ")[-1] == family != new[1][1].split(" ")[-1]
+    assert new[0][0].split(" ")[1] == new[1][1].split(" ")[1] != new[1][2].split(" ")[1]
+    assert len({n.split(" ", 1)[1] for n in new[0][:1] + new[1]}) == 4
+    assert all(re.fullmatch(r"[\u0370-\u03ff ]+", n.split(" ", 1)[1]) for n in new[2]) and new[2][0].split(" ")[1] == new[2][1].split(" ")[2]
+    assert all(re.fullmatch(r"[\u0400-\u04ff ]+", n.split(" ", 1)[1]) for n in new[3]) and new[3][0].split(" ")[2] == new[3][1].split(" ")[2]
+
+
+def test_many_names_stay_distinct(spark):
+    """More given and family names than the pools hold, against each other and against the originals."""
+    names = [f"{chr(65 + a)}{'aeiou'[a % 5]}n{'bdgkl'[b % 5]}{'aeiou'[b // 5]} {chr(65 + b)}{'aeiou'[a % 5]}rst" for a in range(26) for b in range(12)]
+    got = run(spark, [f"Mr. {n}" for n in names])
+    new = [got[k].entities[0].new for k in range(len(names))]
+    assert len(set(new)) == len(set(names)) and not {n.split(" ", 1)[1] for n in new} & set(names)
+    for part in (0, 1):
+        pairs = {(old.split(" ")[part], n.split(" ")[part + 1]) for old, n in zip(names, new)}
+        assert len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs})

@@ -168,7 +168,9 @@ def _search_shards(names: np.ndarray, phrases: dict[int, tuple[np.ndarray, np.nd
 def search_index(index: DataFrame, distinct: DataFrame, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """Per part of a document in a shard: merged spans of hit words and the windows found in it.
 
-    The first block answers for all documents, later blocks only for those they hit.
+    The first block answers for all documents, later blocks only for those they hit. A
+    block's windows travel with its tasks, and its answers are staged before the next, so
+    the driver holds one block at a time.
     """
     blocks = max(1, -(-distinct.count() // block_windows))
     numbered = distinct.withColumn("_block", F.pmod(F.xxhash64("words"), F.lit(blocks)))
@@ -183,9 +185,9 @@ def search_index(index: DataFrame, distinct: DataFrame, block_windows: int = BLO
             length: (np.array(own), np.frombuffer(b"".join(bytes(rows[k].words) for k in own), np.uint64).reshape(len(own), length))
             for length, own in by_length.items()
         }
-        part = index.mapInArrow(_search_shards(names, phrases, block == 0), _FOUND_DDL)
+        part = stage(index.mapInArrow(_search_shards(names, phrases, block == 0), _FOUND_DDL), "found")
         found = part if found is None else found.unionByName(part)
-    return stage(found, "found")
+    return found
 
 
 def contamination(

@@ -4,10 +4,14 @@ Every entity found in a text is replaced by another one of its type: titled
 names by names of the same gender and script, numbers by numbers with the same
 grouping and valid check digits, mail addresses with the same shape. The choice
 follows from a key and the entity in a normal form, so all mentions of an entity
-get the same surrogate in every document, whatever their spelling. The distinct
-entities of the whole table are checked against each other: two never share a
-surrogate, and no surrogate is itself an entity of the table. Those that
-collide draw again.
+get the same surrogate in every document, whatever their spelling. Family names and
+given names are entities of their own, so ``Mr. John Smith`` and ``Mr. Smith`` keep one
+family name. The distinct entities of the whole table are checked against each
+other: two never share a surrogate, and no surrogate is itself an entity of the
+table. Those that collide draw again.
+
+Names are found behind a title of the list below. Scripts are Latin, Cyrillic and
+Greek; names in another one get Latin surrogates.
 
 All steps are SQL functions.
 """
@@ -46,10 +50,13 @@ _NAMES = {
     "f_latin": "Anna Clara Julia Laura Sofia Elena Marta Alice Nina Eva Irene Sarah Paula Emma Lucia Helen".split(),
     "m_cyrillic": "Иван Пётр Андрей Сергей Павел Николай Олег Юрий".split(),
     "f_cyrillic": "Анна Мария Ольга Елена Ирина Вера Нина Юлия".split(),
+    "m_greek": "Γιώργος Νίκος Κώστας Γιάννης Πέτρος Μιχάλης Ανδρέας Σπύρος".split(),
+    "f_greek": "Μαρία Ελένη Σοφία Άννα Κατερίνα Ειρήνη Δήμητρα Χριστίνα".split(),
     "latin": "Keller Novak Moreau Lindgren Costa Weber Marsh Holloway Duval Serrano Brandt Fischer Vidal Ashford Romano Keane".split(),
     "cyrillic": "Орлов Соколов Морозов Волков Зайцев Белов Громов Титов".split(),
+    "greek": "Παππάς Νικολάου Δήμου Ραφτό Καλαμάς Βλάχος Λάμπρου Ζαφείρη".split(),
 }
-_SYLLABLES = {"latin": "berg man sen ton ley field wood ford".split(), "cyrillic": "ин ский ко ук енко ев ян ич".split()}
+_SYLLABLES = {"latin": "berg man sen ton ley field wood ford".split(), "cyrillic": "ин ский ко ук енко ев ян ич".split(), "greek": "πουλος ίδης άκης έλλης όγλου ιάδης έας άτος".split()}
 
 
 def _digest(*parts: Column) -> Column:
@@ -112,29 +119,29 @@ def _surrogate(kind: Column, normal: Column, key: str, attempt: int) -> Column:
     top = F.substring_index(domain, ".", -1)
     labels = F.substring(domain, F.lit(1), F.length(domain) - F.length(top))
     octets = [(_draw(digest, k, 254) + 1).cast("string") for k in range(4)]
-    given = {form: _pool(_NAMES[form], digest, 0) for form in ("m_latin", "f_latin", "m_cyrillic", "f_cyrillic")}
     form = F.substring_index(normal, "|", 1)
-
-    def family(script: str) -> Column:
-        return F.concat(_pool(_NAMES[script], digest, 1), *[_pool(_SYLLABLES[script], digest, 2 + k) for k in range(1 + attempt)])
-
-    whole = F.lit(None).cast("string")
-    for name, first in given.items():
-        script = name.partition("_")[2]
-        whole = F.when(form == name, F.when(normal.contains(" "), F.concat(first, F.lit(" "), family(script))).otherwise(family(script))).otherwise(whole)
+    name = F.lit(None).cast("string")
+    for pool, names in _NAMES.items():
+        # Given names are those of the pool as long as they are free; family names have an ending at least.
+        gender, _, script = pool.rpartition("_")
+        endings = [_pool(_SYLLABLES[script], digest, 2 + k) for k in range(attempt if gender else 1 + attempt)]
+        name = F.when(form == pool, F.concat(_pool(names, digest, 0), *endings)).otherwise(name)
     return (
         F.when(kind == "email", F.concat(_reshaped(local, digest), more_letters, F.lit("@"), _reshaped(labels, _digest(F.lit(key), F.lit("domain"), domain)), top))
         .when(kind == "ip", F.concat_ws(".", *octets, *([more_digits] if longer else [])))
         .when(kind == "card", _with_check_digit(F.substring(digits, F.lit(1), F.length(digits) - 1)))
         .when(kind == "iban", _iban(F.substring(normal, 1, 2), F.concat(_reshaped(F.substring(normal, F.lit(5), F.length(normal)), digest), more_digits)))
-        .when(kind == "name", F.concat(form, F.lit("|"), whole))
+        .when(kind.isin("given", "family"), F.concat(form, F.lit("|"), name))
         .when(kind == "secret", F.concat(F.when(normal.startswith("AKIA"), F.concat(F.lit("AKIA"), _reshaped(F.substring(normal, F.lit(5), F.length(normal)), digest))).otherwise(_reshaped(normal, digest)), more_letters))
         .otherwise(digits)
     )
 
 
 def _described(found: DataFrame) -> DataFrame:
-    """Add kind, prefix, core and normal form to rows with ``found``; kind is NULL for what is no entity after all."""
+    """Add kind, prefix, core, normal form and given name to rows with ``found``; kind is NULL for what is no entity after all.
+
+    The normal form of a name is that of the family name, its last word.
+    """
     kind = F.lit(None).cast("string")
     for name in reversed(PATTERNS):
         kind = F.when(F.col("found").rlike(f"^(?:{PATTERNS[name]})$"), name).otherwise(kind)
@@ -144,15 +151,17 @@ def _described(found: DataFrame) -> DataFrame:
     rows = rows.withColumn("core", F.substring("found", F.length("prefix") + 1, F.length("found")))
     digits = F.regexp_replace("core", "[^0-9]", "")
     gender = F.when(F.col("prefix").rlike(f"^(?:{_FEMALE})[. ]"), "f").otherwise("m")
-    script = F.when(F.col("core").rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
+    script = F.when(F.col("core").rlike(r"\p{IsCyrillic}"), "cyrillic").when(F.col("core").rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
+    named = F.col("kind") == "name"
     normal = (
         F.when(F.col("kind") == "email", F.lower("core"))
         .when(F.col("kind").isin("phone", "ssn", "card"), digits)
         .when(F.col("kind") == "iban", F.replace("core", F.lit(" "), F.lit("")))
-        .when(F.col("kind") == "name", F.concat(gender, F.lit("_"), script, F.lit("|"), F.lower("core")))
+        .when(named, F.concat(script, F.lit("|"), F.lower(F.substring_index("core", " ", -1))))
         .otherwise(F.col("core"))
     )
-    rows = rows.withColumn("normal", normal)
+    given = F.when(named & F.col("core").contains(" "), F.concat(gender, F.lit("_"), script, F.lit("|"), F.lower(F.substring_index("core", " ", 1))))
+    rows = rows.withColumn("normal", normal).withColumn("given", given)
     valid = F.when(F.col("kind") == "card", F.call_function("luhn_check", F.when(F.col("kind") == "card", F.col("normal")).otherwise("0"))).otherwise(F.col("kind").isNotNull())
     return rows.withColumn("kind", F.when(valid, F.col("kind")))
 
@@ -172,8 +181,7 @@ def _overlaid(core: Column, new: Column) -> Column:
 
 def _written(kind: Column, prefix: Column, core: Column, new: Column) -> Column:
     """A surrogate in the spelling of the mention."""
-    plain = F.substring_index(new, "|", -1)
-    plain = F.when(kind.isin("phone", "ssn", "card", "iban"), _overlaid(core, new)).otherwise(plain)
+    plain = F.when(kind.isin("phone", "ssn", "card", "iban"), _overlaid(core, new)).otherwise(new)
     shouting = kind.isin("email", "name") & (core == F.upper(core))
     return F.concat(prefix, F.when(shouting, F.upper(plain)).otherwise(plain))
 
@@ -214,10 +222,16 @@ def replace_entities(docs: DataFrame, key: str = KEY, surrogate=_surrogate) -> D
             F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0)).alias("found"),
         ), "cut-texts",
     )
-    mentions = stage(_described(cut.select("row", F.posexplode("found").alias("at", "found"))), "mentions")
-    chosen = choose_surrogates(mentions.filter("kind IS NOT NULL"), key, surrogate)
-    joined = mentions.join(chosen, ["kind", "normal"], "left")
-    new = F.when(F.col("new").isNull(), F.col("found")).otherwise(_written(F.col("kind"), F.col("prefix"), F.col("core"), F.col("new")))
+    described = _described(cut.select("row", F.posexplode("found").alias("at", "found")))
+    mentions = stage(described.withColumn("entity", F.when(F.col("kind") == "name", "family").otherwise(F.col("kind"))), "mentions")
+    entities = mentions.filter("kind IS NOT NULL").select(F.col("entity").alias("kind"), "normal")
+    entities = entities.unionByName(mentions.filter("given IS NOT NULL").select(F.lit("given").alias("kind"), F.col("given").alias("normal")))
+    chosen = choose_surrogates(entities, key, surrogate)
+    givens = chosen.filter("kind = 'given'").select(F.col("normal").alias("given"), F.col("new").alias("new_given"))
+    joined = mentions.join(chosen.withColumnRenamed("kind", "entity"), ["entity", "normal"], "left").join(givens, "given", "left")
+    whole_name = F.concat_ws(" ", F.substring_index("new_given", "|", -1), F.substring_index("new", "|", -1))
+    drawn = F.when(F.col("kind") == "name", whole_name).otherwise(F.col("new"))
+    new = F.when(F.col("new").isNull(), F.col("found")).otherwise(_written(F.col("kind"), F.col("prefix"), F.col("core"), drawn))
     mention = F.struct("at", "kind", F.col("found").alias("old"), new.alias("new"))
     per_row = joined.groupBy("row").agg(F.sort_array(F.collect_list(mention)).alias("all"))
     whole = cut.select("row", "doc_id", "gaps").join(per_row, "row")

@@ -141,7 +141,7 @@ def test_staged_tables_are_separate(spark):
 
 
 def test_indicators_from_the_tail_equal_a_full_run(spark, tmp_path):
-    """A long series arrives in five files; each batch sees only its bars and the tail."""
+    """A long series arrives in five files, another in the first and the last only; each batch sees only its bars and their tails."""
     import numpy as np
 
     from tidemark.operators import indicators
@@ -154,16 +154,21 @@ def test_indicators_from_the_tail_equal_a_full_run(spark, tmp_path):
     step = live.refresh_indicators(out, tail, values, late_bars=24)
     price = 50 + 10 * rng.random(2500)
     every = [(i, dt.datetime(2024, 1, 1) + dt.timedelta(hours=int(h)), 1, "s", float(price[i]), "{}") for i, h in enumerate(hours)]
+    other = [(9000 + k, at, 1, "t", value, "{}") for k, (_, at, _, _, value, _) in enumerate([*every[:100], *every[-60:]])]
     for part in range(5):
-        rows = spark.createDataFrame(every[part * 500 : part * 500 + 500], live.EVENT_SCHEMA)
+        more = other[:100] if part == 0 else other[100:] if part == 4 else []
+        rows = spark.createDataFrame(every[part * 500 : part * 500 + 500] + more, live.EVENT_SCHEMA)
         rows.coalesce(1).write.parquet(f"{folder}/f{part}")
         live.run_bars(live.tick_stream(spark, f"{folder}/*"), "1h", path, str(tmp_path / "cp"), "1 day", after=step).awaitTermination()
-    assert len(live.batch_ids(spark, tail)) <= 2
-    assert spark.read.parquet(tail).groupBy("batch").count().agg(F.max("count")).first()[0] < 1000
-    got = live.latest_versions(spark, out, values).orderBy("open_time").toPandas()
-    events = spark.createDataFrame(every, live.EVENT_SCHEMA)
-    whole = indicators.all_indicators(indicators.numbered(bars.resample(as_ticks(events), "1h"))).orderBy("open_time").toPandas()
-    assert len(got) == len(whole) == 2500
+    directory = spark.read.parquet(f"{tail}/directory").groupBy("batch", "symbol").agg(F.max("written")).collect()
+    numbers = live.batch_ids(spark, f"{tail}/directory")
+    assert len(numbers) == 2 and len(live.batch_ids(spark, f"{tail}/tails")) <= 3
+    assert {tuple(row) for row in directory} == {(numbers[0], "s", numbers[0]), (numbers[0], "t", 0), (numbers[1], "s", numbers[1]), (numbers[1], "t", numbers[1])}
+    assert spark.read.parquet(f"{tail}/tails").groupBy("batch", "symbol").count().agg(F.max("count")).first()[0] < 1000
+    got = live.latest_versions(spark, out, values).orderBy("symbol", "open_time").toPandas()
+    events = spark.createDataFrame(every + other, live.EVENT_SCHEMA)
+    whole = indicators.all_indicators(indicators.numbered(bars.resample(as_ticks(events), "1h"))).orderBy("symbol", "open_time").toPandas()
+    assert len(got) == len(whole) == 2660
     for v in values:
         np.testing.assert_allclose(got[v].astype(float), whole[v].astype(float), rtol=1e-9, atol=1e-9, err_msg=v)
 

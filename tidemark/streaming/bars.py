@@ -106,17 +106,26 @@ def refresh_indicators(
 
     The step carries the last bars of every series from batch to batch (the
     tail): as many as an indicator remembers in double precision, and
-    ``late_bars`` more, which must cover the watermark delay. So a batch reads
-    the tail and its own bars, however long the bar log has become.
+    ``late_bars`` more, which must cover the watermark delay. Tails are kept by
+    series: a batch reads and writes those of the series it changes, and a
+    directory, one row per series, says which batch wrote each. So a batch costs as
+    much as its own series, however many others there are and however long
+    the bar log has become. Folders that no series needs go.
     """
     reach = max(ema_reach(26) + ema_reach(9), 50, vol_window + 1)
 
     def step(changed: DataFrame, batch_id: int) -> None:
         spark = changed.sparkSession
         fresh = changed.select(*KEYS, "open_time", *BAR_VALUES).withColumn("_new", F.lit(1))
-        earlier = [b for b in batch_ids(spark, tail_path) if b < batch_id]
-        if earlier:
-            tail = spark.read.parquet(f"{tail_path}/batch={earlier[-1]}").withColumn("_new", F.lit(0))
+        named = stage(fresh.select(*KEYS).distinct(), "changed-series")
+        versions = [b for b in batch_ids(spark, f"{tail_path}/directory") if b < batch_id]
+        directory = spark.read.parquet(f"{tail_path}/directory/batch={versions[-1]}") if versions else None
+        # One number per batch whose folder still holds the tail of a changed series.
+        held = directory.join(named, KEYS).select("written").distinct().collect() if versions else []
+        if held:
+            tails = spark.read.parquet(*[f"{tail_path}/tails/batch={row['written']}" for row in held])
+            places = directory.join(named, KEYS).select(*KEYS, "written")
+            tail = tails.join(places, [*KEYS, "written"], "left_semi").withColumn("_new", F.lit(0))
             both = fresh.unionByName(tail.select(*fresh.columns))
             fresh = both.groupBy(*KEYS, "open_time").agg(
                 *[F.max_by(v, "_new").alias(v) for v in BAR_VALUES], F.max("_new").alias("_new")
@@ -127,10 +136,20 @@ def refresh_indicators(
         touched = series.join(stage(first, "touched"), KEYS).where(F.col("pos") >= F.col("_start") - reach)
         updated = indicators.all_indicators(touched, vol_window).where("open_time >= _first")
         write_versions(updated.select(*KEYS, "open_time", *columns), indicator_path, batch_id)
-        kept = series.where(F.col("pos") >= F.col("n") - (reach + late_bars))
-        kept.select(*KEYS, "open_time", *BAR_VALUES).write.mode("overwrite").parquet(f"{tail_path}/batch={batch_id}")
-        for old in earlier[:-1]:  # the one before this batch stays, for running this batch again
-            delete_folder(spark, f"{tail_path}/batch={old}")
+        kept = series.where(F.col("pos") >= F.col("n") - (reach + late_bars)).withColumn("written", F.lit(batch_id).cast("long"))
+        kept.select(*KEYS, "open_time", *BAR_VALUES, "written").write.mode("overwrite").parquet(f"{tail_path}/tails/batch={batch_id}")
+        places = named.withColumn("written", F.lit(batch_id).cast("long"))
+        if versions:
+            places = places.unionByName(directory.join(named, KEYS, "left_anti"))
+        places.write.mode("overwrite").parquet(f"{tail_path}/directory/batch={batch_id}")
+        # What this batch and the one before it name stays, for running this batch again.
+        live = spark.read.parquet(*[f"{tail_path}/directory/batch={b}" for b in [*versions[-1:], batch_id]])
+        needed = {row["written"] for row in live.select("written").distinct().collect()}
+        for old in versions[:-1]:
+            delete_folder(spark, f"{tail_path}/directory/batch={old}")
+        for old in batch_ids(spark, f"{tail_path}/tails"):
+            if old < batch_id and old not in needed:
+                delete_folder(spark, f"{tail_path}/tails/batch={old}")
 
     return step
 

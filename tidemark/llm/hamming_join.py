@@ -11,7 +11,7 @@ probability ``1 - s``: in 16 of 80 at 0.8, with a deviation of 3.6.
   pairs within the threshold meet under a key, whatever their differences.
 * Documents that meet form a list per key. Each document is first compared with one of the
   first documents of its lists, the one it meets most often. Only lists that
-  hold several components after that are joined with themselves; a pair comes out of this
+  hold several components after that are joined with themselves, once for all lists of the same members; a pair comes out of this
   join if it is of two components, within the sizes and the distance, and if the sets' parity sketches
   do not show that they differ too much, which they never show of a link.
 * Links are confirmed on the full sets.
@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.graph import components
-from tidemark.llm.sketches import SKETCH, parity_sketches, sketches_allow
+from tidemark.llm.sketches import SKETCH, members, parity_sketches, sketches_allow
 from tidemark.llm.words import SPACED, batches, hash_words, mix, packed, row_shingles, text_slices, unpacked
 from tidemark.staging import stage
 
@@ -183,8 +183,11 @@ def _near_links(docs: DataFrame, sets: DataFrame, words: int, percent: int) -> D
     names = stage(components(first), "names")
     named = lists.select("key", "id").join(names, "id", "left").withColumn("component", F.coalesce("component", "id"))
     named = stage(named, "named-lists")
-    mixed = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
-    left = stage(named.join(stage(mixed, "mixed"), "key", "left_semi").join(sets.drop("mark_a", "mark_b"), "id"), "mixed-lists")
+    marks = {**members(), "low": F.min("component"), "high": F.max("component")}
+    mixed = named.groupBy("key").agg(*[value.alias(name) for name, value in marks.items()]).filter("low <> high")
+    # Lists with the same members are joined once.
+    mixed = stage(mixed.groupBy("members", "mark_a", "mark_b").agg(F.min("key").alias("key")).select("key"), "mixed")
+    left = stage(named.join(mixed, "key", "left_semi").join(sets.drop("mark_a", "mark_b"), "id"), "mixed-lists")
     a, b = left.alias("a"), left.alias("b")
     apart = (F.col("a.id") < F.col("b.id")) & (F.col("a.component") != F.col("b.component"))
     pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & apart & _possible(percent))

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.drops import without_rows
 from tidemark.llm.graph import components
-from tidemark.llm.sketches import SKETCH, parity_sketches, sketches_allow
+from tidemark.llm.sketches import SKETCH, members, parity_sketches, sketches_allow
 from tidemark.llm.words import SPACED, batches, hash_words, mix, packed, row_shingles, text_slices, unpacked
 from tidemark.staging import stage
 
@@ -300,11 +300,14 @@ def _near_links(docs: DataFrame, sets: DataFrame, boundary: int, words: int, per
     names = stage(components(first), "components")
     left = shared.select(whole.alias("key"), "id").join(names, "id", "left").withColumn("component", F.coalesce("component", "id"))
     left = stage(left, "list-components")
-    mixed = left.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    mixed = stage(mixed.filter("low <> high").select("key"), "mixed-lists")
-    left = stage(left.join(mixed, "key", "left_semi").join(sizes, "id"), "mixed-entries")
+    marks = {**members(), "low": F.min("component"), "high": F.max("component")}
+    mixed = left.groupBy("key").agg(*[value.alias(name) for name, value in marks.items()]).filter("low <> high")
+    # Lists with the same members are joined once, with their number.
+    alike = mixed.groupBy("members", "mark_a", "mark_b", (F.col("key") >= _SUBSET_BIT).alias("subset"))
+    mixed = stage(alike.agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("lists")).select("key", "lists"), "mixed-lists")
+    left = stage(left.join(mixed, "key").join(sizes, "id"), "mixed-entries")
     # A pair shares at most as many entries as either set has in these lists.
-    met = left.filter(F.col("key") < _SUBSET_BIT).groupBy("id").agg(F.count(F.lit(1)).alias("met"))
+    met = left.filter(F.col("key") < _SUBSET_BIT).groupBy("id").agg(F.sum("lists").alias("met"))
     left = left.join(stage(met, "met"), "id", "left").fillna(0, ["met"])
     left = stage(left.join(sets.select("id", *SKETCH), "id"), "mixed-entries")
     a, b = left.alias("a"), left.alias("b")
@@ -316,7 +319,7 @@ def _near_links(docs: DataFrame, sets: DataFrame, boundary: int, words: int, per
     possible = F.expr(_fits("a.", "b.", percent)) & (subset | (least <= F.least("a.met", "b.met"))) & sketches_allow("a.", "b.", percent)
     pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & apart & possible)
     pairs = pairs.groupBy(F.col("a.id").alias("a"), F.col("b.id").alias("b")).agg(
-        F.count_if(~subset).alias("both"), F.bool_or(subset).alias("subset"), F.first(least).alias("least")
+        F.sum(F.when(subset, 0).otherwise(F.col("a.lists"))).alias("both"), F.bool_or(subset).alias("subset"), F.first(least).alias("least")
     )
     second = _verified(pairs.filter("subset OR both >= least"), docs, words, percent)
     return first.unionByName(second)

@@ -1,4 +1,4 @@
-"""Parity sketches: a bound on how much two sets differ that never rules out a pair in error."""
+"""Parity sketches: a bound on how much two sets differ that never rules out a pair in error; and marks of lists."""
 
 from __future__ import annotations
 
@@ -25,6 +25,11 @@ def parity_sketches(sets: list[np.ndarray]) -> np.ndarray:
     return np.array([parity_sketch(own) for own in sets], np.int64).reshape(len(sets), len(SKETCH))
 
 
+def members(name: str = "id") -> dict[str, Column]:
+    """Aggregates that are equal for lists with the same members: their number and 128 bits of their hashes."""
+    return {"members": F.count(F.lit(1)), "mark_a": F.bit_xor(F.xxhash64(name)), "mark_b": F.bit_xor(F.xxhash64(name, F.lit(7)))}
+
+
 def sketches_allow(a: str, b: str, percent: int) -> Column:
     """Two sets of sizes ``n`` may reach a similarity of ``percent``, for all that their sketches show.
 

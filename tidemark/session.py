@@ -24,9 +24,9 @@ _SHIPPED: set[str] = set()
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Send this package to the executors of a cluster, once per application; on a local master they have it."""
+    """Send this package to the Python workers, once per application; those of a cluster on this machine share its path."""
     context = spark.sparkContext
-    if context.master.startswith("local") or context.applicationId in _SHIPPED:
+    if context.master.startswith("local-cluster") or context.applicationId in _SHIPPED:
         return
     root = os.path.dirname(os.path.abspath(__file__))
     target = os.path.join(tempfile.mkdtemp(prefix="tidemark-"), "tidemark")

@@ -174,9 +174,10 @@ def common_spans(a: np.ndarray, b: np.ndarray, places: list[tuple[int, int]], wo
     return found
 
 
-def _links(docs: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """(doc_id, start, other, other_start, n_words) of verified spans."""
-    wanted = stage(pairs.select(F.col("doc_id").alias("_id")).union(pairs.select("other")).distinct(), "wanted")
+def _sequences(docs: DataFrame, kept: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(id, size, words): the word hashes of all documents that collide, read once for all comparisons."""
+    named = kept.select(F.col("doc_id").alias("id")).union(pairs.select("doc_id")).union(pairs.select("other"))
+    wanted = stage(named.distinct(), "wanted")
 
     def sequences(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
@@ -185,8 +186,13 @@ def _links(docs: DataFrame, pairs: DataFrame, words: int, similarity: float) ->
                 own = [hashes[a:b].astype(np.uint32) for a, b in zip(rows[:-1].tolist(), rows[1:].tolist())]
                 yield batches({"id": part.column("doc_id"), "size": pa.array(np.diff(rows), pa.int64()), "words": packed(own, np.uint32)})
 
-    texts = docs.join(wanted, F.col("doc_id") == F.col("_id"), "left_semi").dropDuplicates(["doc_id"])
-    known = stage(texts.mapInArrow(sequences, "id long, size long, words binary"), "sequences")
+    # Merge joins, here and below: the same plan for any number of documents that collide.
+    texts = docs.join(wanted.hint("merge"), F.col("doc_id") == F.col("id"), "left_semi").dropDuplicates(["doc_id"])
+    return stage(texts.mapInArrow(sequences, "id long, size long, words binary"), "sequences")
+
+
+def _links(known: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(doc_id, start, other, other_start, n_words) of verified spans."""
 
     def cut(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of the other document only the stretch that the text can reach along its diagonals."""
@@ -210,11 +216,12 @@ def _links(docs: DataFrame, pairs: DataFrame, words: int, similarity: float) ->
                         out.append((doc.as_py(), start, other.as_py(), other_start + shift, count))
                 yield batches({name: pa.array([row[k] for row in out], pa.int64()) for k, name in enumerate(("doc_id", "start", "other", "other_start", "n_words"))})
 
-    near = pairs.join(known.select(F.col("id").alias("doc_id"), "size"), "doc_id").join(known.select(F.col("id").alias("other"), F.col("words").alias("b")), "other")
+    near = pairs.join(known.select(F.col("id").alias("doc_id"), "size").hint("merge"), "doc_id")
+    near = near.join(known.select(F.col("id").alias("other"), F.col("words").alias("b")).hint("merge"), "other")
     near = near.select("doc_id", "other", "places", "size", "b").mapInArrow(
         cut, "doc_id long, other long, places array<struct<at:int,other_at:int>>, shift long, b binary"
     )
-    joined = near.join(known.select(F.col("id").alias("doc_id"), F.col("words").alias("a")), "doc_id")
+    joined = near.join(known.select(F.col("id").alias("doc_id"), F.col("words").alias("a")).hint("merge"), "doc_id")
     return stage(joined.mapInArrow(verify, "doc_id long, start long, other long, other_start long, n_words long"), "links")
 
 
@@ -231,8 +238,9 @@ def repeated_passages(docs: DataFrame, words: int = PARAGRAPH_WORDS, similarity:
     texts = _texts(docs)
     rows = _band_rows(texts, common_ngrams(texts, SHINGLE_WORDS), words, tuned_bands(similarity, recall))
     kept, pairs = _colliding(rows)
-    links = _links(texts, pairs, words, similarity)
-    links = links.union(_links(texts, _uncovered(kept, links), words, similarity))
+    known = _sequences(texts, kept, pairs)
+    links = _links(known, pairs, words, similarity)
+    links = links.union(_links(known, _uncovered(kept, links), words, similarity))
 
     # Clusters link stretches of the length of a paragraph.
     def node(doc: str, start: str, k: Column) -> Column:

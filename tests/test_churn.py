@@ -211,3 +211,15 @@ def test_collinear_points_drop_across_chunks(spark, monkeypatch, many_ranges):
     want = [whole[0], whole[1], *[p for p, a, b in zip(whole[2:], steps[1:], steps[2:]) if a != b], whole[-1]]
     got = [tuple(x)[1:3] for x in evaluation.roc_points(df, "y", "p", drop_collinear=True).orderBy("fp", "tp").collect()]
     assert got == want and len(got) < len(whole)
+
+
+def test_a_column_of_many_values(spark):
+    """Category values are numbered in a table: forty thousand of them are one more join and a sparse vector."""
+    rows = spark.range(80_000).select(F.col("id"), F.concat(F.lit("v"), F.pmod(F.col("id") * 7919, F.lit(40_000)).cast("string")).alias("c"), F.col("id").cast("double").alias("x"))
+    prep = learning.prepare(rows, ["x", "c"])
+    assert prep.categorical["c"][1] == 40_000 and prep.width == 40_001 and prep.names().count() == 40_001
+    some = learning.featurize(rows.where("id < 3"), prep).collect()
+    names = {r["number"]: r["feature"] for r in prep.names().collect()}
+    for row in some:
+        cells = row["features"]
+        assert cells.size == 40_001 and [names[int(i)] for i in cells.indices if i > 0] == [f"c_{row['c']}"]

@@ -15,8 +15,8 @@ and two n-grams among one more.
 Equal sets are one set from the start. In each list all sets are first compared
 with one of them, the best partner of each by shared entries. Components of the
 links found this way settle most lists; then pairs of sets that share a list but
-not a component are counted, filtered by exact bounds and verified. One bound is
-what their parity sketches show: near copies of one text that differ too much
+not a component meet at the entries that may be their first shared one, are filtered by
+exact bounds and verified. One bound is what their parity sketches show: near copies of one text that differ too much
 from each other leave the join there. So a group of near copies costs one comparison
 each, no pair between components is left out, and no list is cut.
 """
@@ -304,24 +304,23 @@ def _near_links(docs: DataFrame, sets: DataFrame, boundary: int, words: int, per
     mixed = left.groupBy("key").agg(*[value.alias(name) for name, value in marks.items()]).filter("low <> high")
     # Lists with the same members are joined once, with their number.
     alike = mixed.groupBy("members", "mark_a", "mark_b", (F.col("key") >= _SUBSET_BIT).alias("subset"))
-    mixed = stage(alike.agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("lists")).select("key", "lists"), "mixed-lists")
-    left = stage(left.join(mixed, "key").join(sizes, "id"), "mixed-entries")
-    # A pair shares at most as many entries as either set has in these lists.
-    met = left.filter(F.col("key") < _SUBSET_BIT).groupBy("id").agg(F.sum("lists").alias("met"))
-    left = left.join(stage(met, "met"), "id", "left").fillna(0, ["met"])
-    left = stage(left.join(sets.select("id", *SKETCH), "id"), "mixed-entries")
+    mixed = stage(alike.agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("lists")).select("key", "lists", "members"), "mixed-lists")
+    # Of a set's entries in these lists, those in short lists come first. Here a pair shares
+    # at most as many as either set has, and of its first shared entry no more than the rest stand behind it.
+    own = Window.partitionBy("id", F.col("key") >= _SUBSET_BIT)  # the entries of one set
+    in_order = own.orderBy("members", "key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    left = left.join(mixed, "key").select("*", F.sum("lists").over(own).alias("met"), (F.sum("lists").over(in_order) - F.col("lists")).alias("ahead"))
+    left = stage(left.drop("members", "lists").join(sizes, "id").join(sets.select("id", *SKETCH), "id"), "mixed-entries")
     a, b = left.alias("a"), left.alias("b")
     # Of the set whose head ends first, all entries up to there are known.
     rest = F.when(F.col("a.last") <= F.col("b.last"), F.col("a.n") - F.col("a.p")).otherwise(F.col("b.n") - F.col("b.p"))
     least = F.ceil(percent * (F.col("a.n") + F.col("b.n")) / (100 + percent)) - rest
     subset = F.col("a.key") >= _SUBSET_BIT
+    first_shared = subset | ((F.col("a.ahead") + least <= F.col("a.met")) & (F.col("b.ahead") + least <= F.col("b.met")))
     apart = (F.col("a.id") < F.col("b.id")) & (F.col("a.component") != F.col("b.component"))
-    possible = F.expr(_fits("a.", "b.", percent)) & (subset | (least <= F.least("a.met", "b.met"))) & sketches_allow("a.", "b.", percent)
+    possible = F.expr(_fits("a.", "b.", percent)) & first_shared & sketches_allow("a.", "b.", percent)
     pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & apart & possible)
-    pairs = pairs.groupBy(F.col("a.id").alias("a"), F.col("b.id").alias("b")).agg(
-        F.sum(F.when(subset, 0).otherwise(F.col("a.lists"))).alias("both"), F.bool_or(subset).alias("subset"), F.first(least).alias("least")
-    )
-    second = _verified(pairs.filter("subset OR both >= least"), docs, words, percent)
+    second = _verified(pairs.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct(), docs, words, percent)
     return first.unionByName(second)
 
 

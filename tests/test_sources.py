@@ -215,3 +215,17 @@ def test_ledger_without_ticks_that_count(spark, tmp_path):
     land(spark, folder, "f2", [(3, 1.0)])
     ledger.run_ledger(live.tick_stream(spark, f"{folder}/*"), "1h", out, str(tmp_path / "cp")).awaitTermination()
     assert ledger.ledger_bars(spark, out).count() == 1 and ledger.late_ticks(spark, out).count() == 0
+
+
+def test_a_replay_has_few_batches_however_many_files(spark, tmp_path, monkeypatch):
+    from tidemark.plans import stream_plans
+
+    rows = [(i, dt.datetime(2024, 1, 1, i % 5, i % 60), 1, "aa", float(i), '{"k": 2}') for i in range(300)]
+    events = spark.createDataFrame(rows, live.EVENT_SCHEMA)
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    monkeypatch.setattr(live, "replay", lambda spark, events: (events.repartition(20, "event_id").write.parquet(str(tmp_path / "landed")), str(tmp_path / "landed"))[1])
+    batches, write = [], live.write_versions
+    monkeypatch.setattr(live, "write_versions", lambda rows, path, batch: (batches.append(batch), write(rows, path, batch)))
+    bars = stream_plans.stream_ohlcv(spark, str(tmp_path)).collect()
+    assert sum(r["trades"] for r in bars) == 300
+    assert 2 <= len(batches) <= stream_plans.BATCHES

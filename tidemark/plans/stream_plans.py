@@ -13,6 +13,7 @@ from tidemark.staging import new_path
 from tidemark.streaming import bars as live, ledger
 
 PARTS = 6
+BATCHES = 8  # of a replay of all files
 STRAGGLERS = 11  # one tick in so many arrives a part late
 MANY = 1_000_000
 
@@ -35,9 +36,14 @@ def _part_of_time(events):
 
 
 def stream_ohlcv(spark, d):
-    """Hourly bars after all micro-batches, from files in mixed order."""
+    """Hourly bars after all micro-batches, from files in mixed order.
+
+    Each batch updates every state partition, and files and state partitions grow with the table: the number of batches does not.
+    """
     path = new_path(spark, "live-bars")
-    ticks = live.tick_stream(spark, live.replay(spark, _events(spark, d)))
+    folder = live.replay(spark, _events(spark, d))
+    files = len(spark.read.parquet(folder).inputFiles())
+    ticks = live.tick_stream(spark, folder, files_per_batch=max(1, -(-files // BATCHES)))
     live.run_bars(ticks, "1h", path, new_path(spark, "offsets"), f"{_span_hours(spark, d)} hours").awaitTermination()
     return rounded(live.latest_versions(spark, path, live.BAR_VALUES))
 

@@ -1,5 +1,7 @@
 """Bands, segments, evaluation and models on small tables."""
 
+import tracemalloc
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -223,3 +225,16 @@ def test_a_column_of_many_values(spark):
     for row in some:
         cells = row["features"]
         assert cells.size == 40_001 and [names[int(i)] for i in cells.indices if i > 0] == [f"c_{row['c']}"]
+
+
+def test_shapley_works_in_small_arrays():
+    rng = np.random.default_rng(5)
+    leaves = {"feature": np.array([[0, 1, 2]] * 4096), "low": np.full((4096, 3), -1.0), "high": rng.random((4096, 3)), "share": np.full((4096, 3), 0.5), "value": rng.random(4096)}
+    x, out = rng.random((512, 3)), np.zeros((512, 3))
+    tracemalloc.start()
+    attribution.shapley(x, leaves, out)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    known = (x[:, None] > leaves["low"]) & (x[:, None] <= leaves["high"])
+    whole = (known.all(axis=2) - 0.125) @ leaves["value"]
+    assert np.allclose(out.sum(axis=1), whole) and peak < 8e6

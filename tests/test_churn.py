@@ -227,6 +227,40 @@ def test_a_column_of_many_values(spark):
         assert cells.size == 40_001 and [names[int(i)] for i in cells.indices if i > 0] == [f"c_{row['c']}"]
 
 
+def test_training_reads_its_source_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(v):
+        read.add(1)
+        return v
+
+    rows = spark.createDataFrame([(i, float(i % 7), i % 3 % 2) for i in range(60)], "customerID long, x double, Churn int")
+    learning.train_churn_model(rows.withColumn("x", counted("x")), "Churn", "customerID", "boosted", trees=1)
+    assert read.value == 60
+
+
+def test_training_rows_lie_in_partitions_for_all_cores(spark, monkeypatch):
+    parts = {}
+
+    class Learner:
+        def fit(self, ready):
+            parts[choice] = ready.rdd.glom().map(len).collect()
+
+    monkeypatch.setattr(learning, "classifier", lambda *_: Learner())
+    rows = spark.range(6000).select(F.col("id").alias("customerID"), (F.col("id") % 7).alias("x"), (F.col("id") % 3 % 2).cast("int").alias("Churn")).coalesce(1)
+    for choice in ("boosted", "forest"):
+        learning.train_churn_model(rows, "Churn", "customerID", choice)
+    train = sum(parts["boosted"])
+    assert len(parts["boosted"]) == 1 and sum(parts["forest"]) == train
+    assert len(parts["forest"]) == min(spark.sparkContext.defaultParallelism, train // 1000) > 1
+    assert max(parts["forest"]) <= 1.1 * min(parts["forest"])
+
+
+def test_a_forest_keeps_the_node_of_each_row():
+    assert learning.classifier("forest", "Churn").getCacheNodeIds()
+
+
 def test_shapley_works_in_small_arrays():
     rng = np.random.default_rng(5)
     leaves = {"feature": np.array([[0, 1, 2]] * 4096), "low": np.full((4096, 3), -1.0), "high": rng.random((4096, 3)), "share": np.full((4096, 3), 0.5), "value": rng.random(4096)}

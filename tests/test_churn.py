@@ -240,6 +240,19 @@ def test_training_reads_its_source_once(spark):
     assert read.value == 60
 
 
+def test_blocks_of_rows_and_trees_give_the_models_probability(spark, demo, monkeypatch):
+    """Rows that repeat stay apart, over several blocks of both."""
+    monkeypatch.setattr(learning.trees, "TREES_PER_BLOCK", 2)
+    monkeypatch.setattr(learning.trees, "ROWS_PER_BLOCK", 100)
+    model = learning.train_churn_model(demo.limit(300), "Churn", "customerID", "forest", trees=5)
+    model.data = model.data.union(model.data)
+    plan = model.node_scores()._jdf.queryExecution().optimizedPlan().toString()
+    assert "aggregate(sequence(" not in plan  # no interpreted walk per row and tree
+    walked = model.node_scores().toPandas()
+    assert len(walked) == 600 and walked.groupby("customerID").size().eq(2).all()
+    np.testing.assert_allclose(walked["by_nodes"], walked["probability"], atol=1e-12)
+
+
 def test_training_rows_lie_in_partitions_for_all_cores(spark, monkeypatch):
     parts = {}
 

@@ -11,6 +11,7 @@ from tidemark import constants as C
 from tidemark.functions.bands import rank_band, risk_level, tenure_band
 from tests.demo import demo_customers
 from tidemark.operators import attribution, evaluation, insights, learning, scoring, segments
+from tidemark.plans import model_plans
 
 
 def test_risk_bands_close_on_the_right(spark):
@@ -253,6 +254,19 @@ def test_blocks_of_rows_and_trees_give_the_models_probability(spark, demo, monke
     np.testing.assert_allclose(walked["by_nodes"], walked["probability"], atol=1e-12)
 
 
+def test_both_models_share_one_preparation(spark, small, monkeypatch):
+    made, few = [], learning.classifier
+    prepare = learning.prepare
+    monkeypatch.setattr(learning, "prepare", lambda *a: made.append(1) or prepare(*a))
+    monkeypatch.setattr(learning, "classifier", lambda choice, label, _, weight: few(choice, label, 3, weight))
+    monkeypatch.setattr(model_plans, "_FITTED", {})
+    found = model_plans.score_agreement(spark, small).toPandas()
+    assert len(made) == 1 and found["agrees"].all()
+    assert found.groupby("model")["customerID"].nunique().tolist() == [len(found) // 2] * 2
+    model_plans.importance_agreement(spark, small)
+    assert len(made) == 1
+
+
 def test_training_rows_lie_in_partitions_for_all_cores(spark, monkeypatch):
     parts = {}
 

@@ -276,14 +276,20 @@ def class_weights(train: DataFrame, target: str) -> DataFrame:
     return sizes.select(target, (mean / F.col("n")).alias("weight"))
 
 
-def train_churn_model(
-    df: DataFrame, target: str, id_column: str | None = None, choice: str = "boosted", test_share: float = 0.25,
-    balance: bool = True, trees: int | None = None,
-) -> ChurnModel:
-    """Number the target's classes, split, learn the preparation on the training rows, and fit.
+@dataclass
+class TrainingData:
+    """Cleaned and split rows with the preparation learned from them, for any number of models."""
+
+    data: DataFrame  # cleaned rows with ``split``
+    prep: Preparation
+    target: str
+    id_column: str
 
-    A table without an id column gets a staged ``row_id``. ``balance`` weighs
-    the classes equally in the forest; boosted trees are unweighted.
+
+def training_data(df: DataFrame, target: str, id_column: str | None = None, test_share: float = 0.25) -> TrainingData:
+    """Number the target's classes, split, and learn the preparation on the training rows.
+
+    A table without an id column gets a staged ``row_id``.
     """
     if id_column is None:
         id_column = "row_id"
@@ -297,9 +303,13 @@ def train_churn_model(
         data = stage(stratified_split(df, target, id_column, test_share), "training")
     finally:
         source.unpersist()
-    train = data.where("split = 'train'")
-    prep = prepare(train, features)
-    ready = featurize(train, prep).select(id_column, "features", F.col(target).cast("double").alias(target))
+    return TrainingData(data, prepare(data.where("split = 'train'"), features), target, id_column)
+
+
+def fit_churn_model(rows: TrainingData, choice: str = "boosted", balance: bool = True, trees: int | None = None) -> ChurnModel:
+    """A model of prepared rows. ``balance`` weighs the classes equally in the forest; boosted trees are unweighted."""
+    target, id_column, train = rows.target, rows.id_column, rows.data.where("split = 'train'")
+    ready = featurize(train, rows.prep).select(id_column, "features", F.col(target).cast("double").alias(target))
     weight = None
     if choice == "forest" and balance:
         weight = "_weight"
@@ -311,4 +321,12 @@ def train_churn_model(
         model = classifier(choice, target, trees, weight).fit(ready)
     finally:
         ready.unpersist()
-    return ChurnModel(model, prep, target, id_column, data)
+    return ChurnModel(model, rows.prep, target, id_column, rows.data)
+
+
+def train_churn_model(
+    df: DataFrame, target: str, id_column: str | None = None, choice: str = "boosted", test_share: float = 0.25,
+    balance: bool = True, trees: int | None = None,
+) -> ChurnModel:
+    """Number the target's classes, split, learn the preparation on the training rows, and fit."""
+    return fit_churn_model(training_data(df, target, id_column, test_share), choice, balance, trees)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark import inheritable_thread_target
 from pyspark.sql import functions as F
 
 from tidemark.constants import DRIVERS_TEXT
@@ -11,16 +14,33 @@ from tidemark.sources.files import data_version
 from tidemark.sources.tables import customers
 
 TARGET, KEY = "Churn", "customerID"
-_FITTED: dict[tuple, learning.ChurnModel] = {}
+CHOICES = ("boosted", "forest")
+_FITTED: dict[tuple, learning.TrainingData | learning.ChurnModel] = {}
 
 
-def trained(spark, sf_dir: str, choice: str) -> learning.ChurnModel:
-    """The model of the customers of a folder, fitted once per application and version of its files."""
+def training(spark, sf_dir: str) -> tuple[tuple, learning.TrainingData]:
+    """The prepared customers of a folder, with their key: made once per application and version of its files, for all models."""
     table = customers(spark, sf_dir)
-    key = (spark.sparkContext.applicationId, sf_dir, choice, data_version(table))
+    key = (spark.sparkContext.applicationId, sf_dir, data_version(table))
     if key not in _FITTED:
-        _FITTED[key] = learning.train_churn_model(table, TARGET, KEY, choice)
-    return _FITTED[key]
+        _FITTED[key] = learning.training_data(table, TARGET, KEY)
+    return key, _FITTED[key]
+
+
+def trained(spark, sf_dir: str, choice: str) -> learning.ChurnModel:
+    """The model of the customers of a folder, fitted once per application and version of its files."""
+    key, rows = training(spark, sf_dir)
+    if (*key, choice) not in _FITTED:
+        _FITTED[(*key, choice)] = learning.fit_churn_model(rows, choice)
+    return _FITTED[(*key, choice)]
+
+
+def trained_both(spark, sf_dir: str) -> list[learning.ChurnModel]:
+    """Both models, fitted side by side: boosting is many short jobs in a row that leave most cores to the forest."""
+    training(spark, sf_dir)
+    fit = inheritable_thread_target(spark)(lambda choice: trained(spark, sf_dir, choice))
+    with ThreadPoolExecutor(len(CHOICES)) as pool:
+        return list(pool.map(fit, CHOICES))
 
 
 def stratified_split(spark, d):
@@ -94,8 +114,7 @@ def class_weights(spark, d):
 def fitted_models(spark, d):
     """Per model: rows it learned from and is tested on, its size, and whether held-out customers are told apart."""
     parts = []
-    for choice in ("boosted", "forest"):
-        model = trained(spark, d, choice)
+    for choice, model in zip(CHOICES, trained_both(spark, d)):
         per_tree = model.nodes().groupBy("tree").agg(F.count_if(F.col("left") < 0).alias("leaves"), F.count(F.lit(1)).alias("nodes"))
         size = per_tree.agg(F.count(F.lit(1)).alias("trees"), F.bool_and(F.col("nodes") == 2 * F.col("leaves") - 1).alias("binary_trees"))
         shown = model.metrics().select("train_rows", "test_rows", (F.col("roc_auc") > 0.55).alias("tells_apart"))
@@ -104,7 +123,7 @@ def fitted_models(spark, d):
 
 
 def _agreement(spark, d, column):
-    parts = [column(trained(spark, d, choice)).withColumn("model", F.lit(choice)) for choice in ("boosted", "forest")]
+    parts = [column(model).withColumn("model", F.lit(choice)) for choice, model in zip(CHOICES, trained_both(spark, d))]
     return parts[0].unionByName(parts[1])
 
 

@@ -254,6 +254,19 @@ def test_blocks_of_rows_and_trees_give_the_models_probability(spark, demo, monke
     np.testing.assert_allclose(walked["by_nodes"], walked["probability"], atol=1e-12)
 
 
+def test_scoring_runs_on_all_cores(spark, demo):
+    model = learning.train_churn_model(demo, "Churn", "customerID", "forest", trees=2)
+    alike = ["customerID", "split", "Churn_Probability", "Predicted_Churn", "Risk_Level"]
+    wanted = learning.with_scores(
+        model.model.transform(model.featured()), learning.vector_to_array(F.col("probability"))[1], "Churn"
+    ).select(alike).toPandas()
+    model.data = model.data.coalesce(1)
+    scored = model.scored()
+    assert scored.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    found = scored.select(alike).toPandas()
+    pd.testing.assert_frame_equal(*(t.sort_values("customerID", ignore_index=True) for t in (found, wanted)))
+
+
 def test_both_models_share_one_preparation(spark, small, monkeypatch):
     made, few = [], learning.classifier
     prepare = learning.prepare

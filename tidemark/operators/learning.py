@@ -232,10 +232,13 @@ class ChurnModel:
             self.staged["leaves"] = trees.leaf_table(self.nodes(), self.boosted)
         return self.staged["leaves"]
 
+    def walked(self) -> DataFrame:
+        """The rows on all cores: walking the trees takes much longer than reading the few bytes of a row."""
+        return spread(self.data, self.data.count(), 200)
+
     def node_scores(self) -> DataFrame:
         """(id, probability, by_nodes): the model's probability, and the one walked through the node table."""
-        rows = spread(self.data, self.data.count(), 200)
-        raw = self.model.transform(self.featured(rows)).select(
+        raw = self.model.transform(self.featured(self.walked())).select(
             self.id_column, vector_to_array("features").alias("x"), vector_to_array(F.col("probability"))[1].alias("probability")
         )
         depth = max(tree.depth for tree in self.model.trees)
@@ -243,7 +246,7 @@ class ChurnModel:
 
     def scored(self) -> DataFrame:
         """All rows (training rows too, told apart by ``split``) with probability, label and band."""
-        raw = self.model.transform(self.featured())
+        raw = self.model.transform(self.featured(self.walked()))
         p = vector_to_array(F.col("probability"))[1]
         kept = raw.withColumn("_p", p).drop("features", "rawPrediction", "probability", "prediction")
         return with_scores(kept, F.col("_p"), self.target).drop("_p")

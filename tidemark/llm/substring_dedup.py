@@ -12,8 +12,11 @@ value, which takes one row per paragraph however many copies there are. Each
 pair of documents is verified once: along the diagonals of its collisions, and
 by the exact Jaccard similarity of the spans found. The first holder need not
 share the passage, so collisions that no verified span covers are then compared
-with all earlier holders of the value, at all their places. Spans that repeat an
-earlier document's go; linked spans form clusters, the components of all links.
+with all earlier holders of the value, at all their places. Most of these only
+share a few words by chance: a sketch of the shingles within a paragraph's reach
+bounds from above what the paragraphs around two places can share, and a pair
+that it rules out is not verified. Spans that repeat an earlier document's go;
+linked spans form clusters, the components of all links.
 """
 
 from __future__ import annotations
@@ -36,6 +39,9 @@ PARAGRAPH_WORDS = 51
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 RECALL = 0.99
+#: Bits of a sketch of the shingles around a place, and its columns of 64 bits each.
+SKETCH_BITS = 512
+SKETCH = [f"s{k}" for k in range(SKETCH_BITS // 64)]
 
 
 def tuned_bands(similarity: float = SIMILARITY, recall: float = RECALL) -> int:
@@ -121,14 +127,77 @@ def _colliding(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return kept, _paired(pairs)
 
 
-def _uncovered(kept: DataFrame, links: DataFrame) -> DataFrame:
-    """Pairs of documents as above: collisions outside the verified spans with all earlier holders of the value."""
+def around(grams: np.ndarray, at: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sketch, spare, repeats) of the shingles up to ``reach`` places before and after each place of a text.
+
+    A sketch has the bit of each distinct shingle; ``spare`` is how many of them
+    share a bit, ``repeats`` how many places repeat a shingle. A place beyond the
+    text has all bits: it rules nothing out.
+    """
+    inside = at < len(grams)
+    spots = np.where(inside, at, 0)[:, None] + np.arange(-reach, reach + 1)
+    known = (spots >= 0) & (spots < len(grams))
+    own = grams[np.clip(spots, 0, len(grams) - 1)] if len(grams) else np.zeros(spots.shape, np.uint64)
+    own = np.sort(np.where(known, own, own[:, reach : reach + 1]), axis=1)
+    distinct = 1 + (own[:, 1:] != own[:, :-1]).sum(axis=1)
+    bits = np.zeros((len(at), SKETCH_BITS), bool)
+    bits[np.arange(len(at))[:, None], (own & np.uint64(SKETCH_BITS - 1)).astype(np.int64)] = True
+    spare, repeats = distinct - bits.sum(axis=1), known.sum(axis=1) - distinct
+    bits[~inside] = True
+    return np.packbits(bits, axis=1).view("<i8"), np.where(inside, spare, 2 * reach + 1), np.where(inside, repeats, 0)
+
+
+def _surroundings(known: DataFrame, places: DataFrame, words: int) -> DataFrame:
+    """``places`` (whole, doc_id, at, open) with what ``around`` gives for each of them."""
+    reach = words - SHINGLE_WORDS
+    fields = ("whole", "at", "open")
+
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in source:
+            for doc, own, spots in zip(batch.column("id").to_pylist(), batch.column("words"), batch.column("spots")):
+                grams = windows(unpacked(own.as_buffer(), np.uint32).astype(np.uint64), SHINGLE_WORDS)
+                for first in range(0, len(spots.values), 2000):
+                    part = spots.values.slice(first, 2000)
+                    sketch, spare, repeats = around(grams, part.field("at").to_numpy().astype(np.int64), reach)
+                    yield batches({
+                        **{name: part.field(name) for name in fields}, "doc_id": pa.array(np.full(len(part), doc, np.int64)),
+                        **{name: pa.array(np.ascontiguousarray(sketch[:, k])) for k, name in enumerate(SKETCH)},
+                        "spare": pa.array(spare.astype(np.int32)), "repeats": pa.array(repeats.astype(np.int32)),
+                    })
+
+    lists = places.groupBy(F.col("doc_id").alias("id")).agg(F.collect_list(F.struct(*fields)).alias("spots"))
+    joined = known.hint("merge").join(lists, "id").select("id", "words", "spots")
+    kinds = ", ".join(f"{name} long" for name in SKETCH)
+    return stage(joined.mapInArrow(run, f"whole long, at int, open boolean, doc_id long, {kinds}, spare int, repeats int"), "surroundings")
+
+
+def _may_link(words: int, similarity: float) -> Column:
+    """Whether stretches of a paragraph's length around two places may reach the similarity, for all that their sketches show.
+
+    Two such stretches share at least ``similarity / (1 + similarity)`` of the sum of
+    their distinct shingles, of which each has one less per repeat. No more are
+    shared than common bits, and shingles that share a bit with another.
+    """
+    size = words - SHINGLE_WORDS + 1
+    common = " + ".join(f"bit_count({name} & _{name})" for name in SKETCH)
+    need = 4 * size * similarity / (1 + similarity) - 1e-6
+    return F.expr(f"2 * ({common} + least(spare, _spare)) + repeats + _repeats >= {need}D")
+
+
+def _uncovered(known: DataFrame, kept: DataFrame, links: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Pairs of documents as above: collisions outside the verified spans with all earlier holders of the value that may link there."""
     held = kept.select(F.shiftright("key", PART_BITS).alias("whole"), "doc_id", "at")
     span = links.select(F.col("doc_id").alias("_id"), "start", (F.col("start") + F.col("n_words")).alias("end")).distinct()
     inside = (F.col("doc_id") == F.col("_id")) & (F.col("at") >= F.col("start")) & (F.col("at") + SHINGLE_WORDS <= F.col("end"))
-    left = held.join(span, inside, "left_anti")
-    earlier = held.select("whole", F.col("doc_id").alias("other"), F.col("at").alias("other_at"))
-    return _paired(left.join(earlier, "whole").filter("other < doc_id").select("doc_id", "at", "other", "other_at"))
+    left = stage(held.join(span, inside, "left_anti"), "uncovered")
+    met = held.join(left.select("whole").distinct(), "whole", "left_semi")
+    places = left.withColumn("open", F.lit(True)).unionByName(met.withColumn("open", F.lit(False)))
+    places = places.groupBy("whole", "doc_id", "at").agg(F.max("open").alias("open"))
+    found = _surroundings(known, places, words)
+    names = {"doc_id": "other", "at": "other_at"}
+    earlier = found.select("whole", *[F.col(c).alias(names.get(c, f"_{c}")) for c in found.columns if c not in ("whole", "open")])
+    pairs = found.filter("open").join(earlier, "whole").filter("other < doc_id").filter(_may_link(words, similarity))
+    return _paired(pairs.select("doc_id", "at", "other", "other_at"))
 
 
 def _jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -240,7 +309,7 @@ def repeated_passages(docs: DataFrame, words: int = PARAGRAPH_WORDS, similarity:
     kept, pairs = _colliding(rows)
     known = _sequences(texts, kept, pairs)
     links = _links(known, pairs, words, similarity)
-    links = links.union(_links(known, _uncovered(kept, links), words, similarity))
+    links = links.union(_links(known, _uncovered(known, kept, links, words, similarity), words, similarity))
 
     # Clusters link stretches of the length of a paragraph.
     def node(doc: str, start: str, k: Column) -> Column:

@@ -25,6 +25,10 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+# Shuffle files of a finished query go at once, not when the driver happens to collect its garbage.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def new_path(spark: SparkSession, label: str) -> str:
     """A fresh folder below the shared one, grouped by application for cleaning up."""
     app = spark.sparkContext.applicationId
@@ -36,11 +40,17 @@ def stage(df: DataFrame, label: str = "stage") -> DataFrame:
 
     Used where a result is read more than once and its input is much larger
     than the result (ticks to bars), or where row numbers must not change
-    between two uses. The written files survive the loss of executors.
+    between two uses. The written files survive the loss of executors. The
+    shuffle files of the write are deleted when it is done.
     """
     spark = df.sparkSession
     path = new_path(spark, label)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEAN_UP, None)
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEAN_UP) if before is None else spark.conf.set(CLEAN_UP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -1,5 +1,6 @@
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -86,3 +87,14 @@ def test_odd_texts_and_clashing_names(spark, folder, tmp_path):
     for _, step in corpus_pipeline.STAGES[:-1]:
         nothing = step(spark, nothing, path)
         assert nothing.columns == docs.columns and nothing.count() == 0
+
+
+@pytest.mark.parametrize("step", [step for _, step in corpus_pipeline.STAGES], ids=[name for name, _ in corpus_pipeline.STAGES])
+def test_stages_send_long_texts_in_small_batches(spark, folder, step):
+    """Stages run one by one on a bare session; 500 texts of 20 KB were one batch of 10 MB for Python."""
+    path = folder[0]
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    step(spark, spark.read.parquet(f"{path}/documents.parquet"), path)
+    docs = spark.range(0, 500, 1, 1).select(F.expr("repeat('abcd ', 4000)").alias("text"))
+    sizes = docs.mapInArrow(lambda source: (pa.record_batch({"n": pa.array([b.nbytes])}) for b in source), "n long").collect()
+    assert sum(r.n for r in sizes) > 10_000_000 and max(r.n for r in sizes) < 3_000_000

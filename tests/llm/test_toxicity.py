@@ -1,11 +1,12 @@
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
 import pytest
 
 from tests.llm.fixtures import ODD_TEXTS, empty, prose, table
-from tidemark.llm.toxicity import drop_toxic, maximal_segments, score_documents, token_counts
+from tidemark.llm.toxicity import _counted, drop_toxic, maximal_segments, score_documents, token_counts
 
 BAD = ["grimhold", "grimholds", "vilefang", "rotmire"]
 
@@ -117,3 +118,18 @@ def test_segments_against_the_definition():
         want = brute_segments(scores.tolist())
         assert [g[:2] for g in got] == [w[:2] for w in want]
         assert [g[2] for g in got] == pytest.approx([w[2] for w in want])
+
+
+def test_counting_holds_its_values_once():
+    """Sets come and go as they are counted: the values once more, and their counts."""
+    r = np.random.default_rng(3)
+    sets = [np.unique(r.integers(0, 1 << 12, 600, dtype=np.uint64)) for _ in range(2000)]
+    flat = np.concatenate(sets)
+    expected = np.unique(flat, return_counts=True)
+    tracemalloc.start()
+    tokens, times = _counted(sets)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert tokens.tolist() == expected[0].tolist() and times.tolist() == expected[1].tolist() and not sets
+    assert peak < 1.5 * flat.nbytes
+    assert [x.tolist() for x in _counted([])] == [[], []]

@@ -50,7 +50,8 @@ def ragged_take(flat: np.ndarray, offsets: np.ndarray, rows: np.ndarray) -> tupl
     """Values of the given rows of a ragged array, and their new offsets."""
     sizes = (offsets[1:] - offsets[:-1])[rows]
     ends = np.cumsum(sizes)
-    at = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(offsets[:-1][rows] - (ends - sizes), sizes)
+    at = np.repeat(offsets[:-1][rows] - (ends - sizes), sizes)
+    at += np.arange(len(at))
     return flat[at], np.concatenate([[0], ends])
 
 
@@ -165,15 +166,22 @@ class ColumnTokenizer:
         if self.merges is None:
             found = [e.ids for e in self.library.encode_batch([t or "" for t in column.to_pylist()], add_special_tokens=False)]
             return _joined(found)
-        data, offsets = text_bytes(column)
+        words, odd, codes, rows = self._distinct(*text_bytes(column))
+        ids, ends = ragged_take(*self._encode_distinct(words, odd), codes)
+        return ids, ends[rows]
+
+    def _distinct(self, data: np.ndarray, offsets: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+        """(distinct words, which of them the library must see, the place of each word among them, number of words before each row)."""
         kinds = (_KINDS_SPECIAL if b"<|" in data.tobytes() else _KINDS)[data]
         inside = kinds > 0
         edges = np.zeros(len(data) + 1, bool)
         edges[offsets] = True
         starts, ends = _runs(inside, edges)
         # A stretch with an unusual byte is one token for the library, and so is a very long one.
-        unusual = np.concatenate([[0], np.cumsum(kinds == _ODD, dtype=np.int32)])
-        unusual = (unusual[ends] > unusual[starts]) | (ends - starts > _LONG)
+        odd_before = np.zeros(len(data) + 1, np.int32)
+        np.cumsum(kinds == _ODD, dtype=np.int32, out=odd_before[1:])
+        unusual = (odd_before[ends] > odd_before[starts]) | (ends - starts > _LONG)
+        del odd_before
         folded = _LOWER[data]
         for start, end in zip(starts[unusual].tolist(), ends[unusual].tolist()):
             kinds[start:end], folded[start:end] = _ODD, data[start:end]
@@ -185,8 +193,7 @@ class ColumnTokenizer:
         first[codes[::-1]] = np.arange(len(codes))[::-1]
         raw, odd = folded.tobytes(), kinds[starts[first]] == _ODD
         words = [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())]
-        ids, ends = ragged_take(*self._encode_distinct(words, odd), codes)
-        return ids, ends[rows]
+        return words, odd, codes, rows
 
     def _encode_distinct(self, words: list[bytes], odd: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not odd.any():

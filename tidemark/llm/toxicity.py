@@ -84,6 +84,17 @@ def _distinct_words(part: pa.RecordBatch) -> tuple[pa.Array, np.ndarray]:
     return words, hash_runs(hashes, rows[:-1], rows[1:])
 
 
+def _counted(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted distinct values of all sets, how many sets have each); ``sets`` is emptied to hold its values once."""
+    flat = np.concatenate([np.zeros(0, np.uint64), *sets])
+    sets.clear()
+    flat.sort()
+    first = np.ones(len(flat), bool)
+    np.not_equal(flat[1:], flat[:-1], out=first[1:])
+    first = np.flatnonzero(first)
+    return flat[first], np.diff(first, append=len(flat))
+
+
 def _weights_of(model_tokens: np.ndarray, weights: np.ndarray, hashes: np.ndarray, marked: np.ndarray) -> np.ndarray:
     """Weight of each token, 0 for those without one; ``marked`` tells which first bits the model's tokens have."""
     out = np.zeros(hashes.shape, np.float32)
@@ -119,26 +130,28 @@ def token_counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 words, same = _distinct_words(part)
                 yield batches({"doc_id": part.column("doc_id"), "same": pa.array(same.view(np.int64)), "text": words})
 
-    def flush(waiting: list[tuple[int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        tokens, place = np.unique(np.concatenate([own for _, own in waiting]), return_inverse=True)
-        toxic = np.bincount(place, np.repeat([label for label, _ in waiting], [len(own) for _, own in waiting]), len(tokens)).astype(np.int64)
-        clean = np.bincount(place, minlength=len(tokens)) - toxic
+    def flush(waiting: tuple[list[np.ndarray], list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        seen = [_counted(sets) for sets in waiting]
+        tokens = np.union1d(seen[0][0], seen[1][0])
+        clean, toxic = np.zeros(len(tokens), np.int64), np.zeros(len(tokens), np.int64)
+        for (own, times), column in zip(seen, (clean, toxic)):
+            column[np.searchsorted(tokens, own)] = times
         for start in range(0, len(tokens), 100_000):
             end = start + 100_000
             yield batches({"token": pa.array(tokens[start:end].view(np.int64)), "toxic": pa.array(toxic[start:end]), "clean": pa.array(clean[start:end], pa.int64())})
 
     def count(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting, size = [], 0
+        waiting, size = ([], []), 0
         for batch in source:
             for part in text_slices(batch):
                 hashes, rows = _tokens(part)
                 for label, a, b in zip(part.column("toxic").to_pylist(), rows[:-1].tolist(), rows[1:].tolist()):
-                    waiting.append((label, np.unique(hashes[:, a:b])))
-                    size += len(waiting[-1][1])
+                    waiting[label].append(np.unique(hashes[:, a:b]))
+                    size += len(waiting[label][-1])
                 if size >= COUNTED:
                     yield from flush(waiting)
-                    waiting, size = [], 0
-        if waiting:
+                    waiting, size = ([], []), 0
+        if size:
             yield from flush(waiting)
 
     learning = _texts(docs).filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))

@@ -312,3 +312,42 @@ def test_shapley_works_in_small_arrays():
     known = (x[:, None] > leaves["low"]) & (x[:, None] <= leaves["high"])
     whole = (known.all(axis=2) - 0.125) @ leaves["value"]
     assert np.allclose(out.sum(axis=1), whole) and peak < 8e6
+
+
+def _small_blocks(spark, monkeypatch, demo, choice, rows=40):
+    """A model with rows that come three times, in blocks so small that Spark would broadcast any of them."""
+    for name, size in (("ROWS_PER_BLOCK", 10), ("TREES_PER_BLOCK", 2), ("MODEL_BLOCKS_PER_PART", 2), ("ROW_BLOCKS_PER_PART", 1)):
+        monkeypatch.setattr(learning.trees, name, size)
+    model = learning.train_churn_model(demo, "Churn", "customerID", choice, trees=5)
+    model.data = model.data.limit(rows).repartition(1).crossJoin(spark.range(3).select(F.col("id").alias("copy"))).drop("copy")
+    return model
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("choice", ["boosted", "forest"])
+def test_walked_blocks_stay_off_the_driver(spark, demo, monkeypatch, choice):
+    """Copies of row blocks are not broadcast, however small their files: on six times sf0.1 they overran the driver."""
+    scores = _small_blocks(spark, monkeypatch, demo, choice).node_scores()
+    assert "CartesianProduct" in _plan(scores) and "Broadcast" not in _plan(scores)
+    walked = scores.toPandas()
+    assert len(walked) == 120
+    np.testing.assert_allclose(walked["by_nodes"], walked["probability"], atol=1e-12)
+    assert _small_blocks(spark, monkeypatch, demo, choice, 0).node_scores().count() == 0
+
+
+def test_a_forest_is_not_saved_as_a_whole(spark, demo, monkeypatch):
+    """Its nodes become a table by a few trees at a time, equal to that of the model saved at once."""
+    monkeypatch.setattr(learning.trees, "SAVED_AT_ONCE", 300)
+    model = learning.train_churn_model(demo, "Churn", "customerID", "forest", trees=11).model
+    path = learning.trees.new_path(spark, "whole")
+    model.save(path)
+    monkeypatch.setattr(type(model), "save", lambda *_: pytest.fail("all nodes at once"))
+    found = learning.trees.node_table(spark, model)
+    assert dict(found.dtypes)["tree"] == "int" and found.count() == model.totalNumNodes
+    names = ["treeID", "id", "leftChild", "rightChild", "gain"]
+    saved = spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*").select(*names, F.col("split.featureIndex"))
+    wanted = {(r[0], r[1]): tuple(r)[2:] for r in saved.collect()}
+    assert {(r["tree"], r["node"]): (r["left"], r["right"], r["gain"], r["feature"]) for r in found.collect()} == wanted

@@ -351,3 +351,25 @@ def test_a_forest_is_not_saved_as_a_whole(spark, demo, monkeypatch):
     saved = spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*").select(*names, F.col("split.featureIndex"))
     wanted = {(r[0], r[1]): tuple(r)[2:] for r in saved.collect()}
     assert {(r["tree"], r["node"]): (r["left"], r["right"], r["gain"], r["feature"]) for r in found.collect()} == wanted
+
+
+@pytest.mark.parametrize("choice", ["boosted", "forest"])
+def test_attributed_blocks_stay_off_the_driver(spark, demo, monkeypatch, choice):
+    monkeypatch.setattr(attribution, "ROWS_PER_BLOCK", 10)
+    monkeypatch.setattr(attribution, "LEAVES_PER_BLOCK", 7)
+    model = _small_blocks(spark, monkeypatch, demo, choice)
+    found = attribution.model_attributions(model)
+    assert "CartesianProduct" in _plan(found) and "Broadcast" not in _plan(found)
+    base = attribution.base_value(model.leaves()).first()["base"]
+    sums = pd.DataFrame([(r["customerID"], sum(r["attributions"]) + base) for r in found.collect()], columns=["customerID", "value"])
+    assert len(sums) == 120
+    p = model.node_scores().toPandas().groupby("customerID")["probability"].first()
+    wanted = np.log(p / (1 - p)) if choice == "boosted" else p
+    np.testing.assert_allclose(sums["value"], wanted.loc[sums["customerID"]], atol=1e-9)
+
+
+def test_attributions_without_rows_or_leaves(spark, demo):
+    model = learning.train_churn_model(demo, "Churn", "customerID", "boosted", trees=2)
+    assert attribution.model_attributions(model, model.data.where("false")).count() == 0
+    rows = spark.createDataFrame([(1, [1.0, 2.0])], "customerID long, x array<double>")
+    assert attribution.attributions(rows, model.leaves().where("false"), "customerID", 2).collect() == [(1, [0.0, 0.0])]
